@@ -17,7 +17,7 @@ import unicodedata
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,9 +49,8 @@ def edited(text: str, following: str) -> str:
 def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
     """(fingerprint0, canon, rank) of canonical texts that share a hash with a different one; rank 0 keeps the bare hash.
 
-    A first pass counts 64 bits of each hash; only texts whose bits may repeat go on, and in each bucket the least and
-    the greatest canonical bytes are compared. Both aggregates combine before the shuffle, so a bucket with a third of
-    all rows costs a row per task.
+    A first pass counts 64 bits of each hash; only texts whose bits may repeat go on and are compared by their bytes
+    within equal hashes. Equal texts combine before the shuffle, so a bucket with a third of all rows costs a row per task.
     """
     low = docs.select(text).mapInPandas(lambda it: (pd.DataFrame({"h": [_low(digest(canonical(x))) for x in b[text]]}) for b in it), "h long")
     bits = repeated_bits(low, "h")
@@ -70,11 +69,8 @@ def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["fingerprint0", "canon"])
 
     same = docs.select(text).mapInPandas(repeats, "fingerprint0 string, canon binary")
-    mixed = same.groupBy("fingerprint0").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("fingerprint0")
-    each = same.join(mixed, "fingerprint0").distinct()
-    # A bucket holds as many rows here as there are different texts with one 128-bit hash.
-    from pyspark.sql import Window
-
+    # Equal bytes become one row in each task, so what meets under one hash is a row for each different text.
+    each = same.distinct()
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint0").orderBy("canon")) - 1).where("rank > 0")
 
 
