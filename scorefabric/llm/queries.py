@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from scorefabric.llm.fingerprint import op1_fingerprints
 from scorefabric.llm.idfile import op5_token_ids
+from scorefabric.llm.jaccard import op10_jaccard_join
 from scorefabric.llm.packing import op9_packing
 from scorefabric.llm.warc import op6_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_token_ids": op5_token_ids,
     "op6_warc": op6_warc,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: None of these is expressible in SQL with equal digests; tests hold each against a brute-force version.
