@@ -67,8 +67,8 @@ def parts_for(df: DataFrame, column: str = "text", target: int = 16 << 20) -> in
 FILTER_BITS = 23
 
 
-def repeated_bits(digests: DataFrame, column: str) -> bytes:
-    """A bit map of fixed size with the digests that occur twice or more (false positives are possible, misses are not).
+def repeated_bits(digests: DataFrame, column: str, least: int = 2) -> bytes:
+    """A bit map of fixed size with the digests that occur `least` times or more (false positives are possible, misses are not).
 
     The digest column holds longs. Counting is distributed with partial sums; 2^FILTER_BITS / 32 rows reach the driver at most.
     """
@@ -76,7 +76,7 @@ def repeated_bits(digests: DataFrame, column: str) -> bytes:
 
     bit = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = (
-        digests.groupBy(column).count().where("count > 1")
+        digests.groupBy(column).count().where(F.col("count") >= least)
         .groupBy(F.shiftright(bit, 5).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
     )

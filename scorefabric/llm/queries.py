@@ -6,10 +6,12 @@ from scorefabric.llm.fingerprint import op1_fingerprints
 from scorefabric.llm.idfile import op5_token_ids
 from scorefabric.llm.jaccard import op10_jaccard_join
 from scorefabric.llm.packing import op9_packing
+from scorefabric.llm.suffix import op3_suffix_dedup
 from scorefabric.llm.warc import op6_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_token_ids": op5_token_ids,
     "op6_warc": op6_warc,
     "op9_packing": op9_packing,
