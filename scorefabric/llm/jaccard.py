@@ -171,23 +171,43 @@ def _classes(docs: DataFrame, words: int, percent: int, key: str, text: str) ->
     return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(each, "doc long, n long, digest binary, keys array<long>")
 
 
-def _members(docs: DataFrame, bits: bytes, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """(digest, doc, keys, shingles): a row for each class that shares a key, perhaps, with its least key column."""
+def _buckets(base: DataFrame) -> DataFrame:
+    """(key, digest) of the keys that two classes share: first by a bit map of fixed size, then exactly."""
+    bits = repeated_bits(base.select(F.explode("keys").alias("k")), "k")
 
     def each(batches):
         repeats = np.frombuffer(bits, "<u4")
         for b in batches:
-            rows = []
-            for i, x in zip(b[key], b[text], strict=True):
+            kept = [k[may_repeat(repeats, k.view(np.uint64))] for k in map(np.ascontiguousarray, b["keys"])]
+            n = [len(k) for k in kept]
+            yield pd.DataFrame({"key": np.concatenate(kept) if kept else [], "digest": np.repeat(b["digest"].to_numpy(), n)})
+
+    rows = base.where("digest is not null").select("digest", "keys").mapInPandas(each, "key long, digest binary").distinct()
+    two = rows.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
+    return rows.join(two, "key")
+
+
+def _members(docs: DataFrame, buckets: DataFrame, words: int, text: str) -> DataFrame:
+    """(digest, shingles) of the classes in buckets; texts of other classes don't leave their scan, but for false positives."""
+    low = buckets.select("digest").distinct().mapInPandas(lambda it: (pd.DataFrame({"h": [_low(bytes(d)) for d in b["digest"]]}, dtype="int64") for b in it), "h long")
+    bits = repeated_bits(low, "h", least=1)
+
+    def each(batches):
+        wanted = np.frombuffer(bits, "<u4")
+        for b in batches:
+            held = {}
+            for x in b[text]:
                 s = shingle_set(x, words)
-                k = keys(s, percent)
-                k = k[may_repeat(repeats, k)]
-                if len(k):
-                    rows.append((xxhash.xxh3_128_digest(s.tobytes()), i, k.view(np.int64), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["digest", "doc", "keys", "shingles"]).astype({"doc": "Int64"})
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                if len(s) and d not in held and may_repeat(wanted, np.array([_low(d)]).view(np.uint64))[0]:
+                    held[d] = s.tobytes()
+            yield pd.DataFrame({"digest": list(held), "shingles": list(held.values())}, columns=["digest", "shingles"])
+
+    return docs.select(text).mapInPandas(each, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
-    rows = docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(each, "digest binary, doc long, keys array<long>, shingles binary")
-    return rows.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
+
+def _low(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -213,9 +233,8 @@ def _mixed(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(two, "key")
 
 
-def links_between(members: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that have a link."""
-    rows = members.select(F.explode("keys").alias("key"), "digest")
+def links_between(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of the classes that have a link; rows are their buckets (key, digest)."""
     found: DataFrame | None = None
     roots: DataFrame | None = None
     for k in range(STARS):
@@ -262,17 +281,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     """
     tune(docs.sparkSession)
     base = materialise(_classes(docs, words, percent, key, text), "classes", codec="uncompressed")
-    bits = repeated_bits(base.select(F.explode("keys").alias("k")), "k")
-    members = materialise(_members(docs, bits, words, percent, key, text), "members", codec="uncompressed")
-    roots = links_between(members, percent)
-    own = members.select("digest", "doc")
+    buckets = materialise(_buckets(base), "buckets")
+    members = materialise(_members(docs, buckets, words, text), "members", codec="uncompressed")
+    roots = links_between(buckets, members, percent)
+    # per class, then per component: both combine before their shuffles
+    least = base.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("component"))
     if roots is not None:
-        own = own.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        least = own.groupBy("root").agg(F.min("doc").alias("component"))
-        own = own.join(least, "root").select("digest", F.col("component"))
-    else:
-        own = own.select("digest", F.col("doc").alias("component"))
-    named = base.select("doc", "n", "digest").join(own, "digest", "left")
+        least = materialise(least.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "least")
+        least = least.select("digest", "root").join(least.groupBy("root").agg(F.min("component").alias("component")), "root").select("digest", "component")
+    named = base.select("doc", "n", "digest").join(least, "digest", "left")
     return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
