@@ -5,15 +5,21 @@ from __future__ import annotations
 from scorefabric.llm.fingerprint import op1_fingerprints
 from scorefabric.llm.idfile import op5_token_ids
 from scorefabric.llm.jaccard import op10_jaccard_join
+from scorefabric.llm.media import op4_media
 from scorefabric.llm.packing import op9_packing
+from scorefabric.llm.sharding import op2_sharding
 from scorefabric.llm.suffix import op3_suffix_dedup
+from scorefabric.llm.toxicity import op8_toxicity
 from scorefabric.llm.warc import op6_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_sharding": op2_sharding,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_media": op4_media,
     "op5_token_ids": op5_token_ids,
     "op6_warc": op6_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -321,7 +321,7 @@ def _contents(docs: DataFrame, bits: bytes, text: str, length: int) -> DataFrame
     return docs.select(text).mapInPandas(cuts, "text_id binary, at long, name long, cid binary, content binary")
 
 
-def _judge(batches, length: int):
+def _judge(batches, length: int, seed: int):
     """Rows (name, cid, n, content) in order of name: (cid, spans) of the starts that are repeated, as first and last pairs."""
 
     def spans(mark: np.ndarray) -> list[int]:
@@ -338,7 +338,7 @@ def _judge(batches, length: int):
 
     def close(own):
         """A name's contents join the shard unless their counts say all."""
-        if len(own) == 1 and (own[0][1] > 1 or not runs(own[0][2], length)[3].any()):
+        if len(own) == 1 and (own[0][1] > 1 or not runs(own[0][2], length, seed)[3].any()):
             return [], [(own[0][0], [0, len(own[0][2]) - length])] if own[0][1] > 1 else []
         return own, []
 
@@ -385,7 +385,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
         heavy = materialise(heavy, "heavy") if k < SPLITS else None
         split = heavy is not None and not heavy.isEmpty()
         light = level.join(heavy, "name", "left_anti") if split else level
-        judged = light.repartition(parts, "name").sortWithinPartitions("name").select("name", "cid", "n", "content").mapInPandas(lambda it: _judge(it, length), schema)
+        judged = light.repartition(parts, "name").sortWithinPartitions("name").select("name", "cid", "n", "content").mapInPandas(lambda it, seed=k - 1: _judge(it, length, seed), schema)
         hits = places.join(judged, "cid").select("text_id", "at", "spans")
         found = hits if found is None else found.union(hits)
         if not split:
