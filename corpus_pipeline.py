@@ -1,10 +1,61 @@
-"""A corpus pipeline of documents."""
+"""A corpus pipeline of documents: toxic documents go, near copies keep one, repeated passages are cut, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; it is written as Parquet and
+read again before the next one. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorefabric.llm.common import materialise, table
+from scorefabric.llm.jaccard import near_duplicates
+from scorefabric.llm.packing import pieces, place, vocabulary
+from scorefabric.llm.suffix import kept_texts
+from scorefabric.llm.toxicity import THRESHOLD, scores, train
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold; labels of held-out documents are not learnt from."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return scores(docs, model, keep=COLUMNS).where(F.col("score") < THRESHOLD).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each component of near copies (five-word shingles, similarity 0.8 or more)."""
+    found = near_duplicates(docs, words=5, percent=80)
+    drop = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+
+
+#: Bytes of a string that counts as a repeated passage: 50 words are 260 bytes or more in these languages.
+PASSAGE = 240
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of passages that occur elsewhere too; n_chars follows the text."""
+    cut = kept_texts(docs, length=PASSAGE).select(F.col("sha256").alias("_sha"), "kept_text")
+    out = docs.withColumn("_sha", F.sha2("text", 256)).join(cut, "_sha", "left")
+    changed = F.col("kept_text").isNotNull()
+    return out.select("doc_id", F.coalesce("kept_text", "text").alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return place(materialise(pieces(docs, vocabulary("byte_bpe_50k.json")), "pieces"))
+
+
+STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("packing", packing)]
+
+#: None: no SQL gives a trained score or the library's token ids; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,7 @@
 Every byte covered by a string of `length` bytes that also starts anywhere else is removed; strings are judged on the
 input and never cross documents.
 
-1. Each window of `length` bytes is named by the least hash of its `GRAM`-byte strings. Equal windows have equal names,
+1. Each window of `length` bytes is named by the least hash of its strings of two fifths of that length. Equal windows have equal names,
    whatever surrounds them, so neighbours with one name form a run, and a name that occurs once in the corpus rules its
    windows out. Names are counted with partial sums; a bit map of fixed size holds those that repeat.
 2. The bytes of runs whose name may repeat are cut out. Equal cuts are one content with a count.
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from scorefabric.llm.common import materialise, may_repeat, repeated_bits, table, tune
 
 LENGTH = 400
-#: Bytes whose least hash names a window: the longer, the fewer windows share a name by chance.
-GRAM = 160
 #: Bytes of a shard, and bytes of one name's contents beyond which it is split; rounds of splits.
 SHARD_BYTES, SPLIT_BYTES, SPLITS = 2 << 20, 4 << 20, 3
 
@@ -238,6 +236,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def gram_of(length: int) -> int:
+    """Bytes whose least hash names a window: the longer, the fewer windows share a name by chance, but the shorter the runs."""
+    return max(1, length * 2 // 5)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << int(n).bit_length()
@@ -257,7 +260,7 @@ def runs(raw: bytes, length: int = LENGTH, seed: int = 0) -> tuple[np.ndarray, n
     t = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(t * up[: len(raw)], out=total[1:])
-    gram = min(GRAM, length)
+    gram = gram_of(length)
     h = (total[gram:] - total[:-gram]) * down[: len(raw) - gram + 1]
     h = (h ^ (h >> np.uint64(29)) ^ np.uint64((seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -427,19 +430,15 @@ def _named_anew(level: DataFrame, places: DataFrame, length: int, seed: int) ->
     return materialise(again, "contents"), materialise(moved.distinct(), "places")
 
 
-def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
-    """Every row's (key, n_bytes, n_removed, n_spans, kept_sha256[, kept]); kept is the remaining bytes."""
+def kept_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
+    """(sha256, n_removed, n_spans, kept_sha256[, kept_text]) of the texts that lose bytes, written to the shared folder.
+
+    sha256 is the text's, as sha2(text, 256) gives it. kept_text leaves out the rest of a character that a cut divides.
+    """
     found = materialise(repeated_spans(docs, text, length), "spans")
     low = found.select("text_id").mapInPandas(lambda it: (pd.DataFrame({"h": _low(b["text_id"])}) for b in it), "h long")
     bits = repeated_bits(low, "h", least=1)
 
-    def each(batches):
-        for b in batches:
-            raws = [_utf8(x) for x in b[text]]
-            yield pd.DataFrame({"doc": b[key].astype("Int64"), "n_bytes": [len(x) for x in raws], "text_id": [xxhash.xxh3_128_digest(x) for x in raws], "sha": [hashlib.sha256(x).hexdigest() for x in raws]})
-
-    rows = docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(each, "doc long, n_bytes long, text_id binary, sha string")
-
     def named(batches):
         words = np.frombuffer(bits, "<u4")
         for b in batches:
@@ -453,21 +452,26 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
     def apply(batches):
         for b in batches:
             out = []
-            for tid, raw, spans in zip(b["text_id"], b["raw"], b["spans"], strict=True):
+            for raw, spans in zip(b["raw"], b["spans"], strict=True):
                 raw, at, kept = bytes(raw), 0, []
                 for s, e in zip(spans[::2], spans[1::2], strict=True):
                     kept.append(raw[at:s])
                     at = e
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                out.append((tid, len(raw) - len(left), len(spans) // 2, hashlib.sha256(left).hexdigest(), left if with_kept else None))
-            yield pd.DataFrame(out, columns=["text_id", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    cut = texts.join(found, "text_id").mapInPandas(apply, "text_id binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    cut = materialise(cut, "kept")
-    out = rows.join(cut, "text_id", "left")
-    columns = [F.col("doc").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return out.select(*columns, *(["kept"] if with_kept else []))
+                out.append((hashlib.sha256(raw).hexdigest(), len(raw) - len(left), len(spans) // 2, hashlib.sha256(left).hexdigest(), *((b"".join(kept).decode("utf-8", "ignore"),) if with_text else ())))
+            yield pd.DataFrame(out, columns=["sha256", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
+
+    return materialise(texts.join(found, "text_id").mapInPandas(apply, "sha256 string, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text), "kept")
+
+
+def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Every row's (key, n_bytes, n_removed, n_spans, kept_sha256)."""
+    cut = kept_texts(docs, text, length, with_text=False)
+    raw = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha256"))
+    zero = F.lit(0).cast("long")
+    return rows.join(cut, "sha256", "left").select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
 
 def _low(ids) -> np.ndarray:
