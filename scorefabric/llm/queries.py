@@ -7,6 +7,7 @@ from scorefabric.llm.idfile import op5_token_ids
 from scorefabric.llm.jaccard import op10_jaccard_join
 from scorefabric.llm.media import op4_media
 from scorefabric.llm.packing import op9_packing
+from scorefabric.llm.pieces import op7_pieces
 from scorefabric.llm.sharding import op2_sharding
 from scorefabric.llm.suffix import op3_suffix_dedup
 from scorefabric.llm.toxicity import op8_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_token_ids": op5_token_ids,
     "op6_warc": op6_warc,
+    "op7_pieces": op7_pieces,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
