@@ -28,6 +28,18 @@ _BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?{_LETTER}+| ?[\d{_NO}]+| ?(?:[^\w\s]|_)
 _WORD_ENDS = re.compile(rf"{_ENDINGS}|{_LETTER}+|[\d{_NO}]|(?:[^\w\s]|_)+")
 
 
+class _Index(dict):
+    """Numbers words as they come; fresh holds those that have no ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = k = len(self)
+        return k
+
+
 class WordEncoder:
     """Encodes texts to ids; keeps the ids of words it has met."""
 
@@ -47,7 +59,7 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -55,7 +67,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, total = len(self.index), int(sizes.sum())
+        k, total = len(self.index) - len(words), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(ids) + 1 > len(self.ends):
@@ -63,7 +75,6 @@ class WordEncoder:
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.ends[k + 1 : k + 1 + len(ids)] = self.used + np.cumsum(sizes)
         self.used += total
-        self.index.update(zip(words, range(k, k + len(words)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets with a last end): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
@@ -86,11 +97,11 @@ class WordEncoder:
         cut = [self.pattern.findall(x.lower() if self.lower else x) if self.pattern and _SAFE.fullmatch(x) else None for x in texts]
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        new = set(chain.from_iterable(x for x in cut if x)).difference(self.index)
-        if new:
-            self._learn(sorted(new))
         n = sum(len(x) for x in cut if x)
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(x for x in cut if x)), np.int64, n)
+        if self.index.fresh:
+            self._learn(self.index.fresh)
+            self.index.fresh = []
         starts = self.ends[words]
         lens = self.ends[words + 1] - starts
         ends = np.cumsum(lens)
