@@ -305,23 +305,31 @@ def _bits_of(docs: DataFrame, text: str, length: int) -> bytes:
     return repeated_bits(docs.select(text).mapInPandas(names, "name long"), "name")
 
 
-def _contents(docs: DataFrame, bits: bytes, text: str, length: int) -> DataFrame:
-    """(text_id, at, name, cid, content): every cut of every text whose name may repeat."""
+def _cuts(docs: DataFrame, bits: bytes, text: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """(cid, name, n, content) of the distinct cuts whose name may repeat, and (text_id, at, cid): where they are.
 
-    def cuts(batches):
+    Two scans, so that a content's bytes are written once and not at each of its places.
+    """
+
+    def cuts(batches, places: bool):
         repeats = np.frombuffer(bits, "<u4")
         for b in batches:
             rows = []
             for x in b[text]:
                 raw = _utf8(x)
-                if len(raw) >= length:
-                    tid = None
-                    for name, at, content in _cut(raw, length, 0, lambda v: may_repeat(repeats, v)):
-                        tid = tid or xxhash.xxh3_128_digest(raw)
-                        rows.append((tid, at, name, xxhash.xxh3_128_digest(content), content))
-            yield pd.DataFrame(rows, columns=["text_id", "at", "name", "cid", "content"])
+                found = _cut(raw, length, 0, lambda v: may_repeat(repeats, v)) if len(raw) >= length else []
+                if found and places:
+                    tid = xxhash.xxh3_128_digest(raw)
+                    rows += [(tid, at, xxhash.xxh3_128_digest(content)) for _, at, content in found]
+                else:
+                    rows += [(xxhash.xxh3_128_digest(content), name, content) for name, _, content in found]
+            yield pd.DataFrame(rows, columns=["text_id", "at", "cid"] if places else ["cid", "name", "content"])
 
-    return docs.select(text).mapInPandas(cuts, "text_id binary, at long, name long, cid binary, content binary")
+    one = docs.select(text)
+    held = one.mapInPandas(lambda it: cuts(it, False), "cid binary, name long, content binary")
+    contents = held.groupBy("cid").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("n"), F.first("content").alias("content"))
+    places = one.mapInPandas(lambda it: cuts(it, True), "text_id binary, at long, cid binary").distinct()
+    return materialise(contents, "contents"), materialise(places, "places")
 
 
 def _judge(batches, length: int, seed: int):
@@ -377,11 +385,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     """
     tune(docs.sparkSession)
     bits = _bits_of(docs, text, length)
-    cuts = materialise(_contents(docs, bits, text, length), "cuts")
-    distinct = cuts.groupBy("cid").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("n"), F.first("content").alias("content"))
+    level, places = _cuts(docs, bits, text, length)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = "cid binary, spans array<long>"
-    level, places = materialise(distinct, "contents"), cuts.select("text_id", "at", "cid")
     found = None
     for k in range(1, SPLITS + 1):
         heavy = level.groupBy("name").agg(F.sum(F.length("content")).alias("bytes"), F.count(F.lit(1)).alias("m")).where(f"bytes > {SPLIT_BYTES} and m > 1").select("name")
