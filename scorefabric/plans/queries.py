@@ -83,7 +83,7 @@ def left_join_masked_label(spark, d):
     return j.select("doc_id", "split", F.when(F.col("split") == "train", F.col("quality")).alias("label"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.when(F.trim(F.coalesce("lang", F.lit(""))) == "", "[empty]").otherwise(F.col("lang")).alias("lang"))
 
 
-@query("""select d.lang, count(*) n, sum(l.toxic) toxic_view, round(avg(s.n_src),6) n_src_docs from documents d join labels l using(doc_id) left join (select source, count(*) n_src from documents group by source) s using(source) group by d.lang""")
+@query("""select d.lang, count(*) n, sum(l.toxic)::bigint toxic_view, round(avg(s.n_src),6) n_src_docs from documents d join labels l using(doc_id) left join (select source, count(*) n_src from documents group by source) s using(source) group by d.lang""")
 def feature_fold_join(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "lang", "source")
     parts = [docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_src")).withColumnsRenamed({"n_src": "n_src_docs"})]
