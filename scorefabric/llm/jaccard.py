@@ -8,8 +8,7 @@ into the next, where it meets larger partners. Part by part the parity bits (2^3
 64-bit code for each set bit: equal parts have equal codes. A part that no shingle falls into says nothing, so there
 the set is sketched once more with another hash, and the two parts make the key.
 
-Equal sets are one class from the start. Classes that share a key are compared with one of them, by the number of
-parts in which they differ and then by the sets themselves; after a few such rounds only pairs in one bucket whose
+Equal sets are one class from the start. Classes that share a key are compared with one of them, set by set; after a few such rounds only pairs in one bucket whose
 components still differ are left. A bucket that keeps many components is split by sketching anew, until what is left
 is compared pair by pair. So large groups of near copies cost a comparison for each member, and no link that could
 join two components is lost.
@@ -33,7 +32,7 @@ from scorefabric.llm.common import materialise, may_repeat, repeated_bits, table
 from scorefabric.llm.components import components
 
 #: Rounds in which a bucket's members meet one member; components beyond which a bucket is split; rounds of splits.
-STARS, SPLIT_OVER, SPLITS = 3, 24, 4
+STARS, SPLIT_OVER, SPLITS = 2, 128, 4
 _WORDS_KEPT = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,16 +131,6 @@ def keys(shingles: np.ndarray, percent: int, seed: int = 0, prefix: int = 0) ->
     return np.unique(np.concatenate(out))
 
 
-def differ(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether the sketches alone rule a link out."""
-    by = bands(percent)
-    s, t = sorted((len(a), len(b)))
-    if 100 * s < percent * t:
-        return True
-    parts = by.parts(by.of(t))
-    return int((sketch(a, parts, 0)[0] != sketch(b, parts, 0)[0]).sum()) > by.most(s, t)
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     s, t = sorted((len(a), len(b)))
     if 100 * s < percent * t:
@@ -216,7 +205,7 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            ok = [not differ(x := _set(p), y := _set(q), percent) and linked(x, y, percent) for p, q in zip(b["sa"], b["sb"], strict=True)]
+            ok = [linked(_set(p), _set(q), percent) for p, q in zip(b["sa"], b["sb"], strict=True)]
             yield b.loc[ok, ["a", "b"]]
 
     one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -267,9 +256,8 @@ def _split(rows: DataFrame, members: DataFrame, percent: int, seed: int) -> Data
 
     def each(batches):
         for b in batches:
-            for k, d, s in zip(b["key"], b["digest"], b["shingles"], strict=True):
-                new = keys(_set(s), percent, seed, int(k) & 0xFFFFFFFFFFFFFFFF).view(np.int64)
-                yield pd.DataFrame({"key": new, "digest": [d] * len(new)})
+            new = [keys(_set(s), percent, seed, int(k) & 0xFFFFFFFFFFFFFFFF).view(np.int64) for k, s in zip(b["key"], b["shingles"], strict=True)]
+            yield pd.DataFrame({"key": np.concatenate(new) if new else [], "digest": np.repeat(b["digest"].to_numpy(), [len(x) for x in new])})
 
     return materialise(rows.join(members.select("digest", "shingles"), "digest").mapInPandas(each, "key long, digest binary"), "split")
 
