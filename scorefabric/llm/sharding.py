@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scorefabric.llm.common import materialise, table
 
 SHARDS, OVERHEAD = 40, 16
-CELLS, SALTS, RANGES = 1 << 15, 1024, 1024
+CELLS, SALTS, WINDOWS = 1 << 15, 1024, 64
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,7 +40,7 @@ def group_ends(rows: DataFrame) -> DataFrame:
     """(digest, size, end): groups in digest order with the running sum of sizes; ranges are digest prefixes of even weight."""
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
     held = materialise(groups.withColumn("range", F.coalesce(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(1 << 32)) % (1 << 33)).withColumn("range", F.shiftright("range", 22)), "groups")
-    # RANGES rows and one: the prefix has 10 bits
+    # some 1,024 rows: the prefix has 10 bits
     before = held.groupBy("range").agg(F.sum("size").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("range")) - F.col("total")).drop("total")
     inside = F.sum("size").over(Window.partitionBy("range").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
     return held.withColumn("inside", inside).join(before, "range").select("digest", "size", (F.col("before") + F.col("inside")).alias("end"))
@@ -65,15 +65,11 @@ class Ends:
         return sorted(tuple(r)[1:] for r in self.ends.withColumn("cell", cell).where("cell is not null").groupBy("cell").agg(F.min("end"), F.max("end"), F.count(F.lit(1))).collect())
 
     def refine(self, places: list[int]) -> None:
-        """Cut anew the cells at these places of the list: those of one run make a window."""
-        for at in range(0, len(places), 64):
-            some = places[at : at + 64]
-            windows = [(self.cells[i][0] - 1, self.cells[i][1]) for i in some]
-            fresh = self._summed(windows)
-            drop = set(some)
-            self.cells = sorted([c for i, c in enumerate(self.cells) if i not in drop] + fresh)
-            places = [p for p in places]  # later chunks are asked for again by the caller
-            break
+        """Cut anew the cells at the first WINDOWS of these places of the list; callers ask again for what they still miss."""
+        some = places[:WINDOWS]
+        fresh = self._summed([(self.cells[i][0] - 1, self.cells[i][1]) for i in some])
+        drop = set(some)
+        self.cells = sorted([c for i, c in enumerate(self.cells) if i not in drop] + fresh)
 
     def floor(self, x: int, place: list[int]) -> tuple[int, int]:
         """(surely reached, perhaps reached): bounds of the greatest end <= x; place collects cells that are not exact."""
@@ -133,8 +129,7 @@ class Ends:
                     self._fill(c, shards, False, place)
             low, high = lo, hi
             if high - low > 1:
-                if not place:
-                    high = low + 1 if False else high
+                if not place:  # every cell in reach is exact, so the bounds have met
                     break
                 self.refine(sorted(set(place)))
         return high
@@ -151,6 +146,8 @@ class Ends:
 
     def cuts(self, shards: int) -> list[int]:
         """Ends of the shards: each near its even share, none above the capacity, the rest always packable."""
+        if not self.total:
+            return [0] * shards
         c = self.capacity(shards)
         # from the right: the least position from which k shards of the capacity reach the end
         need = [self.total]
