@@ -114,9 +114,40 @@ def primal_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -
     return w, m["y"] - float(w @ np.array([m[f] for f in features]))
 
 
-def kernel_svr_substitute(k: np.ndarray, k_new: np.ndarray, y: np.ndarray, c: float = 3.0) -> np.ndarray:
-    """Kernel ridge with alpha 1 / (2 C): stands in for the epsilon-insensitive fit, whose solver Spark does not have."""
-    return ridge_predict(k, k_new, y, np.array([1 / (2 * c)]))[0]
+def svr(k: np.ndarray, k_new: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1, passes: int = 300, tol: float = 1e-6) -> np.ndarray:
+    """Epsilon-insensitive regression on a kernel, by coordinate descent in the dual.
+
+    The bias is part of the kernel (a constant is added to it), so no sum constraint couples the coordinates.
+    """
+    mean = y.mean()
+    q, t = k + 1.0, y - mean
+    beta, f = np.zeros(len(y)), np.zeros(len(y))
+    for _ in range(passes):
+        moved = 0.0
+        for i in range(len(y)):
+            r = t[i] - f[i] + q[i, i] * beta[i]
+            new = float(np.clip(np.sign(r) * max(abs(r) - eps, 0.0) / q[i, i], -c, c))
+            if (step := new - beta[i]) != 0.0:
+                f += step * q[i]
+                beta[i] = new
+                moved = max(moved, abs(step))
+        if moved < tol:
+            break
+    return (k_new + 1.0) @ beta + mean
+
+
+def pca(x: np.ndarray, n: int) -> np.ndarray:
+    """Scores on the first n principal components of the rows."""
+    c = x - x.mean(0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    return u[:, :n] * s[:n]
+
+
+def pca_svr(x: np.ndarray, train: np.ndarray, new: np.ndarray, y: np.ndarray, n: int = 128, c: float = 3.0, eps: float = 0.1) -> np.ndarray:
+    """PCA over all rows, RBF kernel with the scale that the variance gives, epsilon-insensitive fit."""
+    z = pca(standardised(x), n)
+    gamma = 1 / (z.shape[1] * max(z[train].var(), 1e-12))
+    return svr(rbf(z[train], z[train], gamma), rbf(z[new], z[train], gamma), y, c, eps)
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:

@@ -98,6 +98,65 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
             return label.select(F.col("x").alias(key), F.col("c").alias("component"))
 
 
+#: Rows that one average-linkage group may have: its distances are a matrix in one task.
+MOST_LINKED = 4096
+
+
+def average_linkage(x: np.ndarray, thresholds: list[float]) -> list[np.ndarray]:
+    """Cluster labels of rows by average linkage of cosine distances, cut at 1 - threshold for each threshold."""
+    n = len(x)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        a = chain[-1]
+        row = np.where(alive, d[a], np.inf)
+        b = int(np.argmin(row))
+        if len(chain) > 1 and row[chain[-2]] <= row[b]:
+            b = chain[-2]
+            chain = chain[:-2]
+            merges.append((float(d[a, b]), a, b))
+            d[a] = d[:, a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            d[a, a] = np.inf
+            size[a] += size[b]
+            alive[b] = False
+        else:
+            chain.append(b)
+    out = []
+    for t in thresholds:
+        up = list(range(n))
+
+        def find(i: int, up=up) -> int:
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for h, a, b in merges:
+            if h < 1 - t:
+                lo, hi = sorted((find(a), find(b)))
+                up[hi] = lo
+        out.append(np.array([find(i) for i in range(n)]))
+    return out
+
+
+def linked_groups(df: DataFrame, by: str, key: str, vector: str, thresholds: list[float]) -> DataFrame:
+    """(by, key, group per threshold): average linkage within each value of `by`, MOST_LINKED rows of it at most."""
+    names = [f"group_{int(round(100 * t))}" for t in thresholds]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_LINKED:
+            raise ValueError(f"average linkage takes {MOST_LINKED} rows of a group at most")
+        pdf = pdf.sort_values(key)
+        labels = average_linkage(np.stack(pdf[vector].to_numpy()).astype(float), thresholds)
+        ids = pdf[key].to_numpy()
+        return pd.DataFrame({by: pdf[by].to_numpy(), key: ids, **{m: ids[v] for m, v in zip(names, labels, strict=True)}})
+
+    return df.select(by, key, vector).groupBy(by).applyInPandas(fit, f"{by} {df.schema[by].dataType.simpleString()}, {key} long, " + ", ".join(f"{m} long" for m in names))
+
+
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
     """(key, term, w): 1- and 2-grams of words of two letters or more, sublinear tf, idf ln((1 + n) / (1 + df)) + 1, unit length."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), 1), lambda w: F.length(w) > 1)

@@ -195,3 +195,28 @@ def test_bootstrap_of_equal_models(spark):
     df = spark.createDataFrame([(i % 7, float(i % 5), float(i % 5) + 0.1 * (i % 3)) for i in range(70)], "g int, y double, p double").withColumn("q", F.col("p"))
     r = stats.paired(stats.bootstrap(df, "g", "y", ["p", "q"], 50), "p", "q").first()
     assert r.rmse_ci == [0.0, 0.0] and r.p_better_rmse == 0.0
+
+
+def test_average_linkage():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(24, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    groups = [[i] for i in range(24)]
+    while len(groups) > 1:
+        h, a, b = min((np.mean([d[i, j] for i in groups[a] for j in groups[b]]), a, b) for a in range(len(groups)) for b in range(a))
+        if h >= 1 - 0.4:
+            break
+        groups[b] += groups.pop(a)
+    got = similarity.average_linkage(x, [0.4])[0]
+    assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(got == v).tolist()) for v in set(got.tolist())}
+
+
+def test_svr_keeps_errors_within_epsilon():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 3))
+    y = np.sin(x[:, 0]) + 2
+    k = models.rbf(x, x, 0.5)
+    p = models.svr(k, k, y, c=100.0, eps=0.1)
+    assert np.abs(p - y).max() < 0.15
+    assert len(models.pca_svr(x, np.arange(50), np.arange(50, 60), y[:50], 2)) == 10
