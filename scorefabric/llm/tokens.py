@@ -20,12 +20,23 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words that a worker keeps; beyond it the store starts anew.
 CACHE_WORDS = 400_000
 
-_NO = "²³¹¼½¾"  # numbers that \d leaves out, up to U+024F
-_LETTER = rf"[^\W\d_{_NO}]"
-_SAFE = re.compile(r"[\t\n\r\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞]*")
+# Within the safe characters these classes are \p{L}, \p{N} and \s, stated as ranges.
+_SAFE = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]*")
+_L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", r"\t\n\r \xa0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?{_LETTER}+| ?[\d{_NO}]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-_WORD_ENDS = re.compile(rf"{_ENDINGS}|{_LETTER}+|[\d{_NO}]|(?:[^\w\s]|_)+")
+# letters first: no other branch can start where they do
+_BYTE_LEVEL = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORD_ENDS = re.compile(rf"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level models write bytes that don't print as letters from U+0100 on; this maps a byte to its letter."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class _Index(dict):
@@ -65,7 +76,9 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        # a word is what the pre-tokenizer would hand to the library's model
+        tokenize = self.library.model.tokenize
+        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         k, total = len(self.index) - len(words), int(sizes.sum())
         while self.used + total > len(self.flat):
