@@ -29,6 +29,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few large files over all cores before per-row work; tables of many files stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -210,7 +216,7 @@ def median_fill_zscore(spark, d):
 
 @query(f"""with k as (select doc_id, {TOK_SQL} tk from documents) select doc_id, len(tk) n, case when len(tk)>0 then round(len(list_distinct(tk))/len(tk),6) else 0.0 end ttr, case when len(tk)>0 then round(list_sum(list_transform(tk, lambda x: length(x)))/len(tk),6) else 0.0 end mean_len, case when len(tk)>0 then round(len(list_filter(tk, lambda x: length(x)>6))/len(tk),6) else 0.0 end long_frac from k""")
 def lexical_features(spark, d):
-    k = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tk"))
+    k = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("tk"))
     n = F.size("tk")
     share = lambda c: F.when(n > 0, r6(c / n)).otherwise(0.0)
     return k.select("doc_id", n.alias("n"), r6(X.ttr(F.col("tk"))).alias("ttr"), share(X.total(F.transform("tk", F.length))).alias("mean_len"), share(F.size(F.filter("tk", lambda x: F.length(x) > 6))).alias("long_frac"))
@@ -218,13 +224,14 @@ def lexical_features(spark, d):
 
 @query(f"""with k as (select doc_id, {TOK_SQL} tk from documents) select doc_id, round(case when len(tk)=0 then 0.0 when len(tk)<=50 then len(list_distinct(tk))/len(tk) else list_avg(list_transform(range(1,len(tk)-48), lambda i: len(list_distinct(tk[i:i+49]))/50.0)) end,6) mattr from k""")
 def mattr50(spark, d):
-    docs = t(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism)
-    return docs.select("doc_id", X.tokens(F.col("text")).alias("tk")).select("doc_id", r6(X.mattr(F.col("tk"))).alias("mattr"))
+    from scorefabric.functions.lexical import mattr_of
+
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", r6(mattr_of(F.col("text"))).alias("mattr"))
 
 
 @query(f"""with k as (select doc_id, list_filter({TOK_SQL}, lambda x: x not in ('the','and')) tk, len({TOK_SQL}) n0 from documents) select doc_id, n0-len(tk) fillers, len(list_filter(range(2,len(tk)+1), lambda i: tk[i]=tk[i-1])) repeats, len(list_filter(range(4,len(tk)+1), lambda i: tk[i]=tk[i-2] and tk[i-1]=tk[i-3])) bigram_repeats, round(100.0*(n0-len(tk))/greatest(n0,1),6) filler_per100 from k""")
 def filler_repeat_rates(spark, d):
-    k = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t0")).withColumn("tk", X.without(F.col("t0"), ["the", "and"]))
+    k = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("t0")).withColumn("tk", X.without(F.col("t0"), ["the", "and"]))
     gone = F.size("t0") - F.size("tk")
     return k.select("doc_id", gone.alias("fillers"), X.repeats(F.col("tk")).alias("repeats"), X.bigram_repeats(F.col("tk")).alias("bigram_repeats"), r6(100.0 * gone / F.greatest(F.size("t0"), F.lit(1))).alias("filler_per100"))
 

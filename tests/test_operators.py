@@ -220,3 +220,14 @@ def test_svr_keeps_errors_within_epsilon():
     p = models.svr(k, k, y, c=100.0, eps=0.1)
     assert np.abs(p - y).max() < 0.15
     assert len(models.pca_svr(x, np.arange(50), np.arange(50, 60), y[:50], 2)) == 10
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), max_size=40), st.integers(1, 12))
+def test_moving_ttr(toks, window):
+    from scorefabric.functions.lexical import moving_ttr
+
+    n = len(toks)
+    spans = [toks[i : i + window] for i in range(n - window + 1)] if n > window else [toks]
+    want = sum(len(set(s)) / len(s) for s in spans) / len(spans) if n else 0.0
+    assert abs(moving_ttr(toks, window) - want) < 1e-9
