@@ -2,16 +2,17 @@
 
 A document's set holds its distinct word shingles. Each shingle flips one bit of a parity sketch, so two sketches
 differ in no more bits than the sets differ in shingles. Linked sets of s and t shingles differ in at most
-(s + t)(1 - J)/(1 + J) of them. Sets are put into bands of sizes, in which the sketch has one part more than that
-bound; by the pigeonhole, linked sets agree in a whole part, and parts are joined. A set goes into its own band and
-into the next, where it meets larger partners. Part by part the parity bits (2^32 a part) are kept as the XOR of a
-64-bit code for each set bit: equal parts have equal codes. A part that no shingle falls into says nothing, so there
-the set is sketched once more with another hash, and the two parts make the key.
-
-Equal sets are one class from the start. Classes that share a key are compared with one of them, set by set; after a few such rounds only pairs in one bucket whose
-components still differ are left. A bucket that keeps many components is split by sketching anew, until what is left
-is compared pair by pair. So large groups of near copies cost a comparison for each member, and no link that could
-join two components is lost.
+(s + t)(1 - J)/(1 + J) of them. Sets are put into bands of sizes, in which the sketch has more parts than that bound;
+by the pigeonhole, linked sets agree in a whole part, and parts are joined. A set goes into its own band and into the
+next, where it meets larger partners. Part by part the parity bits (2^32 a part) are kept as the XOR of a 64-bit code
+for each set bit: equal parts have equal codes. A part that no shingle falls into would bring unlike sets together, so
+a band has spare parts: linked sets agree in more parts than are spare, and a set gives keys of its empty parts only
+if it has more of them than that, which is rare.
+
+Equal sets are one class from the start. Classes that share a key are compared with one of them, set by set; after a
+few such rounds only pairs in one bucket whose components still differ are left. A bucket that keeps many components
+is split by sketching anew, until what is left is compared pair by pair. So large groups of near copies cost a
+comparison for each member, and no link that could join two components is lost.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; repeated rows are copies; a null doc_id takes part, and a component whose
@@ -20,6 +21,7 @@ doc_ids are all null has a null id; columns other than the key and the text are
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -85,9 +87,15 @@ class Bands:
         """The most shingles in which linked sets of these sizes differ."""
         return (s + t) * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, band: int) -> int:
-        self.of(self.ends[-1] + 1 if band >= len(self.ends) else 1)
-        return self.most(self.ends[band], self.ends[band]) + 1
+    def parts(self, band: int) -> tuple[int, int]:
+        """(parts of the band's sketches, spare): linked sets agree in more than `spare` parts, so where one of them has no more
+        empty parts than that, they agree in a part that is not empty."""
+        while len(self.ends) <= band:
+            self.of(self.ends[-1] + 1)
+        need = self.most(self.ends[band], self.ends[band]) + 1
+        least = self.ends[max(0, band - 2)] + 1  # the smallest set that meets this band
+        spare = math.ceil(2 * need * math.exp(-least / need / 1.15)) + 1
+        return need + spare, spare
 
 
 @lru_cache(8)
@@ -109,15 +117,6 @@ def sketch(shingles: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.
     return code, count
 
 
-def _keys(shingles: np.ndarray, parts: int, seed: int, prefix: np.ndarray | int) -> np.ndarray:
-    code, count = sketch(shingles, parts, seed)
-    said = _mix(code ^ _mix(np.arange(parts, dtype=np.uint64) * _M + np.uint64(prefix)))
-    if seed % 4 == 3:
-        return said
-    empty = np.flatnonzero(count == 0)
-    return np.concatenate([said[count > 0], *(_keys(shingles, parts, seed + 1, said[i]) for i in empty)]) if len(empty) else said
-
-
 def keys(shingles: np.ndarray, percent: int, seed: int = 0, prefix: int = 0) -> np.ndarray:
     """The keys of a set, in its band and in the next; sets that are linked share one."""
     if not len(shingles):
@@ -126,8 +125,12 @@ def keys(shingles: np.ndarray, percent: int, seed: int = 0, prefix: int = 0) ->
     k = by.of(len(shingles))
     out = []
     for band in (k, k + 1):
-        start = int(_mix(np.array([band * 0x10001 + 7], np.uint64) ^ np.uint64(prefix))[0])
-        out.append(_keys(shingles, by.parts(band), seed, start))
+        parts, spare = by.parts(band)
+        code, count = sketch(shingles, parts, seed)
+        start = _mix(np.array([band * 0x10001 + 7], np.uint64) ^ np.uint64(prefix))
+        said = _mix(code ^ _mix(np.arange(parts, dtype=np.uint64) * _M + start))
+        full = count > 0
+        out.append(said[full] if parts - np.count_nonzero(full) <= spare else said)
     return np.unique(np.concatenate(out))
 
 
@@ -247,7 +250,7 @@ def links_between(rows: DataFrame, members: DataFrame, percent: int) -> DataFram
         found = found.union(materialise(_verified(pairs, members, percent), "links"))
         if large.isEmpty() or k == SPLITS:
             break
-        rows = _split(rows.join(large, "key").select("key", "digest"), members, percent, 4 * k)
+        rows = _split(rows.join(large, "key").select("key", "digest"), members, percent, k)
     return components(found)
 
 

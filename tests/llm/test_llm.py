@@ -364,7 +364,7 @@ def test_linked_sets_share_a_key(seed, percent, n):
     for _ in range(int(r.integers(0, 2 + n // 10))):
         b = np.unique(np.append(np.delete(b, r.integers(0, len(b))) if len(b) > 1 and r.random() < 0.5 else b, r.integers(0, 1 << 63, 1).astype(np.uint64)))
     if jaccard.linked(a, b, percent):
-        for seed_ in (0, 4):
+        for seed_ in (0, 1):
             assert np.intersect1d(jaccard.keys(a, percent, seed_), jaccard.keys(b, percent, seed_)).size
 
 
