@@ -242,9 +242,11 @@ def text_normalisers(spark, d):
     return c.select("conv_id", "turn", X.normal_token(F.col("role")).alias("role_token"), X.slug(F.col("role")).alias("slug"), X.view_of(F.concat(F.lit("judge_"), "role", F.lit(".csv")), "judge").alias("view_name"), X.two_views(F.col("role"), F.col("role")).alias("two"))
 
 
-def _pairs(spark, d, words: int):
+def _pairs(spark, d, words: int | None = None):
+    """Words of each turn (its first ones, if a number is given) and of the next."""
     c = t(spark, d, "conversations")
-    k = c.select("conv_id", "turn", F.slice(X.tokens(F.col("text")), 1, words).alias("a"))
+    toks = X.tokens(F.col("text"))
+    k = c.select("conv_id", "turn", (toks if words is None else F.slice(toks, 1, words)).alias("a"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return k.withColumn("b", F.lead("a").over(w)).where("b is not null")
 
@@ -254,12 +256,18 @@ def wer_pairs(spark, d):
     return _pairs(spark, d, 40).select("conv_id", "turn", r6(X.wer(F.col("a"), F.col("b"))).alias("wer"))
 
 
+@query()
+def wer_whole_turns(spark, d):
+    """As wer_pairs, whose SQL stops at 40 words, over whole turns; no SQL, as DuckDB's levenshtein counts bytes."""
+    return _pairs(spark, d).select("conv_id", "turn", r6(X.wer(F.col("a"), F.col("b"))).alias("wer"))
+
+
 @query()
 def diff_edit_rates(spark, d):
     from scorefabric.functions.diff import edit_rates_of
 
     fill = lambda c: X.without(F.col(c), X.FILLERS_EDIT)
-    return _pairs(spark, d, 200).select("conv_id", "turn", edit_rates_of(fill("a"), fill("b")).alias("e")).select("conv_id", "turn", "e.*")
+    return _pairs(spark, d).select("conv_id", "turn", edit_rates_of(fill("a"), fill("b")).alias("e")).select("conv_id", "turn", "e.*")
 
 
 @query()
@@ -267,7 +275,7 @@ def repair_counts(spark, d):
     from scorefabric.functions.diff import repairs_of
 
     fill = lambda c: X.without(F.col(c), X.FILLERS_REPAIR)
-    return _pairs(spark, d, 200).select("conv_id", "turn", repairs_of(fill("a"), fill("b")).alias("e")).select("conv_id", "turn", "e.*")
+    return _pairs(spark, d).select("conv_id", "turn", repairs_of(fill("a"), fill("b")).alias("e")).select("conv_id", "turn", "e.*")
 
 
 @query("select event_id, cast(json_extract_string(props,'$.k') as bigint) k from events where json_extract_string(props,'$.k') is not null")
