@@ -375,6 +375,10 @@ def speaker_components(spark, d):
 TFIDF_SQL = r"with w as (select item_id, list_filter(regexp_extract_all(lower(coalesce(text,'')),'\b[\w]+\b'), lambda x: length(x)>1) ws from benchmark where regexp_full_match(coalesce(text,''),'[\x00-\x7F]*')), g as (select item_id, unnest(ws||list_transform(range(1,len(ws)), lambda i: ws[i]||' '||ws[i+1])) term from w), tf as (select item_id, term, count(*) tf from g group by all), df as (select term, count(*) df from tf group by term having count(*)>=2), raw as (select item_id, term, (1+ln(tf))*(ln((1.0+(select count(*) from w))/(1+df))+1) r from tf join df using(term)), tfidf as (select item_id, term, r/sqrt(sum(r*r) over (partition by item_id)) w from raw)"
 
 
+#: TFIDF_SQL over all items: words of Unicode letters, marks, digits and connectors.
+TFIDF_ALL_SQL = TFIDF_SQL.replace(r" where regexp_full_match(coalesce(text,''),'[\x00-\x7F]*')", "").replace(r"\b[\w]+\b", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+")
+
+
 def _ascii_items(spark, d):
     return t(spark, d, "benchmark").where(F.coalesce("text", F.lit("")).rlike("^[\\x00-\\x7F]*$"))
 
@@ -386,7 +390,10 @@ def tfidf_weights(spark, d):
 
 @query(f"{TFIDF_SQL}, s as (select a.item_id, b.item_id anchor, round(sum(a.w*b.w),6) sim from tfidf a join tfidf b using(term) where a.item_id<>b.item_id and a.item_id%5<>b.item_id%5 group by all) select item_id, anchor, sim from (select *, row_number() over (partition by item_id order by sim desc, anchor) k from s) where k<=4")
 def tfidf_knn_anchors(spark, d):
-    items = _ascii_items(spark, d)
+    return _top_items(_ascii_items(spark, d))
+
+
+def _top_items(items):
     w = similarity.tfidf(items, "item_id", "text")
     pool = items.select("item_id", (F.col("item_id") % 5).alias("fold"))
     s = similarity.text_neighbours(w, pool, "item_id", 12).withColumn("sim", r6(F.col("sim")))
@@ -394,6 +401,16 @@ def tfidf_knn_anchors(spark, d):
     return s.withColumn("_k", F.row_number().over(k)).where("_k <= 4").drop("_k")
 
 
+@query(f"{TFIDF_ALL_SQL} select item_id, count(*) terms, round(sum(w),6) mass, round(max(w),6) top from tfidf group by item_id")
+def tfidf_weights_all(spark, d):
+    return similarity.tfidf(t(spark, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), r6(F.sum("w")).alias("mass"), r6(F.max("w")).alias("top"))
+
+
+@query(f"{TFIDF_ALL_SQL}, s as (select a.item_id, b.item_id anchor, round(sum(a.w*b.w),6) sim from tfidf a join tfidf b using(term) where a.item_id<>b.item_id and a.item_id%5<>b.item_id%5 group by all) select item_id, anchor, sim from (select *, row_number() over (partition by item_id order by sim desc, anchor) k from s) where k<=4")
+def tfidf_knn_anchors_all(spark, d):
+    return _top_items(t(spark, d, "benchmark"))
+
+
 @query("""with p as (select vec_id, 1+label*0.5 y from embeddings), b as (select vec_id anchor, case when y between 2 and 2.5 then 0 when y between 3 and 3.5 then 1 when y between 4 and 4.5 then 2 when y between 5 and 5 then 3 end band from p), f as (select * from (select *, row_number() over (partition by band order by md5('42:'||anchor)) k from b where band is not null) where k<=64), c as (select q.vec_id, f.band, f.anchor, row_number() over (partition by q.vec_id, f.band order by md5('42:'||q.vec_id||':'||f.anchor), f.anchor) k from embeddings q join f on f.anchor<>q.vec_id) select vec_id, band, anchor from c where k=1""")
 def band_anchors(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", (1 + F.col("label") * 0.5).alias("y"))

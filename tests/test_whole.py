@@ -39,3 +39,10 @@ def test_turns_are_compared_whole(spark, tmp_path):
         got = {(x.conv_id, x.turn): tuple(x)[2:] for x in Q.QUERIES[name](spark, d).collect()}
         keep = lambda ws, gone=gone: [w for w in ws if w not in gone]
         assert got == {k: pytest.approx(fn(keep(a), keep(b))) for k, (a, b) in pairs.items()}
+
+
+def test_items_beyond_ascii_have_weights_and_neighbours(spark, tmp_path):
+    d = save(spark, tmp_path, "benchmark", [(1, "Über die Brücke"), (2, "die brücke über"), (3, "plain words"), (4, None), (6, "plain words café")], "item_id long, text string")
+    assert {x.item_id for x in Q.QUERIES["tfidf_weights_all"](spark, d).collect()} == {1, 2, 3, 6}
+    got = {(x.item_id, x.anchor) for x in Q.QUERIES["tfidf_knn_anchors_all"](spark, d).collect()}
+    assert got == {(1, 2), (2, 1), (3, 6), (6, 3)}
