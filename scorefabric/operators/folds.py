@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups beyond which the greedy assignment, which needs its count table on the driver, gives way to hashing.
-MOST_GROUPS = 200_000
-
 
 def _counts(df: DataFrame, group: str, stratum: str):
-    t = df.groupBy(group, stratum).count()
-    n = df.agg(F.count_distinct(group).alias("n")).first()["n"]
-    if n > MOST_GROUPS:
-        return None, None, None
-    rows = t.orderBy(group, stratum).collect()
+    rows = df.groupBy(group, stratum).count().orderBy(group, stratum).collect()
     groups, classes = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
     at, col = {g: i for i, g in enumerate(groups)}, {c: i for i, c in enumerate(classes)}
     m = np.zeros((len(groups), len(classes)))
@@ -47,14 +42,54 @@ def greedy_folds(counts: np.ndarray, k: int, seed: int, remap: bool = True) -> n
     return out
 
 
+def dealt_folds(counts: np.ndarray, times: np.ndarray, k: int, seed: int) -> list[list[int]]:
+    """greedy_folds over kinds of groups: counts has the class counts of a group of each kind, times how many groups have
+    them. Every fold gets times // k groups of a kind; the folds of those left over, placed one by one, are returned."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(counts))
+    by = order[np.argsort(-np.std(counts[order], axis=1), kind="stable")]
+    totals = np.maximum((counts * times[:, None]).sum(0), 1)
+    held, out, eye = np.zeros((k, counts.shape[1])), [[] for _ in counts], np.eye(k)[:, :, None]
+    for i in by:
+        held += counts[i] * (times[i] // k)
+        for _ in range(times[i] % k):
+            uneven = np.std((held + eye * counts[i]) / totals, axis=1).mean(1).round(12)
+            best = int(np.lexsort((held.sum(1), uneven))[0])
+            held[best] += counts[i]
+            out[i].append(best)
+    return out
+
+
 def stratified_group_folds(df: DataFrame, group: str, stratum: str, k: int = 5, repeats: int = 1, seed: int = 42, remap: bool = True) -> DataFrame:
-    """(group, repeat, fold): no group in two folds of a repeat. Beyond MOST_GROUPS groups folds come from hashes."""
+    """(group, repeat, fold): no group in two folds of a repeat, at any number of groups.
+
+    Groups with the same class counts are one kind; the driver holds a row for each kind. Which groups of a kind go
+    where follows from ranks by a hash, taken from salted counts. Without remap the driver holds every group.
+    """
     spark = df.sparkSession
-    groups, _, m = _counts(df, group, stratum)
-    if groups is None:
-        return hash_folds(df, group, k, repeats, seed)
-    rows = [(g, r, int(f)) for r in range(repeats) for g, f in zip(groups, greedy_folds(m, k, seed + r, remap), strict=True)]
-    return spark.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, repeat int, fold int")
+    kind = df.schema[group].dataType.simpleString()
+    if not remap:
+        groups, _, m = _counts(df, group, stratum)
+        rows = [(g, r, int(f)) for r in range(repeats) for g, f in zip(groups, greedy_folds(m, k, seed + r, remap), strict=True)]
+        return spark.createDataFrame(rows, f"{group} {kind}, repeat int, fold int")
+    held = df.groupBy(group, stratum).count().groupBy(group).agg(F.to_json(F.sort_array(F.collect_list(F.array(F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.col("count").cast("string"))))).alias("_v"))
+    kinds = sorted(map(tuple, held.groupBy("_v").count().collect()))
+    vectors = [json.loads(v) for v, _ in kinds]
+    col = {c: i for i, c in enumerate(sorted({c for v in vectors for c, _ in v}))}
+    m = np.zeros((len(kinds), len(col)))
+    for i, v in enumerate(vectors):
+        for c, n in v:
+            m[i, col[c]] += int(n)
+    times = np.array([n for _, n in kinds], int)
+    left = [dealt_folds(m, times, k, seed + r) for r in range(repeats)]
+    table = spark.createDataFrame([(v, i, [left[r][i] for r in range(repeats)]) for i, (v, _) in enumerate(kinds)], "_v string, _i int, _left array<array<int>>")
+    each = held.join(table, "_v").select(group, "_i", F.posexplode("_left").alias("repeat", "_left"))
+    h = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("repeat")).cast("string"), F.col(group).cast("string")))
+    s = each.withColumn("_h", h).withColumn("_s", F.substring("_h", 1, 2))
+    before = s.groupBy("_i", "repeat", "_s").count().withColumn("_b", F.sum("count").over(Window.partitionBy("_i", "repeat").orderBy("_s")) - F.col("count")).drop("count")
+    r = s.withColumn("_r", F.row_number().over(Window.partitionBy("_i", "repeat", "_s").orderBy("_h", group)) - 1).join(before, ["_i", "repeat", "_s"]).withColumn("_r", F.col("_b") + F.col("_r"))
+    fold = F.when(F.col("_r") < F.size("_left"), F.get("_left", F.col("_r").cast("int"))).otherwise((F.col("_r") - F.size("_left")) % k)
+    return r.select(group, "repeat", fold.cast("int").alias("fold"))
 
 
 def hash_folds(df: DataFrame, group: str, k: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:

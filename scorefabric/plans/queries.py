@@ -433,8 +433,7 @@ def group_folds_hash(spark, d):
 
 @query()
 def strat_group_folds(spark, d):
-    o = t(spark, d, "orders").withColumn("g", F.col("o_custkey") % 400)
-    return folds.stratified_group_folds(o, "g", "o_orderpriority", 5, 3)
+    return folds.stratified_group_folds(t(spark, d, "orders"), "o_custkey", "o_orderpriority", 5, 3)
 
 
 @query("select c_custkey, ((row_number() over (partition by c_mktsegment order by md5('42:'||c_custkey), c_custkey)-1)%5)::int fold from customer")

@@ -46,3 +46,23 @@ def test_items_beyond_ascii_have_weights_and_neighbours(spark, tmp_path):
     assert {x.item_id for x in Q.QUERIES["tfidf_weights_all"](spark, d).collect()} == {1, 2, 3, 6}
     got = {(x.item_id, x.anchor) for x in Q.QUERIES["tfidf_knn_anchors_all"](spark, d).collect()}
     assert got == {(1, 2), (2, 1), (3, 6), (6, 3)}
+
+
+def test_stratified_folds_are_of_customers(spark, tmp_path):
+    from scorefabric.operators import folds
+
+    r = np.random.default_rng(1)
+    rows = [(int(g), str(c)) for g in range(900) for c in r.choice(list("abcd"), r.integers(1, 6), p=[0.6, 0.2, 0.15, 0.05])]
+    d = save(spark, tmp_path, "orders", rows, "o_custkey long, o_orderpriority string")
+    got = Q.QUERIES["strat_group_folds"](spark, d).toPandas()
+    assert sorted(zip(got["o_custkey"], got["repeat"], strict=True)) == [(g, k) for g in range(900) for k in range(3)]
+    col = {c: i for i, c in enumerate("abcd")}
+    m = np.zeros((900, 4))
+    for g, c in rows:
+        m[g, col[c]] += 1
+    uneven = lambda f: np.std([m[f == k].sum(0) / m.sum(0) for k in range(5)], axis=0).mean()
+    for k in range(3):
+        mine = got[got["repeat"] == k].sort_values("o_custkey")["fold"].to_numpy()
+        assert uneven(mine) < max(2 * uneven(folds.greedy_folds(m, 5, 42 + k)), 0.005)
+    hashed = folds.hash_folds(spark.createDataFrame(rows, "g long, s string"), "g").orderBy("g").toPandas()["fold"].to_numpy()
+    assert uneven(hashed) > 0.01
