@@ -1,7 +1,7 @@
 """Regressors and the ensemble.
 
 Ridge fits of a view run once for each (view, repeat, fold) group in numpy: a view is at most a few thousand rows wide as
-a kernel; beyond MOST_ROWS rows the primal normal equations are summed by Spark instead. The stack's Gram matrix has
+a kernel; beyond MOST_ROWS rows the primal normal equations of every fold are summed by Spark instead. The stack's Gram matrix has
 the size of the number of models squared and is one aggregate, whatever the number of rows.
 """
 
@@ -81,7 +81,9 @@ def ridge_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label: s
     """
     n = view.groupBy("view").count().agg(F.max("count")).first()[0] or 0
     if n > MOST_ROWS:
-        raise ValueError(f"a view has {n} rows: use primal_ridge, which sums normal equations over the cluster")
+        if mode != "grouped":
+            raise ValueError(f"a view has {n} rows: leave-one-out errors take {MOST_ROWS} at most")
+        return _primal_oof(view, folds, key, vector, label, group)
     jobs = folds.select("repeat", "fold").distinct()
     by_group = folds.select(F.col(group), "repeat", F.col("fold").alias("_own"))
     rows = view.select("view", key, vector, label, group)
@@ -107,6 +109,76 @@ def ridge_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label: s
     return fan.groupBy("view", "repeat", "fold").applyInPandas(fit, f"view string, {key} {kind}, repeat int, fold int, pred double, alpha double")
 
 
+def _primal_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label: str, group: str, inner: int = 4) -> DataFrame:
+    """ridge_oof for any number of rows: moments of (1, z, y) are summed for each (view, repeat, fold, inner fold), and
+    inner errors are quadratic forms of them. A task holds the table of group sizes of a view and repeat."""
+    spark, kind = view.sparkSession, view.schema[key].dataType.simpleString()
+    gkind = view.schema[group].dataType.simpleString()
+    jobs = folds.select("repeat", "fold").distinct()
+    x = F.transform(vector, lambda e: e.cast("double"))
+    rows = view.select("view", key, x.alias("x"), F.col(label).cast("double").alias("y"), group)
+    rows = rows.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    placed = rows.join(folds.select(F.col(group), F.col("repeat").alias("_r"), F.col("fold").alias("_own")), group, "left")
+    at = placed.join(F.broadcast(jobs.select("repeat").distinct())).where(F.col("_r").isNull() | (F.col("_r") == F.col("repeat"))).drop("_r")
+    long = at.select("view", "repeat", F.posexplode("x").alias("i", "e")).groupBy("view", "repeat", "i").agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("sd"))
+    scale = {}
+    for r in long.orderBy("view", "repeat", "i").collect():  # views times repeats times dimensions rows
+        m, sd = scale.setdefault((r["view"], r["repeat"]), ([], []))
+        m.append(r["mean"]), sd.append(r["sd"] if r["sd"] > 1e-8 else 1.0)
+    scale = {k: tuple(map(np.array, v)) for k, v in scale.items()}
+    train = at.where("y is not null").join(F.broadcast(jobs), "repeat").where(F.col("_own").isNull() | (F.col("_own") != F.col("fold")))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = group_folds(dict(zip(pdf[group].tolist(), pdf["n"].tolist(), strict=True)), min(inner, len(pdf)))
+        return pd.DataFrame({"view": pdf["view"], "repeat": pdf["repeat"], "fold": pdf["fold"], group: pdf[group], "inner": [of[g] for g in pdf[group].tolist()]})
+
+    sizes = train.groupBy("view", "repeat", "fold", group).agg(F.count(F.lit(1)).alias("n"))
+    dealt = sizes.groupBy("view", "repeat", "fold").applyInPandas(deal, f"view string, repeat int, fold int, {group} {gkind}, inner int")
+
+    def sums(batches):
+        held: dict = {}
+        for pdf in batches:
+            for k, g in pdf.groupby(["view", "repeat", "fold", "inner"]):
+                m, sd = scale[k[:2]]
+                z = (np.stack(g["x"].to_numpy()) - m) / sd / np.sqrt(len(m))
+                a = np.column_stack([np.ones(len(z)), z, g["y"].to_numpy(float)])
+                held[k] = held.get(k, 0) + a.T @ a
+        yield pd.DataFrame([(*k, v.ravel()) for k, v in held.items()], columns=["view", "repeat", "fold", "inner", "s"])
+
+    parts = train.join(dealt, ["view", "repeat", "fold", group]).select("view", "repeat", "fold", "inner", "x", "y").mapInPandas(sums, "view string, repeat int, fold int, inner int, s array<double>")
+
+    def fitted(s: np.ndarray):
+        n, mean = s[0, 0], s[0, 1:] / s[0, 0]
+        c = s[1:, 1:] - n * np.outer(mean, mean)
+        lam, u = np.linalg.eigh(c[:-1, :-1])
+        q = u.T @ c[:-1, -1]
+        w = np.stack([u @ (q / (np.maximum(lam, 0) + a)) for a in ALPHAS])
+        return w, mean[-1] - w @ mean[:-1]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide_ = int(np.sqrt(len(pdf["s"].iloc[0])))
+        cell: dict = {}
+        for i, v in zip(pdf["inner"], pdf["s"], strict=True):
+            cell[i] = cell.get(i, 0) + np.asarray(v).reshape(wide_, wide_)
+        every, err = sum(cell.values()), np.zeros(len(ALPHAS))
+        for v in cell.values():
+            if every[0, 0] - v[0, 0] > 0.5:
+                w, b = fitted(every - v)
+                e = np.column_stack([b, w, -np.ones(len(b))])  # the error is this row by (1, z, y)
+                err += np.einsum("ai,ij,aj->a", e, v, e)
+        a = int(np.argmin(err))
+        w, b = fitted(every)
+        m, sd = scale[pdf["view"].iloc[0], pdf["repeat"].iloc[0]]
+        w = w[a] / sd / np.sqrt(len(m))
+        return pd.DataFrame({"view": [pdf["view"].iloc[0]], "repeat": [int(pdf["repeat"].iloc[0])], "fold": [int(pdf["fold"].iloc[0])], "w": [w], "b": [float(b[a] - w @ m)], "alpha": [ALPHAS[a]]})
+
+    fits = parts.groupBy("view", "repeat", "fold").applyInPandas(solve, "view string, repeat int, fold int, w array<double>, b double, alpha double")
+    fits = spark.createDataFrame(fits.collect(), fits.schema)  # one row a fit
+    new = at.join(F.broadcast(fits), ["view", "repeat"]).where(F.col("y").isNull() | (F.col("_own") == F.col("fold")))
+    pred = F.aggregate(F.zip_with("x", "w", lambda p, q: p * q), F.col("b"), lambda s, e: s + e)
+    return new.select("view", F.col(key).cast(kind).alias(key), "repeat", "fold", pred.alias("pred"), "alpha")
+
+
 def primal_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -> tuple[np.ndarray, float]:
     """Weights and intercept from centred normal equations summed by Spark: features squared numbers reach the driver."""
     c, v, m = covariances(df, features, label)

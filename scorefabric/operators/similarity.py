@@ -98,17 +98,18 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
             return label.select(F.col("x").alias(key), F.col("c").alias("component"))
 
 
-#: Rows that one average-linkage group may have: its distances are a matrix in one task.
+#: Clusters whose distances are a matrix in one task; more are first merged in rounds over blocks.
 MOST_LINKED = 4096
 
 
-def average_linkage(x: np.ndarray, thresholds: list[float]) -> list[np.ndarray]:
-    """Cluster labels of rows by average linkage of cosine distances, cut at 1 - threshold for each threshold."""
+def average_linkage(x: np.ndarray, thresholds: list[float], sizes: np.ndarray | None = None) -> list[np.ndarray]:
+    """Cluster labels of rows by average linkage of cosine distances, cut at 1 - threshold for each threshold. With sizes,
+    rows are means of so many unit vectors."""
     n = len(x)
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if sizes is None else x
     d = 1 - u @ u.T
     np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    size, alive, merges, chain = np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool), [], []
     while alive.sum() > 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -142,19 +143,76 @@ def average_linkage(x: np.ndarray, thresholds: list[float]) -> list[np.ndarray]:
     return out
 
 
-def linked_groups(df: DataFrame, by: str, key: str, vector: str, thresholds: list[float]) -> DataFrame:
-    """(by, key, group per threshold): average linkage within each value of `by`, MOST_LINKED rows of it at most."""
-    names = [f"group_{int(round(100 * t))}" for t in thresholds]
+def _closest(clusters: DataFrame, least: float, block: int) -> DataFrame:
+    """(c, other, sim) of each cluster's most similar one above least; ties to the least pair, so some pair is mutual."""
+    blocks = max(1, math.ceil(clusters.count() / block))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_LINKED:
-            raise ValueError(f"average linkage takes {MOST_LINKED} rows of a group at most")
-        pdf = pdf.sort_values(key)
-        labels = average_linkage(np.stack(pdf[vector].to_numpy()).astype(float), thresholds)
-        ids = pdf[key].to_numpy()
-        return pd.DataFrame({by: pdf[by].to_numpy(), key: ids, **{m: ids[v] for m, v in zip(names, labels, strict=True)}})
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        pdf = pdf.sort_values("id")
+        x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"c": [], "other": [], "sim": []})
+        a, b = x["id"].to_numpy(), y["id"].to_numpy()
+        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
+        if i == j:
+            s = np.triu(s, 1)
+            s = s + s.T
+            np.fill_diagonal(s, -np.inf)
+        right, down = s.argmax(1), s.argmax(0)
+        out = pd.DataFrame({"c": np.concatenate([a, b]), "other": np.concatenate([b[right], a[down]]), "sim": np.concatenate([s.max(1), s.max(0)])})
+        return out[out["sim"] > least]
+
+    part = _blocked(clusters, "c", "m", blocks).groupBy("i", "j").applyInPandas(best, "c long, other long, sim double")
+    top = part.groupBy("c").agg(F.max(F.struct("sim", (-F.least("c", "other")).alias("x"), (-F.greatest("c", "other")).alias("y"), "other")).alias("t"))
+    return top.select("c", "t.other", "t.sim")
+
+
+def linked_groups(df: DataFrame, key: str, vector: str, thresholds: list[float], most: int = MOST_LINKED, block: int = BLOCK) -> DataFrame:
+    """(key, group per threshold): exact average linkage of all rows; a group is its least key.
+
+    The mean similarity of two clusters is the product of their mean unit vectors, and merging others never raises a
+    cluster's greatest one; so every round merges all mutually closest pairs, until none exceeds the least threshold or
+    `most` clusters at most are left, which one task links. Equal vectors are one cluster from the start. A round costs a
+    product of all pairs of blocks.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
 
-    return df.select(by, key, vector).groupBy(by).applyInPandas(fit, f"{by} {df.schema[by].dataType.simpleString()}, {key} long, " + ", ".join(f"{m} long" for m in names))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    names, least = [f"group_{int(round(100 * t))}" for t in thresholds], min(thresholds)
+    if not 0 <= least <= max(thresholds) < 1:
+        raise ValueError("thresholds are in [0, 1)")
+    v = F.transform(vector, lambda x: x.cast("double"))
+    own = df.select(F.col(key).cast("long").alias("k"), v.alias("v")).withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    own = own.withColumn("z", F.when(F.col("s") == 0, F.col("k")).otherwise(F.lit(-1).cast("long"))).checkpoint()
+    equal = own.groupBy("v", "z").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
+    clusters = equal.select("c", "n", F.transform("v", lambda x: x / F.greatest(F.col("s"), F.lit(1e-12))).alias("m")).checkpoint()
+    members = own.join(equal.select("v", "z", "c"), ["v", "z"]).select("k", "c", *[F.col("c").alias(m) for m in names]).checkpoint()
+    while clusters.count() > most:
+        near = _closest(clusters, least, block).checkpoint()
+        clusters = clusters.join(near.select("c"), "c")  # the others merge no more
+        x, y = near.alias("x"), near.alias("y")
+        pairs = x.join(y, (F.col("x.other") == F.col("y.c")) & (F.col("y.other") == F.col("x.c"))).where("x.c < y.c").select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.sim").alias("sim"))
+        into = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("new"), "sim").checkpoint()
+        if into.isEmpty():
+            break
+        joined = clusters.join(into, "c", "left").groupBy(F.coalesce("new", "c").alias("c2")).agg(F.sort_array(F.collect_list(F.struct("c", "n", "m"))).alias("l"))
+        total = F.aggregate(F.transform("l", lambda e: e["n"]), F.lit(0).cast("long"), lambda a, e: a + e)
+        mean = F.when(F.size("l") == 1, F.col("l")[0]["m"]).otherwise(F.zip_with(F.col("l")[0]["m"], F.get("l", F.lit(1))["m"], lambda p, q: (p * F.col("l")[0]["n"] + q * F.get("l", F.lit(1))["n"]) / (F.col("l")[0]["n"] + F.get("l", F.lit(1))["n"])))
+        clusters = joined.select(F.col("c2").alias("c"), total.alias("n"), mean.alias("m")).checkpoint()
+        members = members.join(into, "c", "left").select("k", F.coalesce("new", "c").alias("c"), *[F.when(F.col("sim") > t, F.col("new")).otherwise(F.col(m)).alias(m) for m, t in zip(names, thresholds, strict=True)]).checkpoint()
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        ids = pdf["c"].to_numpy()
+        labels = average_linkage(np.stack(pdf["m"].to_numpy()), thresholds, pdf["n"].to_numpy())
+        return pd.DataFrame({"c": ids, **{f"to_{m}": ids[at] for m, at in zip(names, labels, strict=True)}})
+
+    last = clusters.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(rest, "c long, " + ", ".join(f"to_{m} long" for m in names))
+    kind = df.schema[key].dataType
+    return members.join(last, "c", "left").select(F.col("k").cast(kind).alias(key), *[F.when(F.col(f"to_{m}") != F.col("c"), F.col(f"to_{m}")).otherwise(F.col(m)).alias(m) for m in names])
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:

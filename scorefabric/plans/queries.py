@@ -419,8 +419,7 @@ def band_anchors(spark, d):
 
 @query()
 def linkage_groups(spark, d):
-    e = t(spark, d, "embeddings")
-    return similarity.linked_groups(e.withColumn("part", (F.col("vec_id") % 4).cast("int")), "part", "vec_id", "embedding", [0.5, 0.4, 0.3])
+    return similarity.linked_groups(t(spark, d, "embeddings"), "vec_id", "embedding", [0.5, 0.4, 0.3])
 
 
 # ---- folds and models ----

@@ -66,3 +66,33 @@ def test_stratified_folds_are_of_customers(spark, tmp_path):
         assert uneven(mine) < max(2 * uneven(folds.greedy_folds(m, 5, 42 + k)), 0.005)
     hashed = folds.hash_folds(spark.createDataFrame(rows, "g long, s string"), "g").orderBy("g").toPandas()["fold"].to_numpy()
     assert uneven(hashed) > 0.01
+
+
+def test_linkage_is_of_all_rows_in_rounds_too(spark, tmp_path):
+    from scorefabric.operators import similarity
+
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(6, 8))
+    x = np.vstack([np.repeat(centre, 9, 0) + r.normal(size=(54, 8)) * 0.7, centre[:1], centre[:1], np.zeros((2, 8))])
+    d = save(spark, tmp_path, "embeddings", [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = similarity.average_linkage(x, [0.5, 0.4, 0.3])
+    df = spark.read.parquet(f"{d}/embeddings.parquet")
+    for got in (Q.QUERIES["linkage_groups"](spark, d), similarity.linked_groups(df, "vec_id", "embedding", [0.5, 0.4, 0.3], most=1, block=16), similarity.linked_groups(df, "vec_id", "embedding", [0.5, 0.4, 0.3], most=25, block=16)):
+        rows = got.orderBy("vec_id").toPandas()
+        assert all(rows[f"group_{t}"].tolist() == w.tolist() for t, w in zip((50, 40, 30), want, strict=True))
+    assert len({i % 4 for i in np.flatnonzero(want[2] == want[2][0])}) > 1
+
+
+def test_ridge_beyond_most_rows_equals_the_kernel_form(spark, monkeypatch):
+    from scorefabric.operators import folds, models
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(150, 5))
+    y = x @ r.normal(size=5) + r.normal(size=150)
+    rows = [(k, i, (x[i] * (k == "a") + r.normal(size=5) * 0.3 + 2).tolist(), None if i % 7 == 0 else float(y[i]), i % 12) for k in "ab" for i in range(150)]
+    v = spark.createDataFrame(rows, "view string, id long, vec array<double>, y double, g int")
+    f = folds.hash_folds(v.where("g < 11"), "g", 3, 2)
+    read = lambda: {(q.view, q.id, q.repeat, q.fold): (q.pred, q.alpha) for q in models.ridge_oof(v, f, "id", "vec", "y", "g").collect()}
+    want = read()
+    monkeypatch.setattr(models, "MOST_ROWS", 100)
+    assert read() == {k: pytest.approx(p, rel=1e-6, abs=1e-8) for k, p in want.items()} and len(want) > 300
