@@ -256,10 +256,32 @@ def band_anchors(queries: DataFrame, pool: DataFrame, key: str, label: str, seed
     return every.select(key, "band", pick["a"].alias("anchor")).where("anchor is not null")
 
 
+def whole_band_anchors(queries: DataFrame, pool: DataFrame, key: str, label: str, seed: int = 42, bands=tuple(BANDS)) -> DataFrame:
+    """(key, band, anchor): one row of the whole band, each with equal chance by a hash of (seed, query, band), the query's
+    own fold left out. queries: key, fold (-1: none); pool: key, label, fold, of which rows with fold -1 are no candidates.
+
+    A band's rows are numbered fold by fold in hash order from salted counts; a pick is a number, so no pairs are made.
+    """
+    band = F.lit(None).cast("int")
+    for k, (low, high) in enumerate(bands):
+        band = F.when(F.col(label).between(low, high), k).otherwise(band)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("anchor").cast("string")))
+    p = pool.where("fold >= 0").select(F.col(key).alias("anchor"), "fold", band.alias("band")).where("band is not null").withColumn("_h", h).withColumn("_s", F.substring("_h", 1, 2))
+    salted = p.groupBy("band", "fold", "_s").count().withColumn("_b", F.sum("count").over(Window.partitionBy("band").orderBy("fold", "_s")) - F.col("count"))
+    numbered = p.withColumn("_r", F.row_number().over(Window.partitionBy("band", "fold", "_s").orderBy("_h", "anchor")) - 1).join(salted.drop("count"), ["band", "fold", "_s"]).select("band", (F.col("_b") + F.col("_r")).alias("_at"), "anchor")
+    sizes = salted.groupBy("band", "fold").agg(F.min("_b").alias("_first"), F.sum("count").alias("_own"))  # bands times folds rows
+    totals = sizes.groupBy("band").agg(F.sum("_own").alias("_n"))
+    q = queries.select(F.col(key), "fold").join(F.broadcast(totals)).join(F.broadcast(sizes), ["band", "fold"], "left")
+    others = F.col("_n") - F.coalesce("_own", F.lit(0))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("band").cast("string"))), 1, 15), 16, 10).cast("long") % others
+    at = F.when(F.col("_first").isNull() | (F.col("_u") < F.col("_first")), F.col("_u")).otherwise(F.col("_u") + F.col("_own"))
+    return q.where(others > 0).withColumn("_u", u).select(key, "band", at.alias("_at")).join(numbered, ["band", "_at"]).select(key, "band", "anchor")
+
+
 def few_shot_prompt(examples, text, rubric: str, scale: str = "1.0-5.0"):
     """A prompt from an array of (text, grade) structs, in order, and the text to grade."""
     shots = F.array_join(F.transform(examples, lambda e: F.concat(F.lit("Text: "), e["text"], F.lit("\nGrade: "), e["grade"].cast("string"))), "\n\n")
     return F.concat(F.lit(f"{rubric}\nScale {scale}.\n\n"), shots, F.lit("\n\nText: "), text, F.lit("\nGrade:"))
 
 
-__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "nearest", "nn_threshold", "text_neighbours", "tfidf", "tokens"]
+__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "nearest", "nn_threshold", "text_neighbours", "tfidf", "tokens", "whole_band_anchors"]

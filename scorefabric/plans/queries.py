@@ -417,6 +417,13 @@ def band_anchors(spark, d):
     return similarity.band_anchors(e, e, "vec_id", "y")
 
 
+@query()
+def band_anchors_whole(spark, d):
+    """As band_anchors, whose SQL stops at 64 candidates a band and has no folds, over whole bands of other folds."""
+    e = t(spark, d, "embeddings").select("vec_id", (1 + F.col("label") * 0.5).alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+    return similarity.whole_band_anchors(e, e, "vec_id", "y")
+
+
 @query()
 def linkage_groups(spark, d):
     return similarity.linked_groups(t(spark, d, "embeddings"), "vec_id", "embedding", [0.5, 0.4, 0.3])

@@ -96,3 +96,12 @@ def test_ridge_beyond_most_rows_equals_the_kernel_form(spark, monkeypatch):
     want = read()
     monkeypatch.setattr(models, "MOST_ROWS", 100)
     assert read() == {k: pytest.approx(p, rel=1e-6, abs=1e-8) for k, p in want.items()} and len(want) > 300
+
+
+def test_anchors_come_from_whole_bands_of_other_folds(spark, tmp_path):
+    d = save(spark, tmp_path, "embeddings", [(i, i % 9) for i in range(900)], "vec_id long, label int")
+    band = {2: 0, 3: 0, 4: 1, 5: 1, 6: 2, 7: 2, 8: 3}  # by label
+    got = Q.QUERIES["band_anchors_whole"](spark, d).collect()
+    assert sorted((x.vec_id, x.band) for x in got) == [(i, b) for i in range(900) for b in range(4)]
+    assert all(band[x.anchor % 9] == x.band and x.anchor % 5 != x.vec_id % 5 for x in got)
+    assert all(len({x.anchor for x in got if x.band == b}) > 64 for b in range(4))
