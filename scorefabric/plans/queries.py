@@ -488,13 +488,13 @@ def nested_stack(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     s = _stackable(spark, d).withColumn("a", F.col("m1") * 0.8).withColumn("b", F.col("m1"))
-    return stats.bootstrap_summary(stats.bootstrap(s, "g", "y", ["a", "b"], 200))
+    return stats.bootstrap_summary(stats.bootstrap(s, "g", "y", ["a", "b"], 1000))
 
 
 @query()
 def bootstrap_paired(spark, d):
     s = _stackable(spark, d).withColumn("a", F.col("m1") * 0.8).withColumn("b", F.col("m1"))
-    return stats.paired(stats.bootstrap(s, "g", "y", ["a", "b"], 200), "a", "b")
+    return stats.paired(stats.bootstrap(s, "g", "y", ["a", "b"], 2000), "a", "b")
 
 
 @query("select count(*) duplicates from (select o_orderkey from orders group by 1 having count(*)>1)")
