@@ -33,12 +33,13 @@ SEGMENT, LEAST_WORDS = 16, 8
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 PASSES, RATE, START = 40, 0.1, 24.0
 _CACHE_WORDS = 500_000
-_WORD = re.compile(r"\w+")
+#: A run of more than 64 word characters is several words in a row.
+_WORD = re.compile(r"\w{1,64}")
 
 
 def subwords(word: str) -> list[int]:
     """Buckets of the n-grams of <word>, and of the word."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     out = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
     for n in GRAMS:
         out += [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(w) - n + 1)]

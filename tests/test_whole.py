@@ -118,3 +118,11 @@ def test_bootstraps_have_all_draws(spark, monkeypatch, name, draws):
     monkeypatch.setattr(Q, "t", lambda *_: spark.range(0).select(*[F.col("id").alias(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_partkey")]))
     Q.QUERIES[name](spark, "")
     assert seen == [draws]
+
+
+def test_toxicity_reads_runs_of_word_characters_whole():
+    from scorefabric.llm import toxicity
+
+    model = toxicity.fit(["you vile_scum_of_earth go"] * 20 + ["a kind and calm word"] * 20, [1] * 20 + [0] * 20)
+    clean, toxic = "kind_and_calm_" * 10, "kind_and_calm_" * 10 + "vile_scum_of_earth_" * 20
+    assert model.score(toxic) > model.score(clean) + 0.1
