@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
 
 
-#: Bytes of a string that counts as a repeated passage: 50 words are 260 bytes or more in these languages.
+#: Bytes of a string that counts as a repeated passage. 50 short words can be fewer bytes; such passages stay.
 PASSAGE = 240
 
 
