@@ -14,23 +14,35 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="scorefabric-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        at = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="scorefabric-"))
     return at
 
 
+_own: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     at = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, files = _files(spark, at)
+    files.deleteOnExit(path)
     return at
 
 
+def _files(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: Spark's own option that removes a write's shuffle files once it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost one stage at most."""
     spark = df.sparkSession
@@ -38,8 +50,35 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", partition_by: tup
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(at)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        at = getattr(df, "_written", None)
+        if at:
+            path, files = _files(df.sparkSession, at)
+            files.delete(path, True)
+
+
+#: Rows of a semi-join's list up to which it is broadcast: 16 bytes each.
+BROADCAST_ROWS = 1 << 20
+
+
+def semi_join(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is in wanted (written or otherwise cheap to read twice); broadcast only where wanted is counted small."""
+    wanted = wanted.select(column).distinct()
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(wanted) if small else wanted, column, "left_semi")
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -2,21 +2,25 @@
 
 A document's set holds its distinct word shingles. Each shingle flips one bit of a parity sketch, so two sketches
 differ in no more bits than the sets differ in shingles. Linked sets of s and t shingles differ in at most
-(s + t)(1 - J)/(1 + J) of them. Sets are put into bands of sizes, in which the sketch has more parts than that bound;
-by the pigeonhole, linked sets agree in a whole part, and parts are joined. A set goes into its own band and into the
-next, where it meets larger partners. Part by part the parity bits (2^32 a part) are kept as the XOR of a 64-bit code
-for each set bit: equal parts have equal codes. A part that no shingle falls into would bring unlike sets together, so
-a band has spare parts: linked sets agree in more parts than are spare, and a set gives keys of its empty parts only
-if it has more of them than that, which is rare.
-
-Equal sets are one class from the start. Classes that share a key are compared with one of them, set by set; after a
-few such rounds only pairs in one bucket whose components still differ are left. A bucket that keeps many components
-is split by sketching anew, until what is left is compared pair by pair. So large groups of near copies cost a
-comparison for each member, and no link that could join two components is lost.
+(s + t)(1 - J)/(1 + J) of them.
+
+1. Sets are put into bands of sizes, in which the sketch has more parts than that bound; by the pigeonhole, linked sets
+   agree in a whole part. A set goes into its own band and into the next, where it meets larger partners. Part by part
+   the parity bits (2^32 a part) are kept as the XOR of a 64-bit code for each set bit: equal parts have equal codes. A
+   part that no shingle falls into would bring unlike sets together, so a band has spare parts: linked sets agree in
+   more parts than are spare, and a set gives keys of its empty parts only if it has more of them than that.
+2. Keys travel as packed numbers, a row for each chunk of documents and range of keys; a key that many documents of a
+   chunk have travels twice, which says that it repeats. Each task sorts its range and keeps the keys that two sets have.
+   Equal sets are one class; buckets with the same members are one bucket.
+3. A short sketch of the whole set goes with each member of a bucket. Members are first compared with one of them, in
+   STARS rounds; what then still has different components is compared within its bucket, a block of members against
+   another at a time. Only pairs whose sketches are as close as the bound allows leave a task; their sets are fetched
+   and compared exactly. So a large group of near copies costs a comparison for each member, and no link between
+   different components is lost. Components are contracted by joins.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; repeated rows are copies; a null doc_id takes part, and a component whose
-doc_ids are all null has a null id; columns other than the key and the text are not read.
+doc_ids are all null has a null id; columns other than the key and the text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,55 +31,70 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefabric.llm.common import materialise, may_repeat, repeated_bits, table, tune
+from scorefabric.llm.common import materialise, parts_for, release, semi_join, table, tune
 from scorefabric.llm.components import components
 
-#: Rounds in which a bucket's members meet one member; components beyond which a bucket is split; rounds of splits.
-STARS, SPLIT_OVER, SPLITS = 2, 128, 4
+#: Rounds in which a bucket's members meet one member; members of a bucket that one task compares with as many others.
+STARS, BLOCK = 2, 2048
+#: Keys and documents after which a task sends its packed keys; bytes of texts worked on at once.
+CHUNK_KEYS, CHUNK_DOCS, SLICE_BYTES = 1 << 20, 60_000, 4 << 20
 _WORDS_KEPT = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
+_U = np.uint64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
 _words: dict[bytes, int] = {}
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of the text, A-Z in lower case, words between ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
+def _word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_words) > _WORDS_KEPT:
         _words.clear()
     try:
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     except KeyError:
         for w in words:
             if w not in _words:
                 _words[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of the text, A-Z in lower case, words between ASCII white space."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = _word_hashes(words)
     m = min(n, len(h))
-    out = np.full(len(h) - m + 1, np.uint64(m))
+    out = np.full(len(h) - m + 1, _U(m))
     for k in range(m):
         out = _mix(out * _M + h[k : len(h) - m + 1 + k])
     return np.unique(out)
 
 
+def digest_of(shingles: np.ndarray) -> tuple[int, int]:
+    """The set's 128-bit digest, as two signed numbers."""
+    raw = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
 class Bands:
     """Bands of set sizes for links of 100 * intersection >= percent * union."""
 
     def __init__(self, percent: int):
         self.percent = percent
         self.ends = [0]  # the largest size of each band
+        self._parts: list[tuple[int, int]] = []
 
     def of(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -83,8 +102,8 @@ class Bands:
             self.ends.append(max(self.ends[-1] * 100 // self.percent, self.ends[-1] + 1))
         return int(np.searchsorted(self.ends, size))
 
-    def most(self, s: int, t: int) -> int:
-        """The most shingles in which linked sets of these sizes differ."""
+    def most(self, s, t):
+        """The most shingles in which linked sets of these sizes differ; numbers or arrays of them."""
         return (s + t) * (100 - self.percent) // (100 + self.percent)
 
     def parts(self, band: int) -> tuple[int, int]:
@@ -92,10 +111,17 @@ class Bands:
         empty parts than that, they agree in a part that is not empty."""
         while len(self.ends) <= band:
             self.of(self.ends[-1] + 1)
-        need = self.most(self.ends[band], self.ends[band]) + 1
-        least = self.ends[max(0, band - 2)] + 1  # the smallest set that meets this band
-        spare = math.ceil(2 * need * math.exp(-least / need / 1.15)) + 1
-        return need + spare, spare
+        while len(self._parts) <= band:
+            k = len(self._parts)
+            need = self.most(self.ends[k], self.ends[k]) + 1
+            least = self.ends[max(0, k - 2)] + 1  # the smallest set that meets this band
+            spare = math.ceil(2 * need * math.exp(-least / need / 1.15)) + 1
+            self._parts.append((need + spare, spare))
+        return self._parts[band]
+
+    def bits(self, size: int) -> int:
+        """Bits of a whole set's sketch: a power of two, some six times the bound."""
+        return max(256, 1 << (6 * self.most(size, size)).bit_length())
 
 
 @lru_cache(8)
@@ -103,35 +129,72 @@ def bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def sketch(shingles: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, shingles) of each part: the parity bits of a part, as the XOR of a code for each bit that is set."""
-    h = _mix(shingles ^ np.uint64((seed * 0xD6E8FEB86659FD93 + 1) & 0xFFFFFFFFFFFFFFFF))
-    part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    order = np.argsort(part, kind="stable")
-    part, bit = part[order].astype(np.int64), h[order] & np.uint64(0xFFFFFFFF)
-    count = np.bincount(part, minlength=parts)
-    code = np.zeros(parts, np.uint64)
-    if len(bit):
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        code[part[starts]] = np.bitwise_xor.reduceat(_mix((bit + np.uint64(1)) * _M), starts)
-    return code, count
-
-
-def keys(shingles: np.ndarray, percent: int, seed: int = 0, prefix: int = 0) -> np.ndarray:
-    """The keys of a set, in its band and in the next; sets that are linked share one."""
-    if not len(shingles):
-        return np.zeros(0, np.uint64)
+def keys_of(sets: list[np.ndarray], percent: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, set) of many sets, each in its band and in the next; sets that are linked share a key. Empty sets have none."""
     by = bands(percent)
-    k = by.of(len(shingles))
-    out = []
-    for band in (k, k + 1):
-        parts, spare = by.parts(band)
-        code, count = sketch(shingles, parts, seed)
-        start = _mix(np.array([band * 0x10001 + 7], np.uint64) ^ np.uint64(prefix))
-        said = _mix(code ^ _mix(np.arange(parts, dtype=np.uint64) * _M + start))
-        full = count > 0
-        out.append(said[full] if parts - np.count_nonzero(full) <= spare else said)
-    return np.unique(np.concatenate(out))
+    live = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+    if not len(live):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes = np.array([len(sets[i]) for i in live])
+    by.of(int(sizes.max()))
+    band = np.searchsorted(by.ends, sizes)
+    table_ = np.array([by.parts(k) for k in range(int(band.max()) + 2)], np.int64)
+    h = _mix(np.concatenate([sets[i] for i in live]) ^ _U((seed * 0xD6E8FEB86659FD93 + 1) & 0xFFFFFFFFFFFFFFFF))
+    top, code_of = h >> _U(32), _mix(((h & _U(0xFFFFFFFF)) + _U(1)) * _M)
+    out, owner = [], []
+    for up in (0, 1):
+        parts, spare = table_[band + up].T
+        base = np.cumsum(parts) - parts
+        part = ((top * np.repeat(parts, sizes).astype(np.uint64)) >> _U(32)).astype(np.int64) + np.repeat(base, sizes)
+        order = np.argsort(part)
+        at = part[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        total = int(parts.sum())
+        code, full = np.zeros(total, np.uint64), np.zeros(total, bool)
+        code[at[first]] = np.bitwise_xor.reduceat(code_of[order], first)
+        full[at[first]] = True
+        doc = np.repeat(np.arange(len(live)), parts)
+        start = _mix((band + up).astype(np.uint64) * _U(0x10001) + _U(7))
+        within = (np.arange(total) - base[doc]).astype(np.uint64)
+        said = _mix(code ^ _mix(within * _M + start[doc]))
+        empty = parts - np.add.reduceat(full.astype(np.int64), base)
+        sent = full | (empty > spare)[doc]
+        out.append(said[sent])
+        owner.append(live[doc[sent]])
+    return np.concatenate(out), np.concatenate(owner)
+
+
+def sketches(sets: list[np.ndarray], percent: int) -> list[bytes]:
+    """The parity sketch of each whole set; sketches of twice the bits fold to one another by XOR of their halves."""
+    by = bands(percent)
+    bits = np.array([by.bits(len(s)) for s in sets], np.int64)
+    base = np.cumsum(bits) - bits
+    sizes = [len(s) for s in sets]
+    h = _mix(np.concatenate([*sets, np.zeros(0, np.uint64)]) * _M + _U(11))
+    at = (h & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(base, sizes)
+    flips = np.bincount(at, minlength=int(bits.sum())) & 1
+    raw = np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[b // 8 : (b + n) // 8] for b, n in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def folded(sketch: bytes, to: int) -> np.ndarray:
+    """A sketch as 64-bit words, folded to `to` bytes."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > to:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def near(n_a, sketch_a, n_b, sketch_b, percent: int) -> np.ndarray:
+    """For pairs given as columns: whether sizes and sketches allow a link."""
+    n_a, n_b = np.asarray(n_a, np.int64), np.asarray(n_b, np.int64)
+    ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    most = bands(percent).most(n_a, n_b)
+    for i in np.flatnonzero(ok):
+        p, q = sketch_a[i], sketch_b[i]
+        to = min(len(p), len(q))
+        ok[i] = np.bitwise_count(folded(p, to) ^ folded(q, to)).sum() <= most[i]
+    return ok
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -146,123 +209,289 @@ def _set(raw) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-# ---- tables ----
-
-
-def _classes(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """(key, n, digest, keys) of every row."""
+# ---- one pass over the texts: sets, sketches and the keys that repeat ----
+
+_DOC = np.dtype([("doc", "<i8"), ("null", "u1"), ("n", "<i4"), ("rep", "<i8")])
+_SCANNED = "kind int, doc long, n long, rep long, d0 long, d1 long, th long, sketch binary, key long"
+_ROW, _REP, _KEY = 0, 1, 2
+
+
+def _blank(kind: int, size: int, **columns) -> pd.DataFrame:
+    """Rows of _SCANNED; columns that are not given are null."""
+    out = pd.DataFrame({"kind": np.full(size, kind, np.int32)})
+    for name in ("doc", "n", "rep", "d0", "d1", "th", "sketch", "key"):
+        none = None if name == "sketch" else pd.arrays.IntegerArray(np.zeros(size, np.int64), np.ones(size, bool))
+        out[name] = columns.get(name, none)
+    return out
+
+
+class _Chunk:
+    """The documents of a task since its last packed rows. Equal sets of a chunk share its first document's number."""
+
+    def __init__(self, words: int, percent: int, parts: int, base: int):
+        self.words, self.percent, self.parts, self.base = words, percent, parts, base
+        self.docs: list[tuple] = []
+        self.of: dict[tuple[int, int], int] = {}
+        self.reps: list[tuple] = []
+        self.keys: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.n_keys = 0
+
+    def add(self, doc_ids, texts, hashes) -> None:
+        fresh, numbers = [], []
+        for i, x, th in zip(doc_ids, texts, hashes, strict=True):
+            s = shingle_set(x, self.words)
+            null = pd.isna(i)
+            if not len(s):
+                self.docs.append((0 if null else i, null, 0, -1))
+                continue
+            d = digest_of(s)
+            k = self.of.get(d)
+            if k is None:
+                k = self.of[d] = len(self.reps)
+                self.reps.append((len(s), *d, int(th)))
+                fresh.append(s)
+                numbers.append(k)
+            self.docs.append((0 if null else i, null, len(s), self.base + k))
+        if fresh:
+            for k, sk in zip(numbers, sketches(fresh, self.percent), strict=True):
+                self.reps[k] = (*self.reps[k], sk)
+            keys, owner = keys_of(fresh, self.percent)
+            self.keys.append(keys)
+            self.owners.append(np.array(numbers, np.int64)[owner])
+            self.n_keys += len(keys)
+
+    def full(self) -> bool:
+        return self.n_keys >= CHUNK_KEYS or len(self.docs) >= CHUNK_DOCS
+
+    def packed(self) -> list[tuple]:
+        """(part, kind, base, payload): keys go to the part that their top bits name; documents and sets to any."""
+        out: list[tuple] = []
+        if self.docs:
+            out.append((_ROW, np.array(self.docs, _DOC).tobytes(), None))
+        if self.reps:
+            heads = np.array([r[:4] for r in self.reps], np.int64)
+            out.append((_REP, heads.tobytes(), [r[4] for r in self.reps]))
+        spread = self.base % self.parts
+        rows = [((spread + k) % self.parts, kind, self.base, [raw, *(more or [])]) for k, (kind, raw, more) in enumerate(out)]
+        if self.keys:
+            keys, owner = np.concatenate(self.keys), np.concatenate(self.owners)
+            order = np.argsort(keys)
+            keys, owner = keys[order], owner[order]
+            rank = np.arange(len(keys)) - np.maximum.accumulate(np.where(np.diff(keys, prepend=keys[0] + _U(1)) != 0, np.arange(len(keys)), 0))
+            # the third and further sets of a key need not travel: two have said that it repeats
+            more = rank >= 2
+            if more.any():
+                rows.append(((spread + 2) % self.parts, 3, self.base, [keys[more].tobytes(), owner[more].astype("<u2").tobytes()]))
+                keys, owner = keys[~more], owner[~more]
+            part = ((keys >> _U(32)) * _U(self.parts) >> _U(32)).astype(np.int64)
+            ends = np.searchsorted(part, np.arange(self.parts + 1))
+            for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                if b > a:
+                    rows.append((p, _KEY, self.base, [keys[a:b].tobytes(), owner[a:b].astype("<u2").tobytes()]))
+        return rows
+
+
+def _scan(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """_SCANNED rows: documents (doc, n, rep), sets (rep, n, digest, text hash, sketch), and (key, rep) of the keys that two sets have.
+
+    rep numbers the first document of a chunk that has the set; sets of different chunks may be equal yet.
+    """
+    parts = parts_for(docs, text)
 
-    def each(batches):
+    def pack(batches):
+        pid, start = TaskContext.get().partitionId(), 0
+        chunk = _Chunk(words, percent, parts, pid << 33)
         for b in batches:
-            rows = []
-            for i, x in zip(b[key], b[text], strict=True):
-                s = shingle_set(x, words)
-                rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, keys(s, percent).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc", "n", "digest", "keys"]).astype({"doc": "Int64"})
+            ids, texts, hashes = b["doc"].tolist(), b["text"].tolist(), b["th"].tolist()
+            at = 0
+            while at < len(ids):
+                stop, size = at, 0
+                while stop < len(ids) and (stop == at or size < SLICE_BYTES):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                chunk.add(ids[at:stop], texts[at:stop], hashes[at:stop])
+                at = stop
+                if chunk.full():
+                    yield pd.DataFrame(chunk.packed(), columns=["part", "kind", "base", "held"])
+                    start += len(chunk.reps)
+                    chunk = _Chunk(words, percent, parts, (pid << 33) + start)
+        yield pd.DataFrame(chunk.packed(), columns=["part", "kind", "base", "held"])
+
+    def unpack(batches):
+        keys, owners = [], []
+        for b in batches:
+            for kind, base, held in zip(b["kind"], b["base"], b["held"], strict=True):
+                if kind == _ROW:
+                    d = np.frombuffer(held[0], _DOC)
+                    doc = pd.array(d["doc"], "Int64")
+                    doc[d["null"] > 0] = pd.NA
+                    rep = pd.array(d["rep"], "Int64")
+                    rep[d["rep"] < 0] = pd.NA
+                    yield _blank(_ROW, len(d), doc=doc, n=d["n"].astype(np.int64), rep=rep)
+                elif kind == _REP:
+                    r = np.frombuffer(held[0], np.int64).reshape(-1, 4)
+                    yield _blank(_REP, len(r), n=r[:, 0], rep=base + np.arange(len(r)), d0=r[:, 1], d1=r[:, 2], th=r[:, 3], sketch=[bytes(x) for x in held[1:]])
+                else:
+                    k, o = np.frombuffer(held[0], np.uint64), np.frombuffer(held[1], "<u2").astype(np.int64) + base
+                    if kind == _KEY:
+                        keys.append(k)
+                        owners.append(o)
+                    else:
+                        yield _blank(_KEY, len(k), rep=o, key=k.view(np.int64))
+        if keys:
+            k, o = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(k)
+            k = k[order]
+            same = k[1:] == k[:-1]
+            twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            for i in range(0, int(twice.sum()), 100_000):
+                at = np.flatnonzero(twice)[i : i + 100_000]
+                yield _blank(_KEY, len(at), rep=o[order[at]], key=k[at].view(np.int64))
+
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    packed = rows.mapInPandas(pack, "part int, kind int, base long, held array<binary>")
+    return packed.repartitionById(parts, "part").mapInPandas(unpack, _SCANNED)
+
+
+def _buckets(entries: DataFrame, moved: DataFrame) -> DataFrame:
+    """(key, class) of the keys that two classes share; of buckets with equal members one."""
+    named = entries.join(moved, "rep", "left").select("key", F.coalesce("class", "rep").alias("class")).distinct()
+    rows = materialise(named, "entries")
+    by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("m > 1")
+    return rows.join(by.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+# ---- pairs ----
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows (key, class, n, sketch) with the root of each class, in the buckets that still have two."""
+    if roots is None:
+        return rows.withColumn("root", F.col("class"))
+    rows = rows.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return rows.join(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "key")
+
+
+def _star_pairs(rows: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b) of each member and one member b of its bucket, where they may be linked."""
+    one = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "class", "root")).alias("one"))
+    star = one.select("key", F.col("one.class").alias("b"), F.col("one.root").alias("rb"))
+    pairs = rows.select("key", F.col("class").alias("a"), "root").join(star, "key").where("root <> rb").select("a", "b").distinct()
+
+    def close(batches):
+        for b in batches:
+            yield b.loc[near(b["na"], b["sa"].tolist(), b["nb"], b["sb"].tolist(), percent), ["a", "b"]]
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(each, "doc long, n long, digest binary, keys array<long>")
+    first = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    return first.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").mapInPandas(close, "a long, b long")
 
 
-def _buckets(base: DataFrame) -> DataFrame:
-    """(key, digest) of the keys that two classes share: first by a bit map of fixed size, then exactly."""
-    bits = repeated_bits(base.select(F.explode("keys").alias("k")), "k")
+def _close_in_group(group: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Pairs of different roots that may be linked, of members (class, root, n, sketch, side): of one block, or of two sides."""
+    two = len({g[4] for g in group}) > 1
+    group.sort(key=lambda g: (g[4], g[2]))
+    cls, root = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+    n, side = np.array([g[2] for g in group], np.int64), np.array([g[4] for g in group])
+    to = min(len(g[3]) for g in group)
+    s = np.stack([folded(g[3], to) for g in group])
+    low = int(np.searchsorted(side, side[0], side="right")) if two else 0  # the second side starts here
+    by = bands(percent)
+    out = []
+    for i in range(low if two else len(group)):
+        j0 = low if two else i + 1
+        # sizes ascend within a side, so partners are a run
+        j1 = int(np.searchsorted(n[j0:], n[i] * 100 // percent, side="right")) + j0
+        if two:
+            j0 += int(np.searchsorted(n[j0:], -(-n[i] * percent // 100)))
+        if j1 <= j0:
+            continue
+        ham = np.bitwise_count(s[j0:j1] ^ s[i]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero((ham <= by.most(n[j0:j1], n[i])) & (root[j0:j1] != root[i])) + j0
+        out += [(int(cls[i]), int(x)) for x in cls[hit]]
+    return out
+
+
+def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of a bucket that have different roots and may be linked, a block of members with a block at a time."""
+    many = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(many, "key").withColumn("own", F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "root", "n", "sketch")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def each(batches):
-        repeats = np.frombuffer(bits, "<u4")
+        last, group = None, []
         for b in batches:
-            kept = [k[may_repeat(repeats, k.view(np.uint64))] for k in map(np.ascontiguousarray, b["keys"])]
-            n = [len(k) for k in kept]
-            yield pd.DataFrame({"key": np.concatenate(kept) if kept else [], "digest": np.repeat(b["digest"].to_numpy(), n)})
+            out: list[tuple[int, int]] = []
+            for key, p, q, own, c, r, n, s in zip(*(b[x].tolist() for x in ("key", "p", "q", "own", "class", "root", "n", "sketch")), strict=True):
+                if (key, p, q) != last and group:
+                    out += _close_in_group(group, percent)
+                    group = []
+                last = key, p, q
+                group.append((c, r, n, s, own))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        if group:
+            yield pd.DataFrame(_close_in_group(group, percent), columns=["a", "b"], dtype=np.int64)
 
-    rows = base.where("digest is not null").select("digest", "keys").mapInPandas(each, "key long, digest binary").distinct()
-    two = rows.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("key")
-    return rows.join(two, "key")
+    return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(each, "a long, b long")
 
 
-def _members(docs: DataFrame, buckets: DataFrame, words: int, text: str) -> DataFrame:
-    """(digest, shingles) of the classes in buckets; texts of other classes don't leave their scan, but for false positives."""
-    low = buckets.select("digest").distinct().mapInPandas(lambda it: (pd.DataFrame({"h": [_low(bytes(d)) for d in b["digest"]]}, dtype="int64") for b in it), "h long")
-    bits = repeated_bits(low, "h", least=1)
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str) -> DataFrame:
+    """(class, shingles) of the wanted classes (class, d0, d1, th): only their texts leave the scan."""
 
     def each(batches):
-        wanted = np.frombuffer(bits, "<u4")
+        seen = set()
         for b in batches:
-            held = {}
-            for x in b[text]:
+            rows = []
+            for x in b["text"]:
                 s = shingle_set(x, words)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                if len(s) and d not in held and may_repeat(wanted, np.array([_low(d)]).view(np.uint64))[0]:
-                    held[d] = s.tobytes()
-            yield pd.DataFrame({"digest": list(held), "shingles": list(held.values())}, columns=["digest", "shingles"])
-
-    return docs.select(text).mapInPandas(each, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-
+                d = digest_of(s)
+                if d not in seen:
+                    seen.add(d)
+                    rows.append((*d, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["d0", "d1", "shingles"])
 
-def _low(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+    texts = semi_join(docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("th")), wanted.select("th"), "th").select("text")
+    held = texts.mapInPandas(each, "d0 long, d1 long, shingles binary")
+    return held.join(wanted.select("class", "d0", "d1"), ["d0", "d1"]).groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests that are linked."""
-    sets = members.select("digest", "shingles")
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, text: str) -> DataFrame:
+    """The pairs (a, b) that are linked, written."""
+    pairs = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = materialise(reps.join(ids, "rep").select(F.col("rep").alias("class"), "d0", "d1", "th"), "wanted")
+    sets = materialise(_sets(docs, wanted, words, text), "sets", codec="uncompressed")
 
     def each(batches):
         for b in batches:
             ok = [linked(_set(p), _set(q), percent) for p, q in zip(b["sa"], b["sb"], strict=True)]
             yield b.loc[ok, ["a", "b"]]
 
-    one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
-    return one.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b").mapInPandas(each, "a binary, b binary")
-
-
-def _mixed(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, digest, root) of the rows whose bucket still has two components."""
-    if roots is not None:
-        rows = rows.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    else:
-        rows = rows.withColumn("root", F.col("digest"))
-    two = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return rows.join(two, "key")
+    one = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
+    links = materialise(one.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b").mapInPandas(each, "a long, b long"), "links")
+    release(pairs, wanted, sets)
+    return links
 
 
-def links_between(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that have a link; rows are their buckets (key, digest)."""
+def links_between(buckets: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame | None:
+    """(node, root) of the classes that have a link; buckets are (key, class)."""
+    rows = materialise(buckets.join(reps.select(F.col("rep").alias("class"), "n", "sketch"), "class"), "members")
     found: DataFrame | None = None
     roots: DataFrame | None = None
-    for k in range(STARS):
-        rows = materialise(_mixed(rows.select("key", "digest"), roots), "buckets")
-        if rows.isEmpty():
-            return roots
-        first = F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "digest", "root")
-        star = rows.groupBy("key").agg(F.min(first).alias("one")).select("key", F.col("one.digest").alias("b"), F.col("one.root").alias("rb"))
-        pairs = rows.join(star, "key").where("root <> rb").select(F.col("digest").alias("a"), "b").distinct()
-        new = materialise(_verified(pairs, members, percent), "links")
+    for k in range(STARS + 1):
+        mixed = materialise(_rooted(rows, roots), "mixed") if roots is not None else _rooted(rows, None)
+        if mixed.isEmpty():
+            break
+        pairs = _star_pairs(mixed, reps, percent, k) if k < STARS else _bucket_pairs(mixed, percent)
+        new = _verified(pairs, docs, reps, words, percent, text)
         found = new if found is None else found.union(new)
+        if roots is not None:
+            release(roots, mixed)
         roots = components(found)
-    # what is left: buckets of classes that are not all alike
-    for k in range(1, SPLITS + 1):
-        rows = materialise(_mixed(rows.select("key", "digest"), roots), "buckets")
-        size = rows.select("key", "root").distinct().groupBy("key").count()
-        large = materialise(size.where(F.col("count") > SPLIT_OVER).select("key"), "large")
-        small = rows if k == SPLITS else rows.join(large, "key", "left_anti")
-        x, y = small.select("key", F.col("digest").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("digest").alias("b"), F.col("root").alias("rb"))
-        pairs = x.join(y, "key").where("ra < rb").select("a", "b").distinct()
-        found = found.union(materialise(_verified(pairs, members, percent), "links"))
-        if large.isEmpty() or k == SPLITS:
-            break
-        rows = _split(rows.join(large, "key").select("key", "digest"), members, percent, k)
-    return components(found)
-
-
-def _split(rows: DataFrame, members: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Buckets (key, digest) dealt anew by sketches with another hash: linked classes of a bucket meet again."""
-
-    def each(batches):
-        for b in batches:
-            new = [keys(_set(s), percent, seed, int(k) & 0xFFFFFFFFFFFFFFFF).view(np.int64) for k, s in zip(b["key"], b["shingles"], strict=True)]
-            yield pd.DataFrame({"key": np.concatenate(new) if new else [], "digest": np.repeat(b["digest"].to_numpy(), [len(x) for x in new])})
-
-    return materialise(rows.join(members.select("digest", "shingles"), "digest").mapInPandas(each, "key long, digest binary"), "split")
+    release(rows)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,17 +500,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     Links hold where 100 * intersection >= percent * union.
     """
     tune(docs.sparkSession)
-    base = materialise(_classes(docs, words, percent, key, text), "classes", codec="uncompressed")
-    buckets = materialise(_buckets(base), "buckets")
-    members = materialise(_members(docs, buckets, words, text), "members", codec="uncompressed")
-    roots = links_between(buckets, members, percent)
-    # per class, then per component: both combine before their shuffles
-    least = base.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("component"))
+    scanned = materialise(_scan(docs, words, percent, key, text), "scanned", partition_by=("kind",))
+    rows = scanned.where(F.col("kind") == _ROW).select("doc", "n", "rep")
+    reps = scanned.where(F.col("kind") == _REP).select("rep", "n", "d0", "d1", "th", "sketch")
+    same = reps.groupBy("d0", "d1").agg(F.min("rep").alias("class"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    moved = materialise(reps.select("rep", "d0", "d1").join(same, ["d0", "d1"]).where("rep <> class").select("rep", "class"), "moved")
+    buckets = _buckets(scanned.where(F.col("kind") == _KEY).select("key", "rep"), moved)
+    roots = links_between(buckets, reps, docs, words, percent, text)
+    # per set, then per component: all combine before their shuffles
+    least = rows.where("rep is not null").groupBy("rep").agg(F.min("doc").alias("component"))
+    least = least.join(moved, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     if roots is not None:
-        least = materialise(least.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "least")
-        least = least.select("digest", "root").join(least.groupBy("root").agg(F.min("component").alias("component")), "root").select("digest", "component")
-    named = base.select("doc", "n", "digest").join(least, "digest", "left")
-    return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+        least = least.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class"))
+    least = materialise(least.select("rep", "class", "component"), "least")
+    named = least.select("rep", "class").join(least.groupBy("class").agg(F.min("component").alias("component")), "class").select("rep", "component")
+    return rows.join(named, "rep", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the near copies of rows that stay: of each component one row of the least key, null keys last.
+
+    Rows are told apart by numbers of their own, so equal or null keys lose no other text. Rows of empty texts all stay.
+    """
+    rows = materialise(docs.withColumn("_row_number", F.monotonically_increasing_id()), "rows")
+    found = materialise(near_duplicates(rows, words, percent, "_row_number", text), "found")
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component_id")
+    held = found.join(many, "component_id").join(rows.select("_row_number", F.col(key).alias("_key")), "_row_number")
+    stays = held.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull().alias("null"), F.col("_key"), F.col("_row_number"))).alias("one")).select("one._row_number")
+    drop = held.select("_row_number").join(stays, "_row_number", "left_anti")
+    return rows.join(drop, "_row_number", "left_anti").select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,25 +347,67 @@ def test_jaccard(docs_of, rows, words, percent):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == linked_components(rows, words, percent)
 
 
-def test_buckets_that_are_split_lose_no_link(docs_of, monkeypatch):
-    monkeypatch.setattr(jaccard, "SPLIT_OVER", 1)
-    monkeypatch.setattr(jaccard, "STARS", 1)
-    rows = corpus(12, 60)
+def family(seed, n=60):
+    """A base text and copies with a few changes of their own, so that many are near and few are linked."""
+    r = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(160)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in r.choice(160, int(r.integers(0, 9)), replace=False):
+            own[k] = f"o{i}_{k}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize(("stars", "block"), [(0, 7), (1, 1), (2, 2048)])
+def test_families_of_near_texts_lose_no_link(docs_of, monkeypatch, stars, block):
+    monkeypatch.setattr(jaccard, "STARS", stars)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = [*family(12), *[(1000 + i, t) for i, t in corpus(12, 40)]]
     got = jaccard.near_duplicates(docs_of(rows), 3, 90).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == linked_components(rows, 3, 90)
 
 
+def test_a_key_of_many_sets_of_a_chunk_is_kept_whole():
+    rows = family(13, 40)
+    c = jaccard._Chunk(3, 90, 4, 0)
+    c.add([i for i, _ in rows], [t for _, t in rows], [0] * len(rows))
+    sent = Counter()
+    for part, kind, base, held in c.packed():
+        assert 0 <= part < 4 and base == 0
+        if kind >= 2:
+            for k, o in zip(np.frombuffer(held[0], np.uint64).tolist(), np.frombuffer(held[1], "<u2").tolist(), strict=True):
+                sent[k, o] += 1
+    want = Counter()
+    for i, t in enumerate(dict.fromkeys(t for _, t in rows)):  # equal texts are one set
+        want.update((k, i) for k in jaccard.keys_of([jaccard.shingle_set(t, 3)], 90)[0].tolist())
+    assert sent == want and max(Counter(k for k, _ in want).values()) > 2
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([80, 90]), st.integers(1, 150))
-def test_linked_sets_share_a_key(seed, percent, n):
+def test_linked_sets_share_a_key_and_have_near_sketches(seed, percent, n):
     r = np.random.default_rng(seed)
     a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
     b = a.copy()
     for _ in range(int(r.integers(0, 2 + n // 10))):
         b = np.unique(np.append(np.delete(b, r.integers(0, len(b))) if len(b) > 1 and r.random() < 0.5 else b, r.integers(0, 1 << 63, 1).astype(np.uint64)))
+    sa, sb = jaccard.sketches([a, b], percent)
+    to = min(len(sa), len(sb))
+    assert np.bitwise_count(jaccard.folded(sa, to) ^ jaccard.folded(sb, to)).sum() <= len(np.setxor1d(a, b))
     if jaccard.linked(a, b, percent):
+        assert jaccard.near([len(a)], [sa], [len(b)], [sb], percent)[0]
         for seed_ in (0, 1):
-            assert np.intersect1d(jaccard.keys(a, percent, seed_), jaccard.keys(b, percent, seed_)).size
+            keys, owner = jaccard.keys_of([a, np.zeros(0, np.uint64), b], percent, seed_)
+            assert np.intersect1d(keys[owner == 0], keys[owner == 2]).size
+
+
+@pytest.mark.parametrize("rows", [[], [(3, "x y z w v"), (9, "x y z w v"), (9, "y z"), (5, "z z z"), (5, "z z z"), (None, "y z"), (None, None), (None, None), (4, "")]])
+def test_keep_one_row_of_each_component(docs_of, rows):
+    got = sorted(map(str, ((r.doc_id, r.text) for r in jaccard.keep_one(docs_of(rows), 5, 80).collect())))
+    want = [(3, "x y z w v"), (9, "y z"), (5, "z z z"), (None, None), (None, None), (4, "")] if rows else []
+    assert got == sorted(map(str, want))
 
 
 def test_components(spark):
