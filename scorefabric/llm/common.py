@@ -96,38 +96,39 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def parts_for(df: DataFrame, column: str = "text", target: int = 16 << 20) -> int:
-    """Partitions such that each holds about `target` bytes of the column, and as many as the session's shuffles have at least."""
+def parts_for(df: DataFrame, column: str = "text", target: int = 16 << 20, least: int | None = None) -> int:
+    """Partitions such that each holds about `target` bytes of the column; at least `least`, or as many as the session's shuffles have."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(math.ceil(total / target), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return max(math.ceil(total / target), least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-#: Bits of the filter that tells which digests may repeat: 2^23 bits are 1 MB, whatever the size of the input.
-FILTER_BITS = 23
+#: The bit map of digests that may repeat has some 16 bits for each, 2^16 to 2^27 (16 MB) in all. Beyond some ten million
+#: repeats it lets more and more others through; they cost time, and results stay the same.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
 
 
 def repeated_bits(digests: DataFrame, column: str, least: int = 2) -> bytes:
-    """A bit map of fixed size with the digests that occur `least` times or more (false positives are possible, misses are not).
+    """A bit map with the digests that occur `least` times or more (false positives are possible, misses are not).
 
-    The digest column holds longs. Counting is distributed with partial sums; 2^FILTER_BITS / 32 rows reach the driver at most.
+    The digest column holds longs. Counting is distributed with partial sums; the digests that repeat are written, and the
+    map is as large as their number asks for, up to a bound: 2^MOST_BITS / 32 rows reach the driver at most.
     """
     import numpy as np
 
-    bit = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = (
-        digests.groupBy(column).count().where(F.col("count") >= least)
-        .groupBy(F.shiftright(bit, 5).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
-    )
-    out = np.zeros(1 << (FILTER_BITS - 5), dtype="<u4")
+    found = materialise(digests.groupBy(column).count().where(F.col("count") >= least).select(column), "repeated")
+    size = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * found.count()).bit_length()))
+    bit = F.col(column).bitwiseAND(F.lit((1 << size) - 1))
+    words = found.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+    out = np.zeros(1 << (size - 5), dtype="<u4")
     for word, bits in words.toLocalIterator():
         out[word] = bits
+    release(found)
     return out.tobytes()
 
 
 def may_repeat(bits, values):
-    """For uint64 digests: whether the bit map has them."""
+    """For uint64 digests: whether the bit map, as 32-bit words, has them."""
     import numpy as np
 
-    low = values & np.uint64((1 << FILTER_BITS) - 1)
+    low = values & np.uint64(32 * len(bits) - 1)
     return (bits[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
