@@ -1,9 +1,10 @@
 """Document fingerprints: an exact digest of the canonical text.
 
 The canonical text is NFKC, case-folded, NFKC again, with every run of white space one space and none at the ends. Its
-128-bit xxh3 hash in hex is the fingerprint. Texts whose hashes are equal are compared byte for byte: where a bucket
-holds different canonical texts, each but the first in byte order gets its rank there as a suffix, so equal
-fingerprints mean equal canonical texts.
+128-bit xxh3 hash in hex is the fingerprint. Texts whose hashes are equal are compared byte for byte, and edited texts,
+which no table holds, by the SHA-256 of their bytes, with each other and with the texts. Where a bucket holds different
+canonical texts, each but the first by that digest gets its rank there as a suffix, so equal fingerprints mean equal
+canonical texts.
 
 Defined results: a null text counts as empty; repeated rows each give their row; a null doc_id sorts below all others;
 an empty table gives an empty result; columns other than doc_id and text are not read.
@@ -47,7 +48,7 @@ def edited(text: str, following: str) -> str:
 
 
 def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(fingerprint0, canon, rank) of canonical texts that share a hash with a different one; rank 0 keeps the bare hash.
+    """(fingerprint0, canon_sha) of canonical texts that share a hash with a different one.
 
     A first pass counts 64 bits of each hash; only texts whose bits may repeat go on and are compared by their bytes
     within equal hashes. Equal texts combine before the shuffle, so a bucket with a third of all rows costs a row per task.
@@ -70,8 +71,15 @@ def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
 
     same = docs.select(text).mapInPandas(repeats, "fingerprint0 string, canon binary")
     # Equal bytes become one row in each task, so what meets under one hash is a row for each different text.
-    each = same.distinct()
-    return each.withColumn("rank", F.row_number().over(Window.partitionBy("fingerprint0").orderBy("canon")) - 1).where("rank > 0")
+    each = materialise(same.distinct(), "same")
+    two = each.groupBy("fingerprint0").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low <> high").select("fingerprint0")
+    return each.join(two, "fingerprint0").select("fingerprint0", F.unhex(F.sha2("canon", 256)).alias("canon_sha"))
+
+
+def collisions_by_digest(pairs: DataFrame) -> DataFrame:
+    """The distinct rows of pairs (fingerprint0, canon_sha; written or cheap to read twice) whose hash stands for two digests."""
+    two = pairs.groupBy("fingerprint0").agg(F.min("canon_sha").alias("low"), F.max("canon_sha").alias("high")).where("low <> high").select("fingerprint0")
+    return pairs.join(two, "fingerprint0", "left_semi").distinct()
 
 
 def _low(hexed: str) -> int:
@@ -95,7 +103,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def ranked(base: DataFrame, found: DataFrame, hash_col: str = "fingerprint0", sha_col: str = "canon_sha", out: str = "fingerprint") -> DataFrame:
     """Add the rank suffix; found is empty unless 128-bit hashes collide, which adaptive execution sees before it joins."""
-    marks = found.select(F.col("fingerprint0").alias("_h"), F.unhex(F.sha2("canon", 256)).alias("_s"), "rank")
+    rank = F.row_number().over(Window.partitionBy("fingerprint0").orderBy("canon_sha")) - 1
+    marks = found.select("fingerprint0", "canon_sha").distinct().withColumn("rank", rank).where("rank > 0").select(F.col("fingerprint0").alias("_h"), F.col("canon_sha").alias("_s"), "rank")
     return base.join(marks, (base[hash_col] == F.col("_h")) & (base[sha_col] == F.col("_s")), "left").withColumn(out, F.concat(F.col(hash_col), F.when(F.col("rank") > 0, F.concat(F.lit("-"), F.col("rank").cast("string"))).otherwise(F.lit("")))).drop("_h", "_s", "rank")
 
 
@@ -162,7 +171,9 @@ def successive(docs: DataFrame) -> DataFrame:
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = successive(docs)
-    found = materialise(collisions(docs), "collisions")  # a row only where 128-bit hashes of different texts are equal
+    pairs = base.select("fingerprint0", "canon_sha").union(base.select("e_fingerprint0", "e_canon_sha"))
+    # a row only where 128-bit hashes of different texts, edited ones among them, are equal
+    found = materialise(collisions(docs).union(collisions_by_digest(pairs)), "collisions")
     out = ranked(base, found)
     out = ranked(out.withColumnRenamed("fingerprint", "_f"), found, "e_fingerprint0", "e_canon_sha", "edited_fingerprint").withColumnRenamed("_f", "fingerprint")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
