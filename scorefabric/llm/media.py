@@ -3,12 +3,13 @@
 A payload of 8-bit samples is cut where a rolling gear hash of the last 32 bytes has CUT_BITS low zero bits, between LEAST
 and MOST bytes. The digest of a chunk names it. Chunks whose digest repeats in the corpus live once in a chunk store,
 where Spark joins bring them together; the other chunks live in the media row itself, so most bytes are written once
-and never shuffled. A media row is an ordered list of (digest, length, bytes or null). Reading joins the store's chunks
-back, puts them in order, checks every digest and the payload's own, and computes features of the samples.
+and never shuffled. A media row holds the ordered chunk list as bytes (magic, sample width, payload length, number of
+chunks, each chunk's digest and length) and the chunks, null where the store has them. Reading parses the stored list,
+joins the store's chunks back, puts them in order, checks every digest and the payload's own, and computes features of
+the samples.
 
-The stored form, to which media_bytes and media_sha256 refer, is the chunk list as bytes (magic, sample width, payload
-length, number of chunks, each chunk's digest and length) followed by the chunks in order. It depends on the payload
-alone.
+The stored form, to which media_bytes and media_sha256 refer, is what is read back: the stored chunk list followed by the
+stored chunks in its order. It depends on the payload alone.
 
 Defined results: a null payload is empty; repeated rows each have a media row; a null doc_id keeps its row; an empty
 table gives no rows; columns other than the key and the text are not read.
@@ -70,6 +71,17 @@ def chunk_list(parts: list[tuple[bytes, int]]) -> bytes:
     return MAGIC + struct.pack("<BQI", 1, sum(n for _, n in parts), len(parts)) + b"".join(d + struct.pack("<I", n) for d, n in parts)
 
 
+def parse_list(raw: bytes) -> list[tuple[bytes, int]]:
+    """(digest, length) of the chunks of a stored list."""
+    if raw[:4] != MAGIC:
+        raise ValueError("not a chunk list")
+    width, total, n = struct.unpack_from("<BQI", raw, 4)
+    parts = [(d, size) for d, size in struct.iter_unpack("<16sI", raw[4 + struct.calcsize("<BQI") :])]
+    if width != 1 or len(parts) != n or sum(size for _, size in parts) != total:
+        raise ValueError("a chunk list differs from its head")
+    return parts
+
+
 def text_payload(text: str | None) -> bytes:
     """The text's UTF-8 bytes, with bytes 255 to a positive multiple of PAD_TO."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -91,11 +103,11 @@ def _low(digest: bytes) -> int:
     return struct.unpack("<q", digest[:8])[0]
 
 
-_MEDIA = "doc long, n_bytes long, payload_sha256 string, parts array<struct<digest:binary,length:int,data:binary>>"
+_MEDIA = "doc long, n_bytes long, payload_sha256 string, listed binary, held array<binary>"
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Written (media rows, shared chunks): media (row, doc, n_bytes, payload_sha256, parts), chunks (digest, data)."""
+    """Written (media rows, shared chunks): media (row, doc, n_bytes, payload_sha256, listed, held), chunks (digest, data)."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
@@ -115,9 +127,9 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
             for doc, x in zip(b["doc"], b["text"], strict=True):
                 payload = text_payload(x)
                 cut = chunks(payload)
-                parts = [{"digest": d, "length": len(c), "data": None if s else c} for (d, c), s in zip(cut, shared_of(cut, words), strict=True)]
-                out.append((doc, len((x or "").encode("utf-8", "surrogatepass")), hashlib.sha256(payload).hexdigest(), parts))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "payload_sha256", "parts"]).astype({"doc": "Int64"})
+                held = [None if s else c for (_, c), s in zip(cut, shared_of(cut, words), strict=True)]
+                out.append((doc, len((x or "").encode("utf-8", "surrogatepass")), hashlib.sha256(payload).hexdigest(), chunk_list([(d, len(c)) for d, c in cut]), held))
+            yield pd.DataFrame(out, columns=["doc", "n_bytes", "payload_sha256", "listed", "held"]).astype({"doc": "Int64"})
 
     def shared(batches):
         words = np.frombuffer(bits, "<u4")
@@ -139,36 +151,44 @@ _OUT = "doc long, n_bytes long, payload_bytes long, payload_sha256 string, tail_
 def load(written: DataFrame, pool: DataFrame, key: str = "doc_id", with_payload: bool = False) -> DataFrame:
     """Read media back: payloads put together from chunks, verified, with their features."""
 
+    columns = ["doc", "n_bytes", "payload_sha256", "listed", "held"]
+
     def put_together(batches):
         for b in batches:
             out = []
-            for doc, n_bytes, sha, parts in zip(b["doc"], b["n_bytes"], b["payload_sha256"], b["parts"], strict=True):
-                pieces = []
-                for p in parts:
-                    data = bytes(p["data"]) if p["data"] is not None else None
-                    if data is None or xxhash.xxh3_128_digest(data) != bytes(p["digest"]):
+            for doc, n_bytes, sha, listed, held in zip(*(b[c] for c in columns), strict=True):
+                listed, pieces = bytes(listed), []
+                for (digest, _), data in zip(parse_list(listed), held, strict=True):
+                    data = bytes(data) if data is not None else None
+                    if data is None or xxhash.xxh3_128_digest(data) != digest:
                         raise ValueError(f"a chunk of media {doc} is missing or differs from its digest")
                     pieces.append(data)
                 payload = b"".join(pieces)
                 if hashlib.sha256(payload).hexdigest() != sha:
                     raise ValueError(f"media {doc} differs from its digest")
-                form = chunk_list([(bytes(p["digest"]), int(p["length"])) for p in parts]) + payload
-                out.append((doc, n_bytes, len(payload), sha, zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), features(payload), *((payload,) if with_payload else ())))
+                form = hashlib.sha256(listed)
+                form.update(payload)
+                out.append((doc, n_bytes, len(payload), sha, zlib.crc32(payload[-32:]), len(listed) + len(payload), form.hexdigest(), features(payload), *((payload,) if with_payload else ())))
             names = [x.split()[0] for x in _OUT.split(", ")] + ["payload"] * with_payload
             yield pd.DataFrame(out, columns=names).astype({"doc": "Int64"})
 
     schema = _OUT + ", payload binary" * with_payload
-    refers = F.exists("parts", lambda p: p["data"].isNull())
-    whole = written.where(~refers).select("doc", "n_bytes", "payload_sha256", "parts").mapInPandas(put_together, schema)
-    # only rows that refer to the store are taken apart and joined
-    apart = written.where(refers).select("row", "doc", "n_bytes", "payload_sha256", F.posexplode("parts").alias("pos", "p"))
-    lost = apart.where("p.data is null").select("row", "pos", F.col("p.digest").alias("digest"), F.col("p.length").alias("length"))
+    refers = F.exists("held", lambda x: x.isNull())
+    whole = written.where(~refers).select(*columns).mapInPandas(put_together, schema)
+
+    # rows that refer to the store say which chunks they lack; only those are joined
+    def lacks(batches):
+        for b in batches:
+            rows = [(row, pos, digest) for row, listed, gone in zip(b["row"], b["listed"], b["gone"], strict=True) for pos, (digest, _) in enumerate(parse_list(bytes(listed))) if gone[pos]]
+            yield pd.DataFrame(rows, columns=["row", "pos", "digest"])
+
+    lost = written.where(refers).select("row", "listed", F.transform("held", lambda x: x.isNull()).alias("gone")).mapInPandas(lacks, "row long, pos int, digest binary")
     got = lost.join(pool, "digest", "left").groupBy("row").agg(F.collect_list(F.struct("pos", "data")).alias("got"))
     filled = (
         written.where(refers).join(got, "row")
         .withColumn("found", F.map_from_entries("got"))
-        .withColumn("parts", F.transform("parts", lambda p, i: F.struct(p["digest"].alias("digest"), p["length"].alias("length"), F.coalesce(p["data"], F.element_at("found", i)).alias("data"))))
-        .select("doc", "n_bytes", "payload_sha256", "parts").mapInPandas(put_together, schema)
+        .withColumn("held", F.transform("held", lambda x, i: F.coalesce(x, F.element_at("found", i))))
+        .select(*columns).mapInPandas(put_together, schema)
     )
     return whole.union(filled).withColumnRenamed("doc", key)
 
