@@ -73,7 +73,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """From the first SAMPLE_BYTES of records; too few records give their own bytes as a raw-content dictionary."""
+    """From the first SAMPLE_BYTES of records. An archive of fewer than 16 records, from which the trainer can't build one, has
+    the first bytes of its first record as a raw-content dictionary; it is read the same way."""
     sample, size = [], 0
     for r in records:
         sample.append(r[: 128 << 10])
@@ -121,9 +122,12 @@ def archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(archive, content): every row of pages is a record of one archive."""
     tune(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html")).withColumn("sha", F.sha1("html"))
-    # Only payloads that repeat are looked up; counts combine before the shuffle.
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").select("sha", "first_id")
-    linked = rows.join(firsts, "sha", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))).select("page_id", "url", "html", "refers_to")
+    # Only payloads that repeat are looked up, and without their bytes: counts combine before the shuffle.
+    thin = rows.select("page_id", "sha")
+    firsts = thin.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").select("sha", "first_id")
+    revisits = thin.join(firsts, "sha").where("page_id is null or page_id <> first_id").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first_id").alias("refers_to")).distinct()
+    # payloads are dealt by page, so those that many pages share don't meet in one task
+    linked = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches):
         held, size, k = [], 0, 0
@@ -164,7 +168,7 @@ def records(written: DataFrame) -> DataFrame:
                 if rows:
                     yield _records(rows)
 
-    return written.repartition(max(1, written.sparkSession.sparkContext.defaultParallelism), "archive").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return written.mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _records(rows) -> pd.DataFrame:
