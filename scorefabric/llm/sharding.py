@@ -6,10 +6,11 @@ search finds it, and the cuts are then made within it, each as near its even sha
 group larger than the even share does not leave the last shards empty.
 
 The greedy check needs, for a capacity, the last group end within reach of each cut. Group ends are summed up in cells of
-the byte line (count, least and greatest end); a cell with one end is exact, and the search refines only the cells it
-lands in, so the driver holds CELLS rows at a time whatever the number of groups. Running sums come from ranges of
-digests whose totals are added up. A row's shard follows from its digest and the cut digests without a join; its slot
-from its rank in one of SALTS parts of the shard.
+the byte line (least and greatest end, count) whose width is a power of two; a cell with two ends at most is exact, and
+the search refines together all cells that its checks land in, so the driver holds some CELLS rows at a time whatever
+the number of groups, and asks for them a few times. Running sums come from ranges of digests, as many as the groups
+need, whose totals are added up. A row's shard follows from its digest and the cut digests without a join; its slot from
+its rank in one of SALTS parts of the shard.
 
 Defined results: a null text has size 16 and forms a group of its own; repeated rows are members of their group; a null
 doc_id takes a slot as any other; fewer groups than shards leave shards empty; an empty table gives no rows; columns
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from scorefabric.llm.common import materialise, table
 
 SHARDS, OVERHEAD = 40, 16
-CELLS, SALTS, WINDOWS = 1 << 15, 1024, 64
+CELLS, SALTS = 1 << 15, 1024
+#: Groups that one range of digests holds, about.
+RANGE_GROUPS = 1 << 17
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,65 +41,90 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def group_ends(rows: DataFrame) -> DataFrame:
     """(digest, size, end): groups in digest order with the running sum of sizes; ranges are digest prefixes of even weight."""
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
-    held = materialise(groups.withColumn("range", F.coalesce(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(1 << 32)) % (1 << 33)).withColumn("range", F.shiftright("range", 22)), "groups")
-    # some 1,024 rows: the prefix has 10 bits
+    groups = materialise(rows.groupBy("digest").agg(F.sum("size").alias("size")), "groups")
+    bits = max(6, (groups.count() // RANGE_GROUPS).bit_length())
+    # a range is the first bits of the digest; the group of null texts, whose digest is no number, comes last
+    head = F.coalesce(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit((1 << 32) - 1))
+    held = groups.withColumn("range", F.shiftright(head, 32 - bits))
+    # a row for each range
     before = held.groupBy("range").agg(F.sum("size").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("range")) - F.col("total")).drop("total")
     inside = F.sum("size").over(Window.partitionBy("range").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
     return held.withColumn("inside", inside).join(before, "range").select("digest", "size", (F.col("before") + F.col("inside")).alias("end"))
 
 
 class Ends:
-    """The group ends on the byte line, in cells: sorted (least, greatest, count); refined where asked."""
+    """The group ends on the byte line, in cells (least, greatest, count, shift) of 2^shift bytes; refined where asked."""
 
     def __init__(self, ends: DataFrame):
         self.ends = ends
         got = ends.agg(F.max("end"), F.max("size")).first()
         self.total, self.largest = got[0] or 0, got[1] or 0
-        self.cells: list[tuple[int, int, int]] = self._summed([(0, self.total)]) if self.total else []
-
-    def _summed(self, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Cells of the ends in the windows (low, high], each cut evenly."""
-        each = max(2, CELLS // len(windows))
-        cell = F.lit(None).cast("long")
-        for k, (low, high) in enumerate(windows):
-            width = max(1, -(-(high - low) // each))
-            cell = F.when((F.col("end") > low) & (F.col("end") <= high), F.lit(k * (each + 1)) + F.floor((F.col("end") - low - 1) / width)).otherwise(cell)
-        return sorted(tuple(r)[1:] for r in self.ends.withColumn("cell", cell).where("cell is not null").groupBy("cell").agg(F.min("end"), F.max("end"), F.count(F.lit(1))).collect())
-
-    def refine(self, places: list[int]) -> None:
-        """Cut anew the cells at the first WINDOWS of these places of the list; callers ask again for what they still miss."""
-        some = places[:WINDOWS]
-        fresh = self._summed([(self.cells[i][0] - 1, self.cells[i][1]) for i in some])
-        drop = set(some)
-        self.cells = sorted([c for i, c in enumerate(self.cells) if i not in drop] + fresh)
-
-    def floor(self, x: int, place: list[int]) -> tuple[int, int]:
-        """(surely reached, perhaps reached): bounds of the greatest end <= x; place collects cells that are not exact."""
-        i = bisect_right(self._lows, x) - 1
+        self.cells: list[tuple[int, int, int, int]] = []
+        self.missing: set[int] = set()
+        if self.total:
+            shift = max(0, self.total.bit_length() - CELLS.bit_length() + 1)
+            self._hold(self._summed({self.total.bit_length(): [0]}, shift))
+
+    def _summed(self, windows: dict[int, list[int]], shift: int | None = None) -> list[tuple[int, int, int, int]]:
+        """Cells of the ends in the windows {shift: numbers}, each cut evenly into 2^k of them."""
+        k = max(1, (CELLS // sum(map(len, windows.values()))).bit_length() - 1)
+        cell = to = F.lit(None).cast("long")
+        for wide, numbers in sorted(windows.items()):  # a few widths at most
+            finer = max(0, wide - k) if shift is None else shift
+            inside = F.shiftright("end", wide).isin(numbers)
+            cell, to = F.when(inside, F.shiftright("end", finer)).otherwise(cell), F.when(inside, F.lit(finer)).otherwise(to)
+        rows = self.ends.select("end", cell.alias("cell"), to.alias("to")).where("cell is not null").groupBy("to", "cell")
+        return [(r.low, r.high, r.n, r.to) for r in rows.agg(F.min("end").alias("low"), F.max("end").alias("high"), F.count(F.lit(1)).alias("n")).collect()]
+
+    def _hold(self, cells: list[tuple[int, int, int, int]]) -> None:
+        self.cells = sorted(cells)
+        self.lows = [c[0] for c in self.cells]
+
+    def settled(self, search):
+        """The result of a search, repeated with finer cells until it lands in exact ones alone."""
+        while True:
+            self.missing = set()
+            out = search()
+            if not self.missing:
+                return out
+            windows: dict[int, list[int]] = {}
+            for i in sorted(self.missing)[: CELLS // 2]:
+                low, _, _, shift = self.cells[i]
+                windows.setdefault(shift, []).append(low >> shift)
+            fresh = self._summed(windows)
+            gone = {(k, n) for k, numbers in windows.items() for n in numbers}
+            self._hold([c for c in self.cells if (c[3], c[0] >> c[3]) not in gone] + fresh)
+
+    def floor(self, x: int) -> tuple[int, int]:
+        """(surely reached, perhaps reached): bounds of the greatest end <= x; notes a cell that is not exact."""
+        i = bisect_right(self.lows, x) - 1
         if i < 0:
             return 0, 0
-        low, high, n = self.cells[i]
+        low, high, n, _ = self.cells[i]
         if x >= high:
             return high, high
         if n <= 2:  # least and greatest are all there is
             return low, low
-        place.append(i)
+        self.missing.add(i)
         return low, x
 
-    def __enter__(self):
-        self._lows = [c[0] for c in self.cells]
-        return self
-
-    def __exit__(self, *_):
-        self._lows = []
+    def ceil(self, x: int) -> int:
+        """The least end >= x, or a bound of it where a cell is not exact; x is at most the total."""
+        i = bisect_right(self.lows, x) - 1
+        if i < 0 or x > self.cells[i][1]:
+            return self.cells[i + 1][0]
+        low, high, n, _ = self.cells[i]
+        if x == low or x == high:
+            return x
+        if n > 2:
+            self.missing.add(i)
+        return high
 
-    def _fill(self, capacity: int, shards: int, sure: bool, place: list[int]) -> bool:
+    def _fill(self, capacity: int, shards: int, sure: bool) -> bool:
         """Whether greedy filling reaches the end, by sure or by hopeful steps."""
         at = 0
         for _ in range(shards):
-            a, b = self.floor(at + capacity, place)
-            to = a if sure else b
+            to = self.floor(at + capacity)[0 if sure else 1]
             if to <= at:
                 return False
             at = to
@@ -108,77 +136,51 @@ class Ends:
         """The smallest feasible capacity, exactly."""
         if not self.total:
             return 0
-        low, high = max(self.largest, -(-self.total // shards)) - 1, self.total  # infeasible, feasible
-        high = min(high, low + 1 + self.largest)  # greedy filling leaves less than one group of room
-        while high - low > 1:
-            with self:
-                lo, hi = low, high
-                a, b = low, high
-                while b - a > 1:  # surely feasible
-                    mid = (a + b) // 2
-                    a, b = (a, mid) if self._fill(mid, shards, True, []) else (mid, b)
-                hi = min(hi, b)
-                a, b = low, hi
-                while b - a > 1:  # surely infeasible
-                    mid = (a + b) // 2
-                    a, b = (a, mid) if self._fill(mid, shards, False, []) else (mid, b)
-                lo = max(lo, a)
-                place: list[int] = []
-                for c in {lo + 1, (lo + hi) // 2, hi - 1}:
-                    self._fill(c, shards, True, place)
-                    self._fill(c, shards, False, place)
-            low, high = lo, hi
-            if high - low > 1:
-                if not place:  # every cell in reach is exact, so the bounds have met
-                    break
-                self.refine(sorted(set(place)))
-        return high
-
-    def exact(self, x: int) -> int:
-        """The greatest end <= x."""
-        while True:
-            place: list[int] = []
-            with self:
-                a, b = self.floor(x, place)
-            if a == b or not place:
-                return a
-            self.refine(place)
+        least = max(self.largest, -(-self.total // shards)) - 1  # infeasible
+        most = min(self.total, least + 1 + self.largest)  # feasible: greedy filling leaves less than one group of room
+
+        def halve(low: int, high: int, sure: bool) -> int:
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (low, mid) if self._fill(mid, shards, sure) else (mid, high)
+            return high
+
+        def search() -> int:
+            hopeful = halve(least, most, False)  # nothing below it is feasible
+            sure = halve(hopeful - 1, most, True)
+            self.missing.clear()
+            if sure > hopeful:
+                for c in {hopeful, (hopeful + sure) // 2, sure - 1}:
+                    self._fill(c, shards, True)
+                    self._fill(c, shards, False)
+            return sure
+
+        return self.settled(search)
 
     def cuts(self, shards: int) -> list[int]:
         """Ends of the shards: each near its even share, none above the capacity, the rest always packable."""
         if not self.total:
             return [0] * shards
         c = self.capacity(shards)
-        # from the right: the least position from which k shards of the capacity reach the end
-        need = [self.total]
-        for _ in range(shards - 1):
-            back = need[-1] - c
-            need.append(0 if back <= 0 else self._ceil(back))
-        out, at = [], 0
-        for k in range(1, shards):
-            even = self.total * k // shards
-            x = self.exact(even)
-            y = self._ceil(even)
-            want = y if y - even < even - x else x
-            want = max(want, need[shards - k], at)
-            if want - at > c:
-                want = self.exact(at + c)
-            out.append(want)
-            at = want
-        return [*out, self.total]
-
-    def _ceil(self, x: int) -> int:
-        """The least end >= x; x is at most the total."""
-        while True:
-            with self:
-                i = bisect_right(self._lows, x) - 1
-                if i >= 0 and self.cells[i][0] == x:
-                    return x
-                if i < 0 or x > self.cells[i][1]:
-                    return self.cells[i + 1][0]
-                if x == self.cells[i][1] or self.cells[i][2] <= 2:
-                    return self.cells[i][1]
-            self.refine([i])
+
+        def search() -> list[int]:
+            # from the right: the least position from which k shards of the capacity reach the end
+            need = [self.total]
+            for _ in range(shards - 1):
+                back = need[-1] - c
+                need.append(0 if back <= 0 else self.ceil(back))
+            out, at = [], 0
+            for k in range(1, shards):
+                even = self.total * k // shards
+                x, y = self.floor(even)[0], self.ceil(even)
+                want = max(y if y - even < even - x else x, need[shards - k], at)
+                if want - at > c:
+                    want = self.floor(at + c)[0]
+                out.append(want)
+                at = want
+            return [*out, self.total]
+
+        return self.settled(search)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -66,7 +67,8 @@ def test_canonical_and_collisions(docs_of, monkeypatch):
 
 def test_equal_hashes_of_different_texts_get_ranks(spark):
     base = spark.createDataFrame([(1, "ab", hashlib.sha256(b"x").digest()), (2, "ab", hashlib.sha256(b"y").digest())], "doc_id long, fingerprint0 string, canon_sha binary")
-    found = spark.createDataFrame([("ab", b"y", 1)], "fingerprint0 string, canon binary, rank int")
+    found = fingerprint.collisions_by_digest(base.select("fingerprint0", "canon_sha"))
+    assert found.count() == 2 and fingerprint.collisions_by_digest(base.limit(1).select("fingerprint0", "canon_sha")).count() == 0
     assert sorted(r.fingerprint for r in fingerprint.ranked(base, found).collect()) == ["ab", "ab-1"]
 
 
@@ -104,6 +106,21 @@ def test_sharding(docs_of, rows, shards):
     assert all(len(v) == 1 for v in where.values()) and not texts
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 3, 17]), st.sampled_from([4, 64]))
+def test_capacity_and_cuts(spark, seed, shards, cells):
+    r = np.random.default_rng(seed)
+    sizes = (r.zipf(1.3, int(r.integers(1, 400))) % 5000 + 1).tolist()
+    ends = np.cumsum(sizes).tolist()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sharding, "CELLS", cells)
+        e = sharding.Ends(spark.createDataFrame(list(zip(sizes, ends, strict=True)), "size long, end long").coalesce(1).cache())
+        assert e.capacity(shards) == least_capacity(sizes, shards)
+        cuts = e.cuts(shards)
+    assert len(cuts) == shards and cuts == sorted(cuts) and cuts[-1] == ends[-1] and set(cuts) <= {0, *ends}
+    assert max(b - a for a, b in zip([0, *cuts], cuts, strict=False)) <= least_capacity(sizes, shards)
+
+
 # ---- suffix arrays ----
 
 
@@ -163,6 +180,17 @@ def test_media(docs_of, rows):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_media_form_is_what_is_stored(docs_of):
+    rows, pool = media.store(docs_of(corpus(6)))
+    store = {bytes(r.digest): bytes(r.data) for r in pool.collect()}
+    want = {}
+    for r in rows.collect():
+        parts = media.parse_list(bytes(r.listed))
+        form = bytes(r.listed) + b"".join(bytes(h) if h is not None else store[d] for h, (d, _) in zip(r.held, parts, strict=True))
+        want[r.doc] = len(form), hashlib.sha256(form).hexdigest()
+    assert want == {r.doc_id: (r.media_bytes, r.media_sha256) for r in media.load(rows, pool).collect()} and store
+
+
 def test_damaged_media_is_noticed(docs_of, spark):
     rows, pool = media.store(docs_of([(1, "word " * 400), (2, "word " * 400)]))
     broken = pool.select("digest", F.lit(b"other").alias("data"))
@@ -188,6 +216,28 @@ def test_id_files(docs_of, rows):
     assert sorted(map(str, ((r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in got))) == sorted(map(str, want))
 
 
+_SPECIALS = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'S", "Ɛ", "(Ɛ)", "'Ɔse", "…Ɔ", "İ", "ſ", "K", "Å", "e\u0301", "ǅ", "½", "\u2028", "\x85", "\x1c", "\x00", "日本"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["word_bpe_49k.json", "byte_bpe_50k.json"]), st.lists(st.one_of(st.text(st.characters(max_codepoint=0x24F, exclude_categories=["Cs"]), max_size=12), st.text(st.characters(min_codepoint=0x2000, max_codepoint=0x206F), max_size=3), st.sampled_from(_SPECIALS), st.text(max_size=4)), max_size=12))
+def test_ids_are_the_librarys(name, parts):
+    from scorefabric.llm import tokens
+
+    path = public_tokenizers.path(name)
+    text = "".join(parts)
+    got = tokens.encoder(path).encode([text, None, text + " end"])
+    lib = _library(path)
+    assert [got[0][got[1][i] : got[1][i + 1]].tolist() for i in range(3)] == [lib.encode(t, add_special_tokens=False).ids for t in (text, "", text + " end")]
+
+
+@lru_cache(None)
+def _library(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([0, 1, 7, 4096, 4097, 9000]), st.sampled_from([2, 50, 60000]))
 def test_range_coder(seed, n, top):
@@ -232,11 +282,24 @@ def test_pieces(docs_of, rows):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [(i, t) for i, t in rows if "\x00" not in (t or "")]
     got = pieces.decode(pieces.encode(docs_of(rows), path), path).collect()
     assert sorted(str((r.doc_id, list(r.ids), r.text)) for r in got) == sorted(str((i, lib.encode(t or ""), t or "")) for i, t in rows)
 
 
+def test_pieces_after_the_store_is_cleared(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "UNITS_KEPT", 3)
+    enc = pieces.PieceEncoder(path)
+    texts = ["one two three four five six", "one two Lele five", "", "two\n\n one\tLele x" * 50, "日本 \x00 ▁ one"] * 2
+    for k in range(3):
+        got = enc.encode(texts[k:])
+        assert [x.tolist() for x in got] == [lib.encode(t) for t in texts[k:]]
+        assert enc.decode(got) == [t.replace("▁", " ") for t in texts[k:]]
+
+
 # ---- toxicity ----
 
 
