@@ -96,9 +96,17 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Bytes of text that a byte of a compressed file holds, about.
+UNPACKED = 4
+
+
 def parts_for(df: DataFrame, column: str = "text", target: int = 16 << 20, least: int | None = None) -> int:
-    """Partitions such that each holds about `target` bytes of the column; at least `least`, or as many as the session's shuffles have."""
-    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    """Partitions such that each holds about `target` bytes of the column; at least `least`, or as many as the session's shuffles have.
+
+    The bytes are those of the files that df reads, as the optimizer knows them, and counted where it doesn't.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * UNPACKED if df.inputFiles() else 0
+    total = known if 0 < known < 1 << 60 else df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(math.ceil(total / target), least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 

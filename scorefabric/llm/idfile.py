@@ -3,9 +3,11 @@
 A file holds the ids of many documents one after another. Its ids are cut into blocks of BLOCK ids; each block is
 coded alone, with its own model state, and carries the crc32 of its ids, so damage stays within a block and any block
 can be read by itself. In a block, the last two ids and the last id each predict the next one (the id that followed
-that context before, with a confidence); two adaptive estimates of a hit, one by confidence and one by agreement, are
-mixed; the range coder gets the mixed probabilities of "as order 2 says", "as order 1 says" and "neither", and after
-"neither" the id itself by its order-0 frequency, which the file's header holds.
+that context before, with a confidence), and order 0 predicts the block's most frequent id so far. Two adaptive
+estimates of a hit, one by confidence and one by agreement, are mixed, and a third tells how often order 0 is right
+where the others are not. The range coder gets the mixed probabilities of "as order 2 says", "as order 1 says", "as
+order 0 says" and "none of them", and after the last the id itself by its frequency in the file, which the header holds
+and from which every block starts.
 
 The blocks of a file are coded in step, one id of every block at a time, as numpy vectors: the code of a block is what
 it would be alone.
@@ -26,21 +28,22 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorefabric.llm.common import materialise, parts_for, table, tune
+from scorefabric.llm.common import BROADCAST_ROWS, materialise, parts_for, table, tune
 from scorefabric.llm.packing import vocabulary
 from scorefabric.llm.tokens import encoder, with_end
 
 MAGIC = b"SFID"
-BLOCK = 4096
-#: Ids after which a file is closed, and bytes of text that one task gets: 24 MB are some 2,000 blocks in step.
-FILE_IDS, TASK_BYTES = 16 << 20, 24 << 20
-_HASH = 11  # log2 of a block's slots for each order
+BLOCK = 1024
+#: Ids after which a file is closed, and bytes of text that one task gets: 32 MB are some 12,000 blocks in step.
+FILE_IDS, TASK_BYTES = 16 << 20, 32 << 20
+_HASH = 8  # log2 of a block's slots for orders 1 and 2
+_COUNTS = 6  # log2 of its counters for order 0
 _TOTAL0 = 20  # log2 of the order-0 total
 _U = np.uint64
-_TOP, _BOT = _U(1) << _U(48), _U(1) << _U(32)
+_TOP, _BOT = _U(1) << _U(48), _U(1) << _U(44)  # 2^36 is the total of one step
 
 
 class _Model:
@@ -54,40 +57,51 @@ class _Model:
         self.p_sure = np.tile(np.array([2000, 16000, 32000, 48000], np.int32), lanes)
         self.p_both = np.full(lanes * 8, 16000, np.int32)
         self.p_one = np.tile(np.array([2000, 12000, 24000, 32000, 2000, 8000, 16000, 24000], np.int32), lanes)
+        self.p_zero = np.full(lanes, 3000, np.int32)
+        self.counts, self.base0 = np.zeros(lanes << _COUNTS, np.int16), row << _COUNTS
+        self.x0, self.most = np.zeros(lanes, np.int32), np.zeros(lanes, np.int16)
         self.c1 = np.zeros(lanes, np.int64)
         self.k1 = np.zeros(lanes, np.int64)
 
     def predict(self):
-        """Sets the predicted ids and the frequencies, of 2^16, of order 2 and of order 1."""
+        """Sets the predicted ids and the ends of the ranges, of 2^16, of orders 2, 1 and 0."""
         mask = (1 << _HASH) - 1
         k = self.c1 * 40503
-        self.i1 = self.base + ((k >> 3) & mask)
-        self.i2 = self.base + (((k ^ (self.k1 * 3)) >> 2) & mask)
-        self.k1 = k
-        self.e2, self.e1 = self.slots2[self.i2], self.slots1[self.i1]
+        self.i1 = (k >> 3 & mask) + self.base
+        self.i2 = ((k ^ self.k1) >> 2 & mask) + self.base
+        self.k1 = k * 3
+        self.e2, self.e1 = self.slots2.take(self.i2), self.slots1.take(self.i1)
         self.x2, self.x1 = self.e2 >> 2, self.e1 >> 2
         s2, s1 = self.e2 & 3, self.e1 & 3
-        same = self.x2 == self.x1
+        other = self.x2 != self.x1
         self.ja = self.by_sure + s2
-        self.jb = self.by_both + (same * 4 + s1)
-        self.jc = self.by_one + (s1 + 4 * (s2 > 0))
-        self.pa, self.pb, self.pc = self.p_sure[self.ja], self.p_both[self.jb], self.p_one[self.jc]
-        # each estimate lies in 0..65535, so the mixture leaves room for all three outcomes
-        self.f2 = (((self.pa + self.pb) * 15) >> 5) + 64
-        self.f1 = (((63000 - self.f2) * (self.pc * ~same >> 4)) >> 12) + 64
-
-    def learn(self, x, hit2, miss2):
-        """x: the ids as they are (int32)."""
-        to = hit2 * np.int32(65535)
-        self.p_sure[self.ja] = self.pa + ((to - self.pa) >> 5)
-        self.p_both[self.jb] = self.pb + ((to - self.pb) >> 5)
+        self.jb = self.by_both + np.where(other, s1, s1 + 4)
+        self.jc = self.by_one + np.where(s2 > 0, s1 + 4, s1)
+        self.pa, self.pb, self.pc = self.p_sure.take(self.ja), self.p_both.take(self.jb), self.p_one.take(self.jc)
+        # each estimate lies in 0..65535, so the mixture leaves room for all four outcomes
+        self.f2 = ((self.pa + self.pb) * 15 >> 5) + 64
+        self.f12 = ((63000 - self.f2) * (self.pc * other >> 4) >> 12) + self.f2 + 64
+        self.f012 = ((65000 - self.f12) * (self.p_zero >> 4) >> 12) + self.f12 + 64
+
+    def learn(self, x, hit2, miss2, miss1):
+        """x: the ids as they are (int32); miss1: neither order 2 nor order 1 is right."""
+        full = np.int32(65535)
+        to = hit2 * full
+        self.p_sure[self.ja] = self.pa + (to - self.pa >> 5)
+        self.p_both[self.jb] = self.pb + (to - self.pb >> 5)
         right = self.x1 == x
-        self.p_one[self.jc] = self.pc + (((right * np.int32(65535) - self.pc) >> 5) * miss2)
+        self.p_one[self.jc] = self.pc + (right * full - self.pc >> 5) * miss2
         fresh = x * 4 + 1
         for slots, i, e, hit in ((self.slots1, self.i1, self.e1, right), (self.slots2, self.i2, self.e2, hit2)):
             s = e & 3
             slots[i] = np.where(hit, e + (s < 3), np.where(s < 2, fresh, e - 1))
         self.c1 = x.astype(np.int64)
+        self.p_zero += ((self.x0 == x) * full - self.p_zero >> 6) * miss1
+        i = self.base0 + (x & ((1 << _COUNTS) - 1))
+        n = self.counts.take(i) + np.int16(1)
+        self.counts[i] = n
+        top = n >= self.most
+        self.x0, self.most = np.where(top, x, self.x0), np.maximum(n, self.most)
 
 
 def _settle(low, rng):
@@ -112,6 +126,13 @@ def _shift(low, rng, move):
         k = k[again]
 
 
+def _span(m, miss2, miss1, miss):
+    """(start, end), of 2^16, of the outcome that the misses say."""
+    start = np.where(miss, m.f012, np.where(miss1, m.f12, m.f2 * miss2))
+    end = np.where(miss, np.int32(1 << 16), np.where(miss1, m.f012, np.where(miss2, m.f12, m.f2)))
+    return start, end - start
+
+
 def _grid(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids as (step, block), and the ids of each block; the last of several is filled up with an id that is known."""
     lanes = max(1, -(-len(ids) // BLOCK))
@@ -138,33 +159,27 @@ def compress(ids: np.ndarray) -> tuple[bytes, bytes, list[bytes]]:
     f0, start0 = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
     f0[known] = freq
     start0[known] = np.cumsum(freq) - freq
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
+    low, rng, one = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0)), _U(1 << _TOTAL0)
     out, at = np.zeros((lanes, steps * 2 + 16), np.uint16), np.zeros(lanes, np.int64)
     m = _Model(lanes)
-    all0 = _U((1 << _TOTAL0) - 1)
 
     def move(k):
         out[k, at[k]] = low[k] >> _U(48)
         at[k] += 1
 
-    def narrow(start, width, shift):
-        nonlocal low, rng
-        rng >>= shift
-        low += rng * start
-        rng *= width
-        _shift(low, rng, move)
-
     for t in range(steps):
         x = grid[t]
         m.predict()
-        hit2 = m.x2 == x
-        miss2 = ~hit2
-        hit1 = (m.x1 == x) & miss2
-        miss = miss2 & ~hit1
-        f2, f12 = m.f2, m.f2 + m.f1
-        narrow((f2 * hit1 + f12 * miss).astype(np.uint64), np.where(hit2, f2, np.where(hit1, m.f1, 65536 - f12)).astype(np.uint64), _U(16))
-        narrow(start0[x] * miss, np.where(miss, f0[x], all0), _U(_TOTAL0))
-        m.learn(x, hit2, miss2)
+        miss2 = m.x2 != x
+        miss1 = miss2 & (m.x1 != x)
+        miss = miss1 & (m.x0 != x)
+        start, width = (v.astype(np.uint64) for v in _span(m, miss2, miss1, miss))
+        # the outcome's range, and within the last one the id's: one step of 2^(16 + _TOTAL0)
+        rng >>= _U(16 + _TOTAL0)
+        low += rng * ((start << _U(_TOTAL0)) + start0[x] * (width * miss))
+        rng *= width * np.where(miss, f0[x], one)
+        _shift(low, rng, move)
+        m.learn(x, ~miss2, miss2, miss1)
     for _ in range(4):
         out[np.arange(lanes), at] = low >> _U(48)
         at += 1
@@ -200,35 +215,31 @@ def expand(n_ids: int, zero: bytes, table_: bytes, words: np.ndarray) -> np.ndar
         code = (code << _U(16)) | words[np.minimum(at, last)]
         at += 1
     m, grid = _Model(lanes), np.zeros((steps, lanes), np.uint16)
-    all0 = _U((1 << _TOTAL0) - 1)
+    one = _U(1 << _TOTAL0)
 
     def move(k):
         code[k] = (code[k] << _U(16)) | words[np.minimum(at[k], last)]
         at[k] += 1
 
-    def narrow(start, width):
-        nonlocal low, rng
-        low += rng * start
-        rng *= width
-        _shift(low, rng, move)
-
     known = known.astype(np.int32)
     for t in range(steps):
         m.predict()
-        f2, f12 = m.f2, m.f2 + m.f1
-        rng >>= _U(16)
-        v = ((code - low) // rng).astype(np.int64)
-        hit2 = v < f2
-        miss2 = ~hit2
-        miss = v >= f12
-        hit1 = miss2 & ~miss
-        narrow((f2 * hit1 + f12 * miss).astype(np.uint64), np.where(hit2, f2, np.where(hit1, m.f1, 65536 - f12)).astype(np.uint64))
-        rng >>= _U(_TOTAL0)
-        k = slot[np.minimum((code - low) // rng, all0).astype(np.int64)]
-        narrow(start_of[k] * miss, np.where(miss, freq[k], all0))
-        x = np.where(hit2, m.x2, np.where(hit1, m.x1, known[k]))
+        rng >>= _U(16 + _TOTAL0)
+        said = (code - low) // rng
+        v = (said >> _U(_TOTAL0)).astype(np.int32)
+        miss2, miss1, miss = v >= m.f2, v >= m.f12, v >= m.f012
+        start, width = (x.astype(np.uint64) for x in _span(m, miss2, miss1, miss))
+        start <<= _U(_TOTAL0)
+        x = np.where(miss1, m.x0, np.where(miss2, m.x1, m.x2))
+        size, i = np.full(lanes, one), np.flatnonzero(miss)
+        k = slot[np.minimum((said[i] - start[i]) // width[i], one - _U(1)).astype(np.int64)]
+        start[i] += start_of[k] * width[i]
+        size[i], x[i] = freq[k], known[k]
+        low += rng * start
+        rng *= width * size
+        _shift(low, rng, move)
         grid[t] = x
-        m.learn(x, hit2, miss2)
+        m.learn(x, ~miss2, miss2, miss1)
     ids = np.ascontiguousarray(grid.T).reshape(-1)
     if steps == BLOCK:
         ids = ids[:n_ids]
@@ -294,30 +305,30 @@ def files(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
             yield close()
 
     order = [F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first()]
-    return rows.repartitionByRange(parts_for(rows, text, TASK_BYTES), F.col(key).asc_nulls_first()).sortWithinPartitions(*order).mapInPandas(write, "part int, number int, n_ids long, content binary")
+    parts = parts_for(rows, text, TASK_BYTES, least=docs.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(parts, F.col(key).asc_nulls_first()).sortWithinPartitions(*order).mapInPandas(write, "part int, number int, n_ids long, content binary")
 
 
 def documents(written: DataFrame, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Per document of written files: key, start, n_tokens, ids_crc32[, ids], from the files' bytes alone."""
-    base, total = {}, 0
-    for part, number, n in sorted(map(tuple, written.select("part", "number", "n_ids").collect())):  # a row a file
-        base[part, number] = total
-        total += n
+    at = written.select("part", "number", (F.sum("n_ids").over(Window.orderBy("part", "number")) - F.col("n_ids")).alias("base"))  # a row a file
+    few = written.select("part").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # files are read where they lie; only their places are sent around
+    placed = written.join(F.broadcast(at) if few else at, ["part", "number"])
 
     def read(batches):
         for b in batches:
-            for part, number, content in zip(b["part"], b["number"], b["content"], strict=True):
+            for base, content in zip(b["base"], b["content"], strict=True):
                 keys, counts, ids = read_file(bytes(content))
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 ends = np.cumsum(counts)
                 spans = list(zip((4 * (ends - counts)).tolist(), (4 * ends).tolist(), strict=True))
-                out = pd.DataFrame({key: pd.array(keys, "Int64"), "start": base[part, number] + ends - counts, "n_tokens": counts, "ids_crc32": [zlib.crc32(raw[i:j]) for i, j in spans]})
+                out = pd.DataFrame({key: pd.array(keys, "Int64"), "start": base + ends - counts, "n_tokens": counts, "ids_crc32": [zlib.crc32(raw[i:j]) for i, j in spans]})
                 if with_ids:
                     out["ids"] = [bytes(raw[i:j]) for i, j in spans]
                 yield out
 
-    tasks = max(written.sparkSession.sparkContext.defaultParallelism, len(base))
-    return written.repartition(tasks).mapInPandas(read, f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return placed.select("base", "content").mapInPandas(read, f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The pre-tokenizers of the two public BPE files cut a text into words that are encoded one by one, so each distinct
 word is encoded once by the library and then looked up. That holds for texts of Latin letters and common punctuation,
-where the cutting pattern can be stated exactly with the standard library; any other text goes to the library whole.
+where the cutting pattern can be stated exactly with the standard library; any other text, and one that holds the string
+of an added token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 # Within the safe characters these classes are \p{L}, \p{N} and \s, stated as ranges.
 _SAFE = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]*")
@@ -37,18 +38,24 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+_SPACE = chr(_LETTERS[32])
 
 
-class _Index(dict):
-    """Numbers words as they come; fresh holds those that have no ids yet."""
+class _Words(dict):
+    """The ids of a word as little-endian 32-bit numbers; a word that is new is handed to the library's model."""
 
-    def __init__(self):
-        self.fresh: list[str] = []
+    def __init__(self, model):
+        self.tokenize = model.tokenize
 
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        self[word] = k = len(self)
-        return k
+    def __missing__(self, word: str) -> bytes:
+        # a word is what the pre-tokenizer would hand to the model: its bytes as letters
+        rest = word[1:] if word[0] == " " else word
+        if rest.isascii() and rest.isprintable() and " " not in rest:
+            said = _SPACE + rest if rest is not word else word
+        else:
+            said = word.encode().decode("latin-1").translate(_LETTERS)
+        self[word] = ids = array("I", [t.id for t in self.tokenize(said)]).tobytes()
+        return ids
 
 
 class WordEncoder:
@@ -58,7 +65,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # the strings of special tokens are ordinary text
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         pre, norm = said["pre_tokenizer"] or {}, said["normalizer"] or {}
@@ -67,78 +73,34 @@ class WordEncoder:
             self.pattern = _BYTE_LEVEL
         elif pre.get("type") == "Sequence" and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.pattern, self.lower = _WORD_ENDS, True
+        added = [x["content"] for x in said.get("added_tokens") or [] if x["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self._reset()
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The words of a text, or None where the library has to see it whole. Letters are judged as they are encoded."""
+        if not self.pattern or (self.added and self.added.search(text)):
+            return None
+        if self.lower:
+            text = text.lower()
+        return self.pattern.findall(text) if _SAFE.fullmatch(text) else None
+
     def _reset(self) -> None:
-        self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        # a word is what the pre-tokenizer would hand to the library's model
-        tokenize = self.library.model.tokenize
-        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, total = len(self.index) - len(words), int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(ids) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.ends[k + 1 : k + 1 + len(ids)] = self.used + np.cumsum(sizes)
-        self.used += total
+        self.words = _Words(self.library.model)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets with a last end): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
-        out, sizes = [], []
-        at = 0
-        while at < len(texts):  # a few MB at a time
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < 4_000_000):
-                size += len(texts[stop] or "")
-                stop += 1
-            a, b = self._encode([x or "" for x in texts[at:stop]])
-            out.append(a)
-            sizes.append(b)
-            at = stop
-        if not out:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.pattern.findall(x.lower() if self.lower else x) if self.pattern and _SAFE.fullmatch(x) else None for x in texts]
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
-        n = sum(len(x) for x in cut if x)
-        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(x for x in cut if x)), np.int64, n)
-        if self.index.fresh:
-            self._learn(self.index.fresh)
-            self.index.fresh = []
-        starts = self.ends[words]
-        lens = self.ends[words + 1] - starts
-        ends = np.cumsum(lens)
-        flat = self.flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if n else 0)] if n else np.zeros(0, np.uint32)
-        counts, w = np.zeros(len(texts), np.int64), np.concatenate([[0], ends])
-        k = 0
-        spans: list[tuple[int, int]] = []
-        for i, x in enumerate(cut):
-            if x is not None:
-                counts[i] = w[k + len(x)] - w[k]
-                spans.append((w[k], w[k + len(x)]))
-                k += len(x)
-        if len(spans) == len(texts):
-            return flat, counts
-        parts, spans_left = [], iter(spans)
-        for i, x in enumerate(cut):
-            if x is None:
-                ids = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-                counts[i] = len(ids)
-                parts.append(ids)
+        held = []
+        for x in texts:
+            cut = self._cut(x) if x else []
+            if cut is None:
+                held.append(array("I", self.library.encode(x, add_special_tokens=False).ids).tobytes())
             else:
-                a, b = next(spans_left)
-                parts.append(flat[a:b])
-        return np.concatenate(parts), counts
+                held.append(b"".join(map(self.words.__getitem__, cut)))
+                if len(self.words) > CACHE_WORDS:
+                    self._reset()
+        ids = np.frombuffer(b"".join(held), np.uint32)
+        return ids, np.cumsum([0, *map(len, held)]) // 4
 
 
 @lru_cache(4)

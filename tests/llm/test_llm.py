@@ -250,7 +250,7 @@ def test_damaged_block_is_noticed():
     ids = (np.random.default_rng(0).zipf(1.4, 9000) % 900).astype(np.uint32)
     f = bytearray(idfile.write_file([1], np.array([9000]), ids))
     f[-200] ^= 1
-    with pytest.raises(ValueError, match="block 2"):
+    with pytest.raises(ValueError, match="block 8"):
         idfile.read_file(bytes(f))
 
 
@@ -293,6 +293,7 @@ def test_pieces_after_the_store_is_cleared(monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     monkeypatch.setattr(pieces, "UNITS_KEPT", 3)
     enc = pieces.PieceEncoder(path)
+    assert not enc.known
     texts = ["one two three four five six", "one two Lele five", "", "two\n\n one\tLele x" * 50, "日本 \x00 ▁ one"] * 2
     for k in range(3):
         got = enc.encode(texts[k:])
@@ -300,6 +301,15 @@ def test_pieces_after_the_store_is_cleared(monkeypatch):
         assert enc.decode(got) == [t.replace("▁", " ") for t in texts[k:]]
 
 
+def test_pairs_in_a_small_table():
+    r = np.random.default_rng(0)
+    t = pieces._Pairs(lambda k: k % 3 == 0)
+    t._reset(3)
+    for _ in range(30):
+        k = r.integers(0, 3000, int(r.integers(0, 200)))
+        assert (t(k) == (k % 3 == 0)).all()
+
+
 # ---- toxicity ----
 
 
@@ -490,6 +500,140 @@ def test_components(spark):
     assert got == {n: find(n) for n in {v for a, b in e if a != b for v in (a, b)}}
 
 
+# ---- the queries themselves ----
+
+
+@pytest.fixture(scope="module")
+def folder(spark, docs_of, tmp_path_factory):
+    """Written tables of odd rows and a small corpus."""
+    at = tmp_path_factory.mktemp("tables")
+    rows = [*ODD, *[(100 + i, t) for i, t in corpus(21, 40)]]
+    docs_of(rows).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([(100 + 3 * i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in rows], "page_id long, url string, html string").write.parquet(str(at / "pages.parquet"))
+    return str(at), rows
+
+
+def query(name, spark, folder):
+    from scorefabric.llm.queries import QUERIES
+
+    return QUERIES[name](spark, folder[0]).collect()
+
+
+def test_op1(spark, folder):
+    got = query("op1_fingerprints", spark, folder)
+    rows = sorted(folder[1], key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1] or ""
+        e = fingerprint.edited(t or "", nxt)
+        c, ec, nc = map(fingerprint.canonical, (t, e, nxt))
+        want.append((i, len(t or ""), hashlib.sha256(raw(e)).hexdigest(), fingerprint.digest(c), fingerprint.digest(ec), float(c == ec), float(c == nc)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_op2(spark, folder):
+    got = query("op2_sharding", spark, folder)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(raw(t)) + 16, zlib.crc32(raw(t))) for i, t in folder[1])
+    assert {r.law for r in got} == {"bytes"} and all(0 <= r.shard < 40 and r.grown_shard is None for r in got)
+
+
+def test_op3(spark, folder):
+    assert sorted(str(tuple(r)) for r in query("op3_suffix_dedup", spark, folder)) == sorted(map(str, removed(folder[1], 400)))
+
+
+def test_op4(spark, folder):
+    got = query("op4_media", spark, folder)
+    want = []
+    for i, t in folder[1]:
+        p = media.text_payload(t)
+        want.append((i, len(raw(t)), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:5]) for r in got)
+
+
+@pytest.mark.parametrize("name", ["op5_token_ids", "op9_packing"])
+def test_op5_and_op9(spark, folder, name):
+    lib = _library(public_tokenizers.path("word_bpe_49k.json" if name == "op5_token_ids" else "byte_bpe_50k.json"))
+    got, want, at = query(name, spark, folder), [], 0
+    for i, t in sorted(folder[1], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2 if name == "op5_token_ids" else 0], "<u4")
+        if name == "op5_token_ids":
+            want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+            at += len(ids)
+        else:
+            cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+            want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    n = 4 if name == "op5_token_ids" else 5
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:n]) for r in got)
+
+
+def test_op6(spark, folder):
+    got = query("op6_warc", spark, folder)
+    least = {}
+    for i, t in folder[1]:
+        if i is not None:
+            least[raw(t)] = min(i, least.get(raw(t), i))
+    want = [(i, len(raw(t)), warc.digest32(raw(t)), "response" if least.get(raw(t)) in (i, None) else "revisit", None if least.get(raw(t)) in (i, None) else least[raw(t)]) for i, t in folder[1]]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_op7(spark, folder):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(i, len(lib.encode(t or "")), zlib.crc32(np.array(lib.encode(t or ""), "<u4").tobytes()), hashlib.sha256(raw(t)).hexdigest()) for i, t in folder[1]]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in query("op7_pieces", spark, folder))
+
+
+def test_op8(spark, folder):
+    got = query("op8_toxicity", spark, folder)
+    assert Counter((r.doc_id, r.held_out) for r in got) == Counter((i, i is None or zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in folder[1])
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.text(max_size=300), st.integers(0, 99))
+def test_score_is_the_most_toxic_segments_mean(text, seed):
+    """Against a plain sum over the n-grams of each word of each segment."""
+    r = np.random.default_rng(seed)
+    m = toxicity.Model(r.normal(0, 1, toxicity.BUCKETS), float(r.normal()))
+    words = [w for run in __import__("re").findall(r"\w+", text.lower()) for w in (run[i : i + 64] for i in range(0, len(run), 64))]
+    logits = []
+    for k in range(0, len(words), toxicity.SEGMENT):
+        total = 0.0
+        for w in words[k : k + toxicity.SEGMENT]:
+            w = f"<{w}>"
+            grams = [w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))]
+            total += sum(m.numbers[zlib.crc32(g.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS] for g in grams) / len(grams)
+        logits.append(total / max(8, len(words[k : k + toxicity.SEGMENT])) + m.bias)
+    assert abs(m.score(text) - 1 / (1 + np.exp(-max(logits, default=m.bias)))) < 1e-9
+
+
+def test_op10(spark, folder):
+    got = query("op10_jaccard_join", spark, folder)
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == linked_components(folder[1], 3, 90)
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_rows_and_empty_tables(spark, docs_of, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 1, i % 2) for i in range(13)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs_of(rows).withColumn("n_chars", F.col("n_chars").cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    tables = {name: stage(spark, docs, str(tmp_path)).collect() for name, stage in corpus_pipeline.STAGES}
+    assert len(tables["near_copies"]) == len(jaccard_keep(rows))
+    assert Counter(r.doc_id for r in tables["repeated_passages"]) == Counter(i for i, _ in rows)
+    assert {r.doc_id for r in tables["packing"]} == {i for i, _ in rows}
+    assert len(tables["toxicity"]) <= len(rows)
+
+
+def jaccard_keep(rows):
+    """One row of each component; rows of empty sets all stay."""
+    named = linked_components([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)
+    return {x.rsplit(", ", 1)[1] for x in named}
+
+
 # ---- the pipeline ----
 
 
