@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -108,9 +109,13 @@ def fit(texts: list[str | None], labels: list[int], passes: int = PASSES, seed:
         return fit([], [])
     wid, begins, seg_doc = np.concatenate(words), np.array(begins), np.array(seg_doc)
     sizes = np.diff(np.append(begins, len(wid)))
-    grams = [subwords(w) for w in index]
-    n_gram = np.array([len(g) for g in grams])
-    flat = np.fromiter((x for g in grams for x in g), np.int32, int(n_gram.sum()))
+    held, sizes_of = array("i"), array("i")  # plain lists of every word's n-grams would be most of the driver's memory
+    for w in index:
+        g = subwords(w)
+        held.extend(g)
+        sizes_of.append(len(g))
+    flat, n_gram = np.array(held, np.int32), np.array(sizes_of, np.int64)
+    del held, sizes_of
     g_begin = np.cumsum(n_gram) - n_gram
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.1, DIM), -2.0
@@ -136,8 +141,9 @@ def fit(texts: list[str | None], labels: list[int], passes: int = PASSES, seed:
         used, at_used = np.unique(w, return_inverse=True)
         n_used = n_gram[used]
         own = flat[np.repeat(g_begin[used], n_used) + np.arange(n_used.sum()) - np.repeat(np.cumsum(n_used) - n_used, n_used)]
-        word_vec = np.add.reduceat(emb[own], np.cumsum(n_used) - n_used) / n_used[:, None]
-        mean = np.stack([np.bincount(rows, word_vec[at_used, d], len(pick)) for d in range(DIM)], 1) / denom[pick][:, None]
+        # a dimension at a time: all at once would hold DIM numbers for each n-gram of each word
+        word_vec = (np.add.reduceat(emb[:, d][own], np.cumsum(n_used) - n_used) / n_used for d in range(DIM))
+        mean = np.stack([np.bincount(rows, v[at_used], len(pick)) for v in word_vec], 1) / denom[pick][:, None]
         g_out, g_bias = err @ mean, np.array([err.sum()])
         g_word = np.bincount(at_used, scale, len(used)) / n_used
         g_num = np.bincount(own, np.repeat(g_word, n_used), BUCKETS)
