@@ -13,10 +13,12 @@ differ in no more bits than the sets differ in shingles. Linked sets of s and t
    chunk have travels twice, which says that it repeats. Each task sorts its range and keeps the keys that two sets have.
    Equal sets are one class; buckets with the same members are one bucket.
 3. A short sketch of the whole set goes with each member of a bucket. Members are first compared with one of them, in
-   STARS rounds; what then still has different components is compared within its bucket, a block of members against
-   another at a time. Only pairs whose sketches are as close as the bound allows leave a task; their sets are fetched
-   and compared exactly. So a large group of near copies costs a comparison for each member, and no link between
-   different components is lost. Components are contracted by joins.
+   STARS rounds. In NEAREST rounds each member is compared within its largest bucket, and each component proposes the
+   pair with the closest sketches. What then still has different components is compared within all its buckets, a block
+   of members against another at a time, and a pair counts in one of the buckets that it shares,
+   or few. Only pairs whose sketches are as close as the bound allows leave a task; their
+   sets are fetched and compared exactly. So a large group of near copies sends on a pair or two for each member, and no
+   link between different components is lost. Components are contracted by joins.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; repeated rows are copies; a null doc_id takes part, and a component whose
@@ -38,8 +40,11 @@ from pyspark.sql import functions as F
 from scorefabric.llm.common import materialise, parts_for, release, semi_join, table, tune
 from scorefabric.llm.components import components
 
-#: Rounds in which a bucket's members meet one member; members of a bucket that one task compares with as many others.
-STARS, BLOCK = 2, 2048
+#: Rounds in which a bucket's members meet one member, and in which each component proposes one pair; members of a bucket
+#: that one task compares with as many others.
+STARS, NEAREST, BLOCK = 1, 2, 2048
+#: Of a member's buckets so many, the least, travel with it: a pair that shares one of them counts in that one alone.
+LEAST_KEYS = 8
 #: Keys and documents after which a task sends its packed keys; bytes of texts worked on at once.
 CHUNK_KEYS, CHUNK_DOCS, SLICE_BYTES = 1 << 20, 60_000, 4 << 20
 _WORDS_KEPT = 400_000
@@ -359,7 +364,9 @@ def _buckets(entries: DataFrame, moved: DataFrame) -> DataFrame:
     named = entries.join(moved, "rep", "left").select("key", F.coalesce("class", "rep").alias("class")).distinct()
     rows = materialise(named, "entries")
     by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("m > 1")
-    return rows.join(by.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+    out = materialise(rows.join(by.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "buckets")
+    release(rows)
+    return out
 
 
 # ---- pairs ----
@@ -387,8 +394,12 @@ def _star_pairs(rows: DataFrame, reps: DataFrame, percent: int, k: int) -> DataF
     return first.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").mapInPandas(close, "a long, b long")
 
 
-def _close_in_group(group: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Pairs of different roots that may be linked, of members (class, root, n, sketch, side): of one block, or of two sides."""
+def _close_in_group(key: int, group: list[tuple], percent: int, nearest: bool) -> list[tuple[int, int]]:
+    """Pairs of different roots that may be linked, of members (class, root, n, sketch, side, keys): of one block, or of two sides.
+
+    nearest: of each root only the pair with the closest sketches. Otherwise a pair that is known to share a bucket less than
+    this one, which is key, is left to that.
+    """
     two = len({g[4] for g in group}) > 1
     group.sort(key=lambda g: (g[4], g[2]))
     cls, root = np.array([g[0] for g in group]), np.array([g[1] for g in group])
@@ -397,7 +408,7 @@ def _close_in_group(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     s = np.stack([folded(g[3], to) for g in group])
     low = int(np.searchsorted(side, side[0], side="right")) if two else 0  # the second side starts here
     by = bands(percent)
-    out = []
+    one, other, far = [], [], []
     for i in range(low if two else len(group)):
         j0 = low if two else i + 1
         # sizes ascend within a side, so partners are a run
@@ -408,31 +419,54 @@ def _close_in_group(group: list[tuple], percent: int) -> list[tuple[int, int]]:
             continue
         ham = np.bitwise_count(s[j0:j1] ^ s[i]).sum(axis=1, dtype=np.int64)
         hit = np.flatnonzero((ham <= by.most(n[j0:j1], n[i])) & (root[j0:j1] != root[i])) + j0
-        out += [(int(cls[i]), int(x)) for x in cls[hit]]
-    return out
-
-
-def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
+        one.append(np.full(len(hit), i))
+        other.append(hit)
+        far.append(ham[hit - j0])
+    if not one:
+        return []
+    one, other, far = np.concatenate(one), np.concatenate(other), np.concatenate(far)
+    if nearest:
+        order = np.argsort(far, kind="stable")
+        one, other = one[order], other[order]
+        ends = np.concatenate([root[one], root[other]])
+        k = np.concatenate([np.arange(len(one))] * 2)
+        order = np.lexsort((k, ends))
+        first = np.unique(k[order][np.diff(ends[order], prepend=ends[order][:1] - 1) != 0])
+        one, other = one[first], other[first]
+    elif len(one):
+        keys = [set(g[5]) for g in group]
+        own = np.array([min(keys[i] & keys[j], default=key) >= key for i, j in zip(one.tolist(), other.tolist(), strict=True)])
+        one, other = one[own], other[own]
+    return list(zip(cls[one].tolist(), cls[other].tolist(), strict=True))
+
+
+def _largest_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of each class in the largest of its buckets."""
+    size = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("class").agg(F.max(F.struct("m", "key")).alias("one"))
+    return rows.join(size.select("class", F.col("one.key").alias("key")), ["class", "key"])
+
+
+def _bucket_pairs(rows: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """(a, b) of members of a bucket that have different roots and may be linked, a block of members with a block at a time."""
     many = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(many, "key").withColumn("own", F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "root", "n", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "root", "n", "sketch", "keys")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def each(batches):
         last, group = None, []
         for b in batches:
             out: list[tuple[int, int]] = []
-            for key, p, q, own, c, r, n, s in zip(*(b[x].tolist() for x in ("key", "p", "q", "own", "class", "root", "n", "sketch")), strict=True):
+            for key, p, q, own, c, r, n, s, held in zip(*(b[x].tolist() for x in ("key", "p", "q", "own", "class", "root", "n", "sketch", "keys")), strict=True):
                 if (key, p, q) != last and group:
-                    out += _close_in_group(group, percent)
+                    out += _close_in_group(last[0], group, percent, nearest)
                     group = []
                 last = key, p, q
-                group.append((c, r, n, s, own))
+                group.append((c, r, n, s, own, held))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
         if group:
-            yield pd.DataFrame(_close_in_group(group, percent), columns=["a", "b"], dtype=np.int64)
+            yield pd.DataFrame(_close_in_group(last[0], group, percent, nearest), columns=["a", "b"], dtype=np.int64)
 
     return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(each, "a long, b long")
 
@@ -477,18 +511,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
 
 def links_between(buckets: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame | None:
     """(node, root) of the classes that have a link; buckets are (key, class)."""
-    rows = materialise(buckets.join(reps.select(F.col("rep").alias("class"), "n", "sketch"), "class"), "members")
+    keys = buckets.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LEAST_KEYS).alias("keys"))  # a class has no more than its sketch has parts
+    rows = materialise(buckets.join(reps.select(F.col("rep").alias("class"), "n", "sketch"), "class").join(keys, "class"), "members")
+    release(buckets)
     found: DataFrame | None = None
     roots: DataFrame | None = None
-    for k in range(STARS + 1):
+    rounds = ["star"] * STARS + ["nearest"] * NEAREST + ["all"]
+    while rounds:
+        kind = rounds.pop(0)
         mixed = materialise(_rooted(rows, roots), "mixed") if roots is not None else _rooted(rows, None)
         if mixed.isEmpty():
             break
-        pairs = _star_pairs(mixed, reps, percent, k) if k < STARS else _bucket_pairs(mixed, percent)
+        if kind == "star":
+            pairs = _star_pairs(mixed, reps, percent, len(rounds))
+        else:
+            pairs = _bucket_pairs(mixed if kind == "all" else _largest_buckets(mixed), percent, kind == "nearest")
         new = _verified(pairs, docs, reps, words, percent, text)
+        release(*[mixed] * (roots is not None))
+        if new.isEmpty():
+            rounds = [x for x in rounds if x != kind]
+            continue
         found = new if found is None else found.union(new)
-        if roots is not None:
-            release(roots, mixed)
+        release(*[roots] * (roots is not None))
         roots = components(found)
     release(rows)
     return roots

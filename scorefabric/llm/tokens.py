@@ -73,13 +73,15 @@ class WordEncoder:
             self.pattern = _BYTE_LEVEL
         elif pre.get("type") == "Sequence" and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.pattern, self.lower = _WORD_ENDS, True
-        added = [x["content"] for x in said.get("added_tokens") or [] if x["content"]]
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        added = [x for x in said.get("added_tokens") or [] if x["content"]]
+        self.added = [x["content"] for x in added]
+        if any(x["normalized"] for x in added):
+            self.pattern = None  # found in normalised text: the library sees every text whole
         self._reset()
 
     def _cut(self, text: str) -> list[str] | None:
         """The words of a text, or None where the library has to see it whole. Letters are judged as they are encoded."""
-        if not self.pattern or (self.added and self.added.search(text)):
+        if not self.pattern or any(x in text for x in self.added):
             return None
         if self.lower:
             text = text.lower()

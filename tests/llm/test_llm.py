@@ -433,9 +433,10 @@ def family(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize(("stars", "block"), [(0, 7), (1, 1), (2, 2048)])
-def test_families_of_near_texts_lose_no_link(docs_of, monkeypatch, stars, block):
+@pytest.mark.parametrize(("stars", "nearest", "block"), [(0, 0, 7), (0, 2, 9), (1, 0, 1), (1, 3, 2048)])
+def test_families_of_near_texts_lose_no_link(docs_of, monkeypatch, stars, nearest, block):
     monkeypatch.setattr(jaccard, "STARS", stars)
+    monkeypatch.setattr(jaccard, "NEAREST", nearest)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = [*family(12), *[(1000 + i, t) for i, t in corpus(12, 40)]]
     got = jaccard.near_duplicates(docs_of(rows), 3, 90).collect()
