@@ -117,11 +117,20 @@ def group_folds(sizes: dict, k: int = 4) -> dict:
 
 
 def lpt_shards(df: DataFrame, key: str, size: str, n: int) -> DataFrame:
-    """(key, shard): sizes in descending order dealt in turn."""
+    """(key, shard): rows in descending order of size dealt in turn, null sizes last; equal sizes follow one another.
+
+    Equal sizes share an average rank; within it rows are numbered from counts of a hash of the key, so no size is one task.
+    """
     from scorefabric.operators.stats import ranks_by_count
 
-    ranked = ranks_by_count(df.select(key, (-F.col(size)).alias("_s"), size), "_s", "_r")
-    return ranked.select(key, F.pmod(F.floor("_r").cast("long") + F.xxhash64(key) % 2, F.lit(n)).cast("int").alias("shard"))
+    sized = df.select(key, F.coalesce(-F.col(size).cast("double"), F.lit(float("inf"))).alias("_s"))
+    ranked = ranks_by_count(sized, "_s", "_r").withColumn("_h", F.pmod(F.xxhash64(key), F.lit(64)))
+    own = Window.partitionBy("_r")
+    counts = ranked.groupBy("_r", "_h").count().withColumns({"_b": F.sum("count").over(own.orderBy("_h")) - F.col("count"), "_n": F.sum("count").over(own)}).drop("count")
+    row = F.row_number().over(Window.partitionBy("_r", "_h").orderBy(key)) - 1
+    placed = ranked.withColumn("_i", row).join(counts, ["_r", "_h"])
+    at = F.round(F.col("_r") - (F.col("_n") - 1) / 2 - 1).cast("long") + F.col("_b") + F.col("_i")
+    return placed.select(key, F.pmod(at, F.lit(n)).cast("int").alias("shard"))
 
 
 def sampled(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:

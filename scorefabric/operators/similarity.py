@@ -240,23 +240,7 @@ def text_neighbours(weights: DataFrame, pool: DataFrame, key: str, k: int = 4) -
 BANDS = [(2.0, 2.5), (3.0, 3.5), (4.0, 4.5), (5.0, 5.0)]
 
 
-def band_anchors(queries: DataFrame, pool: DataFrame, key: str, label: str, seed: int = 42, bands=tuple(BANDS), per_band: int = 64) -> DataFrame:
-    """(key, band, anchor): one pool row per band, by hash of (seed, query, row), the query left out.
-
-    Each band's pool is first cut to its `per_band` least hashes, so a query meets a bounded number of candidates.
-    """
-    band = F.lit(None).cast("int")
-    for k, (low, high) in enumerate(bands):
-        band = F.when(F.col(label).between(low, high), k).otherwise(band)
-    w = Window.partitionBy("band").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("anchor").cast("string"))))
-    few = pool.select(F.col(key).alias("anchor"), band.alias("band")).where("band is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_band).drop("_r")
-    lists = few.groupBy("band").agg(F.collect_list("anchor").alias("_l"))  # four rows
-    every = queries.select(F.col(key)).join(F.broadcast(lists))
-    pick = F.array_min(F.transform(F.filter("_l", lambda x: x != F.col(key)), lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), x.cast("string"))).alias("h"), x.alias("a"))))
-    return every.select(key, "band", pick["a"].alias("anchor")).where("anchor is not null")
-
-
-def whole_band_anchors(queries: DataFrame, pool: DataFrame, key: str, label: str, seed: int = 42, bands=tuple(BANDS)) -> DataFrame:
+def band_anchors(queries: DataFrame, pool: DataFrame, key: str, label: str, seed: int = 42, bands=tuple(BANDS)) -> DataFrame:
     """(key, band, anchor): one row of the whole band, each with equal chance by a hash of (seed, query, band), the query's
     own fold left out. queries: key, fold (-1: none); pool: key, label, fold, of which rows with fold -1 are no candidates.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorefabric.functions import diff
 from scorefabric.functions import expressions as X
 from scorefabric.operators import contracts, folds, models, sequences, similarity, stats
 from scorefabric.streaming import sessions
@@ -222,11 +223,12 @@ def lexical_features(spark, d):
     return k.select("doc_id", n.alias("n"), r6(X.ttr(F.col("tk"))).alias("ttr"), share(X.total(F.transform("tk", F.length))).alias("mean_len"), share(F.size(F.filter("tk", lambda x: F.length(x) > 6))).alias("long_frac"))
 
 
-@query(f"""with k as (select doc_id, {TOK_SQL} tk from documents) select doc_id, round(case when len(tk)=0 then 0.0 when len(tk)<=50 then len(list_distinct(tk))/len(tk) else list_avg(list_transform(range(1,len(tk)-48), lambda i: len(list_distinct(tk[i:i+49]))/50.0)) end,6) mattr from k""")
+@query(f"""with k as (select doc_id, {TOK_SQL} tk from documents) select doc_id, case when len(tk)=0 then 0.0 when len(tk)<=50 then floor(len(list_distinct(tk))::double/len(tk)*1e6+0.5)/1e6 else floor(list_sum(list_transform(range(1,len(tk)-48), lambda i: len(list_distinct(tk[i:i+49]))))::double/(50*(len(tk)-49))*1e6+0.5)/1e6 end mattr from k""")
 def mattr50(spark, d):
+    """Distinct words summed as integers and divided once, so the sixth digit does not depend on the order of sums."""
     from scorefabric.functions.lexical import mattr_of
 
-    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", r6(mattr_of(F.col("text"))).alias("mattr"))
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", (F.floor(mattr_of(F.col("text")) * 1e6 + 0.5) / 1e6).alias("mattr"))
 
 
 @query(f"""with k as (select doc_id, list_filter({TOK_SQL}, lambda x: x not in ('the','and')) tk, len({TOK_SQL}) n0 from documents) select doc_id, n0-len(tk) fillers, len(list_filter(range(2,len(tk)+1), lambda i: tk[i]=tk[i-1])) repeats, len(list_filter(range(4,len(tk)+1), lambda i: tk[i]=tk[i-2] and tk[i-1]=tk[i-3])) bigram_repeats, round(100.0*(n0-len(tk))/greatest(n0,1),6) filler_per100 from k""")
@@ -242,40 +244,35 @@ def text_normalisers(spark, d):
     return c.select("conv_id", "turn", X.normal_token(F.col("role")).alias("role_token"), X.slug(F.col("role")).alias("slug"), X.view_of(F.concat(F.lit("judge_"), "role", F.lit(".csv")), "judge").alias("view_name"), X.two_views(F.col("role"), F.col("role")).alias("two"))
 
 
-def _pairs(spark, d, words: int | None = None):
-    """Words of each turn (its first ones, if a number is given) and of the next."""
-    c = t(spark, d, "conversations")
-    toks = X.tokens(F.col("text"))
-    k = c.select("conv_id", "turn", (toks if words is None else F.slice(toks, 1, words)).alias("a"))
+def _pairs(spark, d):
+    """Words of each turn and of the next."""
+    k = t(spark, d, "conversations").select("conv_id", "turn", X.tokens(F.col("text")).alias("a"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return k.withColumn("b", F.lead("a").over(w)).where("b is not null")
 
 
-@query("""with k as (select conv_id, turn, regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9'']+')[1:40] a from conversations), p as (select conv_id, turn, a, lead(a) over (partition by conv_id order by turn) b from k), v as (select *, list_distinct(a||b) vv from p where b is not null) select conv_id, turn, round(case when len(a)=0 then (len(b)>0)::int::double else levenshtein(array_to_string(list_transform(a, lambda x: chr(33+list_position(vv,x)::int)),''), array_to_string(list_transform(b, lambda x: chr(33+list_position(vv,x)::int)),''))/len(a) end,6) wer from v""")
+@query()
 def wer_pairs(spark, d):
-    return _pairs(spark, d, 40).select("conv_id", "turn", r6(X.wer(F.col("a"), F.col("b"))).alias("wer"))
+    """Over whole turns; no SQL, as DuckDB's levenshtein counts bytes."""
+    return _pairs(spark, d).select("conv_id", "turn", r6(X.wer(F.col("a"), F.col("b"))).alias("wer"))
 
 
-@query()
-def wer_whole_turns(spark, d):
-    """As wer_pairs, whose SQL stops at 40 words, over whole turns; no SQL, as DuckDB's levenshtein counts bytes."""
-    return _pairs(spark, d).select("conv_id", "turn", r6(X.wer(F.col("a"), F.col("b"))).alias("wer"))
+def _scripts(spark, d, fillers):
+    """Words without fillers, and the edit script between them."""
+    k = _pairs(spark, d).select("conv_id", "turn", X.without(F.col("a"), fillers).alias("a"), X.without(F.col("b"), fillers).alias("b"))
+    return k.withColumn("steps", diff.script("a", "b"))
 
 
 @query()
 def diff_edit_rates(spark, d):
-    from scorefabric.functions.diff import edit_rates_of
-
-    fill = lambda c: X.without(F.col(c), X.FILLERS_EDIT)
-    return _pairs(spark, d).select("conv_id", "turn", edit_rates_of(fill("a"), fill("b")).alias("e")).select("conv_id", "turn", "e.*")
+    k = _scripts(spark, d, X.FILLERS_EDIT)
+    return k.select("conv_id", "turn", *[c.alias(n) for n, c in diff.edit_rates(F.col("a"), F.col("b"), F.col("steps")).items()])
 
 
 @query()
 def repair_counts(spark, d):
-    from scorefabric.functions.diff import repairs_of
-
-    fill = lambda c: X.without(F.col(c), X.FILLERS_REPAIR)
-    return _pairs(spark, d).select("conv_id", "turn", repairs_of(fill("a"), fill("b")).alias("e")).select("conv_id", "turn", "e.*")
+    k = _scripts(spark, d, X.FILLERS_REPAIR)
+    return k.select("conv_id", "turn", *[c.alias(n) for n, c in diff.repairs(F.col("a"), F.col("b"), F.col("steps")).items()])
 
 
 @query("select event_id, cast(json_extract_string(props,'$.k') as bigint) k from events where json_extract_string(props,'$.k') is not null")
@@ -372,25 +369,18 @@ def speaker_components(spark, d):
     return similarity.components(similarity.cosine_pairs(e, "vec_id", "embedding", 0.45), e, "vec_id")
 
 
-TFIDF_SQL = r"with w as (select item_id, list_filter(regexp_extract_all(lower(coalesce(text,'')),'\b[\w]+\b'), lambda x: length(x)>1) ws from benchmark where regexp_full_match(coalesce(text,''),'[\x00-\x7F]*')), g as (select item_id, unnest(ws||list_transform(range(1,len(ws)), lambda i: ws[i]||' '||ws[i+1])) term from w), tf as (select item_id, term, count(*) tf from g group by all), df as (select term, count(*) df from tf group by term having count(*)>=2), raw as (select item_id, term, (1+ln(tf))*(ln((1.0+(select count(*) from w))/(1+df))+1) r from tf join df using(term)), tfidf as (select item_id, term, r/sqrt(sum(r*r) over (partition by item_id)) w from raw)"
-
-
-#: TFIDF_SQL over all items: words of Unicode letters, marks, digits and connectors.
-TFIDF_ALL_SQL = TFIDF_SQL.replace(r" where regexp_full_match(coalesce(text,''),'[\x00-\x7F]*')", "").replace(r"\b[\w]+\b", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+")
-
-
-def _ascii_items(spark, d):
-    return t(spark, d, "benchmark").where(F.coalesce("text", F.lit("")).rlike("^[\\x00-\\x7F]*$"))
+# words of Unicode letters, marks, digits and connectors
+TFIDF_SQL = r"with w as (select item_id, list_filter(regexp_extract_all(lower(coalesce(text,'')),'[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+'), lambda x: length(x)>1) ws from benchmark), g as (select item_id, unnest(ws||list_transform(range(1,len(ws)), lambda i: ws[i]||' '||ws[i+1])) term from w), tf as (select item_id, term, count(*) tf from g group by all), df as (select term, count(*) df from tf group by term having count(*)>=2), raw as (select item_id, term, (1+ln(tf))*(ln((1.0+(select count(*) from w))/(1+df))+1) r from tf join df using(term)), tfidf as (select item_id, term, r/sqrt(sum(r*r) over (partition by item_id)) w from raw)"
 
 
 @query(f"{TFIDF_SQL} select item_id, count(*) terms, round(sum(w),6) mass, round(max(w),6) top from tfidf group by item_id")
 def tfidf_weights(spark, d):
-    return similarity.tfidf(_ascii_items(spark, d), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), r6(F.sum("w")).alias("mass"), r6(F.max("w")).alias("top"))
+    return similarity.tfidf(t(spark, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), r6(F.sum("w")).alias("mass"), r6(F.max("w")).alias("top"))
 
 
 @query(f"{TFIDF_SQL}, s as (select a.item_id, b.item_id anchor, round(sum(a.w*b.w),6) sim from tfidf a join tfidf b using(term) where a.item_id<>b.item_id and a.item_id%5<>b.item_id%5 group by all) select item_id, anchor, sim from (select *, row_number() over (partition by item_id order by sim desc, anchor) k from s) where k<=4")
 def tfidf_knn_anchors(spark, d):
-    return _top_items(_ascii_items(spark, d))
+    return _top_items(t(spark, d, "benchmark"))
 
 
 def _top_items(items):
@@ -401,27 +391,11 @@ def _top_items(items):
     return s.withColumn("_k", F.row_number().over(k)).where("_k <= 4").drop("_k")
 
 
-@query(f"{TFIDF_ALL_SQL} select item_id, count(*) terms, round(sum(w),6) mass, round(max(w),6) top from tfidf group by item_id")
-def tfidf_weights_all(spark, d):
-    return similarity.tfidf(t(spark, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), r6(F.sum("w")).alias("mass"), r6(F.max("w")).alias("top"))
-
-
-@query(f"{TFIDF_ALL_SQL}, s as (select a.item_id, b.item_id anchor, round(sum(a.w*b.w),6) sim from tfidf a join tfidf b using(term) where a.item_id<>b.item_id and a.item_id%5<>b.item_id%5 group by all) select item_id, anchor, sim from (select *, row_number() over (partition by item_id order by sim desc, anchor) k from s) where k<=4")
-def tfidf_knn_anchors_all(spark, d):
-    return _top_items(t(spark, d, "benchmark"))
-
-
-@query("""with p as (select vec_id, 1+label*0.5 y from embeddings), b as (select vec_id anchor, case when y between 2 and 2.5 then 0 when y between 3 and 3.5 then 1 when y between 4 and 4.5 then 2 when y between 5 and 5 then 3 end band from p), f as (select * from (select *, row_number() over (partition by band order by md5('42:'||anchor)) k from b where band is not null) where k<=64), c as (select q.vec_id, f.band, f.anchor, row_number() over (partition by q.vec_id, f.band order by md5('42:'||q.vec_id||':'||f.anchor), f.anchor) k from embeddings q join f on f.anchor<>q.vec_id) select vec_id, band, anchor from c where k=1""")
-def band_anchors(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", (1 + F.col("label") * 0.5).alias("y"))
-    return similarity.band_anchors(e, e, "vec_id", "y")
-
-
 @query()
-def band_anchors_whole(spark, d):
-    """As band_anchors, whose SQL stops at 64 candidates a band and has no folds, over whole bands of other folds."""
+def band_anchors(spark, d):
+    """One of the whole band, of other folds; no SQL, as the pick is a hash's."""
     e = t(spark, d, "embeddings").select("vec_id", (1 + F.col("label") * 0.5).alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
-    return similarity.whole_band_anchors(e, e, "vec_id", "y")
+    return similarity.band_anchors(e, e, "vec_id", "y")
 
 
 @query()

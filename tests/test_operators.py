@@ -70,11 +70,27 @@ def test_timing(spark):
     assert none["n_words"] == 0 and none["wpm"] == 0 and none["pause_mean"] is None
 
 
-def test_edits_and_stems():
-    a = "i am fine".split()
-    assert diff.edit_rates(a, a)[4:6] == (0, 1.0)
-    assert diff.edit_rates("a b c".split(), "a x c d".split())[:4] == (100 * 2 / 3, 100 / 3, 0.0, 100 / 3)
-    assert [diff.same_stem(*p) for p in (("walk", "walked"), ("go", "goes"), ("chair", "chairs"))] == [True, False, True]
+def test_edits_and_stems(spark):
+    rows = spark.createDataFrame([(1, ["i", "am", "fine"], ["i", "am", "fine"]), (2, ["a", "b", "c"], ["a", "x", "c", "d"]), (3, [], []), (4, None, ["a"]), (5, "i walked in the hall".split(), "he walks at hall".split())], "k int, a array<string>, b array<string>").withColumn("steps", diff.script("a", "b"))
+    cols = lambda fn: [c.alias(n) for n, c in fn(F.col("a"), F.col("b"), F.col("steps")).items()]
+    e = {r.k: r for r in rows.select("k", *cols(diff.edit_rates)).collect()}
+    assert (e[1].change_rate, e[1].ratio) == (0, 1.0) and (e[3].ratio, e[3].len_ratio) == (1.0, 0.0) and e[4].ins_per100 == 100
+    assert tuple(e[2])[1:5] == pytest.approx((200 / 3, 100 / 3, 0.0, 100 / 3))
+    r = {x.k: x for x in rows.select("k", *cols(diff.repairs)).collect()}
+    # i, he are pronouns; in, at prepositions; the an article; walked and walks share a stem
+    assert tuple(r[5])[1:] == (20, 0, 40, 40, 20, 120) and r[1].total == 0
+    stems = spark.createDataFrame([("walk", "walked"), ("go", "goes"), ("chair", "chairs"), ("walk", "walk")], "x string, y string").select(diff.same_stem(F.col("x"), F.col("y")).alias("s"))
+    assert [x.s for x in stems.collect()] == [True, False, True, False]
+
+
+def test_lpt_shards_deals_equal_sizes_evenly(spark):
+    from scorefabric.operators import folds
+
+    got = folds.lpt_shards(spark.range(1000).select("id", F.lit(7).alias("size")), "id", "size", 8).groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {125} and len(got) == 8
+    rows = [(1, 5), (2, 9), (3, None), (4, 9), (5, 1)]
+    got = {r.k: r.shard for r in folds.lpt_shards(spark.createDataFrame(rows, "k int, size int"), "k", "size", 5).collect()}
+    assert {got[2], got[4]} == {0, 1} and (got[1], got[5], got[3]) == (2, 3, 4)
 
 
 def test_ctc(spark):

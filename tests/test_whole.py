@@ -1,6 +1,7 @@
 """Queries over whole inputs, on small tables, against brute force."""
 
 import re
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -33,18 +34,31 @@ def test_turns_are_compared_whole(spark, tmp_path):
     d = save(spark, tmp_path, "conversations", rows, "conv_id long, turn int, text string")
     words = {(c, t): re.findall("[a-z0-9']+", (x or "").lower()) for c, t, x in rows}
     pairs = {k: (words[k], words[k[0], k[1] + 1]) for k in words if (k[0], k[1] + 1) in words}
-    wer = {(x.conv_id, x.turn): x.wer for x in Q.QUERIES["wer_whole_turns"](spark, d).collect()}
+    wer = {(x.conv_id, x.turn): x.wer for x in Q.QUERIES["wer_pairs"](spark, d).collect()}
     assert wer == {k: pytest.approx(edits(a, b) / len(a), abs=1e-6) for k, (a, b) in pairs.items()}
-    for name, fn, gone in (("diff_edit_rates", diff.edit_rates, X.FILLERS_EDIT), ("repair_counts", diff.repairs, X.FILLERS_REPAIR)):
-        got = {(x.conv_id, x.turn): tuple(x)[2:] for x in Q.QUERIES[name](spark, d).collect()}
-        keep = lambda ws, gone=gone: [w for w in ws if w not in gone]
-        assert got == {k: pytest.approx(fn(keep(a), keep(b))) for k, (a, b) in pairs.items()}
+    for name, gone in (("diff_edit_rates", X.FILLERS_EDIT), ("repair_counts", X.FILLERS_REPAIR)):
+        got = {(x.conv_id, x.turn): x for x in Q.QUERIES[name](spark, d).collect()}
+        assert set(got) == set(pairs)
+        for k, (a, b) in pairs.items():
+            a, b = ([w for w in ws if w not in gone] for ws in (a, b))
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            spans = [s for s in m.get_opcodes() if s[0] != "equal"]
+            n = max(1, len(a))
+            if name == "diff_edit_rates":
+                want = (100 * len(spans) / n, m.ratio(), len(b) / n)
+                assert (got[k].edits_per100, got[k].ratio, got[k].len_ratio) == pytest.approx(want)
+                assert got[k].change_rate == pytest.approx(sum(max(s[2] - s[1], s[4] - s[3]) for s in spans) / n)
+            else:
+                words = [w for _, i, j, p, q in spans for w in a[i:j] + b[p:q]]
+                assert got[k].prep == pytest.approx(100 * sum(w in diff.PREPOSITIONS for w in words) / n)
+                assert got[k].art == pytest.approx(100 * words.count("the") / n)
+                assert got[k].total == pytest.approx(got[k].art + got[k].aux + got[k].prep + got[k].pron + got[k].morph)
 
 
 def test_items_beyond_ascii_have_weights_and_neighbours(spark, tmp_path):
     d = save(spark, tmp_path, "benchmark", [(1, "Über die Brücke"), (2, "die brücke über"), (3, "plain words"), (4, None), (6, "plain words café")], "item_id long, text string")
-    assert {x.item_id for x in Q.QUERIES["tfidf_weights_all"](spark, d).collect()} == {1, 2, 3, 6}
-    got = {(x.item_id, x.anchor) for x in Q.QUERIES["tfidf_knn_anchors_all"](spark, d).collect()}
+    assert {x.item_id for x in Q.QUERIES["tfidf_weights"](spark, d).collect()} == {1, 2, 3, 6}
+    got = {(x.item_id, x.anchor) for x in Q.QUERIES["tfidf_knn_anchors"](spark, d).collect()}
     assert got == {(1, 2), (2, 1), (3, 6), (6, 3)}
 
 
@@ -101,7 +115,7 @@ def test_ridge_beyond_most_rows_equals_the_kernel_form(spark, monkeypatch):
 def test_anchors_come_from_whole_bands_of_other_folds(spark, tmp_path):
     d = save(spark, tmp_path, "embeddings", [(i, i % 9) for i in range(900)], "vec_id long, label int")
     band = {2: 0, 3: 0, 4: 1, 5: 1, 6: 2, 7: 2, 8: 3}  # by label
-    got = Q.QUERIES["band_anchors_whole"](spark, d).collect()
+    got = Q.QUERIES["band_anchors"](spark, d).collect()
     assert sorted((x.vec_id, x.band) for x in got) == [(i, b) for i in range(900) for b in range(4)]
     assert all(band[x.anchor % 9] == x.band and x.anchor % 5 != x.vec_id % 5 for x in got)
     assert all(len({x.anchor for x in got if x.band == b}) > 64 for b in range(4))
@@ -118,11 +132,3 @@ def test_bootstraps_have_all_draws(spark, monkeypatch, name, draws):
     monkeypatch.setattr(Q, "t", lambda *_: spark.range(0).select(*[F.col("id").alias(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_partkey")]))
     Q.QUERIES[name](spark, "")
     assert seen == [draws]
-
-
-def test_toxicity_reads_runs_of_word_characters_whole():
-    from scorefabric.llm import toxicity
-
-    model = toxicity.fit(["you vile_scum_of_earth go"] * 20 + ["a kind and calm word"] * 20, [1] * 20 + [0] * 20)
-    clean, toxic = "kind_and_calm_" * 10, "kind_and_calm_" * 10 + "vile_scum_of_earth_" * 20
-    assert model.score(toxic) > model.score(clean) + 0.1
