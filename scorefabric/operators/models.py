@@ -31,33 +31,33 @@ def gram(x: np.ndarray) -> np.ndarray:
     return x @ x.T / x.shape[1]
 
 
-def _centred(k: np.ndarray):
-    row, all_ = k.mean(1, keepdims=True), k.mean()
-    return k - row - row.T + all_, row.ravel(), all_
+def _centre(k: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Inner products about the training rows' mean: `means` are those of the training kernel's columns."""
+    out = k - means
+    out -= out.mean(1, keepdims=True)
+    return out
+
+
+def _spectrum(k: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(variances, directions, the centred target in them) of a training kernel."""
+    variance, axes = np.linalg.eigh(_centre(k, k.mean(0)))
+    return variance.clip(min=0), axes, (y - y.mean()) @ axes
 
 
 def ridge_predict(k: np.ndarray, k_new: np.ndarray, y: np.ndarray, alphas: np.ndarray = ALPHAS) -> np.ndarray:
-    """Predictions for new rows at every alpha: (alphas, rows), from one eigendecomposition."""
-    kc, col, all_ = _centred(k)
-    lam, u = np.linalg.eigh(kc)
-    lam = np.maximum(lam, 0)
-    z = (k_new - k_new.mean(1, keepdims=True) - col[None, :] + all_) @ u
-    return np.stack([z @ ((u.T @ (y - y.mean())) / (lam + a)) for a in alphas]) + y.mean()
+    """Predictions for new rows at every alpha, (alphas, rows): one product, as alphas differ in weights of directions only."""
+    variance, axes, target = _spectrum(k, y)
+    weights = target / np.add.outer(alphas, variance)
+    return weights @ (_centre(k_new, k.mean(0)) @ axes).T + y.mean()
 
 
 def ridge_loo(k: np.ndarray, y: np.ndarray, alphas: np.ndarray = ALPHAS) -> int:
-    """The alpha (its place) of least exact leave-one-out error."""
-    kc, _, _ = _centred(k)
-    lam, u = np.linalg.eigh(kc)
-    lam = np.maximum(lam, 0)
-    yc = y - y.mean()
-    q = u.T @ yc
-    errors = []
-    for a in alphas:
-        d = lam / (lam + a)
-        e = (yc - u @ (d * q)) / np.maximum(1 - (u * u) @ d, 1e-6)
-        errors.append(float((e * e).sum()))
-    return int(np.argmin(errors))
+    """The alpha (its place) of least leave-one-out error, all at once; a row left out keeps its part in the centring."""
+    variance, axes, target = _spectrum(k, y)
+    share = variance / np.add.outer(alphas, variance)
+    rest = (y - y.mean()) - (share * target) @ axes.T
+    free = 1 - share @ np.square(axes).T
+    return int(np.square(rest / free.clip(min=1e-6)).sum(1).argmin())
 
 
 def ridge_grouped(k: np.ndarray, y: np.ndarray, groups: np.ndarray, alphas: np.ndarray = ALPHAS, inner: int = 4) -> int:

@@ -147,7 +147,8 @@ def test_dual_ridge_is_primal_ridge():
             g = models.gram(z)
             e += (models.ridge_predict(g[np.ix_(k, k)], g[i : i + 1][:, k], y[k], np.array([a]))[0, 0] - y[i]) ** 2
         loo.append(e)
-    assert abs(models.ridge_loo(models.gram(z), y) - int(np.argmin(loo))) <= 3
+    # rows left out keep their part in the centring, so the errors, and not the places, are what agrees
+    assert loo[models.ridge_loo(models.gram(z), y)] <= 1.01 * min(loo)
 
 
 def test_contracts(spark, tmp_path):
