@@ -15,6 +15,20 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def packed(columns: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def unpacked(df, keys: list[str], struct: Column):
+    """Keys and a struct's fields: the struct is one column first, so that it is computed once a row and not once a field."""
+    return df.select(*keys, struct.alias("_s")).select(*keys, "_s.*")
+
+
 def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Bounds that leave NULL and NaN as they are (greatest and least alone would not)."""
     out = c
@@ -133,6 +147,51 @@ def softmax(a: Column) -> Column:
     return F.transform(e, lambda x: x / total(e))
 
 
+def log_softmax(a: Column) -> Column:
+    top = F.array_max(F.transform(a, lambda x: x.cast("double")))
+    mass = F.log(total(F.transform(a, lambda x: F.exp(x.cast("double") - top))))
+    return F.transform(a, lambda x: x.cast("double") - top - mass)
+
+
+def half(c: Column) -> Column:
+    """The nearest 16-bit float (ties to even), as a double: 11 significant bits, steps of 2^-24 below 2^-14, infinite beyond 65504."""
+    x = c.cast("double")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+    near = F.rint(x / step) * step
+    return F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).when(F.abs(near) > 65504, F.signum(x) * float("inf")).otherwise(near)
+
+
+def quantile_of(ordered: Column, q: float) -> Column:
+    """Linear quantile of an array in ascending order; null for an empty one."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a = F.get(ordered, low)
+    return a + (F.get(ordered, F.least(low + 1, F.size(ordered) - 1)) - a) * (at - low)
+
+
+def overridden(value: Column, mask: Column, by: float = 0.0) -> Column:
+    """`by` where the mask holds; a null mask does not hold."""
+    return F.when(mask, F.lit(float(by))).otherwise(value)
+
+
+def top_candidates(candidates: Column, by: str, n: int = 5) -> Column:
+    """The n structs of largest `by`, ties by the other fields in order; nulls of `by` come last."""
+    key = F.transform(candidates, lambda c: F.struct((-c[by]).isNull().alias("_n"), (-c[by]).alias("_k"), c.alias("_c")))
+    return F.transform(F.slice(F.array_sort(key), 1, n), lambda k: k["_c"])
+
+
+def names_like(names: list[str], prefix: tuple[str, ...] = (), suffix: tuple[str, ...] = (), deny: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> list[str]:
+    """Names in their order: with one of the prefixes and one of the suffixes (where given), with one of the substrings
+    `include` (where given), with none of `exclude`, and not in `deny`."""
+    return [n for n in names if n not in deny and (not prefix or n.startswith(prefix)) and (not suffix or n.endswith(suffix)) and (not include or any(i in n for i in include)) and not any(e in n for e in exclude)]
+
+
+def numeric_columns(df, **which) -> list[str]:
+    """names_like over a table's numeric columns."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    return names_like([n for n, k in df.dtypes if k.split("(")[0] in kinds], **which)
+
+
 def repeats(toks: Column) -> Column:
     """Tokens equal to the one before."""
     pairs = F.zip_with(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))), lambda a, b: a == b)
@@ -214,23 +273,25 @@ def segment_features(segments: Column) -> dict[str, Column]:
     return {"avg_logprob_mean": F.when(F.size(segments) > 0, mean_of(get("avg_logprob"))), "avg_logprob_min": F.array_min(get("avg_logprob")), "compression_max": F.array_max(get("compression_ratio")), "no_speech_max": F.array_max(get("no_speech_prob"))}
 
 
-def timing_features(words: Column, duration: Column) -> dict[str, Column]:
-    """The timing features of a clip from its words (structs start, end, word, prob, in order)."""
-    kept = F.filter(words, lambda w: normal_token(w["word"]) != "")
+def timing_features(words: Column, duration: Column) -> Column:
+    """A struct of the timing features of a clip from its words (structs start, end, word, prob, in order); see unpacked()."""
+    gaps = lambda kept: F.zip_with(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), lambda b, a: F.greatest(b["start"] - a["end"], F.lit(0.0)))
+    bound = let(F.filter(words, lambda w: normal_token(w["word"]) != ""), lambda kept: F.struct(kept.alias("kept"), gaps(kept).alias("gaps")))
+    return let(bound, lambda w: packed(_timing(w["kept"], w["gaps"], duration)))
+
+
+def _timing(kept: Column, gaps: Column, duration: Column) -> dict[str, Column]:
     n = F.size(kept)
     minutes = F.greatest(duration, F.lit(1.0)) / 60
     toks = F.transform(kept, lambda w: normal_token(w["word"]))
     span = F.greatest(F.element_at(kept, -1)["end"] - F.element_at(kept, 1)["start"], F.lit(1e-3))
-    gaps = F.when(n > 1, F.zip_with(F.slice(kept, 2, F.greatest(n - 1, F.lit(0))), F.slice(kept, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: F.greatest(b["start"] - a["end"], F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
     over = lambda t: F.filter(gaps, lambda g: g >= t)
     p25 = over(0.25)
     cuts = F.filter(F.transform(gaps, lambda g, i: F.when(g >= 0.25, i + 1)), lambda x: x.isNotNull())
     edges = F.concat(F.array(F.lit(0)), cuts, F.array(n))
-    runs = F.zip_with(F.slice(edges, 2, F.size(edges) - 1), F.slice(edges, 1, F.size(edges) - 1), lambda b, a: (b - a).cast("double"))
-    prob = F.array_sort(F.transform(kept, lambda w: w["prob"]))
-    at = (n - 1) * 0.1
-    low = F.floor(at).cast("int")
-    p10 = F.element_at(prob, low + 1) + (F.element_at(prob, F.least(low + 2, n)) - F.element_at(prob, low + 1)) * (at - low)
+    runs = let(edges, lambda e: F.zip_with(F.slice(e, 2, F.size(e) - 1), F.slice(e, 1, F.size(e) - 1), lambda b, a: (b - a).cast("double")))
+    prob = F.transform(kept, lambda w: w["prob"])
+    p10 = let(F.array_sort(prob), lambda o: quantile_of(o, 0.1))
     fillers = F.array(*[F.lit(x) for x in FILLERS])
     some = lambda c: F.when(n > 0, c)
     return {
@@ -252,6 +313,6 @@ def timing_features(words: Column, duration: Column) -> dict[str, Column]:
         "word_prob_p10": some(p10),
         "low_prob_frac": some(F.size(F.filter(prob, lambda x: x < 0.5)) / n),
         "filler_per100": some(100 * F.size(F.filter(toks, lambda t: F.array_contains(fillers, t))) / n),
-        "repeat_per100": some(100 * repeats(toks) / n),
-        "bigram_repeat_per100": some(100 * bigram_repeats(toks) / n),
+        "repeat_per100": some(100 * let(toks, repeats) / n),
+        "bigram_repeat_per100": some(100 * let(toks, bigram_repeats) / n),
     }

@@ -56,6 +56,19 @@ def join_one_to_one(a: DataFrame, b: DataFrame, key: list[str], suffixes: tuple[
     return a.join(b, key)
 
 
+def aligned(canonical: DataFrame, artifact: DataFrame, key: list[str]) -> DataFrame:
+    """An artifact's columns for every canonical row: its keys must be unique and miss no canonical row; rows of the
+    artifact beyond the canonical ones go."""
+    require(duplicates(artifact, key), "keys repeat in the artifact")
+    require(canonical.join(artifact.select(*key), key, "left_anti"), "rows that the artifact lacks")
+    return canonical.join(artifact.drop(*[c for c in artifact.columns if c in canonical.columns and c not in key]), key)
+
+
+def scattered(rows: DataFrame, predictions: DataFrame, key: list[str], value: str, default: float = 0.0) -> DataFrame:
+    """Every row with its prediction, or the default where it has none."""
+    return rows.join(predictions.select(*key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(float(default))))
+
+
 def join_features(base: DataFrame, parts: list[DataFrame], key: list[str]) -> DataFrame:
     """Left joins of feature parts, one after another, on one key: all exchanges share its partitioning."""
     return reduce(lambda x, y: x.join(y, key, "left"), parts, base)

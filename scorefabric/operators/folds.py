@@ -107,6 +107,14 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: in
     return r.join(before, [stratum, "_s"]).select(key, ((F.col("_b") + F.col("_r")) % k).cast("int").alias("fold"))
 
 
+def crossed_strata(df: DataFrame, strata: list[str], out: str = "stratum", least: int = 5, rare: str = "rare") -> DataFrame:
+    """Strata joined by "_" (nulls as empty); those of fewer than `least` rows become one. Counts are aggregated and joined back."""
+    name = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])
+    named = df.withColumn(out, name)
+    few = named.groupBy(out).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < least).drop("_n").withColumn("_rare", F.lit(rare))
+    return named.join(few, out, "left").withColumn(out, F.coalesce("_rare", out)).drop("_rare")
+
+
 def group_folds(sizes: dict, k: int = 4) -> dict:
     """Largest group to the lightest fold (inner folds of a model fit)."""
     load, out = [0] * k, {}

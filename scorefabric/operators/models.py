@@ -8,6 +8,7 @@ the size of the number of models squared and is one aggregate, whatever the numb
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from scorefabric.operators.folds import group_folds
 
 ALPHAS = np.logspace(-1, 6, 36) / 1000
+SEARCH = np.logspace(-2, 3, 30)
 MOST_ROWS = 5000
 
 # ---- kernel ridge ----
@@ -300,20 +302,97 @@ def apply_stack(weights: dict[str, float], intercept: float):
     return out
 
 
+def _moments(df: DataFrame, by: list[str], models: list[str], label: str) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """{cell: (rows, means, population covariances)} of models and label, the label last, in one aggregate."""
+    cols = [*models, label]
+    pairs = list(itertools.combinations_with_replacement(range(len(cols)), 2))
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(c) for c in cols]).alias("_m"), F.array(*[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).alias("_c")).collect()  # one row a cell
+    out = {}
+    for r in rows:
+        c = np.zeros((len(cols),) * 2)
+        for (i, j), x in zip(pairs, r["_c"], strict=True):
+            c[i, j] = c[j, i] = x or 0.0
+        out[tuple(r[k] for k in by)] = r["_n"], np.array([x or 0.0 for x in r["_m"]]), c
+    return out
+
+
+def _merged(cells: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(means, covariances) of cells taken together, about the common mean."""
+    n = sum(k for k, _, _ in cells)
+    mean = sum(k * m for k, m, _ in cells) / n
+    return mean, sum(k * (c + np.outer(m - mean, m - mean)) for k, m, c in cells) / n
+
+
 def nested_stack(df: DataFrame, folds: DataFrame, models: list[str], label: str, group: str, key: str, bounds=(1.0, 5.0)) -> DataFrame:
-    """(key, label, stack_oof): per fold the stack is fitted without it; means over repeats, then clipped."""
-    placed = df.join(folds, group).persist()
-    jobs = sorted(map(tuple, folds.select("repeat", "fold").distinct().collect()))  # repeats times folds rows
-    pred = F.lit(None).cast("double")
-    for r, f in jobs:
-        w, b = fit_stack(placed.where((F.col("repeat") == r) & (F.col("fold") != f)), models, label)
-        pred = F.when((F.col("repeat") == r) & (F.col("fold") == f), apply_stack(w, b)).otherwise(pred)
-    out = placed.withColumn("_p", pred).groupBy(key).agg(F.first(label).alias(label), F.avg("_p").alias("_m"))
+    """(key, label, stack_oof): per fold the stack is fitted without it; means over repeats, then clipped.
+
+    Every (repeat, fold) cell's moments come from one aggregate; a fit merges those of a repeat's other folds. A fold that
+    is its repeat's only one has no fit: its rows get null.
+    """
     from scorefabric.functions.expressions import clip
 
+    placed = df.join(folds, group)
+    cells = _moments(placed, ["repeat", "fold"], models, label)
+    fits = []
+    for r, f in sorted(cells):
+        if others := [v for (r2, f2), v in cells.items() if r2 == r and f2 != f]:
+            mean, c = _merged(others)
+            w = nnls(c[:-1, :-1], c[:-1, -1])
+            fits.append((r, f, w.tolist(), float(mean[-1] - w @ mean[:-1])))
+    table = df.sparkSession.createDataFrame(fits, "repeat int, fold int, _w array<double>, _b double")  # repeats times folds rows
+    pred = sum((F.col(m) * F.col("_w")[i] for i, m in enumerate(models)), F.col("_b"))
+    out = placed.join(F.broadcast(table), ["repeat", "fold"], "left").groupBy(key).agg(F.first(label).alias(label), F.avg(pred).alias("_m"))
     return out.select(key, label, clip(F.col("_m"), *bounds).alias("stack_oof"))
 
 
+def component_spread(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(model, weight, spread): population sd of each weighted component, in one aggregate."""
+    s = df.agg(*[F.stddev_pop(F.col(m) * float(w)).alias(m) for m, w in weights.items()])
+    return s.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(w)).alias("weight"), F.col(m).alias("spread")) for m, w in weights.items()])).alias("r")).select("r.*")
+
+
+def ridge_search(df: DataFrame, features: list[str], label: str, alphas: np.ndarray = SEARCH) -> DataFrame:
+    """(alpha, loo_mse): exact leave-one-out errors of a ridge on standardised features, at every alpha.
+
+    One aggregate gives the moments, one pass the errors; rows with a null or NaN are left out. No rows: no result rows.
+    """
+    clean = df.select(*[F.col(c).cast("double").alias(c) for c in [*features, label]])
+    for c in clean.columns:
+        clean = clean.where(F.col(c).isNotNull() & ~F.isnan(c))
+    (n, mean, c), *_ = [*_moments(clean, [], features, label).values()]
+    sd = np.sqrt(np.diag(c)[:-1])
+    sd = np.where(sd > 1e-8, sd, 1.0)
+    lam, u = np.linalg.eigh(n * c[:-1, :-1] / np.outer(sd, sd))
+    target = u.T @ (n * c[:-1, -1] / sd)
+    inverse = 1 / np.add.outer(alphas, lam.clip(min=0))
+
+    def errors(batches):
+        total = np.zeros(len(alphas))
+        for pdf in batches:
+            z = ((pdf[features].to_numpy() - mean[:-1]) / sd) @ u
+            rest = pdf[label].to_numpy()[:, None] - mean[-1] - z @ (inverse * target).T
+            total += np.square(rest / (1 - 1 / n - np.square(z) @ inverse.T).clip(min=1e-6)).sum(0)
+        yield pd.DataFrame({"alpha": alphas, "_e": total})
+
+    return clean.mapInPandas(errors, "alpha double, _e double").groupBy("alpha").agg((F.sum("_e") / float(max(n, 1))).alias("loo_mse")).where(F.lit(n > 0))
+
+
+def compared(old: DataFrame, new: DataFrame, key: list[str], label: str, group: str, pred: str = "pred", n: int = 2000, seed: int = 0) -> DataFrame:
+    """Two runs on the same rows: metrics of each, and paired draws of groups for their differences, as one row."""
+    from scorefabric.operators import contracts, stats
+
+    j = contracts.join_one_to_one(old.select(*key, label, group, F.col(pred).alias("_old")), new.select(*key, F.col(pred).alias("_new")), key)
+    sides = [j.agg(*[c.alias(f"{side}_{name}") for name, c in zip(("n", "rmse", "mae", "bias", "r", "composite"), stats.metrics(label, f"_{side}"), strict=True)]) for side in ("old", "new")]
+    draws = stats.paired(stats.bootstrap(j, group, label, ["_old", "_new"], n, seed), "_old", "_new")
+    return sides[0].join(sides[1]).join(draws)  # one row each
+
+
+def seed_averaged(makers: list, train: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, pred): mean prediction of estimators (of one kind under several seeds, say), each fitted on `train`."""
+    parts = [m.fit(train).transform(new).select(key, F.col("prediction").alias("pred")) for m in makers]
+    return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.avg("pred").alias("pred"))
+
+
 def ablation(df: DataFrame, folds: DataFrame, models: list[str], drop: list[str], label: str, group: str, key: str) -> DataFrame:
     """The stack with and without columns, side by side: (key, label, full, without)."""
     a = nested_stack(df, folds, models, label, group, key).withColumnRenamed("stack_oof", "full")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorefabric.functions.expressions import let, packed, quantile_of
+
 
 def gaps(df: DataFrame, key: list[str], start: str, end: str, order: list[str] | None = None) -> DataFrame:
     """gap: time from the end of the row before, never below 0; null for the first row of a key."""
@@ -69,6 +71,37 @@ def energy_features(samples: Column) -> dict[str, Column]:
     return {"peak": F.array_max(x), "clip_frac": F.size(F.filter(x, lambda s: s > 0.999)) / F.size(x), "frames": frames_of(samples)}
 
 
+def activity(levels: Column, hop: float = 0.01, below: float = 25.0, floor: float = -55.0, least: float = 0.3) -> Column:
+    """Levels of a clip's frames (dB) to a struct of quantiles, active time, silence at the ends and inner pauses of `least` seconds.
+
+    A frame is active above max(p90 - below, floor). Without an active frame, both ends have the clip's length; without
+    frames, quantiles and the ratio are null.
+    """
+    quantiles = let(F.array_sort(levels), lambda o: F.struct(*[quantile_of(o, q).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)]))
+    above = lambda q: F.filter(F.transform(levels, lambda x, i: F.when(x > F.greatest(q["p90"] - below, F.lit(floor)), i)), lambda i: i.isNotNull())
+    rest = lambda act: F.greatest(F.size(act) - 1, F.lit(0))
+    runs = lambda act: F.zip_with(F.slice(act, 2, rest(act)), F.slice(act, 1, rest(act)), lambda b, a: (b - a - 1) * F.lit(hop))
+
+    def build(s):
+        n, k, q = F.size(levels), F.size(s["act"]), s["q"]
+        pauses = F.filter(runs(s["act"]), lambda r: r >= least)
+        return {
+            "noise_floor_db": q["p10"],
+            "median_db": q["p50"],
+            "speech_level_db": q["p90"],
+            "dyn_range_db": q["p90"] - q["p10"],
+            "active_ratio": F.when(n > 0, k / n),
+            "active_sec": k * F.lit(hop),
+            "lead_sil": F.when(k > 0, F.get(s["act"], F.lit(0))).otherwise(n) * F.lit(hop),
+            "trail_sil": F.when(k > 0, n - 1 - F.get(s["act"], k - 1)).otherwise(n) * F.lit(hop),
+            "n_pauses": F.size(pauses),
+            "pause_total": F.aggregate(pauses, F.lit(0.0), lambda a, x: a + x),
+            "pause_max": F.coalesce(F.array_max(pauses), F.lit(0.0)),
+        }
+
+    return let(let(quantiles, lambda q: F.struct(q.alias("q"), above(q).alias("act"))), lambda s: packed(build(s)))
+
+
 def chunks(samples: Column, size: int, tail: int) -> Column:
     """Tumbling chunks; a last one shorter than `tail` goes unless it is the first."""
     n = F.greatest(F.ceil(F.size(samples) / size).cast("int"), F.lit(1))

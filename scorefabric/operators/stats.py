@@ -23,6 +23,12 @@ def value_counts(df: DataFrame, column: str, normalise: bool = False) -> DataFra
     return out
 
 
+def count_maps(df: DataFrame, by: str, column: str) -> DataFrame:
+    """(by, counts): how often each value of a column occurs, as a map; nulls are not counted."""
+    n = df.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(column, "_n"))).alias("counts"))
+
+
 def rmse(y: Column, p: Column) -> Column:
     return F.sqrt(F.avg((p - y) * (p - y)))
 
@@ -41,21 +47,24 @@ def ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> D
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
-def ranks_by_count(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks over a whole table without bringing it to one task: counts of distinct values are summed over ranges."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id()).persist()
-    before = ranged.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_b", F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).drop("_t")
-    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(value)) - F.col("_n")
-    table = ranged.withColumn("_i", inside).join(F.broadcast(before), "_p").select(value, (F.col("_b") + F.col("_i") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(table, value)
+def ranks_by_count(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Average ranks (within groups `by`) without bringing a group to one task: counts of distinct values are summed over ranges."""
+    by = by or []
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counts.repartitionByRange(*by, F.col(value)).withColumn("_p", F.spark_partition_id()).persist()
+    own = Window.partitionBy(*by).orderBy("_p")
+    before = ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_t")).withColumn("_b", F.sum("_t").over(own) - F.col("_t")).drop("_t")
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy(value)) - F.col("_n")
+    placed = ranged.withColumn("_i", inside)
+    table = (placed.join(before, [*by, "_p"]) if by else placed.join(F.broadcast(before), "_p")).select(*by, value, (F.col("_b") + F.col("_i") + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(table, [*by, value])
 
 
 def spearman(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Rank correlation of every feature with the label, nulls left out pairwise: (feature, n, rho)."""
     pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features]
     long = df.select(F.explode(F.array(*pairs)).alias("f"), F.col(label).cast("double").alias("y")).select("f.feature", "f.x", "y").where("x is not null and y is not null and not isnan(x)")
-    r = ranks(ranks(long, "x", "rx", ["feature"]), "y", "ry", ["feature"])
+    r = ranks_by_count(ranks_by_count(long, "x", "rx", ["feature"]), "y", "ry", ["feature"])
     return r.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
@@ -110,7 +119,7 @@ def bootstrap(df: DataFrame, group: str, y: str, preds: list[str], n: int = 1000
         e = F.col(m) - F.col(y)
         parts.append(F.struct(F.lit(m).alias("model"), F.count(F.lit(1)).alias("k"), F.sum(e * e).alias("se"), F.sum(y).alias("sy"), F.sum(m).alias("sp"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(m) * F.col(m)).alias("spp"), F.sum(F.col(y) * F.col(m)).alias("syp")))
     sums = df.groupBy(group).agg(*[p.alias(f"_{i}") for i, p in enumerate(parts)]).select(group, F.explode(F.array(*[f"_{i}" for i in range(len(preds))])).alias("s")).select(group, "s.*")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(group)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(group).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     weight, acc, term = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
         acc += term

@@ -485,3 +485,6 @@ def smallest_ten(spark, d):
 def group_samples(spark, d):
     w = Window.partitionBy("o_orderpriority").orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("o_orderkey").cast("string"))), "o_orderkey")
     return t(spark, d, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(w).alias("k")).where("k <= 2").drop("k")
+
+
+from scorefabric.plans import scoring  # noqa: E402,F401  registers its queries

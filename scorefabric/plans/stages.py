@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,21 +50,42 @@ class Stages:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def run(self, *wanted: str) -> dict[str, DataFrame]:
-        """Results of all stages needed; a stage whose needs failed is not tried, others go on."""
+    def run(self, *wanted: str, slots: int = 1, retries: int = 0) -> dict[str, DataFrame]:
+        """Results of all stages needed, `slots` stages at a time, each tried again up to `retries` times; a stage whose
+        needs failed is not tried, others go on."""
+        waiting = self.order(list(wanted))
         out: dict[str, DataFrame] = {}
         failed: dict[str, Exception] = {}
-        for n in self.order(list(wanted)):
-            fn, needs = self.stages[n]
-            if any(x in failed for x in needs):
-                failed[n] = RuntimeError("a stage that it needs failed")
-                continue
-            try:
-                if not self.done(n):
-                    fn(self.spark, *[out[x] for x in needs]).write.mode("overwrite").parquet(self.path(n))
-                out[n] = self.spark.read.parquet(self.path(n))
-            except Exception as e:  # noqa: BLE001
-                failed[n] = e
+
+        def attempt(name: str) -> DataFrame:
+            fn, needs = self.stages[name]
+            for left in range(retries, -1, -1):
+                try:
+                    if not self.done(name):
+                        fn(self.spark, *[out[x] for x in needs]).write.mode("overwrite").parquet(self.path(name))
+                    return self.spark.read.parquet(self.path(name))
+                except Exception:  # noqa: BLE001
+                    if not left:
+                        raise
+            raise AssertionError("unreachable")
+
+        with ThreadPoolExecutor(slots) as pool:
+            running: dict = {}
+            while waiting or running:
+                for n in list(waiting):
+                    needs = self.stages[n][1]
+                    if any(x in failed for x in needs):
+                        failed[n] = RuntimeError("a stage that it needs failed")
+                        waiting.remove(n)
+                    elif len(running) < slots and all(x in out for x in needs):
+                        running[pool.submit(attempt, n)] = n
+                        waiting.remove(n)
+                for f in wait(running, return_when=FIRST_COMPLETED).done if running else ():
+                    n = running.pop(f)
+                    if f.exception():
+                        failed[n] = f.exception()
+                    else:
+                        out[n] = f.result()
         if failed:
             raise RuntimeError(f"stages failed: { {k: str(v)[:200] for k, v in failed.items()} }")
         return out

@@ -81,9 +81,20 @@ def _pcm(content: bytes) -> tuple[int, int, int, np.ndarray]:
     return rate, ch, width, x.reshape(-1, ch)
 
 
-def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+def _header(content: bytes) -> tuple[int, int, int, int]:
+    """(rate, channels, width, frames), samples undecoded."""
+    with wave.open(io.BytesIO(content)) as w:
+        return w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
+
+
+def resampled(x: np.ndarray, rate: int, to: int, zeros: int = 16) -> np.ndarray:
+    """Linear interpolation; before going to a lower rate, a windowed sinc takes out what that rate can't hold."""
     if rate == to or not len(x):
         return x
+    if to < rate:
+        reach = int(np.ceil(zeros * rate / to))
+        taps = np.sinc(np.arange(-reach, reach + 1) * to / rate) * np.hanning(2 * reach + 3)[1:-1]
+        x = np.convolve(x, taps / taps.sum())[reach : reach + len(x)]
     n = int(round(len(x) * to / rate))
     return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x).astype(np.float32)
 
@@ -95,9 +106,12 @@ def wav(spark: SparkSession, path: str, rate: int = 16000, most_seconds: float |
         for b in batches:
             rows = []
             for p, content in zip(b["path"], b["content"], strict=True):
-                sr, ch, width, x = _pcm(content)
-                row = [p, sr, ch, width, len(x) / sr]
-                if samples:
+                if not samples:
+                    sr, ch, width, n = _header(content)
+                    row = [p, sr, ch, width, n / sr]
+                else:
+                    sr, ch, width, x = _pcm(content)
+                    row = [p, sr, ch, width, len(x) / sr]
                     mono = resampled(x.mean(1), sr, rate)
                     row.append(mono[: int(most_seconds * rate)] if most_seconds else mono)
                 rows.append(row)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorefabric.functions.expressions import half
 from scorefabric.operators.contracts import duplicates, not_finite, require, uncovered
 
 
@@ -18,8 +19,9 @@ def to_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def to_arrays(df: DataFrame, path: str, by: tuple[str, ...] = ("encoder", "layer")) -> None:
-    """Vectors in long form, partitioned so that a band of layers is a pruned scan."""
+def to_arrays(df: DataFrame, path: str, by: tuple[str, ...] = ("encoder", "layer"), halves: tuple[str, ...] = ()) -> None:
+    """Vectors in long form, partitioned so that a band of layers is a pruned scan; those named in `halves` are rounded to 16-bit floats."""
+    df = df.withColumns({c: F.transform(c, lambda x: half(x).cast("float")) for c in halves})
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*[c for c in by if c in df.columns]).parquet(path)
 
 

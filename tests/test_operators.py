@@ -10,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scorefabric.functions import diff
+from scorefabric.functions import diff, syntax
 from scorefabric.functions import expressions as X
-from scorefabric.operators import contracts, folds, models, sequences, similarity, stats
+from scorefabric.operators import attribution, contracts, folds, models, sequences, similarity, stats
+from scorefabric.plans.stages import Stages
 from scorefabric.sources import readers, sinks
 
 
@@ -62,11 +63,11 @@ def test_mattr_valid_tokens_and_text(spark):
 
 def test_timing(spark):
     w = F.expr("array(named_struct('start',0.5D,'end',1.0D,'word','So','prob',0.9D), named_struct('start',1.1D,'end',1.5D,'word','um,','prob',0.4D), named_struct('start',1.8D,'end',2.0D,'word','so','prob',0.8D), named_struct('start',2.1D,'end',2.5D,'word','so.','prob',0.7D))")
-    got = spark.range(1).select(*[c.alias(k) for k, c in X.timing_features(w, F.lit(60.0)).items()]).first().asDict()
+    got = X.unpacked(spark.range(1), [], X.timing_features(w, F.lit(60.0))).first().asDict()
     assert got["n_words"] == 4 and got["wpm"] == 4 and got["lead_time"] == 0.5
     assert got["mean_run_len"] == 2 and got["max_run_len"] == 2 and got["pause25_per_min"] == 1
     assert got["filler_per100"] == 25 and got["repeat_per100"] == 25 and got["low_prob_frac"] == 0.25
-    none = spark.range(1).select(*[c.alias(k) for k, c in X.timing_features(F.filter(w, lambda x: F.lit(False)), F.lit(60.0)).items()]).first().asDict()
+    none = X.unpacked(spark.range(1), [], X.timing_features(F.filter(w, lambda x: F.lit(False)), F.lit(60.0))).first().asDict()
     assert none["n_words"] == 0 and none["wpm"] == 0 and none["pause_mean"] is None
 
 
@@ -190,7 +191,6 @@ def test_sources(spark, tmp_path):
 
 
 def test_stages(spark, tmp_path):
-    from scorefabric.plans.stages import Stages
 
     s = Stages(spark, str(tmp_path))
     s.stage("a")(lambda sp: sp.range(3))
@@ -248,3 +248,134 @@ def test_moving_ttr(toks, window):
     spans = [toks[i : i + window] for i in range(n - window + 1)] if n > window else [toks]
     want = sum(len(set(s)) / len(s) for s in spans) / len(spans) if n else 0.0
     assert abs(moving_ttr(toks, window) - want) < 1e-9
+
+
+def test_half_is_numpy_s(spark):
+    x = [0.0, 1.0, -0.1, 65504.0, 65519.0, 65520.0, 6e-8, 2e-8, 3.1e-5, 1 / 3, 2049.0, 2051.0, float("inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(X.half(F.col("x"))).collect()]
+    want = [None if v is None else float(np.float16(v)) for v in x]
+    assert got == want
+
+
+def test_activity_of_silence_and_of_nothing(spark):
+    df = spark.createDataFrame([(1, [-90.0, -90.0]), (2, []), (3, [-80.0, -10.0, -80.0, -80.0, -80.0, -12.0, -80.0])], "k int, l array<double>")
+    a, b, c = X.unpacked(df, ["k"], sequences.activity(F.col("l"), 0.1)).orderBy("k").collect()
+    assert (a["lead_sil"], a["trail_sil"], a["active_ratio"], a["n_pauses"]) == (0.2, 0.2, 0.0, 0)
+    assert b["dyn_range_db"] is None and b["active_ratio"] is None and b["lead_sil"] == 0
+    assert (c["n_pauses"], c["lead_sil"], c["trail_sil"]) == (1, 0.1, 0.1) and c["pause_max"] == pytest.approx(0.3)
+
+
+def test_syntax_of_a_parse(spark):
+    row = lambda w, s, pos, tag, dep, head: (w, s, pos, tag, dep, head)
+    p = [row("Dogs", 0, "NOUN", "NNS", "nsubj", 2), row("ran", 0, "VERB", "VBD", "ROOT", 2), row("because", 0, "SCONJ", "IN", "mark", 5), row("it", 0, "PRON", "PRP", "nsubj", 5), row("rained", 0, "VERB", "VBD", "advcl", 2), row(".", 0, "PUNCT", ".", "punct", 2), row("!", 1, "PUNCT", ".", "ROOT", 7), row("Yes", 2, "INTJ", "UH", "ROOT", 8)]
+    df = spark.createDataFrame([(1, p), (2, [])], "k int, p array<struct<word:string,sent:int,pos:string,tag:string,dep:string,head:int>>")
+    a, b = X.unpacked(df, ["k"], syntax.syntax_features(F.col("p"), F.lit(2))).orderBy("k").collect()
+    assert (a["ling_n_words"], a["n_sents"], a["sent_len_mean"], a["sent_len_std"], a["dep_depth_max"], a["dep_depth_mean"]) == (6, 2, 3.0, 2.0, 2, 1.0)
+    assert (a["clauses_per_sent"], a["noun_chunks_per_sent"], a["verb_form_diversity"], a["vtag_VBD"]) == (0.5, 1.0, 1, 2 / 6)
+    assert b["ling_n_words"] == 0 and b["ttr"] is None and b["n_sents"] is None
+
+
+def _tree_mean(node, x, known):
+    if "value" in node:
+        return node["value"]
+    if node["feature"] in known:
+        return _tree_mean(node["left" if x[node["feature"]] <= node["threshold"] else "right"], x, known)
+    return sum(_tree_mean(node[s], x, known) * node[s]["cover"] for s in ("left", "right")) / node["cover"]
+
+
+def test_shapley_values_are_those_of_all_subsets():
+    from itertools import combinations
+    from math import factorial
+
+    rng = np.random.default_rng(3)
+
+    def grown(depth, cover):
+        if not depth or cover < 2:
+            return {"value": float(rng.normal()), "cover": cover}
+        left = float(rng.integers(1, int(cover)))
+        return {"feature": int(rng.integers(4)), "threshold": float(rng.normal() / 2), "cover": cover, "left": grown(depth - 1, left), "right": grown(depth - 1, cover - left)}
+
+    tree, x = grown(5, 200.0), rng.normal(size=(6, 4))
+    got = attribution.shapley(x, attribution.leaves(tree))
+    for row, phi in zip(x, got, strict=True):
+        for j in range(4):
+            rest = [i for i in range(4) if i != j]
+            want = sum(factorial(k) * factorial(3 - k) / 24 * (_tree_mean(tree, row, {*s, j}) - _tree_mean(tree, row, set(s))) for k in range(4) for s in combinations(rest, k))
+            assert phi[j] == pytest.approx(want)
+        assert attribution.expected(attribution.leaves(tree)) + phi.sum() == pytest.approx(_tree_mean(tree, row, {0, 1, 2, 3}))
+
+
+def test_contributions_of_fitted_trees_add_up_and_seeds_average(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b")).withColumn("y", F.col("a") * 2 - F.col("b"))
+    v = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    model = models.boosted_trees(label="y", trees=3, rate=0.3).fit(v)
+    paths = attribution.fitted_leaves(model)
+    sums = attribution.contributions(df, paths, ["id"], ["a", "b"]).groupBy("id").agg(F.sum("contribution").alias("s"))
+    both = model.transform(v).join(sums, "id").select("prediction", "s").collect()
+    assert len(both) == 200 and all(r["prediction"] == pytest.approx(attribution.expected(paths) + r["s"]) for r in both)
+    makers = [models.boosted_trees(label="y", trees=2, seed=s) for s in (1, 2)]
+    single = [{r["id"]: r["prediction"] for r in m.fit(v).transform(v).collect()} for m in makers]
+    mean = {r["id"]: r["pred"] for r in models.seed_averaged(makers, v, v, "id").collect()}
+    assert all(mean[i] == pytest.approx((single[0][i] + single[1][i]) / 2) for i in mean)
+
+
+def test_ridge_search_is_leave_one_out_by_refitting(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(40, 3)) * [1, 5, 0.1], rng.normal(size=40)
+    y = y + x[:, 0]
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    got = {round(r["alpha"], 9): r["loo_mse"] for r in models.ridge_search(df, ["a", "b", "c"], "y").collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    for alpha in models.SEARCH[[0, 14, 29]]:
+        err = 0.0
+        for i in range(40):
+            keep = np.arange(40) != i
+            zt = np.column_stack([np.ones(39), z[keep]])
+            w = np.linalg.solve(zt.T @ zt + np.diag([0, alpha, alpha, alpha]), zt.T @ y[keep])
+            err += (y[i] - w[0] - z[i] @ w[1:]) ** 2 / 40
+        assert got[round(float(alpha), 9)] == pytest.approx(err)
+
+
+def test_ranks_within_groups(spark):
+    rows = [(g, float(v)) for g in "ab" for v in [3, 1, 1, 2, 2, 2, 9]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = sorted(map(tuple, stats.ranks_by_count(df, "v", "r", ["g"]).select("g", "v", "r").collect()))
+    assert got == sorted(map(tuple, stats.ranks(df, "v", "r", ["g"]).select("g", "v", "r").collect()))
+
+
+def test_alignment_refuses_a_miss(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    with pytest.raises(contracts.ContractError):
+        contracts.aligned(rows, spark.createDataFrame([(1, 0.5)], "k int, v double"), ["k"])
+
+
+def test_stages_try_again_in_slots(spark, tmp_path):
+    tries = {"n": 0}
+    s = Stages(spark, str(tmp_path))
+
+    @s.stage("a")
+    def a(spark):
+        tries["n"] += 1
+        if tries["n"] < 3:
+            raise OSError("not yet")
+        return spark.range(3)
+
+    @s.stage("b")
+    def b(spark):
+        return spark.range(2)
+
+    @s.stage("c", "a", "b")
+    def c(spark, a, b):
+        return a.join(b, "id")
+
+    assert s.run("c", slots=2, retries=2)["c"].count() == 2 and tries["n"] == 3
+
+
+def test_names_and_candidates(spark):
+    names = ["x_a", "x_b_mean", "y_a", "x_id"]
+    assert X.names_like(names, prefix=("x_",), deny=("x_id",)) == ["x_a", "x_b_mean"]
+    assert X.names_like(names, suffix=("_mean",)) == ["x_b_mean"] and X.names_like(names, include=("_a",), exclude=("y",)) == ["x_a"]
+    c = F.expr("array(named_struct('code','b','p',0.5D), named_struct('code','a','p',0.5D), named_struct('code','z','p',null), named_struct('code','c','p',0.9D))")
+    assert [r["code"] for r in one(spark, X.top_candidates(c, "p", 3))] == ["c", "a", "b"]
