@@ -111,12 +111,13 @@ def ridge_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label: s
     return fan.groupBy("view", "repeat", "fold").applyInPandas(fit, f"view string, {key} {kind}, repeat int, fold int, pred double, alpha double")
 
 
-def _primal_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label: str, group: str, inner: int = 4) -> DataFrame:
+def _primal_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label: str, group: str, inner: int = 4, jobs: DataFrame | None = None, everyone: bool = False) -> DataFrame:
     """ridge_oof for any number of rows: moments of (1, z, y) are summed for each (view, repeat, fold, inner fold), and
-    inner errors are quadratic forms of them. A task holds the table of group sizes of a view and repeat."""
+    inner errors are quadratic forms of them. A task holds the table of group sizes of a view and repeat. With everyone,
+    rows that were learnt from are predicted too."""
     spark, kind = view.sparkSession, view.schema[key].dataType.simpleString()
     gkind = view.schema[group].dataType.simpleString()
-    jobs = folds.select("repeat", "fold").distinct()
+    jobs = folds.select("repeat", "fold").distinct() if jobs is None else jobs
     x = F.transform(vector, lambda e: e.cast("double"))
     rows = view.select("view", key, x.alias("x"), F.col(label).cast("double").alias("y"), group)
     rows = rows.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
@@ -176,7 +177,7 @@ def _primal_oof(view: DataFrame, folds: DataFrame, key: str, vector: str, label:
 
     fits = parts.groupBy("view", "repeat", "fold").applyInPandas(solve, "view string, repeat int, fold int, w array<double>, b double, alpha double")
     fits = spark.createDataFrame(fits.collect(), fits.schema)  # one row a fit
-    new = at.join(F.broadcast(fits), ["view", "repeat"]).where(F.col("y").isNull() | (F.col("_own") == F.col("fold")))
+    new = at.join(F.broadcast(fits), ["view", "repeat"]).where(F.lit(everyone) | F.col("y").isNull() | (F.col("_own") == F.col("fold")))
     pred = F.aggregate(F.zip_with("x", "w", lambda p, q: p * q), F.col("b"), lambda s, e: s + e)
     return new.select("view", F.col(key).cast(kind).alias(key), "repeat", "fold", pred.alias("pred"), "alpha")
 
@@ -188,40 +189,104 @@ def primal_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -
     return w, m["y"] - float(w @ np.array([m[f] for f in features]))
 
 
-def svr(k: np.ndarray, k_new: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1, passes: int = 300, tol: float = 1e-6) -> np.ndarray:
-    """Epsilon-insensitive regression on a kernel, by coordinate descent in the dual.
+def svr_fit(k: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1, tol: float = 1e-3, most: int = 1_000_000) -> tuple[np.ndarray, float, float]:
+    """(weights, bias, KKT residual) of epsilon-insensitive regression on a kernel, by sequential minimal optimisation.
 
-    The bias is part of the kernel (a constant is added to it), so no sum constraint couples the coordinates.
+    The dual has a weight for each row, between -c and c, and they add up to 0. Two weights move at a time, one up and one
+    down: the one whose gradient is furthest below what optimality asks for, and the partner that lowers the objective
+    most. The residual is the violation that is left, `tol` at most unless the steps run out.
     """
-    mean = y.mean()
-    q, t = k + 1.0, y - mean
-    beta, f = np.zeros(len(y)), np.zeros(len(y))
-    for _ in range(passes):
-        moved = 0.0
-        for i in range(len(y)):
-            r = t[i] - f[i] + q[i, i] * beta[i]
-            new = float(np.clip(np.sign(r) * max(abs(r) - eps, 0.0) / q[i, i], -c, c))
-            if (step := new - beta[i]) != 0.0:
-                f += step * q[i]
-                beta[i] = new
-                moved = max(moved, abs(step))
-        if moved < tol:
+    n = len(y)
+    if not n:
+        return np.zeros(0), 0.0, 0.0
+    w, f = np.zeros(n), np.zeros(n)  # f = k @ w
+    diagonal = np.diag(k)
+    gap = 0.0
+    for _ in range(most):
+        slack = f - y
+        # the slope of the objective when a weight goes up, and when it goes down: they differ by 2 eps at weight 0
+        up = np.where(w < c, slack + np.where(w >= 0, eps, -eps), np.inf)
+        down = np.where(w > -c, slack - np.where(w > 0, -eps, eps), -np.inf)
+        i = int(np.argmin(up))
+        gap = down.max() - up[i]
+        if gap <= tol:
             break
-    return (k_new + 1.0) @ beta + mean
+        lead = down - up[i]
+        curve = np.maximum(diagonal[i] + diagonal - 2 * k[i], 1e-12)
+        j = int(np.argmax(np.where(lead > 0, lead * lead / curve, -np.inf)))
+        step = lead[j] / curve[j]
+        # a step ends where a weight meets 0, where its slope changes, or its bound
+        step = min(step, -w[i] if w[i] < 0 else c - w[i], w[j] if w[j] > 0 else w[j] + c)
+        w[i] += step
+        w[j] -= step
+        for at in (i, j):
+            if abs(w[at]) < 1e-15 * c:
+                w[at] = 0.0
+        f += step * (k[i] - k[j])
+    slack = f - y
+    up = np.where(w < c, slack + np.where(w >= 0, eps, -eps), np.inf)
+    down = np.where(w > -c, slack - np.where(w > 0, -eps, eps), -np.inf)
+    return w, -(up.min() + down.max()) / 2, max(0.0, float(down.max() - up.min()))
+
+
+def svr(k: np.ndarray, k_new: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1) -> np.ndarray:
+    w, bias, _ = svr_fit(k, y, c, eps)
+    return k_new @ w + bias
+
+
+def components_of(n: int, mean: np.ndarray, cov: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, axes, variances) of the first principal components of standardised columns, from their covariance.
+
+    An axis points where its largest entry is positive.
+    """
+    sd = np.sqrt(np.diag(cov))
+    scale = np.where(sd > 1e-8, sd, 1.0)
+    variance, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+    keep = np.argsort(-variance, kind="stable")[: max(1, min(most, n - 1, len(mean)))]
+    axes = axes[:, keep]
+    signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(len(keep))])
+    return mean, scale, axes * signs, variance[keep].clip(min=0)
+
+
+def principal(df: DataFrame, vector: str, most: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """components_of the rows of a table of any size: tasks send on sums about the first row's values; the driver holds one matrix.
+
+    Rows with a null vector are left out; no rows: no components.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda e: e.cast("double")).alias("x"))
+    first = rows.first()
+    if first is None:
+        return np.zeros(0), np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    shift = np.array(first["x"])
 
+    def sums(batches):
+        s = np.zeros((len(shift) + 1,) * 2)
+        for pdf in batches:
+            if len(pdf):
+                a = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy()) - shift])
+                s += a.T @ a
+        yield pd.DataFrame({"i": np.arange(len(s)), "s": list(s)})
 
-def pca(x: np.ndarray, n: int) -> np.ndarray:
-    """Scores on the first n principal components of the rows."""
-    c = x - x.mean(0)
-    u, s, _ = np.linalg.svd(c, full_matrices=False)
-    return u[:, :n] * s[:n]
+    long = rows.mapInPandas(sums, "i int, s array<double>").select("i", F.posexplode("s").alias("j", "v"))
+    total = np.zeros((len(shift) + 1,) * 2)
+    for i, j, v in long.groupBy("i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
+        total[i, j] = v
+    n, m = total[0, 0], total[0, 1:] / total[0, 0]
+    return components_of(int(n), m + shift, total[1:, 1:] / n - np.outer(m, m), most)
 
 
 def pca_svr(x: np.ndarray, train: np.ndarray, new: np.ndarray, y: np.ndarray, n: int = 128, c: float = 3.0, eps: float = 0.1) -> np.ndarray:
-    """PCA over all rows, RBF kernel with the scale that the variance gives, epsilon-insensitive fit."""
-    z = pca(standardised(x), n)
-    gamma = 1 / (z.shape[1] * max(z[train].var(), 1e-12))
-    return svr(rbf(z[train], z[train], gamma), rbf(z[new], z[train], gamma), y, c, eps)
+    """Predictions for `new`: z-scores and principal components of the training rows, RBF kernel, epsilon-insensitive fit."""
+    return pca_svr_fit(x[train], y, x[new], n, c, eps)[0]
+
+
+def pca_svr_fit(x: np.ndarray, y: np.ndarray, new: np.ndarray, n: int = 128, c: float = 3.0, eps: float = 0.1) -> tuple[np.ndarray, float]:
+    """(predictions for `new`, KKT residual); the kernel's scale is one over columns times variance."""
+    mean, scale, axes, _ = components_of(len(x), x.mean(0), np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1]), n)
+    z, z_new = ((a - mean) / scale @ axes for a in (x, new))
+    gamma = 1 / (z.shape[1] * max(z.var(), 1e-12))
+    w, bias, gap = svr_fit(rbf(z, z, gamma), y, c, eps)
+    return rbf(z_new, z, gamma) @ w + bias, gap
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from scorefabric.functions import expressions as X
 from scorefabric.functions import syntax
-from scorefabric.operators import attribution, contracts, folds, models, sequences, similarity, stats
-from scorefabric.plans.queries import TOK_SQL, query, r6, spread, t
+from scorefabric.operators import attribution, contracts, estimators, folds, models, sequences, similarity, stats
+from scorefabric.plans.queries import TOK_SQL, _views, query, r6, spread, t
 
 LIST = "list_transform(embedding, lambda x: x::double)"
 
@@ -252,6 +252,36 @@ def tree_importance(spark, d):
     return attribution.importance(_parts(spark, d)).withColumn("strength", r6(F.col("strength")))
 
 
+def _one_driver(spark, d, estimator):
+    """Out-of-fold means, the refit's predictions and the largest figure of a row's fits, over both bands of the vectors."""
+    v, f = _views(spark, d)
+    p = estimators.predictions(v, f, "vec_id", "vec", "y", "g", estimator)
+    s = estimators.summarised(p, v, "vec_id", "y")
+    return s.select("view", "vec_id", "y", r6(F.col("pred")).alias("pred"), r6(F.col("full")).alias("full"), "n", "figure")
+
+
+@query()
+def ridge_refit(spark, d):
+    return _one_driver(spark, d, estimators.Ridge()).withColumnRenamed("figure", "alpha")
+
+
+@query()
+def support_vectors(spark, d):
+    return _one_driver(spark, d, estimators.Support()).withColumnRenamed("figure", "kkt_residual")
+
+
+@query()
+def leafwise_trees(spark, d):
+    return _one_driver(spark, d, estimators.Trees()).withColumnRenamed("figure", "leaves")
+
+
+@query("""select unnest([1,2])::bigint component, round(unnest([1+abs(r),1-abs(r)]),6) variance, round(unnest([1+abs(r),1-abs(r)])/2,6) share from (select corr(l_quantity, l_extendedprice) r from lineitem)""")
+def principal_components(spark, d):
+    li = t(spark, d, "lineitem").select(F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")).alias("x"))
+    _, scale, _, variance = models.principal(li, "x")
+    return spark.createDataFrame([(k + 1, round(float(v), 6), round(float(v) / len(scale), 6)) for k, v in enumerate(variance)], "component long, variance double, share double")
+
+
 @query("select l_returnflag, m1, m2 from (select l_returnflag, round(avg(l_quantity),6) m1, round(avg(l_discount),6) m2 from lineitem group by 1)")
 def oof_wide(spark, d):
     """Fold predictions of two models averaged by key, then side by side."""
