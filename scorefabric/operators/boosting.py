@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorefabric.operators.written import checkpointed
+
 UNIT = 1 << 20
 MOST_BINS = 255
 
@@ -289,7 +291,7 @@ def fitted(df: DataFrame, key: str, vector: str, label: str, fits: list[tuple[Bo
     All parameters but the seed must be equal. write(df, name) writes a table and reads it back; by default a checkpoint.
     The driver holds histograms: fits times nodes times columns times bins numbers.
     """
-    write = write or (lambda table, _: table.checkpoint())
+    write = write or (lambda table, _: checkpointed(table))
     labelled = df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
     edges = cuts_of(labelled, vector) if edges is None else edges
     width = max((len(e) for e in edges), default=0) + 1

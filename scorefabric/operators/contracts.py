@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorefabric.operators.quantiles import quantiles
+
 
 class ContractError(AssertionError):
     pass
@@ -75,10 +77,11 @@ def join_features(base: DataFrame, parts: list[DataFrame], key: list[str]) -> Da
 
 
 def fill_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NaN and NULL to exact column medians over all rows (one aggregate for all columns)."""
+    """NaN and NULL to exact column medians over all rows, those of all columns found together."""
     clean = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
-    medians = clean.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    return clean.na.fill({c: medians[c] for c in columns if medians[c] is not None})
+    long = clean.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+    medians = {r["c"]: r["q"][0] for r in quantiles(long, "x", [0.5], ["c"]).collect()}  # a row a column
+    return clean.na.fill(medians) if medians else clean
 
 
 def zscore(df: DataFrame, columns: list[str], least: float = 1e-8) -> DataFrame:

@@ -410,6 +410,40 @@ def nested_stack(df: DataFrame, folds: DataFrame, models: list[str], label: str,
     return out.select(key, label, clip(F.col("_m"), *bounds).alias("stack_oof"))
 
 
+def calibrated_stack(df: DataFrame, folds: DataFrame, models: list[str], label: str, group: str, key: str, cohort: str, least: int = 20, bounds=(1.0, 5.0)) -> DataFrame:
+    """(key, label, stack_oof): nested_stack whose fits are made linear in the label within each cohort, second level included.
+
+    A fold's lines come from the moments of its repeat's other folds, cohort by cohort, so no row sees its own
+    calibration; a cohort with `least` rows or fewer there, or without spread, keeps the plain prediction. Null is a cohort.
+    """
+    from scorefabric.functions.expressions import clip
+
+    placed = df.join(folds, group)
+    cells = _moments(placed, ["repeat", "fold", cohort], models, label)
+    cohorts, fits = list(dict.fromkeys(k[2] for k in cells)), []
+    for r, f in sorted({k[:2] for k in cells}):
+        others = {k: v for k, v in cells.items() if k[0] == r and k[1] != f}
+        if not others:
+            continue
+        mean, c = _merged(list(others.values()))
+        w = nnls(c[:-1, :-1], c[:-1, -1])
+        bias = float(mean[-1] - w @ mean[:-1])
+        for h in cohorts:
+            slope, shift, own = 1.0, 0.0, [v for k, v in others.items() if k[2] == h]
+            if sum(n for n, _, _ in own) > least:
+                at, spread = _merged(own)
+                if (variance := float(w @ spread[:-1, :-1] @ w)) > 1e-12:
+                    slope = float(w @ spread[:-1, -1]) / variance
+                    shift = float(at[-1] - slope * (w @ at[:-1] + bias))
+            fits.append((r, f, h, (slope * w).tolist(), slope * bias + shift))
+    kind = df.schema[cohort].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(fits, f"_r int, _f int, _h {kind}, _w array<double>, _b double")  # repeats times folds times cohorts rows
+    on = (F.col("repeat") == F.col("_r")) & (F.col("fold") == F.col("_f")) & F.col(cohort).eqNullSafe(F.col("_h"))
+    pred = sum((F.col(m) * F.col("_w")[i] for i, m in enumerate(models)), F.col("_b"))
+    out = placed.join(F.broadcast(table), on, "left").groupBy(key).agg(F.first(label).alias(label), F.avg(pred).alias("_m"))
+    return out.select(key, label, clip(F.col("_m"), *bounds).alias("stack_oof"))
+
+
 def component_spread(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(model, weight, spread): population sd of each weighted component, in one aggregate."""
     s = df.agg(*[F.stddev_pop(F.col(m) * float(w)).alias(m) for m, w in weights.items()])
@@ -458,11 +492,27 @@ def seed_averaged(makers: list, train: DataFrame, new: DataFrame, key: str) -> D
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.avg("pred").alias("pred"))
 
 
-def ablation(df: DataFrame, folds: DataFrame, models: list[str], drop: list[str], label: str, group: str, key: str) -> DataFrame:
-    """The stack with and without columns, side by side: (key, label, full, without)."""
-    a = nested_stack(df, folds, models, label, group, key).withColumnRenamed("stack_oof", "full")
-    b = nested_stack(df, folds, [m for m in models if m not in drop], label, group, key).select(key, F.col("stack_oof").alias("without"))
-    return a.join(b, key)
+def ablation(df: DataFrame, folds: list[DataFrame], models: list[str], drop: list[str], label: str, group: str, key: str) -> DataFrame:
+    """(key, label, group, full, without): the stack with and without the columns whose names hold a part of `drop`, each the
+    mean over the given fold tables (one a seed)."""
+    reduced = [m for m in models if not any(part in m for part in drop)]
+    if len(reduced) == len(models) or not reduced:
+        raise ValueError(f"{drop} matches no column, or all")
+    sides = []
+    for names, out in ((models, "full"), (reduced, "without")):
+        parts = [nested_stack(df, f, names, label, group, key).select(key, "stack_oof") for f in folds]
+        sides.append(reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.avg("stack_oof").alias(out)))
+    return df.select(key, label, group).join(sides[0], key).join(sides[1], key)
+
+
+def ablation_report(predictions: DataFrame, label: str, group: str, n: int = 2000, seed: int = 0, draws=None) -> DataFrame:
+    """One row: metrics of `full` and of `without`, their differences over paired draws of groups, and the shares of draws
+    in which `full` is better. draws: bootstrap of another kind than the one of a fixed number of groups."""
+    from scorefabric.operators import resampling, stats
+
+    sides = [predictions.agg(*[c.alias(f"{side}_{name}") for name, c in zip(("n", "rmse", "mae", "bias", "r", "composite"), stats.metrics(label, side), strict=True)]) for side in ("full", "without")]
+    drawn = (draws or resampling.bootstrap)(predictions, group, label, ["without", "full"], n, seed)
+    return sides[0].join(sides[1]).join(stats.paired(drawn, "without", "full"))  # one row each
 
 
 def probe(view: DataFrame, folds: DataFrame, key: str, vector: str, label: str, group: str) -> DataFrame:

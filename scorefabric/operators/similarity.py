@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorefabric.functions.expressions import tokens
+from scorefabric.operators.quantiles import quantiles
+from scorefabric.operators.written import checkpointed
 
 #: Vectors of a block: a task multiplies two blocks and emits only what passes.
 BLOCK = 1024
@@ -71,8 +73,9 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
 
 
 def nn_threshold(queries: DataFrame, base: DataFrame, key: str, vector: str, percentile: float = 0.995) -> float:
-    """The percentile of the queries' greatest similarities: one number."""
-    return nearest(queries, base, key, vector).agg(F.percentile("sim", F.lit(percentile))).first()[0]
+    """The percentile of the queries' greatest similarities: one number, None if there are none."""
+    found = quantiles(nearest(queries, base, key, vector), "sim", [percentile]).first()
+    return found["q"][0] if found else None
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -80,18 +83,13 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
     Least labels spread over edges and jump over labels; every round is written to the checkpoint folder.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct().checkpoint()
-    label = nodes.select(F.col(key).alias("x"), F.col(key).alias("c")).checkpoint()
+    both = checkpointed(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
+    label = checkpointed(nodes.select(F.col(key).alias("x"), F.col(key).alias("c")))
     while True:
         near = both.join(label.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
         step = label.join(near, "x", "left").select("x", F.least("c", F.coalesce("m", "c")).alias("n"), F.col("c").alias("old"))
         jump = step.select(F.col("x").alias("n"), F.col("n").alias("up"))
-        new = step.join(jump, "n", "left").select("x", F.least("n", F.coalesce("up", "n")).alias("c"), "old").checkpoint()
+        new = checkpointed(step.join(jump, "n", "left").select("x", F.least("n", F.coalesce("up", "n")).alias("c"), "old"))
         done = new.where(F.col("c") != F.col("old")).isEmpty()
         label = new.select("x", "c")
         if done:
@@ -176,33 +174,28 @@ def linked_groups(df: DataFrame, key: str, vector: str, thresholds: list[float],
     `most` clusters at most are left, which one task links. Equal vectors are one cluster from the start. A round costs a
     product of all pairs of blocks.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     names, least = [f"group_{int(round(100 * t))}" for t in thresholds], min(thresholds)
     if not 0 <= least <= max(thresholds) < 1:
         raise ValueError("thresholds are in [0, 1)")
     v = F.transform(vector, lambda x: x.cast("double"))
     own = df.select(F.col(key).cast("long").alias("k"), v.alias("v")).withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    own = own.withColumn("z", F.when(F.col("s") == 0, F.col("k")).otherwise(F.lit(-1).cast("long"))).checkpoint()
+    own = checkpointed(own.withColumn("z", F.when(F.col("s") == 0, F.col("k")).otherwise(F.lit(-1).cast("long"))))
     equal = own.groupBy("v", "z").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
-    clusters = equal.select("c", "n", F.transform("v", lambda x: x / F.greatest(F.col("s"), F.lit(1e-12))).alias("m")).checkpoint()
-    members = own.join(equal.select("v", "z", "c"), ["v", "z"]).select("k", "c", *[F.col("c").alias(m) for m in names]).checkpoint()
+    clusters = checkpointed(equal.select("c", "n", F.transform("v", lambda x: x / F.greatest(F.col("s"), F.lit(1e-12))).alias("m")))
+    members = checkpointed(own.join(equal.select("v", "z", "c"), ["v", "z"]).select("k", "c", *[F.col("c").alias(m) for m in names]))
     while clusters.count() > most:
-        near = _closest(clusters, least, block).checkpoint()
+        near = checkpointed(_closest(clusters, least, block))
         clusters = clusters.join(near.select("c"), "c")  # the others merge no more
         x, y = near.alias("x"), near.alias("y")
         pairs = x.join(y, (F.col("x.other") == F.col("y.c")) & (F.col("y.other") == F.col("x.c"))).where("x.c < y.c").select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.sim").alias("sim"))
-        into = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("new"), "sim").checkpoint()
+        into = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("new"), "sim"))
         if into.isEmpty():
             break
         joined = clusters.join(into, "c", "left").groupBy(F.coalesce("new", "c").alias("c2")).agg(F.sort_array(F.collect_list(F.struct("c", "n", "m"))).alias("l"))
         total = F.aggregate(F.transform("l", lambda e: e["n"]), F.lit(0).cast("long"), lambda a, e: a + e)
         mean = F.when(F.size("l") == 1, F.col("l")[0]["m"]).otherwise(F.zip_with(F.col("l")[0]["m"], F.get("l", F.lit(1))["m"], lambda p, q: (p * F.col("l")[0]["n"] + q * F.get("l", F.lit(1))["n"]) / (F.col("l")[0]["n"] + F.get("l", F.lit(1))["n"])))
-        clusters = joined.select(F.col("c2").alias("c"), total.alias("n"), mean.alias("m")).checkpoint()
-        members = members.join(into, "c", "left").select("k", F.coalesce("new", "c").alias("c"), *[F.when(F.col("sim") > t, F.col("new")).otherwise(F.col(m)).alias(m) for m, t in zip(names, thresholds, strict=True)]).checkpoint()
+        clusters = checkpointed(joined.select(F.col("c2").alias("c"), total.alias("n"), mean.alias("m")))
+        members = checkpointed(members.join(into, "c", "left").select("k", F.coalesce("new", "c").alias("c"), *[F.when(F.col("sim") > t, F.col("new")).otherwise(F.col(m)).alias(m) for m, t in zip(names, thresholds, strict=True)]))
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
@@ -268,4 +261,4 @@ def few_shot_prompt(examples, text, rubric: str, scale: str = "1.0-5.0"):
     return F.concat(F.lit(f"{rubric}\nScale {scale}.\n\n"), shots, F.lit("\n\nText: "), text, F.lit("\nGrade:"))
 
 
-__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "nearest", "nn_threshold", "text_neighbours", "tfidf", "tokens", "whole_band_anchors"]
+__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "text_neighbours", "tfidf", "tokens"]

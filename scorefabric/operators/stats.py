@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorefabric.operators.quantiles import quantiles
+from scorefabric.operators.written import checkpointed
+
 QUARTILES = [0.25, 0.5, 0.75]
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, sample sd, min, exact quartiles, max."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in QUARTILES]))
-    out = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), q.alias("_q"), F.max(value).alias("high"))
-    return out.select(*(by or []), "n", "mean", "sd", "low", *[F.col("_q")[k].alias(f"q{int(100 * p)}") for k, p in enumerate(QUARTILES)], "high")
+    by = by or []
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    q = quantiles(df, value, QUARTILES, by).drop("n").withColumnsRenamed({k: f"_{k}" for k in by})
+    both = out.join(q, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] or None, "left")
+    return both.select(*by, "n", "mean", "sd", "low", *[F.get("q", F.lit(k)).alias(f"q{int(100 * p)}") for k, p in enumerate(QUARTILES)], "high")
 
 
 def value_counts(df: DataFrame, column: str, normalise: bool = False) -> DataFrame:
@@ -48,10 +53,13 @@ def ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> D
 
 
 def ranks_by_count(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Average ranks (within groups `by`) without bringing a group to one task: counts of distinct values are summed over ranges."""
+    """Average ranks (within groups `by`) without bringing a group to one task: counts of distinct values are summed over ranges.
+
+    Rows with a null value or group are left out.
+    """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.repartitionByRange(*by, F.col(value)).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = checkpointed(counts.repartitionByRange(*by, F.col(value)).withColumn("_p", F.spark_partition_id()))
     own = Window.partitionBy(*by).orderBy("_p")
     before = ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_t")).withColumn("_b", F.sum("_t").over(own) - F.col("_t")).drop("_t")
     inside = F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy(value)) - F.col("_n")
@@ -97,9 +105,9 @@ def test_mix_rmse(scored: DataFrame, target: DataFrame, cohort: str, y: str, p:
 
 def quantile_buckets(df: DataFrame, value: str, out: str) -> DataFrame:
     """Quartile buckets 0..3, right-closed with the lowest included, from exact quartiles (one row, broadcast)."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(df, value, QUARTILES).select(F.col("q").alias("_q"))
     b = F.when(F.col(value) <= F.col("_q")[0], 0).when(F.col(value) <= F.col("_q")[1], 1).when(F.col(value) <= F.col("_q")[2], 2).otherwise(3)
-    return df.join(F.broadcast(q)).withColumn(out, F.when(F.col(value).isNotNull(), b)).drop("_q")
+    return df.join(F.broadcast(q), how="left").withColumn(out, F.when(F.col(value).isNotNull(), b)).drop("_q")
 
 
 def recalibrated(df: DataFrame, cohort: str, y: str, p: str, least: int = 20) -> DataFrame:

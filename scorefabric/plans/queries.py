@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorefabric.functions import diff
 from scorefabric.functions import expressions as X
-from scorefabric.operators import contracts, folds, models, sequences, similarity, stats
+from scorefabric.operators import contracts, folds, models, quantiles, resampling, sequences, similarity, stats
 from scorefabric.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,7 +360,8 @@ def cosine_threshold_pairs(spark, d):
 @query(f"{COS_SQL}, m as (select a.vec_id, max(list_dot_product(a.v,b.v)) s from n a join n b on a.vec_id%5=0 and b.vec_id%5<>0 group by 1) select round(quantile_cont(s,0.995),6) threshold from m")
 def nn_percentile_threshold(spark, d):
     e = t(spark, d, "embeddings")
-    return similarity.nearest(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), "vec_id", "embedding").agg(r6(F.percentile("sim", F.lit(0.995))).alias("threshold"))
+    best = similarity.nearest(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), "vec_id", "embedding")
+    return quantiles.quantiles(best, "sim", [0.995]).select(r6(F.col("q")[0]).alias("threshold"))
 
 
 @query(f"with recursive {COS_SQL[5:]}, e as (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id<>b.vec_id where list_dot_product(a.v,b.v)>0.45), r as (select vec_id, vec_id c from n union select r.vec_id, e.b from r join e on r.c=e.a) select vec_id, min(c) component from r group by vec_id")
@@ -459,16 +460,19 @@ def nested_stack(spark, d):
     return out.agg(*stats.metrics("y", "stack_oof"))
 
 
+def _by_supplier(spark, d):
+    li = t(spark, d, "lineitem")
+    return li.select(F.col("l_suppkey").alias("g"), (F.col("l_extendedprice") / 20000).alias("y"), (F.col("l_quantity") / 10 * 0.8).alias("a"), (F.col("l_quantity") / 10).alias("b"))
+
+
 @query()
 def bootstrap_ci(spark, d):
-    s = _stackable(spark, d).withColumn("a", F.col("m1") * 0.8).withColumn("b", F.col("m1"))
-    return stats.bootstrap_summary(stats.bootstrap(s, "g", "y", ["a", "b"], 1000))
+    return stats.bootstrap_summary(resampling.bootstrap(_by_supplier(spark, d), "g", "y", ["a", "b"], 1000))
 
 
 @query()
 def bootstrap_paired(spark, d):
-    s = _stackable(spark, d).withColumn("a", F.col("m1") * 0.8).withColumn("b", F.col("m1"))
-    return stats.paired(stats.bootstrap(s, "g", "y", ["a", "b"], 2000), "a", "b")
+    return stats.paired(resampling.bootstrap(_by_supplier(spark, d), "g", "y", ["a", "b"], 2000), "a", "b")
 
 
 @query("select count(*) duplicates from (select o_orderkey from orders group by 1 having count(*)>1)")

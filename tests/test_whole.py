@@ -119,16 +119,3 @@ def test_anchors_come_from_whole_bands_of_other_folds(spark, tmp_path):
     assert sorted((x.vec_id, x.band) for x in got) == [(i, b) for i in range(900) for b in range(4)]
     assert all(band[x.anchor % 9] == x.band and x.anchor % 5 != x.vec_id % 5 for x in got)
     assert all(len({x.anchor for x in got if x.band == b}) > 64 for b in range(4))
-
-
-@pytest.mark.parametrize(("name", "draws"), [("bootstrap_ci", 1000), ("bootstrap_paired", 2000)])
-def test_bootstraps_have_all_draws(spark, monkeypatch, name, draws):
-    from scorefabric.operators import stats
-
-    seen = []
-    monkeypatch.setattr(stats, "bootstrap", lambda df, group, y, preds, n=1000, seed=0: seen.append(n))
-    monkeypatch.setattr(stats, "bootstrap_summary", lambda d: d)
-    monkeypatch.setattr(stats, "paired", lambda d, *_: d)
-    monkeypatch.setattr(Q, "t", lambda *_: spark.range(0).select(*[F.col("id").alias(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_partkey")]))
-    Q.QUERIES[name](spark, "")
-    assert seen == [draws]
