@@ -142,15 +142,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(F.transform(a, lambda x: x.cast("double")))
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / total(e))
+    v = F.transform(a, lambda x: x.cast("double"))
+    e = let(F.array_max(v), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top)))
+    return let(let(e, lambda w: F.struct(w.alias("w"), total(w).alias("mass"))), lambda s: F.transform(s["w"], lambda x: x / s["mass"]))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(F.transform(a, lambda x: x.cast("double")))
-    mass = F.log(total(F.transform(a, lambda x: F.exp(x.cast("double") - top))))
-    return F.transform(a, lambda x: x.cast("double") - top - mass)
+    v = F.transform(a, lambda x: x.cast("double"))
+    mass = let(F.array_max(v), lambda top: top + F.log(total(F.transform(a, lambda x: F.exp(x.cast("double") - top)))))
+    return let(mass, lambda m: F.transform(a, lambda x: x.cast("double") - m))
 
 
 def half(c: Column) -> Column:
@@ -273,6 +273,11 @@ def segment_features(segments: Column) -> dict[str, Column]:
     return {"avg_logprob_mean": F.when(F.size(segments) > 0, mean_of(get("avg_logprob"))), "avg_logprob_min": F.array_min(get("avg_logprob")), "compression_max": F.array_max(get("compression_ratio")), "no_speech_max": F.array_max(get("no_speech_prob"))}
 
 
+def segment_aggregates() -> dict[str, Column]:
+    """segment_features as aggregates over a row for each segment, which combine before a shuffle."""
+    return {"avg_logprob_mean": F.avg("avg_logprob"), "avg_logprob_min": F.min("avg_logprob"), "compression_max": F.max("compression_ratio"), "no_speech_max": F.max("no_speech_prob")}
+
+
 def timing_features(words: Column, duration: Column) -> Column:
     """A struct of the timing features of a clip from its words (structs start, end, word, prob, in order); see unpacked()."""
     gaps = lambda kept: F.zip_with(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), lambda b, a: F.greatest(b["start"] - a["end"], F.lit(0.0)))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorefabric.operators.written import checkpointed
+
 
 def _counts(df: DataFrame, group: str, stratum: str):
     rows = df.groupBy(group, stratum).count().orderBy(group, stratum).collect()
@@ -145,3 +147,37 @@ def sampled(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> Data
     """At most n rows of each group, by hash order."""
     w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """df with row numbers from 0 in the order of key: ranges are numbered within, then shifted by the sizes of those before."""
+    placed = checkpointed(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return placed.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+#: A prime, and the bit that decides: bits of x * a + b modulo the prime.
+PRIME, BIT = (1 << 31) - 1, 15
+
+
+def round_keys(seed: int, rounds: int) -> list[tuple[int, int, int]]:
+    rng = np.random.default_rng(seed)
+    return [(int(rng.integers(0, 1 << 62)), int(rng.integers(1, PRIME)), int(rng.integers(0, PRIME))) for _ in range(rounds)]
+
+
+def permuted(index: Column, n: int, seed: int = 42, rounds: int = 24) -> Column:
+    """A keyed bijection of 0 .. n - 1, for any n: a seeded shuffle without a sort; places below k are a choice of k rows.
+
+    Each round pairs x with (key - x) mod n and swaps the two or not, by a bit that depends on the pair alone, so a round
+    undoes itself and no place is met twice.
+    """
+    keys = F.array(*[F.struct(F.lit(a % max(n, 1)).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for a, b, c in round_keys(seed, rounds)])
+
+    def step(x: Column, k: Column) -> Column:
+        other = (k["a"] + n - x) % n
+        bit = F.shiftright((F.greatest(x, other) % PRIME * k["b"] + k["c"]) % PRIME, BIT).bitwiseAND(F.lit(1).cast("long"))
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(keys, index.cast("long"), step)

@@ -115,3 +115,21 @@ def pooled(df: DataFrame, key: list[str], vector: str, weight: str | None = None
     e = df.select(*key, w.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
     m = e.groupBy(*key, "_i").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"), F.stddev_samp("_x").alias("_s"))
     return m.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_i", "_m", "_s"))).alias("_a")).select(*key, F.transform("_a", lambda s: s["_m"]).alias("mean"), F.transform("_a", lambda s: s["_s"]).alias("std"))
+
+
+def masked_pooled(df: DataFrame, key: list[str], position: str | None, duration: str | None, vector: str, chunk: int = 375, seconds: float = 30.0, rate: float = 12.5) -> DataFrame:
+    """(key, n, mean, sd): element-wise mean and population sd over a key's valid frame states, a row each.
+
+    Every chunk of frames covers so many seconds; of each the first ceil(its seconds * rate) are valid, as far as the
+    duration goes. Without a position all are. Sums by place combine before the shuffle. A key without a valid frame has
+    no row; null vectors and null elements are left out.
+    """
+    rows = df.where(F.col(vector).isNotNull())
+    if position:
+        p = F.col(position)
+        left = F.least(F.lit(seconds), F.greatest(F.col(duration) - seconds * F.floor(p / chunk), F.lit(0.0)))
+        rows = rows.where(p % chunk < F.least(F.lit(chunk), F.ceil(left * rate)))
+    e = rows.select(*key, F.posexplode(vector).alias("_i", "_x")).withColumn("_x", F.col("_x").cast("double"))
+    m = e.groupBy(*key, "_i").agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+    by = m.groupBy(*key).agg(F.max("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_i", "_m", "_s"))).alias("_a"))  # an entry a place
+    return by.select(*key, "n", F.transform("_a", lambda s: s["_m"]).alias("mean"), F.transform("_a", lambda s: s["_s"]).alias("sd"))

@@ -78,6 +78,21 @@ def nn_threshold(queries: DataFrame, base: DataFrame, key: str, vector: str, per
     return found["q"][0] if found else None
 
 
+def speaker_vectors(df: DataFrame, key: str, mean: str, sd: str, layers: tuple[int, int] = (3, 6), least: float = 1e-8) -> DataFrame:
+    """(key, vector): means and deviations of some layers side by side, z-scored place by place over all rows, of unit length.
+
+    mean and sd are arrays of layers. The scale is one row with an entry a place. A row without spread anywhere is zeros.
+    """
+    first, last = layers
+    part = lambda c: F.flatten(F.slice(c, first + 1, last - first + 1))
+    rows = df.select(key, F.transform(F.concat(part(mean), part(sd)), lambda x: x.cast("double")).alias("_v"))
+    each = rows.select(F.posexplode("_v").alias("_i", "_x")).groupBy("_i").agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+    scale = each.agg(F.array_sort(F.collect_list(F.struct("_i", "_m", "_s"))).alias("_scale"))  # an entry a place
+    z = rows.join(F.broadcast(scale)).select(key, F.zip_with("_v", "_scale", lambda x, s: (x - s["_m"]) / (s["_s"] + least)).alias("_z"))
+    size = z.withColumn("_l", F.sqrt(F.aggregate("_z", F.lit(0.0), lambda a, x: a + x * x)))
+    return size.select(key, F.transform("_z", lambda x: x / F.greatest(F.col("_l"), F.lit(1e-12))).alias("vector"))
+
+
 def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, component): the least key each node reaches; isolated nodes are their own.
 
@@ -261,4 +276,4 @@ def few_shot_prompt(examples, text, rubric: str, scale: str = "1.0-5.0"):
     return F.concat(F.lit(f"{rubric}\nScale {scale}.\n\n"), shots, F.lit("\n\nText: "), text, F.lit("\nGrade:"))
 
 
-__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "text_neighbours", "tfidf", "tokens"]
+__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "speaker_vectors", "text_neighbours", "tfidf", "tokens"]

@@ -343,9 +343,9 @@ def surprisal_summary(spark, d):
     return e.select("vec_id", *[r6(c).alias(k) for k, c in X.surprisal(F.col("v")).items()])
 
 
-@query("""select vec_id, i, round((embedding[i]::double+embedding[i+16]::double+embedding[i+32]::double)/3,6) m from (select vec_id, embedding, unnest(range(1,17)) i from embeddings)""")
+@query("""select vec_id, i, round((embedding[i]::double+embedding[i+16]::double+embedding[i+32]::double+embedding[i+48]::double)/4,6) m from (select vec_id, embedding, unnest(range(1,17)) i from embeddings)""")
 def layer_band_mean(spark, d):
-    layers = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(3)])
+    layers = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
     return t(spark, d, "embeddings").select("vec_id", F.posexplode(X.band_mean(layers)).alias("i", "m")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), r6(F.col("m")).alias("m"))
 
 
@@ -392,9 +392,9 @@ def _top_items(items):
     return s.withColumn("_k", F.row_number().over(k)).where("_k <= 4").drop("_k")
 
 
-@query()
+@query("""with e as (select vec_id, (vec_id%5)::int fold, case when y between 2.0 and 2.5 then 0 when y between 3.0 and 3.5 then 1 when y between 4.0 and 4.5 then 2 when y=5.0 then 3 end::int band from (select vec_id, 1+label*0.5::double y from embeddings)), p as (select *, row_number() over (partition by band order by fold, md5('42:'||vec_id), vec_id)-1 place from e where band is not null), n as (select band, count(*) n from p group by band), s as (select band, fold, min(place) first, count(*) own from p group by all), q as (select e.vec_id, n.band, n.n-coalesce(s.own,0) others, s.first, s.own, ('0x'||substr(md5('42:'||e.vec_id||':'||n.band),1,15))::bigint u from e join n on true left join s on s.band=n.band and s.fold=e.fold) select q.vec_id, q.band, p.vec_id anchor from (select *, case when first is null or u%others<first then u%others else u%others+own end pick from q where others>0) q join p on p.band=q.band and p.place=q.pick""")
 def band_anchors(spark, d):
-    """One of the whole band, of other folds; no SQL, as the pick is a hash's."""
+    """One of the whole band, of other folds."""
     e = t(spark, d, "embeddings").select("vec_id", (1 + F.col("label") * 0.5).alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
     return similarity.band_anchors(e, e, "vec_id", "y")
 

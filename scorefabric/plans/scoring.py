@@ -26,10 +26,10 @@ def energy_activity(spark, d):
     return rounded(X.unpacked(e, ["vec_id"], sequences.activity(F.col("l"), 0.125, 12.0, -55.0, 0.375)), "vec_id")
 
 
-@query("""with v as (select vec_id, list_transform(range(0,8), lambda i: 20*log10(sqrt(list_sum(list_transform(embedding[i*6+1:i*6+16], lambda x: x::double*x::double))/16+1e-12)+1e-12)) l from embeddings where len(embedding)=64) select vec_id, i::bigint i, round(l[i+1],6) db from (select vec_id, l, unnest(range(0,8)) i from v)""")
+@query("""with f as (select vec_id, list_transform(embedding, lambda x: x::double) v, unnest(range(0, greatest(len(embedding)-16,0)//6+1)) i from embeddings) select vec_id, i::bigint i, round(20*log10(sqrt(coalesce(list_sum(list_transform(v[i*6+1:i*6+16], lambda x: x*x)),0)/16+1e-12)+1e-12),6) db from f""")
 def frame_levels(spark, d):
-    e = t(spark, d, "embeddings").where("size(embedding) = 64").select("vec_id", F.posexplode(sequences.frames_of(F.col("embedding"), 16, 6)).alias("i", "db"))
-    return e.where("i < 8").select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("db")).alias("db"))
+    e = t(spark, d, "embeddings").select("vec_id", F.posexplode(sequences.frames_of(F.col("embedding"), 16, 6)).alias("i", "db"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("db")).alias("db"))
 
 
 @query("""select vec_id, i::bigint chunk, len(embedding[i*30+1:i*30+30])::bigint n, round(list_sum(list_transform(embedding[i*30+1:i*30+30], lambda x: x::double)),6) total from (select vec_id, embedding, unnest(range(0,greatest(ceil(len(embedding)/30.0)::bigint,1))) i from embeddings) where i=0 or len(embedding[i*30+1:i*30+30])>=5""")
@@ -76,9 +76,9 @@ def valid_token_counts(spark, d):
     return t(spark, d, "events").where("value >= 0").select("event_id", F.size(F.filter(m, lambda x: x)).alias("valid"))
 
 
-@query(f"""with v as (select vec_id, {LIST}[1:8] v from embeddings), s as (select vec_id, v, list_sum(list_transform(v, lambda x: exp(x))) z from v) select vec_id, i::bigint i, round(exp(v[i])/z,6) p, round(v[i]-ln(z),6) log_p from (select *, unnest(range(1,9)) i from s)""")
+@query(f"""with v as (select vec_id, {LIST} v from embeddings), s as (select vec_id, v, list_sum(list_transform(v, lambda x: exp(x))) z from v) select vec_id, i::bigint i, round(exp(v[i])/z,6) p, round(v[i]-ln(z),6) log_p from (select *, unnest(range(1,len(v)+1)) i from s)""")
 def softmax_rows(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     both = F.arrays_zip(X.softmax(F.col("v")).alias("p"), X.log_softmax(F.col("v")).alias("log_p"))
     return e.select("vec_id", F.posexplode(both).alias("i", "b")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), r6(F.col("b.p")).alias("p"), r6(F.col("b.log_p")).alias("log_p"))
 
@@ -92,9 +92,9 @@ def text_templates(spark, d):
 
 @query("""select user_id, round(avg(-value),6) avg_logprob_mean, min(-value) avg_logprob_min, max(value*2) compression_max, max(value/3) no_speech_max from events where value is not null group by user_id""")
 def segment_profile(spark, d):
-    s = t(spark, d, "events").where("value is not null").groupBy("user_id").agg(F.collect_list(F.struct((-F.col("value")).alias("avg_logprob"), (F.col("value") * 2).alias("compression_ratio"), (F.col("value") / 3).alias("no_speech_prob"))).alias("s"))
-    f = X.segment_features(F.col("s"))
-    return s.select("user_id", r6(f["avg_logprob_mean"]).alias("avg_logprob_mean"), *[f[c].alias(c) for c in ("avg_logprob_min", "compression_max", "no_speech_max")])
+    s = t(spark, d, "events").where("value is not null").select("user_id", (-F.col("value")).alias("avg_logprob"), (F.col("value") * 2).alias("compression_ratio"), (F.col("value") / 3).alias("no_speech_prob"))
+    f = s.groupBy("user_id").agg(*[c.alias(k) for k, c in X.segment_aggregates().items()])
+    return f.withColumn("avg_logprob_mean", r6(F.col("avg_logprob_mean")))
 
 
 @query("""select vec_id, i::bigint i, (case when x=0 then 0.0 else round_even(x/pow(2,greatest(floor(log2(abs(x))),-14)-10),0)*pow(2,greatest(floor(log2(abs(x))),-14)-10) end)::double h from (select vec_id, i, embedding[i]::double x from (select *, unnest(range(1,len(embedding)+1)) i from embeddings))""")
@@ -103,9 +103,40 @@ def half_floats(spark, d):
     return e.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), X.half(F.col("x")).alias("h"))
 
 
+@query("""with f as (select vec_id//40 clip, vec_id%40 p, list_transform(embedding, lambda x: x::double) v from embeddings), s as (select clip, 10.0::double+(clip%7)*3 sec, p, v from f), k as (select clip, v from s where p%15 < least(15, ceil(least(12.0::double, greatest(sec-12.0::double*(p//15), 0.0::double))*1.25))), x as (select clip, v[i] e, i from (select *, unnest(range(1,len(v)+1)) i from k)) select clip, i::bigint i, count(*) n, round(avg(e),6) mean, round(stddev_pop(e),6) sd from x group by clip, i""")
+def masked_pooling(spark, d):
+    """Vectors as frame states, forty a clip: chunks of twelve seconds have fifteen frames, valid as far as the clip lasts."""
+    e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("clip"), (F.col("vec_id") % 40).alias("p"), F.col("embedding").alias("v"))
+    pooled = sequences.masked_pooled(e.withColumn("sec", 10 + (F.col("clip") % 7) * 3.0), ["clip"], "p", "sec", "v", 15, 12.0, 1.25)
+    each = pooled.select("clip", "n", F.posexplode(F.arrays_zip("mean", "sd")).alias("i", "e"))
+    return each.select("clip", (F.col("i") + 1).cast("long").alias("i"), "n", r6(F.col("e.mean")).alias("mean"), r6(F.col("e.sd")).alias("sd"))
+
+
+@query("""with e as (select vec_id//5 clip, i, embedding[i]::double x from (select *, unnest(range(1,len(embedding)+1)) i from embeddings)), p as (select clip, i, avg(x) m, stddev_pop(x) s from e group by all), k as (select clip, unnest([0,1]) part, i, unnest([m,s]) v from p where (i-1)//8 between 3 and 6), z as (select clip, part, i, (v-avg(v) over (partition by part, i))/(stddev_pop(v) over (partition by part, i)+1e-8) z from k), n as (select clip, sqrt(sum(z*z)) l from z group by clip) select clip, (part*32+i-24)::bigint i, round(z/l,6) v from z join n using(clip)""")
+def speaker_vectors(spark, d):
+    """Clips of five vectors, each eight layers of eight: mean and deviation of layers 3 to 6."""
+    e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("clip"), "embedding")
+    p = sequences.masked_pooled(e, ["clip"], None, None, "embedding")
+    layers = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(c, k * 8 + 1, 8))
+    v = similarity.speaker_vectors(p.select("clip", layers(F.col("mean")).alias("mean"), layers(F.col("sd")).alias("sd")), "clip", "mean", "sd")
+    return v.select("clip", F.posexplode("vector").alias("i", "v")).select("clip", (F.col("i") + 1).cast("long").alias("i"), r6(F.col("v")).alias("v"))
+
+
 # ---- selection, order, sets ----
 
 
+def _permuted_sql(seed: int, rounds: int) -> str:
+    keys = ", ".join(f"[{a}, {b}, {c}]" for a, b, c in folds.round_keys(seed, rounds))
+    return f"with c as (select c_custkey, row_number() over (order by c_custkey)-1 x, count(*) over () n from customer) select c_custkey, list_reduce(list_prepend([x, n, 0], [{keys}]), lambda acc, k: [case when ((greatest(acc[1], ((k[1] % acc[2]) + acc[2] - acc[1]) % acc[2]) % 2147483647 * k[2] + k[3]) % 2147483647) // 32768 % 2 = 1 then ((k[1] % acc[2]) + acc[2] - acc[1]) % acc[2] else acc[1] end, acc[2], 0])[1]::bigint place from c"
+
+
+@query(_permuted_sql(42, 24))
+def seeded_permutation(spark, d):
+    """Every customer once, at a place that the seed decides."""
+    c = folds.numbered(t(spark, d, "customer").select("c_custkey"), "c_custkey", "x")
+    return c.select("c_custkey", folds.permuted(F.col("x"), c.count(), 42, 24).alias("place"))
+
+
 @query("select l_returnflag, round(avg(l_quantity),6) l_quantity, round(avg(l_extendedprice),6) l_extendedprice, round(avg(l_discount),6) l_discount, round(avg(l_tax),6) l_tax from lineitem group by l_returnflag")
 def selected_columns(spark, d):
     """Means of numeric columns chosen by prefix, without keys and without a deny-list."""
@@ -160,9 +191,11 @@ def rare_strata(spark, d):
     return folds.crossed_strata(t(spark, d, "part"), ["p_size", "p_brand"]).select("p_partkey", "stratum")
 
 
-@query("with s as (select p_partkey, p_retailprice, row_number() over (order by p_retailprice desc nulls last) r from part) select shard, count(*) n from (select ((r-1)%8)::int shard from s) group by shard")
+@query("with s as (select p_retailprice, row_number() over (order by p_retailprice desc nulls last) r from part) select shard, count(*) n, round(sum(p_retailprice),2) load, max(p_retailprice) largest from (select *, ((r-1)%8)::int shard from s) group by shard")
 def lpt_shard_sizes(spark, d):
-    return folds.lpt_shards(t(spark, d, "part"), "p_partkey", "p_retailprice", 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    """The load of each shard, which no other numbering gives: rows of equal price are alike here."""
+    p = t(spark, d, "part").select("p_partkey", "p_retailprice")
+    return folds.lpt_shards(p, "p_partkey", "p_retailprice", 8).join(p, "p_partkey").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p_retailprice"), 2).alias("load"), F.max("p_retailprice").alias("largest"))
 
 
 # ---- contracts ----
@@ -216,11 +249,59 @@ def nnls_two(spark, d):
     return spark.createDataFrame([(k, round(x, 6)) for k, x in [*w.items(), ("intercept", b)]], "model string, weight double")
 
 
-@query(f"""with s as {STACK_SQL}, f as (select g, r.repeat, (('0x'||substr(md5((42+r.repeat)||':'||g),1,8))::bigint%5)::int fold from (select distinct g from s) q, (select unnest([0,1]) repeat) r), p as (select s.*, repeat, fold from s join f using(g)), c as (select a.fold ff, p.* from p join (select distinct repeat, fold from f) a on a.repeat=p.repeat and a.fold<>p.fold), w as {_weights_sql("repeat, ff,", "c group by repeat, ff")}, o as (select id, any_value(y) y, avg(b+w1*m1+w2*m2) m from p join w on w.repeat=p.repeat and w.ff=p.fold group by id) select id, round(y,6) y, round(greatest(least(m,5.0),1.0),6) stack_oof from o""")
+@query(f"""with s as {STACK_SQL}, f as (select g, r.repeat, (('0x'||substr(md5((42+r.repeat)||':'||g),1,8))::bigint%5)::int fold from (select distinct g from s) q, (select unnest([0,1]) repeat) r), p as (select s.*, repeat, fold from s join f using(g)), c as (select a.fold ff, p.* from p join (select distinct repeat, fold from f) a on a.repeat=p.repeat and a.fold<>p.fold), w as {_weights_sql("repeat, ff,", "c group by repeat, ff")}, o as (select id, any_value(y) y, avg(b+w1*m1+w2*m2) m from p join w on w.repeat=p.repeat and w.ff=p.fold group by id) select id, y, round(greatest(least(m,5.0),1.0),6) stack_oof from o""")
 def nested_stack_two(spark, d):
     s = _two(spark, d)
     out = models.nested_stack(s, folds.hash_folds(s, "g", 5, 2), ["m1", "m2"], "y", "g", "id")
-    return out.select("id", r6(F.col("y")).alias("y"), r6(F.col("stack_oof")).alias("stack_oof"))
+    return out.select("id", "y", r6(F.col("stack_oof")).alias("stack_oof"))
+
+
+FOLD_SQL = "(('0x'||substr(md5(({seed}+r.repeat)||':'||g),1,8))::bigint%5)::int"
+WITH_STATUS = STACK_SQL.replace("o_custkey%50 g", "o_custkey g, o_orderstatus h")
+
+
+def _with_status(spark, d):
+    """Customers as groups, an order's status as cohort."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("_g"), F.col("o_orderstatus").alias("h"))
+    return _two(spark, d).join(o, "id").withColumn("g", F.col("_g")).drop("_g")
+
+
+@query(f"""with s as {WITH_STATUS}, f as (select g, r.repeat, {FOLD_SQL.format(seed=42)} fold from (select distinct g from s) q, (select unnest([0,1]) repeat) r), p as (select s.*, repeat, fold from s join f using(g)), c as (select a.fold ff, p.* from p join (select distinct repeat, fold from f) a on a.repeat=p.repeat and a.fold<>p.fold), w as {_weights_sql("repeat, ff,", "c group by repeat, ff")}, l as (select c.repeat, c.ff, h, count(*) n, regr_slope(y, b+w1*m1+w2*m2) s, regr_intercept(y, b+w1*m1+w2*m2) i from c join w on c.repeat=w.repeat and c.ff=w.ff group by all), o as (select id, any_value(y) y, avg(case when l.n>20 then l.s*(b+w1*m1+w2*m2)+l.i else b+w1*m1+w2*m2 end) m from p join w on w.repeat=p.repeat and w.ff=p.fold left join l on l.repeat=p.repeat and l.ff=p.fold and l.h is not distinct from p.h group by id) select id, y, round(greatest(least(m,5.0),1.0),6) stack_oof from o""")
+def calibrated_stack(spark, d):
+    s = _with_status(spark, d)
+    out = models.calibrated_stack(s, folds.hash_folds(s, "g", 5, 2), ["m1", "m2"], "y", "g", "id", "h")
+    return out.select("id", "y", r6(F.col("stack_oof")).alias("stack_oof"))
+
+
+def _ablation_sql() -> str:
+    """Predictions of both stacks for three seeds, from closed-form weights."""
+    parts, names = [f"s as {WITH_STATUS}"], []
+    for k in (42, 142, 242):
+        parts += [
+            f"f{k} as (select g, r.repeat, {FOLD_SQL.format(seed=k)} fold from (select distinct g from s) q, (select 0 repeat) r)",
+            f"p{k} as (select s.*, repeat, fold from s join f{k} using(g))",
+            f"c{k} as (select a.fold ff, p.* from p{k} p join (select distinct repeat, fold from f{k}) a on a.fold<>p.fold)",
+            f"w{k} as {_weights_sql('ff,', f'c{k} group by ff')}",
+            f"v{k} as (select ff, v, my-v*mm v0 from (select ff, avg(m2) mm, avg(y) my, greatest(covar_pop(m2,y)/covar_pop(m2,m2),0) v from c{k} group by ff))",
+            f"o{k} as (select id, y, g, greatest(least(b+w1*m1+w2*m2,5.0),1.0) f, greatest(least(v0+v*m2,5.0),1.0) w from p{k} p join w{k} w on w.ff=p.fold join v{k} v on v.ff=p.fold)",
+        ]
+        names.append(f"select * from o{k}")
+    return f"with {', '.join(parts)} select id, any_value(y) y, any_value(g) g, round(avg(f),6) whole, round(avg(w),6) alone from ({' union all '.join(names)}) group by id"
+
+
+def _ablated(spark, d):
+    s = _with_status(spark, d)
+    return models.ablation(s, [folds.hash_folds(s, "g", 5, 1, k) for k in (42, 142, 242)], ["m1", "m2"], ["m1"], "y", "g", "id")
+
+
+@query(_ablation_sql())
+def ablation_predictions(spark, d):
+    return _ablated(spark, d).select("id", "y", "g", r6(F.col("full")).alias("whole"), r6(F.col("without")).alias("alone"))
+
+
+@query()
+def ablation_report(spark, d):
+    return models.ablation_report(_ablated(spark, d), "y", "g")
 
 
 @query(f"select unnest(['m1','m2']) model, unnest([0.7,0.3]::double[]) weight, round(unnest([stddev_pop(m1*0.7::double),stddev_pop(m2*0.3::double)]),6) spread from {STACK_SQL}")
@@ -247,7 +328,7 @@ def tree_contributions(spark, d):
     return _parts(spark, d).select("l_orderkey", "l_linenumber", "feature", r6(F.col("contribution")).alias("contribution"))
 
 
-@query(f"select unnest(['l_quantity','l_discount']) feature, round(unnest([avg(abs(fq)),avg(abs(fd))])::double,6) strength, 1.0::double sign from {TREE_SQL}")
+@query(f"""with c as (select unnest(['l_quantity','l_discount']) feature, unnest([q,d]) x, unnest([round(fq::double,9),round(fd::double,9)]) f from {TREE_SQL}), r as (select feature, f, rank() over (partition by feature order by x)+(count(*) over (partition by feature, x)-1)/2 a, rank() over (partition by feature order by f)+(count(*) over (partition by feature, f)-1)/2 b from c) select feature, round(avg(abs(f)),6) strength, sign(corr(a,b))::double sign from r group by feature""")
 def tree_importance(spark, d):
     return attribution.importance(_parts(spark, d)).withColumn("strength", r6(F.col("strength")))
 
