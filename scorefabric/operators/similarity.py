@@ -13,63 +13,203 @@ from scorefabric.functions.expressions import tokens
 from scorefabric.operators.quantiles import quantiles
 from scorefabric.operators.written import checkpointed
 
-#: Vectors of a block: a task multiplies two blocks and emits only what passes.
-BLOCK = 1024
+#: Vectors of a block, about: a task multiplies two blocks and emits only what passes. Pivots at most.
+BLOCK, PIVOTS = 1024, 2048
 
+#: Angles are taken to be less exact than this.
+SLACK = 1e-6
 
-def _blocked(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
-    unit = F.transform(vector, lambda x: x.cast("double"))
-    own = df.select(F.col(key).alias("id"), unit.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
-    pair = lambda other: F.struct(F.least("blk", other).alias("i"), F.greatest("blk", other).alias("j"))
-    return own.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), pair))).select("id", "v", "blk", "p.i", "p.j")
+
+def _pivots(df: DataFrame, key: str, vector: str, block: int) -> tuple[np.ndarray, int]:
+    """(unit vectors of some rows, as many as there are blocks and PIVOTS at most; the number of rows)."""
+    n = df.count()
+    most = min(PIVOTS, max(1, math.ceil(n / block)))
+    v = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(7), key), key).limit(most).select(F.transform(vector, lambda x: x.cast("double")).alias("v")).collect()
+    return (_unit(np.array([r["v"] for r in v])) if v else np.zeros((0, 0))), n
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _placed(df: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFrame:
+    """(id, v, pivot, angle): unit vectors with their nearest pivot. Zero vectors are no one's neighbours and go to pivot -1; null ones go."""
+
+    def place(batches):
+        for b in batches:
+            if len(b):
+                x = _unit(np.stack(b["v"].to_numpy()).astype(float))
+                s = x @ pivots.T
+                near = s.argmax(1)
+                zero = np.abs(x).sum(1) == 0
+                yield pd.DataFrame({"id": b["id"], "v": list(x), "pivot": np.where(zero, -1, near), "angle": np.where(zero, 0.0, _angle(s[np.arange(len(x)), near]))})
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return rows.mapInPandas(place, f"id {kind}, v array<double>, pivot int, angle double")
+
+
+def _rings(placed: DataFrame, block: int, cells: int = 256) -> tuple[DataFrame, pd.DataFrame]:
+    """placed with the block of each row, and the blocks (blk, pivot, low, high). A block is a range of angles about a
+    pivot; equal angles beyond a block's size, of copies say, are dealt over more blocks of that range.
+
+    The driver holds `cells` counts a pivot at most, and a row for each block.
+    """
+    cell = F.floor(F.col("angle") * (cells / np.pi)).cast("int")
+    some = placed.withColumn("cell", cell)
+    counts = some.groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).toPandas().sort_values(["pivot", "cell"])
+    blocks, cuts, at = [], [], 0
+    for pivot, mine in counts.groupby("pivot"):
+        held, low, high = 0, 0.0, 0.0
+        for c, n, a, z in zip(mine["cell"], mine["n"], mine["low"], mine["high"], strict=True):
+            if n > block:  # one cell, over several blocks
+                if held:
+                    blocks.append((at, pivot, low, high))
+                    at, held = at + 1, 0
+                parts = math.ceil(n / block)
+                cuts.append((pivot, c, at, parts))
+                blocks += [(at + k, pivot, a, z) for k in range(parts)]
+                at += parts
+                continue
+            if held and held + n > block:
+                blocks.append((at, pivot, low, high))
+                at, held = at + 1, 0
+            low = a if not held else low
+            held, high = held + n, z
+            cuts.append((pivot, c, at, 1))
+        if held:
+            blocks.append((at, pivot, low, high))
+            at += 1
+    table = placed.sparkSession.createDataFrame([tuple(map(int, c)) for c in cuts], "pivot int, cell int, first int, parts int")
+    dealt = some.join(F.broadcast(table), ["pivot", "cell"]).select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("blk"))
+    return dealt, pd.DataFrame(blocks, columns=["blk", "pivot", "low", "high"])
+
+
+def _least_angles(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
+    """(blocks of a, blocks of b): no two vectors of the two blocks are closer. Angles obey the triangle inequality:
+    through one pivot by the difference of the angles to it, between pivots by what is left of their own angle."""
+    between = _angle(pivots @ pivots.T)
+    np.fill_diagonal(between, 0.0)
+    p, q = a["pivot"].to_numpy(), b["pivot"].to_numpy()
+    low = lambda t: t["low"].to_numpy()
+    high = lambda t: t["high"].to_numpy()
+    d = between[np.ix_(p, q)] if len(pivots) else np.zeros((len(p), len(q)))
+    far = d - high(a)[:, None] - high(b)[None, :]
+    # a vector far from its pivot is far from what lies near that pivot, and the other way round
+    far = np.maximum(far, low(a)[:, None] - d - high(b)[None, :])
+    far = np.maximum(far, low(b)[None, :] - d - high(a)[:, None])
+    return np.maximum(far, 0.0) - SLACK
+
+
+def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, chosen) -> DataFrame:
+    """(i, j) of the blocks of a and b for which chosen(least angles, blocks of a) holds; tasks take some blocks of a each."""
+    step = max(1, (1 << 22) // max(1, len(b)))
+
+    def some(batches):
+        for t in batches:
+            for k in range(0, len(t), step):
+                mine = t.iloc[k : k + step]
+                i, j = np.nonzero(chosen(_least_angles(mine, b, pivots), mine["blk"].to_numpy()))
+                yield pd.DataFrame({"i": mine["blk"].to_numpy()[i], "j": b["blk"].to_numpy()[j]})
+
+    rows = [(int(r.blk), int(r.pivot), float(r.low), float(r.high)) for r in a.itertuples()]
+    return checkpointed(spark.createDataFrame(rows, "blk int, pivot int, low double, high double").mapInPandas(some, "i int, j int"))
+
+
+def block_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block, the pairs of blocks i <= j that can hold two vectors of a cosine above the threshold)."""
+    pivots, _ = _pivots(df, key, vector, block)
+    dealt, blocks = _rings(checkpointed(_placed(df, key, vector, pivots)).where("pivot >= 0"), block)
+    far, all_ = float(_angle(np.array(threshold))), blocks["blk"].to_numpy()
+    return dealt, _pairs_of_blocks(df.sparkSession, blocks, blocks, pivots, lambda least, own: (least <= far) & (own[:, None] <= all_[None, :]))
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim) of all pairs a < b whose cosine exceeds the threshold (strict).
+    """(a, b, sim) of all pairs a < b whose cosine exceeds the threshold (strict, and above 0 where a vector is zero).
 
-    Exact: every pair of blocks is one group, at most two blocks in memory; rows are replicated once for each block.
+    Exact. Vectors are dealt over ranges of the angle to their nearest pivot; pairs of ranges that the triangle
+    inequality keeps apart are never multiplied. Every other pair is one group, at most two blocks in memory.
     """
-    blocks = max(1, math.ceil(df.count() / block))
+    if threshold < 0:
+        raise ValueError("a threshold is 0 at least")
+    dealt, pairs = block_pairs(df, key, vector, threshold, block)
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "sim": []})
-        m = [np.stack(t["v"].to_numpy()) for t in (x, y)]
-        m = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in m]
-        s = m[0] @ m[1].T
+        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
         r, c = np.nonzero(s > threshold)
         a, b = x["id"].to_numpy()[r], y["id"].to_numpy()[c]
         keep = a < b if i == j else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[r, c][keep]})
 
-    return _blocked(df, key, vector, blocks).groupBy("i", "j").applyInPandas(multiply, "a long, b long, sim double")
+    both = pairs.withColumn("blk", F.col("i")).union(pairs.where("i <> j").withColumn("blk", F.col("j")))
+    return dealt.join(both, "blk").groupBy("i", "j").applyInPandas(multiply, "a long, b long, sim double")
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 1, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour, sim): the k nearest of base by cosine for each query, itself left out; ties to the least key."""
-    nq, nb = max(1, math.ceil(queries.count() / block)), max(1, math.ceil(base.count() / block))
-    side = lambda d, n, tag, m: d.select(F.lit(tag).alias("side"), F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other"))
-    q = side(queries, nq, "q", nb).select("side", "id", "v", F.col("own").alias("i"), F.col("other").alias("j"))
-    b = side(base, nb, "b", nq).select("side", "id", "v", F.col("other").alias("i"), F.col("own").alias("j"))
+    """(id, neighbour, sim): the k nearest of base by cosine for each query, itself left out; ties to the least key.
+
+    Exact. Queries first meet the blocks of base that lie nearest to theirs; the k-th similarity found there bounds how far
+    a better one can be, and only blocks within that bound of a block of queries are met after that.
+    """
+    pivots, _ = _pivots(base, key, vector, block)
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], f"id {queries.schema[key].dataType.simpleString()}, neighbour long, sim double")
+    q, qb = _rings(checkpointed(_placed(queries, key, vector, pivots)), block)
+    b, bb = _rings(checkpointed(_placed(base, key, vector, pivots)), block)
+    spark = queries.sparkSession
+    if not len(qb) or not len(bb):
+        return spark.createDataFrame([], "id long, neighbour long, sim double")
+    zero_q, zero_b = qb["pivot"].to_numpy() < 0, bb["pivot"].to_numpy() < 0
+    qb["pivot"], bb["pivot"] = qb["pivot"].clip(lower=0), bb["pivot"].clip(lower=0)
+
+    def least_of(least: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """With zero vectors: they are at a right angle to all, and as queries may meet any block."""
+        least = np.where(zero_b[None, :], np.pi / 2 - SLACK, least)
+        return np.where(zero_q[own][:, None], -1.0, least)
+
+    def nearest_two(least: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(least.shape, bool)
+        np.put_along_axis(out, np.argsort(least_of(least, own), axis=1, kind="stable")[:, :2], True, axis=1)
+        return out
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == "q"], pdf[pdf["side"] == "b"].sort_values("id")
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "neighbour": [], "sim": []})
-        m = [np.stack(t["v"].to_numpy()) for t in (x, y)]
-        m = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in m]
-        s = m[0] @ m[1].T
+            return pd.DataFrame({"id": [], "neighbour": [], "sim": [], "own": []})
+        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
         s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         r = np.repeat(np.arange(len(x)), top.shape[1])
-        out = pd.DataFrame({"id": x["id"].to_numpy()[r], "neighbour": y["id"].to_numpy()[top.ravel()], "sim": s[r, top.ravel()]})
+        out = pd.DataFrame({"id": x["id"].to_numpy()[r], "neighbour": y["id"].to_numpy()[top.ravel()], "sim": s[r, top.ravel()], "own": x["blk"].to_numpy()[r]})
         return out[np.isfinite(out["sim"])]
 
-    part = q.union(b).groupBy("i", "j").applyInPandas(best, "id long, neighbour long, sim double")
+    def met(pairs: DataFrame) -> DataFrame:
+        """The k best of each query in each of the given (block of queries, block of base)."""
+        one = q.join(pairs.withColumn("blk", F.col("i")), "blk").select(F.lit("q").alias("side"), "id", "v", "blk", "i", "j")
+        two = b.join(pairs.withColumn("blk", F.col("j")), "blk").select(F.lit("b").alias("side"), "id", "v", "blk", "i", "j")
+        return one.unionByName(two).groupBy("i", "j").applyInPandas(best, "id long, neighbour long, sim double, own int")
+
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "neighbour")
-    return part.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    top = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    first = _pairs_of_blocks(spark, qb, bb, pivots, nearest_two)
+    found = checkpointed(top(met(first)))
+    # the queries of a block have k neighbours at least as similar as its floor; a block with fewer has none
+    held = found.groupBy("id", "own").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("s")).groupBy("own").agg(F.count_if(F.col("n") == k).alias("full"), F.min("s").alias("s"))
+    sizes = q.groupBy("blk").agg(F.count(F.lit(1)).alias("all"))
+    reach = np.full(len(qb), np.inf)
+    for r in sizes.join(held, sizes.blk == held.own).collect():  # a row a block
+        if r["full"] == r["all"]:
+            reach[r["blk"]] = _angle(np.array(r["s"]))
+    more = _pairs_of_blocks(spark, qb, bb, pivots, lambda least, own: (least_of(least, own) <= reach[own][:, None]) & ~nearest_two(least, own))
+    return top(found.unionByName(met(more))).select("id", "neighbour", "sim")
 
 
 def nn_threshold(queries: DataFrame, base: DataFrame, key: str, vector: str, percentile: float = 0.995) -> float:
@@ -156,6 +296,13 @@ def average_linkage(x: np.ndarray, thresholds: list[float], sizes: np.ndarray |
     return out
 
 
+def _blocked(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
+    unit = F.transform(vector, lambda x: x.cast("double"))
+    own = df.select(F.col(key).alias("id"), unit.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
+    pair = lambda other: F.struct(F.least("blk", other).alias("i"), F.greatest("blk", other).alias("j"))
+    return own.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), pair))).select("id", "v", "blk", "p.i", "p.j")
+
+
 def _closest(clusters: DataFrame, least: float, block: int) -> DataFrame:
     """(c, other, sim) of each cluster's most similar one above least; ties to the least pair, so some pair is mutual."""
     blocks = max(1, math.ceil(clusters.count() / block))
@@ -235,13 +382,41 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
     return raw.join(size, key).select(key, "term", (F.col("r") / F.col("_s")).alias("w"))
 
 
-def text_neighbours(weights: DataFrame, pool: DataFrame, key: str, k: int = 4) -> DataFrame:
-    """(key, anchor, sim): the k most similar texts of the pool, itself and its own fold left out. pool: key, fold (-1: no fold)."""
-    a = weights.join(pool, key).select(F.col(key).alias("q"), F.col("fold").alias("fq"), "term", F.col("w").alias("wq"))
-    b = weights.join(pool.where("fold >= 0"), key).select(F.col(key).alias("anchor"), F.col("fold").alias("fa"), "term", F.col("w").alias("wa"))
-    s = a.join(b, "term").where("q <> anchor and (fq = -1 or fq <> fa)").groupBy("q", "anchor").agg(F.sum(F.col("wq") * F.col("wa")).alias("sim"))
-    w = Window.partitionBy("q").orderBy(F.col("sim").desc(), "anchor")
-    return s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(F.col("q").alias(key), "anchor", "sim")
+#: Texts of the pool up to which a term counts as rare: its pairs are made first.
+RARE = 64
+
+
+def text_neighbours(weights: DataFrame, pool: DataFrame, key: str, k: int = 4, digits: int | None = None, rare: int = RARE) -> DataFrame:
+    """(key, anchor, sim): the k most similar texts of the pool, itself and its own fold left out; equal ones by anchor.
+    pool: key, fold (-1: no fold). With digits, similarities are rounded before they are ranked.
+
+    Exact. Similarities over rare terms alone are made first; the k-th of them is a floor of a text's k-th similarity. Of a
+    text's terms, from rare to frequent, a tail whose greatest possible sum stays below the floor makes no candidates, so a
+    frequent term pairs only the texts that have nothing better. What a candidate can still reach is compared with the
+    floor, and the rest is summed over the tail.
+    """
+    spare = 1e-9 + (10.0**-digits if digits is not None else 0.0)
+    w = checkpointed(weights.join(pool, key).select(F.col(key).alias("id"), "fold", "term", "w"))
+    lists = w.where("fold >= 0").select(F.col("id").alias("anchor"), F.col("fold").alias("fa"), "term", F.col("w").alias("wa"))
+    terms = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("wa").alias("most"))
+    asked = w.join(terms, "term").select(F.col("id").alias("q"), F.col("fold").alias("fq"), "term", F.col("w").alias("wq"), "df", "most")
+    other = "q <> anchor and (fq = -1 or fq <> fa)"
+    some = asked.where(F.col("df") <= rare).join(lists, "term").where(other).groupBy("q", "anchor").agg(F.sum(F.col("wq") * F.col("wa")).alias("s"))
+    best = Window.partitionBy("q").orderBy(F.desc("s"))
+    floors = some.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("q", (F.col("s") - spare).alias("floor"))
+    # the tail: bounded by the pool's greatest weights, and by Cauchy and Schwarz, as texts have unit length
+    tail = Window.partitionBy("q").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.least(F.sum(F.col("wq") * F.col("most")).over(tail), F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(tail)))
+    split = checkpointed(asked.withColumn("reach", reach).join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
+    head, rest = split.where("reach >= floor"), split.where("reach < floor")
+    left = rest.groupBy("q").agg(F.max("reach").alias("left"))
+    found = head.join(lists, "term").where(other).groupBy("q", "anchor", "floor").agg(F.sum(F.col("wq") * F.col("wa")).alias("s"))
+    alive = checkpointed(found.join(left, "q", "left").where(F.col("s") + F.coalesce("left", F.lit(0.0)) >= F.col("floor")).select("q", "anchor", "s"))
+    added = alive.join(rest.select("q", "term", "wq"), "q").join(lists.select("anchor", "term", "wa"), ["anchor", "term"]).groupBy("q", "anchor").agg(F.sum(F.col("wq") * F.col("wa")).alias("more"))
+    s = alive.join(added, ["q", "anchor"], "left").select("q", "anchor", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("sim"))
+    s = s.withColumn("sim", F.round("sim", digits)) if digits is not None else s
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "anchor")
+    return s.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select(F.col("q").alias(key), "anchor", "sim")
 
 
 #: Grade bands from which one anchor each is drawn.
@@ -276,4 +451,4 @@ def few_shot_prompt(examples, text, rubric: str, scale: str = "1.0-5.0"):
     return F.concat(F.lit(f"{rubric}\nScale {scale}.\n\n"), shots, F.lit("\n\nText: "), text, F.lit("\nGrade:"))
 
 
-__all__ = ["band_anchors", "components", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "speaker_vectors", "text_neighbours", "tfidf", "tokens"]
+__all__ = ["band_anchors", "block_pairs", "components", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "speaker_vectors", "text_neighbours", "tfidf", "tokens"]

@@ -387,9 +387,7 @@ def tfidf_knn_anchors(spark, d):
 def _top_items(items):
     w = similarity.tfidf(items, "item_id", "text")
     pool = items.select("item_id", (F.col("item_id") % 5).alias("fold"))
-    s = similarity.text_neighbours(w, pool, "item_id", 12).withColumn("sim", r6(F.col("sim")))
-    k = Window.partitionBy("item_id").orderBy(F.col("sim").desc(), "anchor")
-    return s.withColumn("_k", F.row_number().over(k)).where("_k <= 4").drop("_k")
+    return similarity.text_neighbours(w, pool, "item_id", 4, digits=6)
 
 
 @query("""with e as (select vec_id, (vec_id%5)::int fold, case when y between 2.0 and 2.5 then 0 when y between 3.0 and 3.5 then 1 when y between 4.0 and 4.5 then 2 when y=5.0 then 3 end::int band from (select vec_id, 1+label*0.5::double y from embeddings)), p as (select *, row_number() over (partition by band order by fold, md5('42:'||vec_id), vec_id)-1 place from e where band is not null), n as (select band, count(*) n from p group by band), s as (select band, fold, min(place) first, count(*) own from p group by all), q as (select e.vec_id, n.band, n.n-coalesce(s.own,0) others, s.first, s.own, ('0x'||substr(md5('42:'||e.vec_id||':'||n.band),1,15))::bigint u from e join n on true left join s on s.band=n.band and s.fold=e.fold) select q.vec_id, q.band, p.vec_id anchor from (select *, case when first is null or u%others<first then u%others else u%others+own end pick from q where others>0) q join p on p.band=q.band and p.place=q.pick""")
