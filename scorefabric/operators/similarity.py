@@ -16,6 +16,9 @@ from scorefabric.operators.written import checkpointed
 #: Vectors of a block, about: a task multiplies two blocks and emits only what passes. Pivots at most.
 BLOCK, PIVOTS = 1024, 2048
 
+#: Blocks up to which all pairs of blocks are met without looking for bounds; results are the same.
+FEW = 4
+
 #: Angles are taken to be less exact than this.
 SLACK = 1e-6
 
@@ -53,6 +56,18 @@ def _placed(df: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFra
     return rows.mapInPandas(place, f"id {kind}, v array<double>, pivot int, angle double")
 
 
+def _hashed(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
+    """(id, v, blk): unit vectors in blocks by a hash of their key."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    size = rows.withColumn("l", F.greatest(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)), F.lit(1e-12)))
+    return size.select("id", F.transform("x", lambda e: e / F.col("l")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
+
+
+def _all_pairs(spark, rows: int, columns: int, once: bool) -> DataFrame:
+    """(i, j) of a few blocks; once: i <= j."""
+    return spark.createDataFrame([(i, j) for i in range(rows) for j in range(i if once else 0, columns)], "i int, j int")
+
+
 def _rings(placed: DataFrame, block: int, cells: int = 256) -> tuple[DataFrame, pd.DataFrame]:
     """placed with the block of each row, and the blocks (blk, pivot, low, high). A block is a range of angles about a
     pivot; equal angles beyond a block's size, of copies say, are dealt over more blocks of that range.
@@ -136,7 +151,8 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block:
     """
     if threshold < 0:
         raise ValueError("a threshold is 0 at least")
-    dealt, pairs = block_pairs(df, key, vector, threshold, block)
+    blocks = max(1, math.ceil(df.count() / block))
+    dealt, pairs = (_hashed(df, key, vector, blocks), _all_pairs(df.sparkSession, blocks, blocks, True)) if blocks <= FEW else block_pairs(df, key, vector, threshold, block)
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -159,6 +175,29 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
     Exact. Queries first meet the blocks of base that lie nearest to theirs; the k-th similarity found there bounds how far
     a better one can be, and only blocks within that bound of a block of queries are met after that.
     """
+    w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "neighbour")
+    top = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == "q"], pdf[pdf["side"] == "b"].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "neighbour": [], "sim": [], "own": []})
+        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
+        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
+        some = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        r = np.repeat(np.arange(len(x)), some.shape[1])
+        out = pd.DataFrame({"id": x["id"].to_numpy()[r], "neighbour": y["id"].to_numpy()[some.ravel()], "sim": s[r, some.ravel()], "own": x["blk"].to_numpy()[r]})
+        return out[np.isfinite(out["sim"])]
+
+    def met(q: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The k best of each query in each of the given (block of queries, block of base)."""
+        one = q.join(pairs.withColumn("blk", F.col("i")), "blk").select(F.lit("q").alias("side"), "id", "v", "blk", "i", "j")
+        two = b.join(pairs.withColumn("blk", F.col("j")), "blk").select(F.lit("b").alias("side"), "id", "v", "blk", "i", "j")
+        return one.unionByName(two).groupBy("i", "j").applyInPandas(best, "id long, neighbour long, sim double, own int")
+
+    nq, nb = (max(1, math.ceil(d.count() / block)) for d in (queries, base))
+    if max(nq, nb) <= FEW:
+        return top(met(_hashed(queries, key, vector, nq), _hashed(base, key, vector, nb), _all_pairs(queries.sparkSession, nq, nb, False))).select("id", "neighbour", "sim")
     pivots, _ = _pivots(base, key, vector, block)
     if not len(pivots):
         return queries.sparkSession.createDataFrame([], f"id {queries.schema[key].dataType.simpleString()}, neighbour long, sim double")
@@ -180,27 +219,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
         np.put_along_axis(out, np.argsort(least_of(least, own), axis=1, kind="stable")[:, :2], True, axis=1)
         return out
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == "q"], pdf[pdf["side"] == "b"].sort_values("id")
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "neighbour": [], "sim": [], "own": []})
-        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
-        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        r = np.repeat(np.arange(len(x)), top.shape[1])
-        out = pd.DataFrame({"id": x["id"].to_numpy()[r], "neighbour": y["id"].to_numpy()[top.ravel()], "sim": s[r, top.ravel()], "own": x["blk"].to_numpy()[r]})
-        return out[np.isfinite(out["sim"])]
-
-    def met(pairs: DataFrame) -> DataFrame:
-        """The k best of each query in each of the given (block of queries, block of base)."""
-        one = q.join(pairs.withColumn("blk", F.col("i")), "blk").select(F.lit("q").alias("side"), "id", "v", "blk", "i", "j")
-        two = b.join(pairs.withColumn("blk", F.col("j")), "blk").select(F.lit("b").alias("side"), "id", "v", "blk", "i", "j")
-        return one.unionByName(two).groupBy("i", "j").applyInPandas(best, "id long, neighbour long, sim double, own int")
-
-    w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "neighbour")
-    top = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     first = _pairs_of_blocks(spark, qb, bb, pivots, nearest_two)
-    found = checkpointed(top(met(first)))
+    found = checkpointed(top(met(q, b, first)))
     # the queries of a block have k neighbours at least as similar as its floor; a block with fewer has none
     held = found.groupBy("id", "own").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("s")).groupBy("own").agg(F.count_if(F.col("n") == k).alias("full"), F.min("s").alias("s"))
     sizes = q.groupBy("blk").agg(F.count(F.lit(1)).alias("all"))
@@ -209,7 +229,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
         if r["full"] == r["all"]:
             reach[r["blk"]] = _angle(np.array(r["s"]))
     more = _pairs_of_blocks(spark, qb, bb, pivots, lambda least, own: (least_of(least, own) <= reach[own][:, None]) & ~nearest_two(least, own))
-    return top(found.unionByName(met(more))).select("id", "neighbour", "sim")
+    return top(found.unionByName(met(q, b, more))).select("id", "neighbour", "sim")
 
 
 def nn_threshold(queries: DataFrame, base: DataFrame, key: str, vector: str, percentile: float = 0.995) -> float:
