@@ -2,9 +2,11 @@
 
 A word is the bag of its character n-grams and of itself, hashed to a table of embeddings; a segment of SEGMENT words is
 the average of its words' averages, and a linear softmax on it gives the probability of label 1. Embeddings and softmax
-are trained jointly in numpy by Adam. A text is as toxic as its most toxic segment, and so is it trained: each pass
-takes every text's most toxic segment under the current weights, with its label, and further segments of clean texts.
-Misspelt or inflected words that training never saw share n-grams, and so vectors, with those it saw.
+start at random and are trained jointly in numpy by Adam, in batches of texts. The first passes learn every segment with
+its text's label, so that each word that tells the labels apart is found; in the last ones a text answers as a whole, its
+segments weighted by their share of the text's softmax, which is mostly the most toxic one. A text is scored by its most
+toxic segment. Misspelt or inflected words that training never saw share n-grams, and so vectors, with those it saw; an
+n-gram that too few texts hold has no vector, as it would only remember them.
 
 The fit takes TRAIN_ROWS labelled rows of each label at most, the first by a hash of their doc_id; scoring covers all
 rows and whole texts. At scoring an n-gram counts as one number, its embedding times the softmax's weights.
@@ -32,7 +34,9 @@ from scorefabric.llm.common import table, tune
 TRAIN_ROWS = 2500
 SEGMENT, LEAST_WORDS = 16, 8
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
-PASSES, RATE, START = 40, 0.1, 24.0
+#: Passes over segments and over whole texts (more of both where texts are few, to make STEPS steps), texts of a batch, and
+#: the texts that must hold an n-gram (a tenth of all, where that is less).
+SEGMENT_PASSES, TEXT_PASSES, STEPS, BATCH, RATE, LEAST_TEXTS = 4, 3, 280, 64, 0.1, 10
 _CACHE_WORDS = 500_000
 #: A run of more than 64 word characters is several words in a row.
 _WORD = re.compile(r"\w{1,64}")
@@ -89,91 +93,94 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(texts: list[str | None], labels: list[int], passes: int = PASSES, seed: int = 7) -> Model:
-    """Joint training on whole texts."""
+class _Corpus:
+    """Texts as word numbers, and the n-grams of each word."""
+
+    def __init__(self, texts: list[str | None]):
+        index: dict[str, int] = {}
+        found = (_WORD.findall((t or "").lower()) for t in texts)
+        self.texts = [np.fromiter((index.setdefault(w, len(index)) for w in f), np.int32) for f in found]
+        held, sizes = array("i"), array("i")  # plain lists of every word's n-grams would be most of the driver's memory
+        for w in index:
+            g = subwords(w)
+            held.extend(g)
+            sizes.append(len(g))
+        self.flat, self.size = np.array(held, np.int32), np.array(sizes, np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def grams(self, words: np.ndarray) -> np.ndarray:
+        n = self.size[words]
+        return self.flat[np.repeat(self.begin[words], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    def held_by(self) -> np.ndarray:
+        """How many texts hold each bucket."""
+        out = np.zeros(BUCKETS, np.int64)
+        for t in self.texts:
+            if len(t):
+                out[np.unique(self.grams(np.unique(t)))] += 1
+        return out
+
+
+class _Adam:
+    def __init__(self, value: np.ndarray):
+        self.value, self.first, self.second, self.steps = value, np.zeros_like(value), np.zeros_like(value), 0
+
+    def move(self, gradient: np.ndarray) -> None:
+        self.steps += 1
+        self.first += 0.1 * (gradient - self.first)
+        self.second += 0.01 * (gradient * gradient - self.second)
+        self.value -= RATE * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-8)
+
+
+def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+    """Joint training on whole texts, from random vectors."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
-    index: dict[str, int] = {}
-    words, begins, seg_doc = [], [], []
-    at = 0
-    for d, t in enumerate(texts):
-        found = _WORD.findall((t or "").lower())
-        words.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
-        for s in range(0, len(found), SEGMENT):
-            begins.append(at + s)
-            seg_doc.append(d)
-        at += len(found)
-    if not index:
+    corpus = _Corpus(texts)
+    some = np.flatnonzero([len(t) > 0 for t in corpus.texts])
+    if not len(some):
         return fit([], [])
-    wid, begins, seg_doc = np.concatenate(words), np.array(begins), np.array(seg_doc)
-    sizes = np.diff(np.append(begins, len(wid)))
-    held, sizes_of = array("i"), array("i")  # plain lists of every word's n-grams would be most of the driver's memory
-    for w in index:
-        g = subwords(w)
-        held.extend(g)
-        sizes_of.append(len(g))
-    flat, n_gram = np.array(held, np.int32), np.array(sizes_of, np.int64)
-    del held, sizes_of
-    g_begin = np.cumsum(n_gram) - n_gram
     rng = np.random.default_rng(seed)
-    emb, out, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.1, DIM), -2.0
-    emb[:, 0], out[0] = _log_odds(words, y, flat, g_begin, n_gram), 1.0
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, out, np.zeros(1))]
-    y_seg = y[seg_doc]
-    clean = np.flatnonzero(y_seg == 0)
-    denom = np.maximum(sizes, LEAST_WORDS)
-    for step in range(1, passes + 1):
-        number = np.add.reduceat((emb @ out)[flat], g_begin) / n_gram
-        logit = np.add.reduceat(number[wid], begins) / denom + bias
-        # the most toxic segment of each text, ties to the first; and clean segments at random
-        order = np.lexsort((-logit, seg_doc))
-        best = order[np.concatenate([[True], seg_doc[order][1:] != seg_doc[order][:-1]])]
-        pick = np.concatenate([best, rng.choice(clean, min(len(clean), len(best)), replace=False)])
-        k = sizes[pick]
-        rows = np.repeat(np.arange(len(pick)), k)
-        w = wid[np.repeat(begins[pick], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-        target = y_seg[pick]
-        weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (target == 0).sum()))
-        err = (_sigmoid(logit[pick]) - target) * weight
-        scale = (err / denom[pick])[rows]
-        used, at_used = np.unique(w, return_inverse=True)
-        n_used = n_gram[used]
-        own = flat[np.repeat(g_begin[used], n_used) + np.arange(n_used.sum()) - np.repeat(np.cumsum(n_used) - n_used, n_used)]
-        # a dimension at a time: all at once would hold DIM numbers for each n-gram of each word
-        word_vec = (np.add.reduceat(emb[:, d][own], np.cumsum(n_used) - n_used) / n_used for d in range(DIM))
-        mean = np.stack([np.bincount(rows, v[at_used], len(pick)) for v in word_vec], 1) / denom[pick][:, None]
-        g_out, g_bias = err @ mean, np.array([err.sum()])
-        g_word = np.bincount(at_used, scale, len(used)) / n_used
-        g_num = np.bincount(own, np.repeat(g_word, n_used), BUCKETS)
-        grads = [g_num[:, None] * out[None, :], g_out, g_bias]
-        for j, (x, g) in enumerate(zip((emb, out, np.array([bias])), grads, strict=True)):
-            m = moments[j]
-            m[0] = 0.9 * m[0] + 0.1 * g
-            m[1] = 0.99 * m[1] + 0.01 * g * g
-            move = RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
-            if j == 0:
-                emb -= move
-            elif j == 1:
-                out -= move
-            else:
-                bias -= float(move[0])
-    return Model(emb @ out, bias)
-
-
-def _log_odds(words: list[np.ndarray], y: np.ndarray, flat: np.ndarray, g_begin: np.ndarray, n_gram: np.ndarray) -> np.ndarray:
-    """Where training starts: each bucket's smoothed log odds of label 1 by the texts that hold it, less what chance gives."""
-    with_, without = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for label, held in zip(y, words, strict=True):
-        u = np.unique(held)
-        n = n_gram[u]
-        if len(u):
-            b = np.unique(flat[np.repeat(g_begin[u], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-            (with_ if label else without)[b] += 1
-    n1, n0 = max(1, y.sum()), max(1, (y == 0).sum())
-    raised = np.log((with_ / n1 + 0.5 / n1) / (without / n0 + 0.5 / n0))
-    return START * np.sign(raised) * np.maximum(0, np.abs(raised) - 2 / np.sqrt(1 + with_ + without))
+    live = (corpus.held_by() >= min(LEAST_TEXTS, max(1, len(y) // 10)))[:, None]
+    emb, out, bias = _Adam(rng.normal(0, 0.1, (BUCKETS, DIM)) * live), _Adam(rng.normal(0, 1, DIM)), _Adam(np.array([-1.0]))
+    more = -(-STEPS // ((SEGMENT_PASSES + TEXT_PASSES) * -(-len(some) // BATCH)))
+    for k in range((SEGMENT_PASSES + TEXT_PASSES) * max(1, more)):
+        order = rng.permutation(some)
+        for at in range(0, len(order), BATCH):
+            _step(corpus, order[at : at + BATCH], y, emb, out, bias, live, whole=k >= SEGMENT_PASSES * max(1, more))
+    return Model(emb.value @ out.value, float(bias.value[0]))
+
+
+def _step(corpus: _Corpus, batch: np.ndarray, y: np.ndarray, emb: _Adam, out: _Adam, bias: _Adam, live: np.ndarray, whole: bool) -> None:
+    """One batch of texts. whole: a text answers by the softmax of its segments, else each segment with the text's label."""
+    length = np.array([len(corpus.texts[d]) for d in batch])
+    words = np.concatenate([corpus.texts[d] for d in batch])
+    parts = -(-length // SEGMENT)
+    of = np.repeat(np.arange(len(batch)), parts)
+    begin = np.repeat(np.cumsum(length) - length, parts) + SEGMENT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    size = np.diff(np.append(begin, len(words)))
+    used, place = np.unique(words, return_inverse=True)
+    n, own = corpus.size[used], corpus.grams(used)
+    vector = np.add.reduceat(emb.value[own], np.cumsum(n) - n, axis=0) / n[:, None]
+    denom = np.maximum(size, LEAST_WORDS)
+    mean = np.add.reduceat(vector[place], begin, axis=0) / denom[:, None]
+    logit, target = mean @ out.value + bias.value[0], y[batch]
+    if whole:
+        top = np.maximum.reduceat(logit, np.cumsum(parts) - parts)
+        share = np.exp(logit - top[of])
+        total = np.bincount(of, share, len(batch))
+        slope = ((_sigmoid(top + np.log(total)) - target) / total)[of] * share
+    else:
+        slope = (_sigmoid(logit) - target[of]) / np.sqrt(parts)[of]
+    slope /= len(batch)
+    by_word = np.bincount(place, np.repeat(slope / denom, size), len(used)) / n
+    by_bucket = np.bincount(own, np.repeat(by_word, n), BUCKETS)
+    toward = out.value.copy()
+    out.move(slope @ mean)
+    emb.move(by_bucket[:, None] * toward * live)
+    bias.move(np.array([slope.sum()]))
 
 
 def held_out(key: str = "doc_id"):

@@ -206,3 +206,34 @@ def test_queries(spark, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+# ---- toxicity from a random start ----
+
+
+def planted(seed, n):
+    """Texts of made-up words; toxic ones hold a few words of ten stems in forms of their own, a fiftieth of all words."""
+    r = np.random.default_rng(seed)
+    syllables = ["an", "er", "ti", "on", "lo", "mi", "sta", "ne", "ru", "pa"]
+    word = lambda: "".join(r.choice(syllables, int(r.integers(1, 4))))
+    out = []
+    for _ in range(n):
+        words, toxic = [word() for _ in range(int(r.integers(60, 400)))], r.random() < 0.3
+        if toxic:
+            for _ in range(max(3, len(words) // 50)):
+                words.insert(int(r.integers(0, len(words))), str(r.choice(["vilgak", "scumzo", "trxash", "idjot", "morunk", "losxer", "pathek", "dizgus", "wortlez", "stupiq"])) + word())
+        out.append((" ".join(words), int(toxic)))
+    return out
+
+
+def test_random_start_finds_planted_toxic_texts():
+    from scorefabric.llm import toxicity
+
+    learnt, asked = planted(0, 900), planted(1, 400)
+    model = toxicity.fit([t for t, _ in learnt], [y for _, y in learnt])
+    said = np.array([model.score(t) >= toxicity.THRESHOLD for t, _ in asked])
+    y = np.array([y for _, y in asked]) == 1
+    assert said[y].mean() >= 0.9 and (~said[~y]).mean() >= 0.95
+    assert not hasattr(toxicity, "_log_odds")  # no start but a random one
+    other = toxicity.fit([t for t, _ in learnt], [y for _, y in learnt], seed=8)
+    assert not np.allclose(other.numbers, model.numbers)
