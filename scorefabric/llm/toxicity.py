@@ -37,6 +37,8 @@ BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 #: Passes over segments and over whole texts (more of both where texts are few, to make STEPS steps), texts of a batch, and
 #: the texts that must hold an n-gram (a tenth of all, where that is less).
 SEGMENT_PASSES, TEXT_PASSES, STEPS, BATCH, RATE, LEAST_TEXTS = 4, 3, 280, 64, 0.1, 10
+#: Share of every vector that a pass takes away: what a few texts teach again and again does not pile up.
+DECAY = 0.02
 _CACHE_WORDS = 500_000
 #: A run of more than 64 word characters is several words in a row.
 _WORD = re.compile(r"\w{1,64}")
@@ -149,6 +151,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for k in range((SEGMENT_PASSES + TEXT_PASSES) * max(1, more)):
         order = rng.permutation(some)
         for at in range(0, len(order), BATCH):
+            emb.value *= 1 - DECAY * min(BATCH, len(order)) / len(order)
             _step(corpus, order[at : at + BATCH], y, emb, out, bias, live, whole=k >= SEGMENT_PASSES * max(1, more))
     return Model(emb.value @ out.value, float(bias.value[0]))
 
