@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Filler words of the timing features, of the edit features and of the repair counts.
 FILLERS = ["um", "uh", "er", "ah", "erm", "hmm", "mm", "uhm", "umm", "uhh", "eh", "huh", "hm"]
@@ -205,11 +207,31 @@ def bigram_repeats(toks: Column) -> Column:
     return F.when(F.size(toks) >= 4, F.size(hit)).otherwise(0)
 
 
+#: Code points that stand for words: all but the first 32 and the surrogates.
+MOST_WORDS = 0x110000 - 32 - 0x800
+
+
+@F.pandas_udf(T.StructType([T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())]))
+def _spelt(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Two lists of words as strings with a code point for each different word of the two."""
+    out = []
+    for pair in zip(ref, hyp, strict=True):
+        place: dict[str, int] = {}
+        codes = [[place.setdefault(w, len(place)) + 32 for w in (() if words is None else words)] for words in pair]
+        if len(place) > MOST_WORDS:
+            raise ValueError(f"{len(place)} different words in two texts; {MOST_WORDS} at most")
+        out.append(["".join(chr(c if c < 0xD800 else c + 0x800) for c in code) for code in codes])
+    return pd.DataFrame(out, columns=["ref", "hyp"])
+
+
 def wer(ref: Column, hyp: Column) -> Column:
-    """Word edits over reference words. Words become code points of their own (up to 35,000 distinct in a pair), so the JVM's levenshtein counts words."""
-    vocab = F.array_distinct(F.concat(ref, hyp))
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocab, w) + 19968), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(ref) == 0, (F.size(hyp) > 0).cast("double")).otherwise(F.levenshtein(spell(ref), spell(hyp)) / F.size(ref))
+    """Word edits over reference words: words become code points in Arrow batches, and the JVM's levenshtein counts these.
+
+    An empty reference has 1 where there is a hypothesis, else 0; null lists give null.
+    """
+    empty = (F.size(hyp) > 0).cast("double")
+    edits = let(_spelt(ref, hyp), lambda s: F.levenshtein(s["ref"], s["hyp"]))
+    return F.when(ref.isNull() | hyp.isNull(), F.lit(None).cast("double")).when(F.size(ref) == 0, empty).otherwise(edits / F.size(ref))
 
 
 def score_distribution(bins: Column) -> dict[str, Column]:

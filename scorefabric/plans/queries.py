@@ -248,7 +248,9 @@ def _pairs(spark, d):
     """Words of each turn and of the next."""
     k = t(spark, d, "conversations").select("conv_id", "turn", X.tokens(F.col("text")).alias("a"))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return k.withColumn("b", F.lead("a").over(w)).where("b is not null")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the window is light and its partitions are merged for that; the work on pairs is not
+    return k.withColumn("b", F.lead("a").over(w)).where("b is not null").repartition(parts)
 
 
 @query()

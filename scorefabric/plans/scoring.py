@@ -8,6 +8,7 @@ from scorefabric.functions import expressions as X
 from scorefabric.functions import syntax
 from scorefabric.operators import attribution, contracts, estimators, folds, models, sequences, similarity, stats
 from scorefabric.plans.queries import TOK_SQL, _views, query, r6, spread, t
+from scorefabric.sources import readers, sinks
 
 LIST = "list_transform(embedding, lambda x: x::double)"
 
@@ -122,6 +123,24 @@ def speaker_vectors(spark, d):
     return v.select("clip", F.posexplode("vector").alias("i", "v")).select("clip", (F.col("i") + 1).cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
+@query("""select vec_id, i::bigint i, 2*len(embedding)::bigint bytes, (case when x=0 then 0.0 else round_even(x/pow(2,greatest(floor(log2(abs(x))),-14)-10),0)*pow(2,greatest(floor(log2(abs(x))),-14)-10) end)::double h from (select vec_id, embedding, i, embedding[i]::double x from (select *, unnest(range(1,len(embedding)+1)) i from embeddings))""")
+def packed_halves(spark, d):
+    """Vectors as bytes of 16-bit floats and back."""
+    p = sinks.packed_halves(t(spark, d, "embeddings").select("vec_id", "embedding"), ["embedding"]).withColumn("bytes", F.octet_length("embedding").cast("long"))
+    e = sinks.unpacked_halves(p, ["embedding"])
+    return e.select("vec_id", "bytes", F.posexplode("embedding").alias("i", "h")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), "bytes", F.col("h").cast("double").alias("h"))
+
+
+@query("""select doc_id, case when n_chars%7=0 then null else lang end lang, case when n_chars%7=0 then null else round(1.0/(1+n_chars%9),6) end::double prob, case when n_chars%7=0 then null else least(n_chars%4,3) end::bigint others, case when n_chars%7=0 then 'too short' end error from documents""")
+def language_records(spark, d):
+    """Records of a language model: a language with its candidates, or an error in their place."""
+    k = t(spark, d, "documents")
+    other = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("x"), i.cast("string")).alias("code"), F.lit(0.1).alias("prob")))
+    good = F.to_json(F.struct("lang", F.round(1 / (1 + F.col("n_chars") % 9), 6).alias("prob"), F.slice(other, F.lit(1), F.least(F.col("n_chars") % 4, F.lit(3)).cast("int")).alias("top5")))
+    record = F.when(F.col("n_chars") % 7 == 0, F.lit('{"error": "too short"}')).otherwise(good)
+    return readers.language_ids(k.select("doc_id", record.alias("record")), "record").select("doc_id", "lang", "prob", F.when(F.col("error").isNull(), F.size("top5")).cast("long").alias("others"), "error")
+
+
 # ---- selection, order, sets ----
 
 

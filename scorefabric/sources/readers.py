@@ -34,6 +34,19 @@ def jsonl_asr(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ASR).json(path).withColumn("words", words_struct(F.col("words")))
 
 
+LANGUAGE = "lang string, prob double, top5 array<struct<code:string,prob:double>>, error string"
+
+
+def language_ids(df: DataFrame, record: str) -> DataFrame:
+    """df with lang, prob, top5 and error from a JSON record that has either the first three or an error; what is no JSON is an error too, null stays null."""
+    parsed = F.from_json(record, LANGUAGE, {"mode": "PERMISSIVE"})
+    known = df.withColumn("_r", parsed)
+    broken = F.col(record).isNotNull() & F.coalesce(F.col("_r.lang"), F.col("_r.error")).isNull()
+    out = known.select(*df.columns, "_r.lang", "_r.prob", "_r.top5", F.when(broken, F.lit("unreadable record")).otherwise(F.col("_r.error")).alias("error"))
+    whole = F.col("error").isNull()
+    return out.withColumns({c: F.when(whole, F.col(c)) for c in ("lang", "prob", "top5")})
+
+
 def by_view(spark: SparkSession, path: str, prefix: str, schema: str, fmt: str = "csv") -> DataFrame:
     """Files `<prefix>_<view>.<fmt>` of a glob as one table with the view's name."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
