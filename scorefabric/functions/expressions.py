@@ -194,6 +194,18 @@ def numeric_columns(df, **which) -> list[str]:
     return names_like([n for n, k in df.dtypes if k.split("(")[0] in kinds], **which)
 
 
+def without(df, names: list[str], missing_ok: bool = False):
+    """df without the named columns; a name that it lacks raises, or with missing_ok is passed over."""
+    if not missing_ok and (unknown := [n for n in names if n not in df.columns]):
+        raise KeyError(f"no columns {unknown}")
+    return df.drop(*names)
+
+
+def usable(split: Column, noisy: Column) -> Column:
+    """Rows that stay: those of the test split, and others that are no noise (null: not known to be noise)."""
+    return (split == "test") | ~F.coalesce(noisy, F.lit(False))
+
+
 def repeats(toks: Column) -> Column:
     """Tokens equal to the one before."""
     pairs = F.zip_with(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))), lambda a, b: a == b)

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the session's checkpoint folder (spark.checkpoint.dir); a temporary one only where none is set and all is one machine."""
-    spark = df.sparkSession
+    """df.checkpoint() in the session's checkpoint folder."""
+    _ready(df.sparkSession)
+    return df.checkpoint()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    _ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _ready(spark: SparkSession) -> None:
+    """Set the checkpoint folder from spark.checkpoint.dir; a temporary one only where none is set and all is one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +30,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
             at = tempfile.mkdtemp(prefix="scorefabric-")
         context.setCheckpointDir(at)
-    return df.checkpoint()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scorefabric.functions import expressions as X
 from scorefabric.functions import syntax
 from scorefabric.operators import attribution, contracts, estimators, folds, models, sequences, similarity, stats
-from scorefabric.plans.queries import TOK_SQL, _views, query, r6, spread, t
+from scorefabric.operators.written import fresh_folder
+from scorefabric.plans.queries import TOK_SQL, _views, query, r6, split_of, spread, t
 from scorefabric.sources import readers, sinks
 
 LIST = "list_transform(embedding, lambda x: x::double)"
@@ -141,6 +142,46 @@ def language_records(spark, d):
     return readers.language_ids(k.select("doc_id", record.alias("record")), "record").select("doc_id", "lang", "prob", F.when(F.col("error").isNull(), F.size("top5")).cast("long").alias("others"), "error")
 
 
+# ---- files ----
+
+
+@query("select o_orderkey, o_custkey, o_totalprice, 'train' split, null::double label from orders")
+def csv_source(spark, d):
+    """Orders written as CSV, read by a declared schema with a split's name, and with a label that the file lacks."""
+    at = fresh_folder(spark, "csv")
+    sinks.to_csv(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), at)
+    read = readers.csv_clips(spark, at, "train", "o_orderkey long, o_custkey long, o_totalprice double")
+    return readers.union_clips([read, spark.createDataFrame([], "label double")])
+
+
+@query("select split, filename, text, 0.5::double first_end, langid from (select lang split, doc_id::varchar filename, text, source langid from documents where text is not null)")
+def jsonl_source(spark, d):
+    """Documents appended as JSON lines in two goes, read by the schema of a transcript; keys that no record has are null."""
+    at = fresh_folder(spark, "jsonl")
+    docs = t(spark, d, "documents").where("text is not null")
+    rows = docs.select(F.col("lang").alias("split"), F.col("doc_id").cast("string").alias("filename"), "text", F.struct(F.col("source").alias("lang")).alias("langid"), F.array(F.array(F.lit("0.0"), F.lit("0.5"), F.lit("w"), F.lit("0.9"))).alias("words"))
+    for half in (0, 1):
+        sinks.to_jsonl(rows.where(F.pmod(F.xxhash64("filename"), F.lit(2)) == half), at)
+    read = readers.jsonl_asr(spark, at)
+    return read.where("duration is null and segments is null").select("split", "filename", "text", F.col("words")[0]["end"].alias("first_end"), F.col("langid.lang").alias("langid"))
+
+
+@query("select lang, source, count(*) n from documents where doc_id%5=0 or doc_id not in (select doc_id from labels where toxic=1) group by all")
+def usable_rows(spark, d):
+    """Rows of the test split, and of the others those not known to be noise."""
+    docs = t(spark, d, "documents").join(t(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("noisy")).distinct(), "doc_id", "left")
+    kept = docs.where(X.usable(split_of("doc_id"), F.col("noisy")))
+    return X.without(kept, ["text", "n_chars", "absent"], missing_ok=True).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select d.doc_id, case when lang<>'en' then 'other language' when quality=0 then 'label 0' else 'short' end why from documents d left join labels l using(doc_id) where lang<>'en' or quality=0 or n_chars<400")
+def diagnostic_rows(spark, d):
+    """Rows to look at: another language, a label of 0, or little text."""
+    k = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    why = F.when(F.col("lang") != "en", "other language").when(F.col("quality") == 0, "label 0").when(F.col("n_chars") < 400, "short")
+    return k.select("doc_id", why.alias("why")).where("why is not null")
+
+
 # ---- selection, order, sets ----
 
 

@@ -74,3 +74,33 @@ def test_wer_of_many_words(spark):
     # more different words than the first plane has code points
     long = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(69_999)), lambda k: F.concat(F.lit("x"), k.cast("string"))).alias("a"), F.array(F.lit("y"), F.lit("x69999")).alias("b"))
     assert long.select(X.wer(F.col("a"), F.col("b")).alias("w")).first().w == 69_999 / 70_000
+
+
+def test_columns_without(spark):
+    df = spark.range(1).selectExpr("id", "1 as a", "2 as b")
+    assert X.without(df, ["a", "zz"], missing_ok=True).columns == ["id", "b"]
+    with pytest.raises(KeyError):
+        X.without(df, ["zz"])
+
+
+def test_discovery_and_reports(spark, tmp_path):
+    for name in ("x/one.txt", "x/two.csv", "skip/three.txt", "y/four.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("abc")
+    found = readers.discover(spark, [str(tmp_path)], "*.txt", "/skip/").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found) == ["four.txt", "one.txt"] and {r.length for r in found} == {3}
+    df = spark.createDataFrame([(1, {"k": 2})], "a int, m map<string,int>")
+    assert sinks.to_report(df) == '[{"a": 1, "m": {"k": 2}}]'
+    with pytest.raises(ValueError):
+        sinks.to_report(spark.range(11), limit=10)
+
+
+def test_inner_folds_keep_groups_and_sizes_even():
+    from scorefabric.operators.folds import group_folds
+
+    r = random.Random(1)
+    sizes = {f"g{i}": r.randint(1, 30) for i in range(60)}
+    fold = group_folds(sizes, 4)
+    loads = [sum(n for g, n in sizes.items() if fold[g] == f) for f in range(4)]
+    assert set(fold) == set(sizes) and max(loads) - min(loads) <= 30
+    assert group_folds({"a": 3}, 4) == {"a": 0}
