@@ -1,13 +1,17 @@
 """Syntactic features of a parse: an array of structs (word, sent, pos, tag, dep, head), in order, where `sent` numbers
-sentences and `head` is the place of the head from 1, a root's its own. Every expression is linear in the words but for
-the depths, which double their reach seven times."""
+sentences and `head` is the place of the head from 1, a root's its own. Depths, whose reach doubles seven times, and the moving
+type-token ratio are made in Arrow batches, all else by expressions that are linear in the words."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scorefabric.functions.expressions import let, mattr, mean_of, packed, total
+from scorefabric.functions.expressions import let, mean_of, packed, total
+from scorefabric.functions.lexical import moving_ttr
 
 # Dependencies that open a clause, parts of speech and verb tags that are counted.
 CLAUSE_DEPS = ["advcl", "ccomp", "xcomp", "acl", "relcl", "csubj", "csubjpass"]
@@ -16,15 +20,30 @@ VERB_TAGS = ["VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "MD"]
 DEEPEST = 100
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _steps(heads: pd.Series) -> pd.Series:
+    out = []
+    for row in heads:
+        if row is None:
+            out.append(None)
+            continue
+        own = np.arange(len(row))
+        to = np.array([k if h is None or h != h else int(h) - 1 for k, h in enumerate(row)], np.int64)
+        steps = (to != own).astype(np.int64)
+        for _ in range(7):
+            steps, to = steps + steps[to], to[to]
+        out.append(np.minimum(steps, DEEPEST).astype(np.int32))
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def _moving(toks: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else moving_ttr(list(t)) for t in toks], dtype="float64")
+
+
 def depths(parse: Column) -> Column:
-    """Steps from each word to its root, DEEPEST at most."""
-    heads = F.transform(parse, lambda t: t["head"].cast("int"))
-    start = F.struct(heads.alias("to"), F.transform(heads, lambda h, i: (h != i + 1).cast("int")).alias("steps")).cast("struct<to:array<int>,steps:array<int>>")
-    further = lambda s, _: F.struct(
-        F.transform(s["to"], lambda j: F.element_at(s["to"], j)).alias("to"),
-        F.zip_with(s["steps"], s["to"], lambda d, j: d + F.element_at(s["steps"], j)).alias("steps"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, further, lambda s: F.transform(s["steps"], lambda d: F.least(d, F.lit(DEEPEST))))
+    """Steps from each word to its root, DEEPEST at most; a null head is a root. In Arrow batches."""
+    return _steps(F.transform(parse, lambda t: t["head"].cast("int")))
 
 
 def sentences(parse: Column) -> Column:
@@ -48,11 +67,13 @@ def is_word(c: Column) -> Column:
 def syntax_features(parse: Column, chunks: Column | None = None) -> Column:
     """A struct of all features of a parse; `chunks` is the number of noun chunks. Without words of letters the count is 0 and the
     others are null."""
-    bound = F.struct(F.filter(parse, lambda t: is_word(t["word"])).alias("words"), sentences(parse).alias("sents"))
-    return let(bound, lambda s: packed(_features(parse, s["words"], s["sents"], chunks)))
+    words = F.filter(parse, lambda t: is_word(t["word"]))
+    moving = _moving(F.transform(words, lambda t: F.lower(t["word"])))
+    bound = F.struct(words.alias("words"), sentences(parse).alias("sents"), moving.alias("moving"))
+    return let(bound, lambda s: packed(_features(parse, s["words"], s["sents"], s["moving"], chunks)))
 
 
-def _features(parse: Column, words: Column, sents: Column, chunks: Column | None) -> dict[str, Column]:
+def _features(parse: Column, words: Column, sents: Column, moving: Column, chunks: Column | None) -> dict[str, Column]:
     toks = F.transform(words, lambda t: F.lower(t["word"]))
     n, k = F.size(words), F.size(sents)
     some = lambda c: F.when(n > 0, c)
@@ -64,7 +85,7 @@ def _features(parse: Column, words: Column, sents: Column, chunks: Column | None
     return {
         "ling_n_words": n,
         "ttr": some(F.size(F.array_distinct(toks)) / n),
-        "mattr50": some(let(toks, lambda w: mattr(w))),
+        "mattr50": some(moving),
         "mean_word_len": some(total(F.transform(toks, F.length)) / n),
         "long_word_frac": some(count(toks, lambda w: F.length(w) > 6) / n),
         "n_sents": some(k),
