@@ -194,7 +194,7 @@ def numeric_columns(df, **which) -> list[str]:
     return names_like([n for n, k in df.dtypes if k.split("(")[0] in kinds], **which)
 
 
-def without(df, names: list[str], missing_ok: bool = False):
+def dropped(df, names: list[str], missing_ok: bool = False):
     """df without the named columns; a name that it lacks raises, or with missing_ok is passed over."""
     if not missing_ok and (unknown := [n for n in names if n not in df.columns]):
         raise KeyError(f"no columns {unknown}")

@@ -171,7 +171,7 @@ def usable_rows(spark, d):
     """Rows of the test split, and of the others those not known to be noise."""
     docs = t(spark, d, "documents").join(t(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("noisy")).distinct(), "doc_id", "left")
     kept = docs.where(X.usable(split_of("doc_id"), F.col("noisy")))
-    return X.without(kept, ["text", "n_chars", "absent"], missing_ok=True).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return X.dropped(kept, ["text", "n_chars", "absent"], missing_ok=True).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select d.doc_id, case when lang<>'en' then 'other language' when quality=0 then 'label 0' else 'short' end why from documents d left join labels l using(doc_id) where lang<>'en' or quality=0 or n_chars<400")

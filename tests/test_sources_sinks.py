@@ -76,11 +76,11 @@ def test_wer_of_many_words(spark):
     assert long.select(X.wer(F.col("a"), F.col("b")).alias("w")).first().w == 69_999 / 70_000
 
 
-def test_columns_without(spark):
+def test_dropped_columns(spark):
     df = spark.range(1).selectExpr("id", "1 as a", "2 as b")
-    assert X.without(df, ["a", "zz"], missing_ok=True).columns == ["id", "b"]
+    assert X.dropped(df, ["a", "zz"], missing_ok=True).columns == ["id", "b"]
     with pytest.raises(KeyError):
-        X.without(df, ["zz"])
+        X.dropped(df, ["zz"])
 
 
 def test_discovery_and_reports(spark, tmp_path):
