@@ -192,24 +192,34 @@ def primal_ridge(df: DataFrame, features: list[str], label: str, alpha: float) -
 def svr_fit(k: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1, tol: float = 1e-3, most: int = 1_000_000) -> tuple[np.ndarray, float, float]:
     """(weights, bias, KKT residual) of epsilon-insensitive regression on a kernel, by sequential minimal optimisation.
 
-    The dual has a weight for each row, between -c and c, and they add up to 0. Two weights move at a time, one up and one
-    down: the one whose gradient is furthest below what optimality asks for, and the partner that lowers the objective
-    most. The residual is the violation that is left, `tol` at most unless the steps run out.
+    The dual has a weight for each row, between -c and c, and they add up to 0. The residual is the violation that is left,
+    `tol` at most unless the steps run out.
     """
     n = len(y)
     if not n:
         return np.zeros(0), 0.0, 0.0
-    w, f = np.zeros(n), np.zeros(n)  # f = k @ w
-    diagonal = np.diag(k)
-    gap = 0.0
+    w, f = svr_steps(k, y, np.zeros(n), np.zeros(n), c, eps, tol, most)
+    up, down = svr_slopes(w, f - y, c, eps)
+    return w, -(up.min() + down.max()) / 2, max(0.0, float(down.max() - up.min()))
+
+
+def svr_slopes(w: np.ndarray, slack: np.ndarray, c: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The slope of the objective when a weight goes up, and when it goes down: they differ by 2 eps at weight 0."""
+    return np.where(w < c, slack + np.where(w >= 0, eps, -eps), np.inf), np.where(w > -c, slack - np.where(w > 0, -eps, eps), -np.inf)
+
+
+def svr_steps(k: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, c: float, eps: float, tol: float, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, outputs without bias) after steps on the rows of the kernel, from given weights and outputs; what other
+    rows add to the outputs stays as it is.
+
+    Two weights move at a time, one up and one down: the one whose gradient is furthest below what optimality asks for,
+    and the partner that lowers the objective most.
+    """
+    w, f, diagonal = w.copy(), f.copy(), np.diag(k)
     for _ in range(most):
-        slack = f - y
-        # the slope of the objective when a weight goes up, and when it goes down: they differ by 2 eps at weight 0
-        up = np.where(w < c, slack + np.where(w >= 0, eps, -eps), np.inf)
-        down = np.where(w > -c, slack - np.where(w > 0, -eps, eps), -np.inf)
+        up, down = svr_slopes(w, f - y, c, eps)
         i = int(np.argmin(up))
-        gap = down.max() - up[i]
-        if gap <= tol:
+        if down.max() - up[i] <= tol:
             break
         lead = down - up[i]
         curve = np.maximum(diagonal[i] + diagonal - 2 * k[i], 1e-12)
@@ -223,10 +233,7 @@ def svr_fit(k: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1, tol:
             if abs(w[at]) < 1e-15 * c:
                 w[at] = 0.0
         f += step * (k[i] - k[j])
-    slack = f - y
-    up = np.where(w < c, slack + np.where(w >= 0, eps, -eps), np.inf)
-    down = np.where(w > -c, slack - np.where(w > 0, -eps, eps), -np.inf)
-    return w, -(up.min() + down.max()) / 2, max(0.0, float(down.max() - up.min()))
+    return w, f
 
 
 def svr(k: np.ndarray, k_new: np.ndarray, y: np.ndarray, c: float = 3.0, eps: float = 0.1) -> np.ndarray:
@@ -280,17 +287,23 @@ def pca_svr(x: np.ndarray, train: np.ndarray, new: np.ndarray, y: np.ndarray, n:
     return pca_svr_fit(x[train], y, x[new], n, c, eps)[0]
 
 
-def pca_svr_fit(x: np.ndarray, y: np.ndarray, new: np.ndarray, n: int = 128, c: float = 3.0, eps: float = 0.1) -> tuple[np.ndarray, float]:
+def pca_svr_fit(x: np.ndarray, y: np.ndarray, new: np.ndarray, n: int = 128, c: float = 3.0, eps: float = 0.1, tol: float = 1e-3) -> tuple[np.ndarray, float]:
     """(predictions for `new`, KKT residual); the kernel's scale is one over columns times variance."""
     mean, scale, axes, _ = components_of(len(x), x.mean(0), np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1]), n)
     z, z_new = ((a - mean) / scale @ axes for a in (x, new))
     gamma = 1 / (z.shape[1] * max(z.var(), 1e-12))
-    w, bias, gap = svr_fit(rbf(z, z, gamma), y, c, eps)
+    w, bias, gap = svr_fit(rbf(z, z, gamma), y, c, eps, tol)
     return rbf(z_new, z, gamma) @ w + bias, gap
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
+    out = a @ b.T
+    out *= -2
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)[None, :]
+    np.maximum(out, 0, out=out)
+    out *= -gamma
+    return np.exp(out, out=out)
 
 
 def boosted_trees(features: str = "features", label: str = "label", trees: int = 500, rate: float = 0.02, seed: int = 42):

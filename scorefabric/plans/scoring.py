@@ -406,9 +406,13 @@ def ridge_refit(spark, d):
     return _one_driver(spark, d, estimators.Ridge()).withColumnRenamed("figure", "alpha")
 
 
+#: Rows of a fit that a round of support vectors moves, in views too large for one kernel.
+WORKING = 4096
+
+
 @query()
 def support_vectors(spark, d):
-    return _one_driver(spark, d, estimators.Support()).withColumnRenamed("figure", "kkt_residual")
+    return _one_driver(spark, d, estimators.Support(working=WORKING)).withColumnRenamed("figure", "kkt_residual")
 
 
 @query()

@@ -232,6 +232,16 @@ def test_support_vectors_say_what_they_take(spark):
         estimators.predictions(view, folds, "id", "vec", "y", "g", estimators.Support(most_rows=10))
 
 
+def test_support_vectors_of_large_views_equal_those_of_one_kernel(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    view, folds, *_ = view_of(spark, 90)
+    one = estimators.predictions(view, folds, "id", "vec", "y", "g", estimators.Support(components=3, tol=1e-6)).toPandas()
+    rounds = estimators.predictions(view, folds, "id", "vec", "y", "g", estimators.Support(components=3, tol=1e-6, most_rows=10, working=48)).toPandas()
+    both = one.merge(rounds, on=["view", "repeat", "fold", "id"], how="outer")
+    assert len(both) == len(one) == len(rounds) == 2 * (2 * (75 + 3 * 15) + 90)
+    assert np.allclose(both.pred_x, both.pred_y, atol=1e-5) and both.figure_y.max() <= 1e-6
+
+
 def test_driver_of_nothing(spark):
     view, folds, *_ = view_of(spark, 30)
     assert estimators.predictions(view.limit(0), folds, "id", "vec", "y", "g", estimators.Ridge()).collect() == []
