@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,13 @@ BLOCK, PIVOTS = 1024, 2048
 #: Blocks up to which all pairs of blocks are met without looking for bounds; results are the same.
 FEW = 4
 
+#: Blocks of a group at most, and groups into which a table of enough blocks is dealt at least. A task takes two groups, so a
+#: vector is shuffled once for each group, not for each block.
+GROUP, GROUPS = 64, 8
+
+#: Rows that a task sends on at once, about, and links that it holds before it follows them.
+ROWS, LINKS = 1 << 18, 1 << 20
+
 #: Angles are taken to be less exact than this.
 SLACK = 1e-6
 
@@ -40,20 +48,27 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
 
 
 def _placed(df: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFrame:
-    """(id, v, pivot, angle): unit vectors with their nearest pivot. Zero vectors are no one's neighbours and go to pivot -1; null ones go."""
+    """(id, v, pivot, angle): vectors with their nearest pivot. Zero vectors are no one's neighbours and go to pivot -1; null ones go."""
 
     def place(batches):
         for b in batches:
             if len(b):
-                x = _unit(np.stack(b["v"].to_numpy()).astype(float))
+                x = _vectors(b)
                 s = x @ pivots.T
                 near = s.argmax(1)
                 zero = np.abs(x).sum(1) == 0
-                yield pd.DataFrame({"id": b["id"], "v": list(x), "pivot": np.where(zero, -1, near), "angle": np.where(zero, 0.0, _angle(s[np.arange(len(x)), near]))})
+                yield pd.DataFrame({"id": b["id"], "v": b["v"], "pivot": np.where(zero, -1, near), "angle": np.where(zero, 0.0, _angle(s[np.arange(len(x)), near]))})
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    return rows.mapInPandas(place, f"id {kind}, v array<double>, pivot int, angle double")
+    narrow = df.schema[vector].dataType.simpleString() == "array<float>"  # these stay as small as they are
+    v = F.col(vector) if narrow else F.transform(vector, lambda x: x.cast("double"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v"))
+    return rows.mapInPandas(place, f"id {kind}, v array<{'float' if narrow else 'double'}>, pivot int, angle double")
+
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    """The unit vectors of some rows."""
+    return _unit(np.stack(pdf["v"].to_numpy()).astype(float))
 
 
 def _hashed(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
@@ -120,8 +135,9 @@ def _least_angles(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray) -> np.nd
     return np.maximum(far, 0.0) - SLACK
 
 
-def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, chosen) -> DataFrame:
-    """(i, j) of the blocks of a and b for which chosen(least angles, blocks of a) holds; tasks take some blocks of a each."""
+def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, chosen, each: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(i, j) of the blocks of a and b for which chosen(least angles, blocks of a) holds; tasks take some blocks of a each.
+    With each, the groups of so many blocks that hold such a pair."""
     step = max(1, (1 << 22) // max(1, len(b)))
 
     def some(batches):
@@ -129,30 +145,100 @@ def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray
             for k in range(0, len(t), step):
                 mine = t.iloc[k : k + step]
                 i, j = np.nonzero(chosen(_least_angles(mine, b, pivots), mine["blk"].to_numpy()))
-                yield pd.DataFrame({"i": mine["blk"].to_numpy()[i], "j": b["blk"].to_numpy()[j]})
+                yield pd.DataFrame({"i": mine["blk"].to_numpy()[i] // each[0], "j": b["blk"].to_numpy()[j] // each[1]}).drop_duplicates()
 
     rows = [(int(r.blk), int(r.pivot), float(r.low), float(r.high)) for r in a.itertuples()]
-    return checkpointed(spark.createDataFrame(rows, "blk int, pivot int, low double, high double").mapInPandas(some, "i int, j int"))
+    return checkpointed(spark.createDataFrame(rows, "blk int, pivot int, low double, high double").mapInPandas(some, "i int, j int").distinct())
 
 
-def block_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows with their block, the pairs of blocks i <= j that can hold two vectors of a cosine above the threshold)."""
+def _of_groups(q: DataFrame, b: DataFrame | None, pairs: DataFrame, each: tuple[int, int]):
+    """The rows of q and b grouped by the pairs (i, j) of their groups; without b, pairs i <= j of groups of q."""
+    meet = lambda d, side, many: d.withColumn("_g", F.floor(F.col("blk") / many).cast("int")).join(F.broadcast(pairs.withColumn("_g", F.col(side))), "_g")
+    one = meet(q, "i", each[0]).select(F.lit(0).alias("side"), "id", "v", "blk", "i", "j")
+    two = meet(q, "j", each[0]).where("i <> j") if b is None else meet(b, "j", each[1])
+    return one.unionByName(two.select(F.lit(1).alias("side"), "id", "v", "blk", "i", "j")).groupBy("i", "j")
+
+
+def _meetings(pdf: pd.DataFrame, chosen, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of rows, places of rows, similarities) of each pair of blocks in a pair of groups that chosen(block, blocks)
+    keeps; once: of one table, i <= j, so that a group may meet itself."""
+    x, blk, side = _vectors(pdf), pdf["blk"].to_numpy(), pdf["side"].to_numpy()
+    places = lambda k: {int(i): np.flatnonzero((side == k) & (blk == i)) for i in np.unique(blk[side == k])}
+    left, right = places(0), places(1)
+    if once and not right:
+        right = left
+    for i, r in left.items():
+        js = np.array([j for j in right if not once or j >= i], int)
+        for j in js[chosen(i, js)] if len(js) else ():
+            yield r, right[int(j)], x[r] @ x[right[int(j)]].T
+
+
+def _each(blocks: int, groups: int = GROUPS) -> int:
+    """Blocks of a group."""
+    return max(1, min(GROUP, math.ceil(blocks / groups)))
+
+
+def _blocks(df: DataFrame, key: str, vector: str, threshold: float, block: int):
+    """(rows with their block, the blocks, pivots, whether pairs of blocks of some least angles can hold a cosine above the threshold)."""
     pivots, _ = _pivots(df, key, vector, block)
     dealt, blocks = _rings(checkpointed(_placed(df, key, vector, pivots)).where("pivot >= 0"), block)
     far, all_ = float(_angle(np.array(threshold))), blocks["blk"].to_numpy()
-    return dealt, _pairs_of_blocks(df.sparkSession, blocks, blocks, pivots, lambda least, own: (least <= far) & (own[:, None] <= all_[None, :]))
+    return dealt, blocks, pivots, lambda least, own: (least <= far) & (own[:, None] <= all_[None, :])
+
+
+def block_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block, the pairs of blocks i <= j that can hold two vectors of a cosine above the threshold)."""
+    dealt, blocks, pivots, chosen = _blocks(df, key, vector, threshold, block)
+    return dealt, _pairs_of_blocks(df.sparkSession, blocks, blocks, pivots, chosen)
+
+
+def _above(df: DataFrame, key: str, vector: str, threshold: float, block: int, found, schema: str) -> DataFrame:
+    """found(ids of rows, pairs of places above the threshold, one block pair after the other) for each pair of groups."""
+    dealt, blocks, pivots, chosen = _blocks(df, key, vector, threshold, block)
+    far, each = float(_angle(np.array(threshold))), _each(len(blocks))
+    pairs = _pairs_of_blocks(df.sparkSession, blocks, blocks, pivots, chosen, (each, each))
+
+    def close(i: int, js: np.ndarray) -> np.ndarray:
+        return _least_angles(blocks.iloc[i : i + 1], blocks.iloc[js], pivots)[0] <= far
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames), ignore_index=True)
+
+        def passing():
+            for r, c, s in _meetings(pdf, close, True):
+                p, q = np.nonzero(s > threshold)
+                keep = p < q if r is c else slice(None)
+                yield r[p[keep]], c[q[keep]], s[p, q][keep]
+
+        yield from found(pdf["id"].to_numpy(), passing())
+
+    return _of_groups(dealt, None, pairs, (each, each)).applyInPandas(multiply, schema)
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, sim) of all pairs a < b whose cosine exceeds the threshold (strict, and above 0 where a vector is zero).
 
     Exact. Vectors are dealt over ranges of the angle to their nearest pivot; pairs of ranges that the triangle
-    inequality keeps apart are never multiplied. Every other pair is one group, at most two blocks in memory.
+    inequality keeps apart are never multiplied. A task takes two groups of ranges and sends on pairs as it finds them.
     """
     if threshold < 0:
         raise ValueError("a threshold is 0 at least")
     blocks = max(1, math.ceil(df.count() / block))
-    dealt, pairs = (_hashed(df, key, vector, blocks), _all_pairs(df.sparkSession, blocks, blocks, True)) if blocks <= FEW else block_pairs(df, key, vector, threshold, block)
+    if blocks > FEW:
+
+        def told(ids, passing):
+            held, n = [], 0
+            for p, q, s in passing:
+                held.append(pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "sim": s}))
+                n += len(p)
+                if n > ROWS:
+                    yield pd.concat(held)
+                    held, n = [], 0
+            if n:
+                yield pd.concat(held)
+
+        return _above(df, key, vector, threshold, block, told, "a long, b long, sim double")
+    dealt, pairs = _hashed(df, key, vector, blocks), _all_pairs(df.sparkSession, blocks, blocks, True)
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -169,11 +255,49 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block:
     return dealt.join(both, "blk").groupBy("i", "j").applyInPandas(multiply, "a long, b long, sim double")
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """label, in place: the least place that each place reaches, by what it was and the links between a and b."""
+    while len(a):
+        p, q = label[a], label[b]
+        apart = p != q
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def cosine_links(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) with the components of all pairs above the threshold: a task sends on, for each of its rows, the least one it
+    reaches there, so a link for a row and a pair of groups at most."""
+    if threshold < 0:
+        raise ValueError("a threshold is 0 at least")
+    if math.ceil(df.count() / block) <= FEW:
+        return cosine_pairs(df, key, vector, threshold, block).select("a", "b")
+
+    def told(ids, passing):
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))  # places in the order of ids, so that the least place is the least id
+        label, held, n = np.arange(len(ids)), [], 0
+        for p, q, _ in passing:
+            held.append((place[p], place[q]))
+            n += len(p)
+            if n > LINKS:
+                _joined(label, *map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            _joined(label, *map(np.concatenate, zip(*held, strict=True)))
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        yield pd.DataFrame({"a": ids[order][label[some]], "b": ids[order][some]})
+
+    return _above(df, key, vector, threshold, block, told, "a long, b long")
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 1, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, sim): the k nearest of base by cosine for each query, itself left out; ties to the least key.
 
     Exact. Queries first meet the blocks of base that lie nearest to theirs; the k-th similarity found there bounds how far
-    a better one can be, and only blocks within that bound of a block of queries are met after that.
+    a better one can be, and only blocks within that bound of a block of queries are met after that, in pairs of groups.
     """
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "neighbour")
     top = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
@@ -182,9 +306,9 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
         x, y = pdf[pdf["side"] == "q"], pdf[pdf["side"] == "b"].sort_values("id")
         if not len(x) or not len(y):
             return pd.DataFrame({"id": [], "neighbour": [], "sim": [], "own": []})
-        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
+        s = _vectors(x) @ _vectors(y).T
         s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -np.inf
-        some = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        some = _first(s, k)
         r = np.repeat(np.arange(len(x)), some.shape[1])
         out = pd.DataFrame({"id": x["id"].to_numpy()[r], "neighbour": y["id"].to_numpy()[some.ravel()], "sim": s[r, some.ravel()], "own": x["blk"].to_numpy()[r]})
         return out[np.isfinite(out["sim"])]
@@ -228,8 +352,44 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
     for r in sizes.join(held, sizes.blk == held.own).collect():  # a row a block
         if r["full"] == r["all"]:
             reach[r["blk"]] = _angle(np.array(r["s"]))
-    more = _pairs_of_blocks(spark, qb, bb, pivots, lambda least, own: (least_of(least, own) <= reach[own][:, None]) & ~nearest_two(least, own))
-    return top(found.unionByName(met(q, b, more))).select("id", "neighbour", "sim")
+    each = _each(len(qb), GROUPS // 2), _each(len(bb), GROUPS // 2)
+    near = lambda least, own: (least_of(least, own) <= reach[own][:, None]) & ~nearest_two(least, own)
+    more = _pairs_of_blocks(spark, qb, bb, pivots, near, each)
+
+    def close(i: int, js: np.ndarray) -> np.ndarray:
+        return near(_least_angles(qb.iloc[i : i + 1], bb, pivots), np.array([i]))[0][js]
+
+    def better(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames), ignore_index=True).sort_values("id", ignore_index=True)
+        ids, own, held = pdf["id"].to_numpy(), pdf["blk"].to_numpy(), []
+
+        def told():
+            """The k best of the queries of a block."""
+            some = pd.concat(held)
+            return some.sort_values(["id", "sim", "neighbour"], ascending=[True, False, True]).groupby("id").head(k)
+
+        for p, c, s in _meetings(pdf, close, False):
+            if held and held[-1]["own"].iloc[0] != own[p[0]]:
+                yield told()
+                held = []
+            at = np.searchsorted(ids[c], ids[p]).clip(max=len(c) - 1)
+            same = ids[c][at] == ids[p]
+            s[np.flatnonzero(same), at[same]] = -np.inf
+            some = _first(s, k)
+            r = np.repeat(np.arange(len(p)), some.shape[1])
+            out = pd.DataFrame({"id": ids[p][r], "neighbour": ids[c][some.ravel()], "sim": s[r, some.ravel()], "own": own[p][r]})
+            if len(out := out[np.isfinite(out["sim"])]):
+                held.append(out)
+        if held:
+            yield told()
+
+    rest = _of_groups(q, b, more, each).applyInPandas(better, "id long, neighbour long, sim double, own int")
+    return top(found.unionByName(rest)).select("id", "neighbour", "sim")
+
+
+def _first(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest of each row, equal ones in their order."""
+    return s.argmax(1)[:, None] if k == 1 else np.argsort(-s, axis=1, kind="stable")[:, :k]
 
 
 def nn_threshold(queries: DataFrame, base: DataFrame, key: str, vector: str, percentile: float = 0.995) -> float:
@@ -471,4 +631,4 @@ def few_shot_prompt(examples, text, rubric: str, scale: str = "1.0-5.0"):
     return F.concat(F.lit(f"{rubric}\nScale {scale}.\n\n"), shots, F.lit("\n\nText: "), text, F.lit("\nGrade:"))
 
 
-__all__ = ["band_anchors", "block_pairs", "components", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "speaker_vectors", "text_neighbours", "tfidf", "tokens"]
+__all__ = ["band_anchors", "block_pairs", "components", "cosine_links", "cosine_pairs", "few_shot_prompt", "linked_groups", "nearest", "nn_threshold", "speaker_vectors", "text_neighbours", "tfidf", "tokens"]

@@ -52,6 +52,44 @@ def test_blocks_that_cannot_match_are_not_paired(spark):
     assert dealt.groupBy("blk").count().agg(F.max("count")).first()[0] <= 60
 
 
+def test_a_vector_is_sent_to_groups_not_to_blocks(spark):
+    """Rows shuffled for a pairing of 20 blocks: once for each of the groups that meet, GROUPS + 1 at most."""
+    x = np.random.default_rng(3).normal(size=(400, 16))
+    plan = S._of_groups
+    sent = []
+
+    def counted(*a):
+        out = plan(*a)
+        sent.append(out.count().agg(F.sum("count")).first()[0])
+        return out
+
+    S._of_groups = counted
+    try:
+        pairs = {(r.a, r.b) for r in S.cosine_pairs(frame(spark, x), "id", "v", 0.2, 20).collect()}
+        links = [(r.a, r.b) for r in S.cosine_links(frame(spark, x), "id", "v", 0.6, 20).collect()]
+    finally:
+        S._of_groups = plan
+    s = cosines(x, x)
+    assert pairs == {(i, j) for i in range(400) for j in range(i + 1, 400) if s[i, j] > 0.2}
+    assert len(sent) == 2 and max(sent) <= (S.GROUPS + 1) * 400
+    up = list(range(400))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    want = [(i, j) for i in range(400) for j in range(i + 1, 400) if s[i, j] > 0.6]
+    parts = []
+    for some in (want, links):
+        up[:] = range(400)
+        for i, j in some:
+            a, b = sorted((find(i), find(j)))
+            up[b] = a
+        parts.append([find(i) for i in range(400)])
+    assert want and parts[0] == parts[1]
+
+
 @pytest.mark.parametrize("seed,block,k", [(0, 16, 1), (1, 8, 3), (2, 1000, 2), (3, 5, 4)])
 def test_nearest(spark, seed, block, k):
     x, y = vectors(seed), vectors(seed + 50, 120)
