@@ -107,6 +107,23 @@ def test_nearest(spark, seed, block, k):
     assert [n for n, _ in sorted(got[5])] == list(range(k))  # a zero vector: all are alike, the least keys win
 
 
+def test_a_search_sends_vectors_to_groups(spark, monkeypatch):
+    """Vectors that no bound keeps apart: a row is shuffled once for each group of the other side, GROUPS / 2 at most."""
+    x = np.random.default_rng(5).normal(size=(600, 24))
+    plan, sent = S._of_groups, []
+
+    def counted(*a):
+        out = plan(*a)
+        sent.append(out.count().agg(F.sum("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(S, "_of_groups", counted)
+    got = {r.id: r.neighbour for r in S.nearest(frame(spark, x[:200]), frame(spark, x), "id", "v", 1, 20).collect()}
+    s = cosines(x[:200], x)
+    s[np.arange(200), np.arange(200)] = -np.inf
+    assert got == dict(enumerate(s.argmax(1).tolist())) and sent[0] <= 800 * S.GROUPS // 2
+
+
 def test_nearest_of_nothing(spark):
     x = frame(spark, vectors(0, 110))
     assert S.nearest(x.limit(0), x, "id", "v").collect() == S.nearest(x, x.limit(0), "id", "v").collect() == []
