@@ -97,6 +97,25 @@ def test_linkage_is_of_all_rows_in_rounds_too(spark, tmp_path):
     assert len({i % 4 for i in np.flatnonzero(want[2] == want[2][0])}) > 1
 
 
+def test_linkage_compares_only_clusters_whose_closest_one_merged(spark, monkeypatch):
+    from scorefabric.operators import similarity
+
+    r = np.random.default_rng(11)
+    x = np.repeat(r.normal(size=(20, 12)), 6, 0) + r.normal(size=(120, 12)) * 0.8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain, asked = similarity._closest, []
+
+    def counted(asking, clusters, sizes, *rest):
+        asked.append(tuple(sizes))
+        return plain(asking, clusters, sizes, *rest)
+
+    monkeypatch.setattr(similarity, "_closest", counted)
+    rows = similarity.linked_groups(df, "vec_id", "embedding", [0.5, 0.3], most=30, block=64).orderBy("vec_id").toPandas()
+    want = similarity.average_linkage(x, [0.5, 0.3])
+    assert rows["group_50"].tolist() == want[0].tolist() and rows["group_30"].tolist() == want[1].tolist()
+    assert asked[0] == (120, 120) and len(asked) > 2 and all(a < b for a, b in asked[1:])
+
+
 def test_ridge_beyond_most_rows_equals_the_kernel_form(spark, monkeypatch):
     from scorefabric.operators import folds, models
 
