@@ -24,6 +24,9 @@ FEW = 4
 #: vector is shuffled once for each group, not for each block.
 GROUP, GROUPS = 64, 8
 
+#: Blocks' worth of rows in a strip, and strips in a partition at most, of which a task holds one.
+STRIP, STRIPS = 4, 16
+
 #: Rows that a task sends on at once, about, and links that it holds before it follows them.
 ROWS, LINKS = 1 << 18, 1 << 20
 
@@ -84,7 +87,7 @@ def _all_pairs(spark, rows: int, columns: int, once: bool) -> DataFrame:
 
 
 def _rings(placed: DataFrame, block: int, cells: int = 256) -> tuple[DataFrame, pd.DataFrame]:
-    """placed with the block of each row, and the blocks (blk, pivot, low, high). A block is a range of angles about a
+    """placed with the block of each row, and the blocks (blk, pivot, low, high, n rows about). A block is a range of angles about a
     pivot; equal angles beyond a block's size, of copies say, are dealt over more blocks of that range.
 
     The driver holds `cells` counts a pivot at most, and a row for each block.
@@ -98,36 +101,35 @@ def _rings(placed: DataFrame, block: int, cells: int = 256) -> tuple[DataFrame,
         for c, n, a, z in zip(mine["cell"], mine["n"], mine["low"], mine["high"], strict=True):
             if n > block:  # one cell, over several blocks
                 if held:
-                    blocks.append((at, pivot, low, high))
+                    blocks.append((at, pivot, low, high, held))
                     at, held = at + 1, 0
                 parts = math.ceil(n / block)
                 cuts.append((pivot, c, at, parts))
-                blocks += [(at + k, pivot, a, z) for k in range(parts)]
+                blocks += [(at + k, pivot, a, z, math.ceil(n / parts)) for k in range(parts)]
                 at += parts
                 continue
             if held and held + n > block:
-                blocks.append((at, pivot, low, high))
+                blocks.append((at, pivot, low, high, held))
                 at, held = at + 1, 0
             low = a if not held else low
             held, high = held + n, z
             cuts.append((pivot, c, at, 1))
         if held:
-            blocks.append((at, pivot, low, high))
+            blocks.append((at, pivot, low, high, held))
             at += 1
     table = placed.sparkSession.createDataFrame([tuple(map(int, c)) for c in cuts], "pivot int, cell int, first int, parts int")
     dealt = some.join(F.broadcast(table), ["pivot", "cell"]).select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("blk"))
-    return dealt, pd.DataFrame(blocks, columns=["blk", "pivot", "low", "high"])
+    return dealt, pd.DataFrame(blocks, columns=["blk", "pivot", "low", "high", "n"])
 
 
 def _least_angles(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
     """(blocks of a, blocks of b): no two vectors of the two blocks are closer. Angles obey the triangle inequality:
     through one pivot by the difference of the angles to it, between pivots by what is left of their own angle."""
-    between = _angle(pivots @ pivots.T)
-    np.fill_diagonal(between, 0.0)
     p, q = a["pivot"].to_numpy(), b["pivot"].to_numpy()
     low = lambda t: t["low"].to_numpy()
     high = lambda t: t["high"].to_numpy()
-    d = between[np.ix_(p, q)] if len(pivots) else np.zeros((len(p), len(q)))
+    d = _angle(pivots[p] @ pivots[q].T) if len(pivots) else np.zeros((len(p), len(q)))
+    d[p[:, None] == q[None, :]] = 0.0
     far = d - high(a)[:, None] - high(b)[None, :]
     # a vector far from its pivot is far from what lies near that pivot, and the other way round
     far = np.maximum(far, low(a)[:, None] - d - high(b)[None, :])
@@ -135,9 +137,10 @@ def _least_angles(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray) -> np.nd
     return np.maximum(far, 0.0) - SLACK
 
 
-def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, chosen, each: tuple[int, int] = (1, 1)) -> DataFrame:
+def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, chosen, of: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(i, j) of the blocks of a and b for which chosen(least angles, blocks of a) holds; tasks take some blocks of a each.
-    With each, the groups of so many blocks that hold such a pair."""
+    With the groups of both sides' blocks, the pairs of groups that hold such a pair."""
+    of_a, of_b = of or (np.arange(len(a)), np.arange(len(b)))
     step = max(1, (1 << 22) // max(1, len(b)))
 
     def some(batches):
@@ -145,37 +148,54 @@ def _pairs_of_blocks(spark, a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray
             for k in range(0, len(t), step):
                 mine = t.iloc[k : k + step]
                 i, j = np.nonzero(chosen(_least_angles(mine, b, pivots), mine["blk"].to_numpy()))
-                yield pd.DataFrame({"i": mine["blk"].to_numpy()[i] // each[0], "j": b["blk"].to_numpy()[j] // each[1]}).drop_duplicates()
+                yield pd.DataFrame({"i": of_a[mine["blk"].to_numpy()[i]], "j": of_b[b["blk"].to_numpy()[j]]}).drop_duplicates()
 
     rows = [(int(r.blk), int(r.pivot), float(r.low), float(r.high)) for r in a.itertuples()]
     return checkpointed(spark.createDataFrame(rows, "blk int, pivot int, low double, high double").mapInPandas(some, "i int, j int").distinct())
 
 
-def _of_groups(q: DataFrame, b: DataFrame | None, pairs: DataFrame, each: tuple[int, int]):
-    """The rows of q and b grouped by the pairs (i, j) of their groups; without b, pairs i <= j of groups of q."""
-    meet = lambda d, side, many: d.withColumn("_g", F.floor(F.col("blk") / many).cast("int")).join(F.broadcast(pairs.withColumn("_g", F.col(side))), "_g")
-    one = meet(q, "i", each[0]).select(F.lit(0).alias("side"), "id", "v", "blk", "i", "j")
-    two = meet(q, "j", each[0]).where("i <> j") if b is None else meet(b, "j", each[1])
-    return one.unionByName(two.select(F.lit(1).alias("side"), "id", "v", "blk", "i", "j")).groupBy("i", "j")
+def _of_groups(rows: DataFrame, pairs: DataFrame, of: np.ndarray):
+    """The rows grouped by the pairs (i, j), i <= j, of groups; `of` has the group of each block. A pair (i, i) takes a row once."""
+    table = rows.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(of)], "blk int, _g int")
+    placed = rows.join(F.broadcast(table), "blk")
+    meet = lambda side: placed.join(F.broadcast(pairs.withColumn("_g", F.col(side))), "_g")
+    one, two = meet("i"), meet("j").where("i <> j")
+    return one.select(F.lit(0).alias("side"), "id", "v", "blk", "i", "j").unionByName(two.select(F.lit(1).alias("side"), "id", "v", "blk", "i", "j")).groupBy("i", "j")
 
 
-def _meetings(pdf: pd.DataFrame, chosen, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places of rows, places of rows, similarities) of each pair of blocks in a pair of groups that chosen(block, blocks)
-    keeps; once: of one table, i <= j, so that a group may meet itself."""
+def _meetings(pdf: pd.DataFrame, chosen) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of rows, places of rows, similarities) of each pair of blocks i <= j in a pair of groups that
+    chosen(block, blocks) keeps; a group may meet itself."""
     x, blk, side = _vectors(pdf), pdf["blk"].to_numpy(), pdf["side"].to_numpy()
     places = lambda k: {int(i): np.flatnonzero((side == k) & (blk == i)) for i in np.unique(blk[side == k])}
     left, right = places(0), places(1)
-    if once and not right:
-        right = left
+    right = right or left
     for i, r in left.items():
-        js = np.array([j for j in right if not once or j >= i], int)
+        js = np.array([j for j in right if j >= i], int)
         for j in js[chosen(i, js)] if len(js) else ():
             yield r, right[int(j)], x[r] @ x[right[int(j)]].T
 
 
-def _each(blocks: int, groups: int = GROUPS) -> int:
+def _each(blocks: int) -> int:
     """Blocks of a group."""
-    return max(1, min(GROUP, math.ceil(blocks / groups)))
+    return max(1, min(GROUP, math.ceil(blocks / GROUPS)))
+
+
+def _strips(blocks: pd.DataFrame, rows: int) -> np.ndarray:
+    """The strip of each block: blocks in a row of about so many rows together."""
+    return np.unique((blocks["n"].cumsum() - 1) // rows, return_inverse=True)[1]
+
+
+def _packed(rows: DataFrame, strips: np.ndarray, parts: int) -> DataFrame:
+    """(strip, ids, blks, v): a row a strip, its rows' columns as bytes, ascending by id; in at most so many partitions."""
+    own = rows.sparkSession.createDataFrame([(int(g), int(g)) for g in np.unique(strips)], "i int, j int")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        v = np.stack(pdf["v"].to_numpy())
+        return pd.DataFrame({"strip": pdf["i"].iloc[:1].to_numpy(), "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "blks": [pdf["blk"].to_numpy(np.int32).tobytes()], "v": [v.tobytes()]})
+
+    return checkpointed(_of_groups(rows, own, strips).applyInPandas(pack, "strip int, ids binary, blks binary, v binary").coalesce(parts))
 
 
 def _blocks(df: DataFrame, key: str, vector: str, threshold: float, block: int):
@@ -196,7 +216,8 @@ def _above(df: DataFrame, key: str, vector: str, threshold: float, block: int, f
     """found(ids of rows, pairs of places above the threshold, one block pair after the other) for each pair of groups."""
     dealt, blocks, pivots, chosen = _blocks(df, key, vector, threshold, block)
     far, each = float(_angle(np.array(threshold))), _each(len(blocks))
-    pairs = _pairs_of_blocks(df.sparkSession, blocks, blocks, pivots, chosen, (each, each))
+    groups = np.arange(len(blocks)) // each
+    pairs = _pairs_of_blocks(df.sparkSession, blocks, blocks, pivots, chosen, (groups, groups))
 
     def close(i: int, js: np.ndarray) -> np.ndarray:
         return _least_angles(blocks.iloc[i : i + 1], blocks.iloc[js], pivots)[0] <= far
@@ -205,14 +226,14 @@ def _above(df: DataFrame, key: str, vector: str, threshold: float, block: int, f
         pdf = pd.concat(list(frames), ignore_index=True)
 
         def passing():
-            for r, c, s in _meetings(pdf, close, True):
+            for r, c, s in _meetings(pdf, close):
                 p, q = np.nonzero(s > threshold)
                 keep = p < q if r is c else slice(None)
                 yield r[p[keep]], c[q[keep]], s[p, q][keep]
 
         yield from found(pdf["id"].to_numpy(), passing())
 
-    return _of_groups(dealt, None, pairs, (each, each)).applyInPandas(multiply, schema)
+    return _of_groups(dealt, pairs, groups).applyInPandas(multiply, schema)
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -297,7 +318,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
     """(id, neighbour, sim): the k nearest of base by cosine for each query, itself left out; ties to the least key.
 
     Exact. Queries first meet the blocks of base that lie nearest to theirs; the k-th similarity found there bounds how far
-    a better one can be, and only blocks within that bound of a block of queries are met after that, in pairs of groups.
+    a better one can be, and only blocks within that bound of a block of queries are met after that. Both sides are written
+    in strips of blocks, a row a strip; pairs of strips meet where they lie, so that no vector is copied for a meeting.
     """
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "neighbour")
     top = lambda d: d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
@@ -343,8 +365,63 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
         np.put_along_axis(out, np.argsort(least_of(least, own), axis=1, kind="stable")[:, :2], True, axis=1)
         return out
 
-    first = _pairs_of_blocks(spark, qb, bb, pivots, nearest_two)
-    found = checkpointed(top(met(q, b, first)))
+    of_q, of_b = _strips(qb, STRIP * block), _strips(bb, STRIP * block)
+    b_parts = math.ceil((of_b.max() + 1) / STRIPS)
+    q_parts = min(int(of_q.max()) + 1, max(math.ceil((of_q.max() + 1) / STRIPS), math.ceil(4 * spark.sparkContext.defaultParallelism / b_parts)))
+    packed_q, packed_b = _packed(q, of_q, q_parts), _packed(b, of_b, b_parts)
+    kind = np.float32 if dict(q.dtypes)["v"] == "array<float>" else np.float64
+    kind_b = np.float32 if dict(b.dtypes)["v"] == "array<float>" else np.float64
+
+    def meet(chosen) -> DataFrame:
+        """The k best of each query in the blocks of base that chosen(least angles, blocks of queries) keeps for its block,
+        in each partition of base."""
+
+        def best(batches):
+            last, held = None, None
+
+            def told():
+                ids, own, sim, near = held
+                r, c = np.nonzero(np.isfinite(sim))
+                return pd.DataFrame({"id": ids[r], "neighbour": near[r, c], "sim": sim[r, c], "own": own[r]})
+
+            for pairs in batches:
+                for strip, ids, blks, v, ids_b, blks_b, v_b in zip(*(pairs[c] for c in ("strip", "ids", "blks", "v", "ids_b", "blks_b", "v_b")), strict=True):
+                    if strip != last:
+                        if held is not None:
+                            yield told()
+                        last, ids = strip, np.frombuffer(ids, np.int64)
+                        x = _unit(np.frombuffer(v, kind).reshape(len(ids), -1).astype(float))
+                        own = np.frombuffer(blks, np.int32)
+                        held = ids, own, np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+                        mine = np.unique(own)
+                    ids, own, sim, near = held
+                    ids_b, blks_b = np.frombuffer(ids_b, np.int64), np.frombuffer(blks_b, np.int32)
+                    y = _unit(np.frombuffer(v_b, kind_b).reshape(len(ids_b), -1).astype(float))
+                    wanted = chosen(_least_angles(qb.iloc[mine], bb, pivots), mine)
+                    for i, some in zip(mine, wanted, strict=True):
+                        c = np.flatnonzero(some[blks_b])
+                        if not len(c):
+                            continue
+                        p = np.flatnonzero(own == i)
+                        s = x[p] @ (y if len(c) == len(y) else y[c]).T
+                        at = np.searchsorted(ids_b[c], ids[p]).clip(max=len(c) - 1)
+                        same = ids_b[c][at] == ids[p]
+                        s[np.flatnonzero(same), at[same]] = -np.inf
+                        few = _first(s, k)
+                        sims = np.hstack([sim[p], np.take_along_axis(s, few, 1)])
+                        nears = np.hstack([near[p], ids_b[c][few]])
+                        order = np.lexsort((nears, -sims), axis=1)[:, :k]
+                        sim[p], near[p] = np.take_along_axis(sims, order, 1), np.take_along_axis(nears, order, 1)
+            if held is not None:
+                yield told()
+
+        pairs = _pairs_of_blocks(spark, qb, bb, pivots, chosen, (of_q, of_b)).groupBy("i").agg(F.collect_list("j").alias("to"))  # the strips of base that a strip meets
+        left = packed_q.join(F.broadcast(pairs), packed_q.strip == pairs.i).drop("i")
+        right = packed_b.select(F.col("strip").alias("strip_b"), F.col("ids").alias("ids_b"), F.col("blks").alias("blks_b"), F.col("v").alias("v_b"))
+        both = left.join(right.hint("shuffle_replicate_nl"), F.array_contains("to", F.col("strip_b"))).drop("to", "strip_b")
+        return both.mapInPandas(best, "id long, neighbour long, sim double, own int")
+
+    found = checkpointed(top(meet(nearest_two)))
     # the queries of a block have k neighbours at least as similar as its floor; a block with fewer has none
     held = found.groupBy("id", "own").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("s")).groupBy("own").agg(F.count_if(F.col("n") == k).alias("full"), F.min("s").alias("s"))
     sizes = q.groupBy("blk").agg(F.count(F.lit(1)).alias("all"))
@@ -352,39 +429,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
     for r in sizes.join(held, sizes.blk == held.own).collect():  # a row a block
         if r["full"] == r["all"]:
             reach[r["blk"]] = _angle(np.array(r["s"]))
-    each = _each(len(qb), GROUPS // 2), _each(len(bb), GROUPS // 2)
     near = lambda least, own: (least_of(least, own) <= reach[own][:, None]) & ~nearest_two(least, own)
-    more = _pairs_of_blocks(spark, qb, bb, pivots, near, each)
-
-    def close(i: int, js: np.ndarray) -> np.ndarray:
-        return near(_least_angles(qb.iloc[i : i + 1], bb, pivots), np.array([i]))[0][js]
-
-    def better(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values("id", ignore_index=True)
-        ids, own, held = pdf["id"].to_numpy(), pdf["blk"].to_numpy(), []
-
-        def told():
-            """The k best of the queries of a block."""
-            some = pd.concat(held)
-            return some.sort_values(["id", "sim", "neighbour"], ascending=[True, False, True]).groupby("id").head(k)
-
-        for p, c, s in _meetings(pdf, close, False):
-            if held and held[-1]["own"].iloc[0] != own[p[0]]:
-                yield told()
-                held = []
-            at = np.searchsorted(ids[c], ids[p]).clip(max=len(c) - 1)
-            same = ids[c][at] == ids[p]
-            s[np.flatnonzero(same), at[same]] = -np.inf
-            some = _first(s, k)
-            r = np.repeat(np.arange(len(p)), some.shape[1])
-            out = pd.DataFrame({"id": ids[p][r], "neighbour": ids[c][some.ravel()], "sim": s[r, some.ravel()], "own": own[p][r]})
-            if len(out := out[np.isfinite(out["sim"])]):
-                held.append(out)
-        if held:
-            yield told()
-
-    rest = _of_groups(q, b, more, each).applyInPandas(better, "id long, neighbour long, sim double, own int")
-    return top(found.unionByName(rest)).select("id", "neighbour", "sim")
+    return top(found.unionByName(meet(near))).select("id", "neighbour", "sim")
 
 
 def _first(s: np.ndarray, k: int) -> np.ndarray:

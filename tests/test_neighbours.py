@@ -124,6 +124,26 @@ def test_a_search_sends_vectors_to_groups(spark, monkeypatch):
     assert got == dict(enumerate(s.argmax(1).tolist())) and sent[0] <= 800 * S.GROUPS // 2
 
 
+def test_a_search_sends_a_vector_once(spark, monkeypatch):
+    """However many strips of the other side a row meets, it is shuffled once, into its own."""
+    x = np.random.default_rng(5).normal(size=(600, 24))
+    x[300:340] = x[3]  # copies beyond a block
+    plan, sent = S._of_groups, []
+
+    def counted(*a):
+        out = plan(*a)
+        sent.append(out.count().agg(F.sum("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(S, "_of_groups", counted)
+    got = {}
+    for r in S.nearest(frame(spark, x[:200]), frame(spark, x), "id", "v", 3, 20).collect():
+        got.setdefault(r.id, []).append(r.sim)
+    s = cosines(x[:200], x)
+    s[np.arange(200), np.arange(200)] = -np.inf
+    assert all(np.allclose(sorted(got[i]), np.sort(s[i])[-3:]) for i in range(200)) and sum(sent) <= 800
+
+
 def test_nearest_of_nothing(spark):
     x = frame(spark, vectors(0, 110))
     assert S.nearest(x.limit(0), x, "id", "v").collect() == S.nearest(x, x.limit(0), "id", "v").collect() == []
