@@ -8,10 +8,12 @@ equal. Rows of a tree are drawn by a hash of (seed, tree, row), columns by (seed
 `grown` holds the binned rows of one fit in memory. `fitted` grows the trees of many fits (seeds, folds, repeats) in step
 over a written table of any number of rows: an aggregate serves all fits at once and is asked, besides the leaves that are
 due, for those that splits known so far would make, so a tree takes about as many aggregates as it is deep.
+Where the bins of a table fit a task, as those of some two million rows do, it may grow each fit in a task of its own.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Generator
 from dataclasses import dataclass
 
@@ -253,27 +255,72 @@ def _histogram(bins: np.ndarray, g: np.ndarray, columns: np.ndarray, width: int)
 def grown(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, p: Boosting, edges: list[np.ndarray] | None = None) -> Fitted:
     """A fit of rows held in memory."""
     edges = cuts(x, p.bins) if edges is None else edges
-    bins, start = binned(x, edges), start_of(y.sum(), len(y))
-    width = max((len(e) for e in edges), default=0) + 1
+    return _grown(np.ascontiguousarray(binned(x, edges).T), y, hashes, p, edges)
+
+
+def _grown(bins: np.ndarray, y: np.ndarray, hashes: np.ndarray, p: Boosting, edges: list[np.ndarray]) -> Fitted:
+    """bins has a row a column. Rows are parted as nodes are split, and of two sides the smaller is counted."""
+    start, width = start_of(y.sum(), len(y)), max((len(e) for e in edges), default=0) + 1
     pred, out = np.full(len(y), start), []
     for k in range(p.trees if len(y) else 0):
-        columns, use = drawn_columns(x.shape[1], p, k), np.flatnonzero(drawn_rows(hashes, p, k))
+        columns = drawn_columns(len(bins), p, k)
         tree, g = _Tree(), _units(pred, y)
+        everyone, drawn = {0: np.arange(len(y))}, {0: np.flatnonzero(drawn_rows(hashes, p, k))}
         asks = _growth(tree, columns, p, ahead=False)
         ask = next(asks)
         try:
             while True:
-                at = tree.places(bins[use])
-                ask = asks.send({node: _histogram(bins[use[at == node]], g[use[at == node]], columns, width) for node in ask})
+                parent, got = tree.above(), {}
+                for node in ask:  # the root, or the left side of a node
+                    up = parent[node]
+                    other = tree.sides[up][1] if up >= 0 else node
+                    if tree.sums[other][1] < tree.sums[node][1]:
+                        got[node] = tree.histogram[up] - _counted(bins, g, _members(tree, bins, drawn, other), columns, width)
+                    else:
+                        got[node] = _counted(bins, g, _members(tree, bins, drawn, node), columns, width)
+                ask = asks.send(got)
         except StopIteration:
             pass
         if not tree.inner and not tree.sums[0][1]:
             break
-        pred += _values(tree, p)[tree.places(bins)]
+        for leaf in {s for node in tree.inner for s in tree.sides[node]} - tree.inner or {0}:
+            pred[_members(tree, bins, everyone, leaf)] += _value(tree.sums[leaf], p)
         out.append(_nested(tree, edges, p))
     return Fitted(start, out)
 
 
+def _members(tree: _Tree, bins: np.ndarray, held: dict[int, np.ndarray], node: int) -> np.ndarray:
+    """The rows of a node; held has those of the root and of nodes asked for before."""
+    if node not in held:
+        up = int(tree.above()[node])
+        (f, b), mine = tree.split[up], _members(tree, bins, held, up)
+        right = bins[f][mine] > b
+        held[tree.sides[up][0]], held[tree.sides[up][1]] = mine[~right], mine[right]
+    return held[node]
+
+
+#: Rows that a histogram takes at once, so that they stay in a processor's cache.
+AT_ONCE = 1 << 15
+
+#: Rows below which all columns are counted together.
+FEW = 1 << 11
+
+
+def _counted(bins: np.ndarray, g: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int) -> np.ndarray:
+    """_histogram of some rows of bins that have a row a column."""
+    if len(rows) < FEW:
+        return _histogram(bins[:, rows].T, g[rows], columns, width)
+    out = np.zeros((2, len(columns), width))
+    for k in range(0, len(rows), AT_ONCE):
+        some = rows[k : k + AT_ONCE]
+        mine = g[some]
+        for c, j in enumerate(columns):
+            b = bins[j][some].astype(np.intp)
+            out[0, c] += np.bincount(b, mine, width)
+            out[1, c] += np.bincount(b, minlength=width)
+    return out
+
+
 def start_of(total: float, n: int) -> float:
     """The mean label in units, so that it does not depend on the order of a sum."""
     return round(total / n * UNIT) / UNIT if n else 0.0
@@ -284,12 +331,17 @@ def start_of(total: float, n: int) -> float:
 #: Trees after which the table is written anew with its predictions.
 REWRITE = 20
 
+#: Bins (rows times columns) of a table up to which a fit may be grown in one task, which holds a byte for each and some 100
+#: bytes a row.
+HELD = 1 << 26
+
 
-def fitted(df: DataFrame, key: str, vector: str, label: str, fits: list[tuple[Boosting, int, int]], own: str | None = None, edges: list[np.ndarray] | None = None, write=None) -> list[Fitted]:
+def fitted(df: DataFrame, key: str, vector: str, label: str, fits: list[tuple[Boosting, int, int]], own: str | None = None, edges: list[np.ndarray] | None = None, write=None, held: int = 0) -> list[Fitted]:
     """A fit for each (parameters, repeat, fold): it learns from labelled rows whose fold in that repeat, a place of the array `own`, is another.
 
     All parameters but the seed must be equal. write(df, name) writes a table and reads it back; by default a checkpoint.
-    The driver holds histograms: fits times nodes times columns times bins numbers.
+    The driver holds histograms: fits times nodes times columns times bins numbers. A table of up to `held` bins is instead
+    read by a task for each fit, which grows the same trees.
     """
     write = write or (lambda table, _: checkpointed(table))
     labelled = df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
@@ -305,6 +357,8 @@ def fitted(df: DataFrame, key: str, vector: str, label: str, fits: list[tuple[Bo
     folds = F.col(own) if own else F.array().cast("array<int>")
     rows = labelled.select(F.xxhash64(key).alias("h"), F.col(label).cast("double").alias("y"), folds.cast("array<int>").alias("own"), F.transform(vector, lambda e: e.cast("double")).alias("x"))
     table = write(rows.mapInPandas(cut, "h long, y double, own array<int>, bins binary"), "bins")
+    if table.count() * len(edges) <= held:
+        return _in_tasks(table, fits, edges, write)
     starts = [start_of(*_mean(table, r, f)) for _, r, f in fits]
     table = write(table.withColumn("pred", F.array(*[F.lit(s) for s in starts])), "bins")
     out = [Fitted(s, []) for s in starts]
@@ -330,6 +384,43 @@ def fitted(df: DataFrame, key: str, vector: str, label: str, fits: list[tuple[Bo
     return out
 
 
+def _in_tasks(table: DataFrame, fits: list[tuple[Boosting, int, int]], edges: list[np.ndarray], write) -> list[Fitted]:
+    """A task for each fit. It reads the binned rows where they are written: no copy of them is made for a fit."""
+    repeats = max((r for _, r, _ in fits), default=0) + 1
+    names = ("h", "y", "own", "bins")
+
+    def pack(batches):
+        for b in batches:
+            if len(b):
+                own = np.full((len(b), repeats), -1, np.int32)  # no fold
+                for i, o in enumerate(b["own"]):
+                    for r, f in enumerate(o[:repeats]):
+                        own[i, r] = -1 if f is None or f != f else f
+                parts = (b["h"].to_numpy(np.int64), b["y"].to_numpy(np.float64), own)
+                yield pd.DataFrame([[a.tobytes() for a in parts] + [b"".join(b["bins"])]], columns=names)
+
+    def grow(batches):
+        strips: dict[int, list] = {}
+        for b in batches:
+            for i, h, y, own, bins in b[["id", *names]].itertuples(index=False):
+                h = np.frombuffer(h, np.int64)
+                p, repeat, fold = fits[i]
+                use = np.flatnonzero((np.frombuffer(own, np.int32).reshape(len(h), -1)[:, repeat] != fold) | (fold < 0))
+                strips.setdefault(i, []).append((h[use], np.frombuffer(y)[use], np.frombuffer(bins, np.uint8).reshape(len(h), -1)[use].T))
+        for i in list(strips):
+            h, y, bins = zip(*strips.pop(i), strict=True)
+            fit = _grown(np.concatenate(bins, axis=1), np.concatenate(y), np.concatenate(h), fits[i][0], edges)
+            yield pd.DataFrame({"fit": [i], "start": [fit.start], "trees": [json.dumps(fit.trees)]})
+
+    packed = write(table.mapInPandas(pack, "h binary, y binary, own binary, bins binary").coalesce(1), "strips")
+    of = table.sparkSession.range(0, len(fits), 1, len(fits))  # a partition a fit
+    got = of.join(packed.hint("shuffle_replicate_nl")).mapInPandas(grow, "fit int, start double, trees string").collect()
+    out = [Fitted(0.0, []) for _ in fits]
+    for r in got:
+        out[r["fit"]] = Fitted(r["start"], json.loads(r["trees"]))
+    return out
+
+
 def _mean(table: DataFrame, repeat: int, fold: int) -> tuple[float, int]:
     mine = table if fold < 0 else table.where(F.coalesce(F.get("own", F.lit(repeat)) != fold, F.lit(True)))
     return tuple(mine.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("y")).first())

@@ -103,6 +103,22 @@ def test_trees_by_aggregates_equal_trees_in_a_task(spark, rewrite, monkeypatch,
     assert np.allclose([back[i] for i in range(len(y))], np.mean([f.predict(x) for f in got], 0))
 
 
+def test_fits_in_tasks_read_the_binned_rows_once(spark, monkeypatch, tmp_path):
+    """Trees of a task a fit are those of aggregates, without any aggregate; missing folds, repeats and labels included."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    x, y = toy(150)
+    rows = [(i, [None if (i, j) == (3, 1) else float(v) for j, v in enumerate(x[i])], None if i in (5, 6) else float(y[i]), [[i % 3, 9], [None, 0], [i % 3], []][i % 4]) for i in range(len(y))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, own array<int>").repartition(3)
+    edges = boosting.cuts(x, SMALL.bins)
+    fits = [(SMALL, 0, 1), (SMALL, 1, 0), (SMALL, 0, -1)]
+    want = boosting.fitted(df, "id", "x", "y", fits, "own", edges)
+    monkeypatch.setattr(boosting, "AT_ONCE", 40)
+    monkeypatch.setattr(boosting, "FEW", 30)
+    monkeypatch.setattr(boosting, "_summed", lambda *a: pytest.fail("an aggregate for each depth of each tree"))
+    got = boosting.fitted(df, "id", "x", "y", fits, "own", edges, held=150 * len(edges))
+    assert [(f.start, f.trees) for f in got] == [(f.start, f.trees) for f in want]
+
+
 def test_cuts_of_a_table(spark):
     x, _ = toy(400)
     df = spark.createDataFrame([([float(v) for v in r],) for r in x], "x array<double>")
