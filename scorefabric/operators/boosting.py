@@ -8,7 +8,7 @@ equal. Rows of a tree are drawn by a hash of (seed, tree, row), columns by (seed
 `grown` holds the binned rows of one fit in memory. `fitted` grows the trees of many fits (seeds, folds, repeats) in step
 over a written table of any number of rows: an aggregate serves all fits at once and is asked, besides the leaves that are
 due, for those that splits known so far would make, so a tree takes about as many aggregates as it is deep.
-Where the bins of a table fit a task, as those of some two million rows do, it may grow each fit in a task of its own.
+Where the bins of a table fit a task, as those of a million rows of 32 columns do, it may grow each fit in a task of its own.
 """
 
 from __future__ import annotations
@@ -290,11 +290,12 @@ def _grown(bins: np.ndarray, y: np.ndarray, hashes: np.ndarray, p: Boosting, edg
 
 
 def _members(tree: _Tree, bins: np.ndarray, held: dict[int, np.ndarray], node: int) -> np.ndarray:
-    """The rows of a node; held has those of the root and of nodes asked for before."""
+    """The rows of a node; held has those of the nodes parted so far that are not parted themselves."""
     if node not in held:
         up = int(tree.above()[node])
         (f, b), mine = tree.split[up], _members(tree, bins, held, up)
         right = bins[f][mine] > b
+        del held[up]
         held[tree.sides[up][0]], held[tree.sides[up][1]] = mine[~right], mine[right]
     return held[node]
 
@@ -331,9 +332,9 @@ def start_of(total: float, n: int) -> float:
 #: Trees after which the table is written anew with its predictions.
 REWRITE = 20
 
-#: Bins (rows times columns) of a table up to which a fit may be grown in one task, which holds a byte for each and some 100
+#: Bins (rows times columns) of a table up to which a fit may be grown in one task, which holds a byte for each and some 200
 #: bytes a row.
-HELD = 1 << 26
+HELD = 1 << 25
 
 
 def fitted(df: DataFrame, key: str, vector: str, label: str, fits: list[tuple[Boosting, int, int]], own: str | None = None, edges: list[np.ndarray] | None = None, write=None, held: int = 0) -> list[Fitted]:
@@ -408,8 +409,10 @@ def _in_tasks(table: DataFrame, fits: list[tuple[Boosting, int, int]], edges: li
                 use = np.flatnonzero((np.frombuffer(own, np.int32).reshape(len(h), -1)[:, repeat] != fold) | (fold < 0))
                 strips.setdefault(i, []).append((h[use], np.frombuffer(y)[use], np.frombuffer(bins, np.uint8).reshape(len(h), -1)[use].T))
         for i in list(strips):
-            h, y, bins = zip(*strips.pop(i), strict=True)
-            fit = _grown(np.concatenate(bins, axis=1), np.concatenate(y), np.concatenate(h), fits[i][0], edges)
+            parts = strips.pop(i)
+            h, y, bins = (np.concatenate([x[k] for x in parts], axis=-1) for k in range(3))
+            del parts  # the rows are held once
+            fit = _grown(bins, y, h, fits[i][0], edges)
             yield pd.DataFrame({"fit": [i], "start": [fit.start], "trees": [json.dumps(fit.trees)]})
 
     packed = write(table.mapInPandas(pack, "h binary, y binary, own binary, bins binary").coalesce(1), "strips")
