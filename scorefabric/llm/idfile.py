@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from scorefabric.llm.common import BROADCAST_ROWS, materialise, parts_for, table, tune
 from scorefabric.llm.packing import vocabulary
-from scorefabric.llm.tokens import encoder, with_end
+from scorefabric.llm.tokens import CHUNK_BYTES, encoder, with_end
 
 MAGIC = b"SFID"
 BLOCK = 1024
@@ -278,6 +278,19 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if z else int(k) for k, z in zip(keys, null, strict=True)], counts, ids
 
 
+def _gathered(batches, text: str):
+    """The batches, put together until their texts fill what the encoder takes at once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += int(b[text].str.len().sum())
+        if size >= CHUNK_BYTES:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def files(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, number, n_ids, content): files in ascending key order by (part, number)."""
     tune(docs.sparkSession)
@@ -293,7 +306,7 @@ def files(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
             ids = np.concatenate(held)
             return pd.DataFrame({"part": [part], "number": [number], "n_ids": [len(ids)], "content": [write_file(keys, np.concatenate(sizes), ids)]})
 
-        for b in batches:
+        for b in _gathered(batches, text):
             ids, off = with_end(*enc.encode(b[text].tolist()), end_id)
             keys += [None if pd.isna(x) else int(x) for x in b[key]]
             held.append(ids)

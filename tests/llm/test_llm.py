@@ -231,6 +231,47 @@ def test_ids_are_the_librarys(name, parts):
     assert [got[0][got[1][i] : got[1][i + 1]].tolist() for i in range(3)] == [lib.encode(t, add_special_tokens=False).ids for t in (text, "", text + " end")]
 
 
+_APOSTROPHES = ["'", "''", "'s", "'tis", "'ll", "'re9", "'ves", "'d'm", "don't", '"\'s', "5's", "é'sé", "²'t²", " ", "\n", "\xa0", "…", "x×y÷z", "١"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.text(st.characters(max_codepoint=0x24F, exclude_characters="\u0130", exclude_categories=["Cs"]), max_size=8), st.sampled_from(_APOSTROPHES)), max_size=8).map("".join), max_size=5))
+def test_words_of_many_texts_are_the_pattern_s(texts):
+    from scorefabric.llm import tokens
+
+    texts = [x.lower() for x in texts if tokens._SAFE.fullmatch(x.lower())]
+    words, distinct, offsets = tokens._cut_words([x.encode() for x in texts])
+    assert [[distinct[k] for k in words[i:j]] for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == [tokens._WORD_ENDS.findall(x) for x in texts]
+    assert len({*distinct}) == len(distinct)
+
+
+def test_a_word_is_looked_up_once(monkeypatch):
+    from scorefabric.llm import tokens
+
+    class Counted(tokens._Words):
+        n = 0
+
+        def get(self, word):
+            self.n += 1
+            return super().get(word)
+
+        def __getitem__(self, word):
+            self.n += 1
+            return super().__getitem__(word)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = tokens.WordEncoder(path)
+    enc.words = Counted(enc.library.model)
+    texts = ["One word, one word's ende. " * 5000, None, "日本 one", "", "word 12 "]
+    want = [_library(path).encode(x or "", add_special_tokens=False).ids for x in texts]
+    ids, at = enc.encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == want
+    assert enc.words.n == 8  # one word , 's ende . 1 2
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 1)  # each text alone
+    ids, at = enc.encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == want
+
+
 @lru_cache(None)
 def _library(path):
     from tokenizers import Tokenizer
