@@ -462,16 +462,18 @@ def speaker_vectors(df: DataFrame, key: str, mean: str, sd: str, layers: tuple[i
 def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, component): the least key each node reaches; isolated nodes are their own.
 
-    Least labels spread over edges and jump over labels; every round is written to the checkpoint folder.
+    Least labels spread over edges and jump over labels; every round is written as files, so that plan statistics don't
+    grow with each round, and the driver's memory with them.
     """
-    both = checkpointed(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
-    label = checkpointed(nodes.select(F.col(key).alias("x"), F.col(key).alias("c")))
+    at, rounds = fresh_folder(nodes.sparkSession, "components"), 0
+    both = kept(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), f"{at}/both")
+    label = kept(nodes.select(F.col(key).alias("x"), F.col(key).alias("c")), f"{at}/nodes")
     while True:
         near = both.join(label.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
         step = label.join(near, "x", "left").select("x", F.least("c", F.coalesce("m", "c")).alias("n"), F.col("c").alias("old"))
         jump = step.select(F.col("x").alias("n"), F.col("n").alias("up"))
-        new = checkpointed(step.join(jump, "n", "left").select("x", F.least("n", F.coalesce("up", "n")).alias("c"), "old"))
-        done = new.where(F.col("c") != F.col("old")).isEmpty()
+        new = kept(step.join(jump, "n", "left").select("x", F.least("n", F.coalesce("up", "n")).alias("c"), "old"), f"{at}/labels-{rounds % 2}")
+        done, rounds = new.where(F.col("c") != F.col("old")).isEmpty(), rounds + 1
         label = new.select("x", "c")
         if done:
             return label.select(F.col("x").alias(key), F.col("c").alias("component"))

@@ -209,3 +209,12 @@ def test_frequent_terms_make_few_candidates(spark):
         S.checkpointed = real
     alive = [n for columns, n in made if columns == ["q", "anchor", "s"]]
     assert got == 480 and alive[0] <= 240 * 3
+
+
+def test_components_of_a_long_chain_keep_plan_statistics_small(spark):
+    """Every round joins what the last one made: its estimated size must not be the product of all earlier ones'."""
+    n = 2000
+    nodes, edges = spark.range(n).withColumnRenamed("id", "n"), spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = S.components(edges, nodes, "n")
+    assert int(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 40
+    assert got.count() == n and got.select("component").distinct().collect()[0][0] == 0
