@@ -261,3 +261,22 @@ def test_support_vectors_of_large_views_equal_those_of_one_kernel(spark, tmp_pat
 def test_driver_of_nothing(spark):
     view, folds, *_ = view_of(spark, 30)
     assert estimators.predictions(view.limit(0), folds, "id", "vec", "y", "g", estimators.Ridge()).collect() == []
+
+
+def test_support_vectors_of_a_large_view_are_fitted_in_a_task_each(spark, monkeypatch):
+    """Beyond one kernel a fit takes working sets in its own task, and rounds over all tasks only where a task can't hold the rows."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(160, 5))
+    y = np.sin(x[:, 0]) + 0.3 * r.normal(size=160)
+    rows = [(i, [float(e) for e in x[i]], float(y[i]) if i % 7 else None, i % 20) for i in range(160)]
+    view = spark.createDataFrame(rows, "id long, vec array<double>, y double, g long").selectExpr("'a' view", "*").unionByName(spark.createDataFrame(rows[:150], "id long, vec array<double>, y double, g long").selectExpr("'b' view", "*"))
+    folds = spark.createDataFrame([(g, 0, g % 4) for g in range(20)], "g long, repeat int, fold int")
+    of = lambda **k: estimators.predictions(view, folds, "id", "vec", "y", "g", estimators.Support(tol=1e-6, **k)).toPandas().sort_values(["view", "repeat", "fold", "id"]).reset_index(drop=True)
+    want, rounds = of(), of(most_rows=10, working=640, held=0)
+    monkeypatch.setattr(estimators, "_large_support", None)
+    held = of(most_rows=10, working=32)
+    single = estimators.predictions(view, folds, "id", "vec", "y", "g", estimators.Support(most_rows=10, working=32)).toPandas().sort_values(["view", "repeat", "fold", "id"])
+    for got, near in ((rounds, 1e-4), (held, 1e-4), (single, 1e-2)):
+        assert got[["view", "id", "repeat", "fold"]].to_numpy().tolist() == want[["view", "id", "repeat", "fold"]].to_numpy().tolist()
+        assert np.abs(got["pred"].to_numpy() - want["pred"].to_numpy()).max() < near
+    assert held["figure"].max() <= 1e-6 and single["figure"].max() <= 1e-3
